@@ -1,9 +1,12 @@
 """The registered query and, where SQL can express it, the oracle of each operator."""
 
-from tallyreef.llm import byte_bpe
+from tallyreef.llm import byte_bpe, quality_rules
 
 QUERIES = {
+    "op1_quality_rules": quality_rules.op1_quality_rules,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": quality_rules.ORACLE_SQL,
+}
