@@ -1,10 +1,13 @@
 """The registered query and, where SQL can express it, the oracle of each operator."""
 
-from tallyreef.llm import byte_bpe, quality_rules
+from tallyreef.llm import byte_bpe, mixing, near_dedup, quality_rules, secret_scan
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
+    "op6_secret_scan": secret_scan.op6_secret_scan,
+    "op7_mixing": mixing.op7_mixing,
+    "op9_near_dedup": near_dedup.op9_near_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
