@@ -21,6 +21,7 @@ overall; clashing extra columns are ignored.
 from __future__ import annotations
 
 import math
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,6 +39,8 @@ SHARD_BLOCKS = 64
 BUCKET_WORDS, MOST_BUCKETS = 20_000, 8192
 SEED = 42
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
 
 def _word_count(texts: pd.Series) -> pd.Series:
     return pd.Series([len(common.words_of(t)) for t in texts], dtype="int64")
@@ -179,6 +182,55 @@ def _coprime(step, n):
     return (step > 0) & ~shared
 
 
+def _passes(takes: list[dict], size: int) -> list[list[tuple[int, int]]]:
+    """For each time round, the runs of words taken; neighbouring runs are put together."""
+    rounds = []
+    for turn in range(max((t["times"] for t in takes), default=0)):
+        runs: list[tuple[int, int]] = []
+        for t in takes:
+            if t["times"] > turn:
+                if runs and runs[-1][1] == t["from"]:
+                    runs[-1] = (runs[-1][0], t["until"])
+                else:
+                    runs.append((t["from"], t["until"]))
+        rounds.append(runs)
+    return rounds
+
+
+def _taken_texts(text: str, takes: list[dict]) -> list[str]:
+    """The text of each time round: whole where all words are taken, else the taken runs as they stand, by line."""
+    places = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    out = []
+    for runs in _passes(takes, len(places)):
+        if runs == [(0, len(places))]:
+            out.append(text)
+        else:
+            out.append("\n".join(text[places[a][0] : places[b - 1][1]] for a, b in runs))
+    return out
+
+
+def materialize(docs: DataFrame, text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars", seed: int = SEED) -> DataFrame:
+    """The mix itself, with the columns of docs: a row for each time round that takes words of a document."""
+    names = docs.columns
+    # The mix moves keys alone; texts stay where they are until they meet what is taken of them.
+    columns_of_row = [F.col(f"`{c}`") for c in names]
+    keyed = docs.withColumn("__row", F.concat(*[F.hex(F.xxhash64(F.lit(i), *columns_of_row)) for i in range(2)]))
+    plan = mix(keyed, "__row", text_col, source_col, seed).filter("taken > 0").groupBy("__row").agg(F.collect_list("takes").alias("takes"))
+    plan = common.written(plan, "mix-takes")
+
+    @F.pandas_udf("array<string>")
+    def texts(text: pd.Series, takes: pd.Series) -> pd.Series:
+        return pd.Series([[x for k in several for x in _taken_texts(t or "", list(k))] for t, several in zip(text, takes, strict=True)])
+
+    # Equal rows share a key, and their plans stand together with it: one of them brings the text.
+    met = keyed.join(plan, "__row").dropDuplicates(["__row"]).withColumn("__texts", texts.asNondeterministic()(F.col(f"`{text_col}`").cast("string"), "takes"))
+    met = met.withColumn("__text", F.explode("__texts"))
+    columns = {text_col: F.col("__text")}
+    if chars_col in names:
+        columns[chars_col] = F.char_length("__text").cast(docs.schema[chars_col].dataType)
+    return met.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in names])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     return mix(common.table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
