@@ -188,7 +188,7 @@ ORACLE_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS row_id, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (
   SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words,
-    list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d),
 pos AS (SELECT row_id, len(words) AS n, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM w),
 win AS (SELECT row_id, i, md5(array_to_string(words[i:i + 7], ' ')) || array_to_string(words[i:i + 7], ' ') AS k FROM pos WHERE i + 7 <= n),
@@ -197,7 +197,7 @@ cov AS (SELECT row_id, count(DISTINCT i + j) AS n_repeat_words FROM rep, range(8
 top AS (SELECT row_id, max(c) AS top FROM (SELECT row_id, count(*) AS c FROM (SELECT row_id, unnest(words) AS x FROM w) GROUP BY row_id, x) GROUP BY row_id),
 s AS (
   SELECT w.row_id, doc_id, text, words, lines, len(words) AS n_words,
-    CAST(coalesce(list_sum(list_transform(words, x -> length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines,
     coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(top, 0) AS top
@@ -208,9 +208,9 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     AND NOT (3 * (length(text) - length(replace(text, '!', ''))) > n_words)
     AND word_chars BETWEEN 2 * n_words AND 20 * n_words
     AND NOT (2 * n_dup_lines > len(lines))
-    AND NOT (len(list_filter(words, x -> length(x) > 1 AND x = upper(x) AND x <> lower(x))) > 0.6 * n_words)
-    AND NOT (len(list_filter(words, x -> regexp_matches(x, '\p{L}'))) < 0.7 * n_words)
+    AND NOT (len(list_filter(words, lambda x: length(x) > 1 AND x = upper(x) AND x <> lower(x))) > 0.6 * n_words)
+    AND NOT (len(list_filter(words, lambda x: regexp_matches(x, '\p{L}'))) < 0.7 * n_words)
     AND NOT (top > 0.3 * n_words)
-    AND NOT (10 * len(list_filter(range(1, n_words), i -> words[i] = words[i + 1])) > 3 * n_words) AS kept
+    AND NOT (10 * len(list_filter(range(1, n_words), lambda i: words[i] = words[i + 1])) > 3 * n_words) AS kept
 FROM b
 """

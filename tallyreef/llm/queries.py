@@ -1,6 +1,6 @@
 """The registered query and, where SQL can express it, the oracle of each operator."""
 
-from tallyreef.llm import byte_bpe, mixing, near_dedup, quality_rules, secret_scan
+from tallyreef.llm import byte_bpe, mixing, near_dedup, quality_rules, secret_scan, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -8,8 +8,10 @@ QUERIES = {
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_mixing": mixing.op7_mixing,
     "op9_near_dedup": near_dedup.op9_near_dedup,
+    "op10_top_k": topk.op10_top_k,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
+    "op10_top_k": topk.ORACLE_SQL,
 }
