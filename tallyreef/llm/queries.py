@@ -1,12 +1,16 @@
 """The registered query and, where SQL can express it, the oracle of each operator."""
 
-from tallyreef.llm import byte_bpe, mixing, near_dedup, quality_rules, secret_scan, topk
+from tallyreef.llm import byte_bpe, language_id, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, site_tree, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_quality_model": quality_model.op2_quality_model,
+    "op3_site_tree": site_tree.op3_site_tree,
+    "op4_packed_ids": packed_ids.op4_packed_ids,
     "op5_byte_bpe": byte_bpe.op5_byte_bpe,
     "op6_secret_scan": secret_scan.op6_secret_scan,
     "op7_mixing": mixing.op7_mixing,
+    "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_top_k": topk.op10_top_k,
 }
