@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = ""
+from tallyreef.plans import statistics
+
+FLAGSHIP = "win_rate_by_nation"
+QUERIES: dict = {**statistics.QUERIES}
+ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL}
