@@ -17,15 +17,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     Large: every node links its larger neighbours to the least of its neighbours
     and itself. Small: every node links its smaller neighbours and itself to the
     least of them. The least neighbours are written before they are joined, so
-    that Spark may split the rows of a node with very many links.
+    that Spark may split the rows of a node with very many links, or send the
+    table to all tasks where it is small.
     """
-    around = edges.union(edges.select(F.col("v"), F.col("u"))).toDF("u", "v") if large else edges
-    least = common.written(around.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least")
-    met = around.join(least, "u")
     if large:
-        out = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # (u, v) is the larger neighbour u of v; v moves on to the least of what it is linked to. Most v are least themselves.
+        moving = common.written(edges.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v"), "components-moving")
+        out = edges.join(moving, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
     else:
-        out = met.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        least = common.written(edges.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("top")), "components-least")
+        # A node with one smaller neighbour only keeps its edge.
+        spread = edges.join(least.filter("m < top").select("u", "m"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = least.select("u", F.col("m").alias("v")).union(spread)
     return common.written(out.filter("u > v").distinct(), "components-edges")
 
 
@@ -35,8 +38,8 @@ def connect(links: DataFrame) -> DataFrame:
     before = None
     for _ in range(MOST_STEPS):
         edges = _star(_star(edges, large=True), large=False)
-        # Steps only ever lower ends, so equal counts and sums mean that nothing moved.
-        now = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
+        # Equal counts and sums of hashes: no edge has changed.
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return common.written(edges.select(F.col("u").alias("cid"), F.col("v").alias("label")).union(edges.select("v", "v").distinct()), "components")
         before = now

@@ -8,10 +8,10 @@ estimated from the registers, less the collisions that compressed registers are
 expected to have, and pairs that may reach the bound are confirmed on full sets.
 
 Documents with equal sets are one class from the start. A group of candidates is
-not expanded into pairs: members are compared with one leader of the group, links
-are contracted into components, and other leaders follow. Groups that still span
-several components are compared block by block, and only pairs of different
-components that pass the estimate leave a block.
+not expanded into pairs: members are compared with the group's leader, the node
+whose groups are largest, which is the text that the others were made from, and
+links are contracted into components. Where groups still span several components,
+these are compared block by block, and only links leave a block.
 
 Defined cases: without words or text a set is empty and linked with nothing;
 texts with fewer words than a shingle have their whole sequence as the one
@@ -42,8 +42,6 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Standard deviations by which an estimate may fall short of the bound.
 SLACK = 5.0
-#: Leaders tried in each group before groups are compared block by block.
-LEADER_ROUNDS = 3
 #: Members of a block in that comparison.
 BLOCK = 256
 
@@ -145,24 +143,29 @@ def _least_estimate(percent: int) -> float:
     return bound - SLACK * math.sqrt(bound * (1 - bound) / REGISTERS)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the bound; docs has id and text."""
-    pairs = common.written(pairs.distinct(), "dedup-pairs")
-    wanted = common.written(pairs.select("a").union(pairs.select("b")).distinct().join(nodes.select(F.col("cid").alias("a"), "rep"), "a").select("rep", F.col("a").alias("cid")), "dedup-wanted")
+def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """cid and full set (sorted hashes) of the wanted cids; docs has id and text."""
+    # Written first: where the list is short, Spark sends it to the texts and moves none of the others.
+    wanted = common.written(wanted.distinct().join(nodes.select("cid", "rep"), "cid"), "dedup-wanted")
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
                     names=["cid", "set_hash", "full"],
                 )
 
-    sets = wanted.join(docs, docs["id"] == wanted["rep"]).select("cid", "rep", "text").mapInArrow(fill, "cid long, set_hash binary, full binary")
+    sets = docs.join(wanted, docs["id"] == wanted["rep"]).select("cid", "text").mapInArrow(fill, "cid long, set_hash binary, full binary")
     # A doc_id may repeat with another text; only the text of the class counts, once.
-    sets = common.written(sets.filter(F.xxhash64("set_hash") == F.col("cid")).dropDuplicates(["cid"]).select("cid", "full"), "dedup-sets")
+    return common.written(sets.filter(F.xxhash64("set_hash") == F.col("cid")).dropDuplicates(["cid"]).select("cid", "full"), "dedup-sets")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets reach the bound."""
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("cid")), docs, nodes, words)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("full").alias("f_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("full").alias("f_b")), "b").select("a", "b", "f_a", "f_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,39 +173,72 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int,
             near = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 a, b = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
-                common_size = len(np.intersect1d(a, b, assume_unique=True))
-                near.append(100 * common_size >= percent * (len(a) + len(b) - common_size))
+                near.append(bool(_linked(a, [b], percent)[0]))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(near, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
     return common.written(both.mapInArrow(check, "a long, b long"), "dedup-links")
 
 
-def _block_pairs(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components within groups, block by block; grouped has bucket, cid, label, n, sketch."""
-    counts = grouped.groupBy("bucket").agg(F.count("*").alias("members")).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    counts = common.written(counts.filter("members > 1"), "dedup-blocks")
-    dealt = grouped.join(counts, "bucket").withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-    cells = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), (F.col("block") <= F.col("other")).alias("left"), (F.col("block") == F.col("other")).alias("alone"), "cid", "label", "n", "sketch"
-    )
+def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of the other sets reach the bound with one set."""
+    sizes = np.array([len(x) for x in others])
+    joined = np.concatenate(others)
+    at = np.minimum(np.searchsorted(one, joined), len(one) - 1)
+    both = np.add.reduceat((one[at] == joined).astype(np.int64), np.concatenate([[0], sizes.cumsum()[:-1]]))
+    return 100 * both >= percent * (len(one) + sizes - both)
+
+
+def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links between components that still meet in a group; rest has bucket, cid, reach, label.
+
+    Each group belongs to the component of its farthest-reaching node; members of
+    other components are attached to that component. Attached nodes are compared
+    with all its nodes and with each other, blocks against blocks: the estimate
+    picks pairs, full sets confirm them, and only links leave a block.
+    """
+    owners = rest.groupBy("bucket").agg(F.max(F.struct("reach", "label")).alias("x")).select("bucket", F.col("x.label").alias("owner"))
+    attached = rest.join(common.written(owners, "dedup-owners"), "bucket").filter("label <> owner").select("owner", "cid", "label", F.lit(True).alias("attached")).distinct()
+    attached = common.written(attached, "dedup-attached")
+    own = nodes.select("cid").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
+    own = own.join(attached.select(F.col("owner").alias("label")).distinct(), "label").select(F.col("label").alias("owner"), "cid", "label", F.lit(False).alias("attached"))
+    rows = common.written(attached.unionByName(own), "dedup-sides")
+    blocks = rows.groupBy("owner").agg(F.ceil(F.count_if("attached") / BLOCK).cast("int").alias("n_attached"), F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("attached")) / BLOCK)).cast("int").alias("n_own"))
+    dealt = rows.join(common.written(blocks, "dedup-blocks"), "owner").withColumn("block", F.pmod(F.xxhash64("cid"), F.when(F.col("attached"), F.col("n_attached")).otherwise(F.col("n_own"))).cast("int"))
+    # Cells: (0, own block, attached block), and (1, low, high) of two attached blocks.
+    other_own, other_attached = F.sequence(F.lit(0), F.col("n_own") - 1), F.sequence(F.lit(0), F.col("n_attached") - 1)
+    cell = lambda kind, low, high, left: F.struct(F.lit(kind).alias("kind"), low.cast("int").alias("low"), high.cast("int").alias("high"), left.alias("left"))
+    block = F.col("block")
+    cells = F.when(F.col("attached"), F.concat(
+        F.transform(other_own, lambda k: cell(0, k, block, F.lit(False))),
+        F.transform(other_attached, lambda k: cell(1, F.least(block, k), F.greatest(block, k), block <= k)),
+    )).otherwise(F.transform(other_attached, lambda k: cell(0, block, k, F.lit(True))))
+    sets = _sets_of(rows.select("cid"), docs, nodes, words).join(nodes.select("cid", "sketch"), "cid")
+    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(sets, "cid")
     at_least = _least_estimate(percent)
 
     def run(pdf):
         import pandas as pd
 
         s = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, REGISTERS)
-        n, label, cid, left = pdf["n"].to_numpy(float), pdf["label"].to_numpy(), pdf["cid"].to_numpy(), pdf["left"].to_numpy()
-        inside = bool(pdf["alone"].iloc[0])
+        full = [np.frombuffer(x, "<u8") for x in pdf["full"]]
+        n = np.array([len(x) for x in full], float)
+        label, cid, left = pdf["label"].to_numpy(), pdf["cid"].to_numpy(), pdf["left"].to_numpy()
+        inside = pdf["kind"].iloc[0] == 1 and pdf["low"].iloc[0] == pdf["high"].iloc[0]
         found = []
-        for i in np.flatnonzero(left):
+        for i in range(len(cid)) if inside else np.flatnonzero(left):
             others = np.arange(i + 1, len(cid)) if inside else np.flatnonzero(~left)
             others = others[label[others] != label[i]]
-            if len(others):
-                near = others[(estimate(s[others], s[i], n[others], n[i]) >= at_least) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-                found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in near]
+            if not len(others):
+                continue
+            near = others[(estimate(s[others], s[i], n[others], n[i]) >= at_least) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            if len(near):
+                hit = near[_linked(full[i], [full[j] for j in near], percent)]
+                # One link to a component is as good as all.
+                hit = hit[np.unique(label[hit], return_index=True)[1]]
+                found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in hit]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return cells.groupBy("bucket", "low", "high").applyInPandas(run, "a long, b long").distinct()
+    return common.written(spread.groupBy("owner", "kind", "low", "high").applyInPandas(run, "a long, b long").distinct(), "dedup-last")
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,56 +253,31 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     bands = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(
         F.xxhash64("band", F.substring("sketch", F.col("band") * (2 * ROWS) + 1, F.lit(2 * ROWS))).alias("bucket"), "cid"
     )
-    shared = common.written(bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1").select("bucket"), "dedup-buckets")
+    shared = common.written(bands.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "dedup-buckets")
     members = common.written(bands.join(shared, "bucket"), "dedup-members")
-
-    labels = None  # cid, label of nodes that have a link
-    links = None
-    tested = None
-    for turn in range(LEADER_ROUNDS):
-        labelled = _labelled(members, labels)
-        if turn:
-            open_groups = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-            labelled = common.written(labelled.join(common.written(open_groups, "dedup-open"), "bucket"), "dedup-rest")
-            if labelled.isEmpty():
-                break
-        # One leader for all groups in the first turn, so that groups agree; then leaders of their own.
-        rank = F.xxhash64(F.lit(turn), "cid") if not turn else F.xxhash64(F.lit(turn), "bucket", "cid")
-        leaders = labelled.groupBy("bucket").agg(F.min(F.struct(rank.alias("rank"), "cid", "label")).alias("x")).select("bucket", F.col("x.cid").alias("leader"), F.col("x.label").alias("leader_label"))
-        leaders = common.written(leaders, "dedup-leaders")
-        pairs = labelled.join(leaders, "bucket").filter("label <> leader_label").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = common.written(_passing(common.written(pairs, "dedup-candidates"), nodes, percent), "dedup-passing")
-        tested = pairs if tested is None else tested.union(pairs)
-        found = _confirmed(pairs, texts, nodes, words, percent)
-        links = found if links is None else links.union(found)
-        labels = connect(links)
-
-    rest = _labelled(members, labels)
-    open_groups = rest.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("bucket")
-    rest = rest.join(common.written(open_groups, "dedup-open"), "bucket")
-    last = common.written(_block_pairs(rest.join(nodes.select("cid", "n", "sketch"), "cid"), percent).join(tested, ["a", "b"], "left_anti"), "dedup-last")
+    # A node's reach, the sizes of its groups, is largest for the text that others were made from: each of its bands is the usual one.
+    reach = members.groupBy("cid").agg(F.sum("members").alias("reach"))
+    members = common.written(members.select("bucket", "cid").join(reach, "cid"), "dedup-reach")
+
+    leaders = members.groupBy("bucket").agg(F.max(F.struct("reach", "cid")).alias("x")).select("bucket", F.col("x.cid").alias("leader"))
+    pairs = members.join(common.written(leaders, "dedup-leaders"), "bucket").filter("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
+    pairs = common.written(_passing(pairs, nodes, percent), "dedup-passing")
+    links = _confirmed(pairs, texts, nodes, words, percent)
+    labels = connect(links)
+
+    labelled = members.join(labels, "cid", "left").select("bucket", "cid", "reach", F.coalesce("label", "cid").alias("label"))
+    last = _remaining_links(labelled, labels, texts, nodes, words, percent)
     if not last.isEmpty():
-        links = links.union(_confirmed(last, texts, nodes, words, percent))
-        labels = connect(links)
+        labels = connect(links.union(last))
 
-    named = common.written(nodes.select("cid", "rep").join(labels, "cid"), "dedup-named")
+    named = nodes.select("cid", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     heads = common.written(named.groupBy("label").agg(F.min("rep").alias("head")), "dedup-heads")
-    named = common.written(named.join(heads, "label").select("cid", "head"), "dedup-components")
-    classes = common.written(nodes.select("cid", "rep").join(named, "cid", "left").select("cid", F.coalesce("head", "rep").alias("head")), "dedup-heads-of")
+    classes = common.written(named.join(heads, "label").select("cid", "head"), "dedup-components")
     out = drawn.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid")).join(classes, "cid", "left")
     head = F.coalesce("head", "id")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), head.alias("component_id"), F.coalesce(F.col("id") == head, F.lit(True)).alias("kept"))
 
 
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """bucket, cid and the component's label so far; a node without links is its own."""
-    if labels is None:
-        return members.withColumn("label", F.col("cid"))
-    return members.join(labels, "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
-
-
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document by 4-word shingles and a similarity of 0.8."""
     return near_duplicates(common.table(spark, sf_dir, "documents"), words=4)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyreef.plans import statistics
+from tallyreef.plans import statistics, timeline
 
 FLAGSHIP = "win_rate_by_nation"
-QUERIES: dict = {**statistics.QUERIES}
-ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL}
+QUERIES: dict = {**statistics.QUERIES, **timeline.QUERIES}
+ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL, **timeline.ORACLE_SQL}
