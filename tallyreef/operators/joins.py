@@ -63,8 +63,17 @@ def containing(texts: DataFrame, phrases: DataFrame, id_col: str, text: str, phr
     """
 
     def runs(column: Column) -> Column:
+        # Runs are put together from shorter ones; slicing the word list for each place would read the text that often.
         w = F.filter(F.split(F.lower(column), r"\s+"), lambda x: x != "")
-        return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(w)), lambda i: F.array_join(F.slice(w, i, words), " ")))
+
+        def of(n: int) -> Column:
+            if n == 1:
+                return w
+            half = n // 2
+            rest = of(n - half)
+            return F.zip_with(of(half), F.slice(rest, half + 1, F.greatest(F.size(rest), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+
+        return of(words)
 
     def first_runs(column: Column, n: int) -> Column:
         w = F.filter(F.split(F.lower(column), r"\s+"), lambda x: x != "")
