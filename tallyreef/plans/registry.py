@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyreef.plans import catalog, statistics, timeline
+from tallyreef.plans import catalog, statistics, streams, timeline
 
 FLAGSHIP = "win_rate_by_nation"
-QUERIES: dict = {**statistics.QUERIES, **timeline.QUERIES, **catalog.QUERIES}
-ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL, **timeline.ORACLE_SQL, **catalog.ORACLE_SQL}
+QUERIES: dict = {**statistics.QUERIES, **timeline.QUERIES, **catalog.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL, **timeline.ORACLE_SQL, **catalog.ORACLE_SQL, **streams.ORACLE_SQL}
