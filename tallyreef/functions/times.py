@@ -14,9 +14,8 @@ def seconds_between(start: Column, end: Column) -> Column:
 def local_time(text: Column, offset_hours: int = 9) -> Column:
     """ISO text as a zone-free local time; naive text is local already, bad text is null."""
     zoned = text.rlike(r"(Z|[+-]\d\d:?\d\d)$")
-    utc = F.try_to_timestamp(F.regexp_replace(text, "Z$", "+00:00"))
-    naive = F.try_to_timestamp(F.concat(F.regexp_replace(text, "(Z|[+-]\\d\\d:?\\d\\d)$", ""), F.lit("+00:00")))
-    return F.when(zoned, (utc + F.make_interval(hours=F.lit(offset_hours))).cast("timestamp_ntz")).otherwise(naive.cast("timestamp_ntz"))
+    utc = F.to_utc_timestamp(text.try_cast("timestamp"), F.current_timezone())
+    return F.when(zoned, (utc + F.make_interval(hours=F.lit(offset_hours))).cast("timestamp_ntz")).otherwise(text.try_cast("timestamp_ntz"))
 
 
 def date_of(year: Column, month: Column, day: Column) -> Column:

@@ -42,7 +42,9 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 10
 #: Standard deviations by which an estimate may fall short of the bound.
 SLACK = 5.0
-#: Members of a block in that comparison.
+#: Ids of a list (16 bytes each) that is broadcast at most.
+BROADCAST_IDS = 1_000_000
+#: Members of a block in the comparison of groups that span several components.
 BLOCK = 256
 
 _seeds = np.random.default_rng(20240229)
@@ -145,8 +147,9 @@ def _least_estimate(percent: int) -> float:
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """cid and full set (sorted hashes) of the wanted cids; docs has id and text."""
-    # Written first: where the list is short, Spark sends it to the texts and moves none of the others.
+    # A list of checked size is sent to the texts, which then stay where they are; beyond it both sides are shuffled.
     wanted = common.written(wanted.distinct().join(nodes.select("cid", "rep"), "cid"), "dedup-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -18,7 +18,9 @@ def json_rows(spark: SparkSession, path: str, schema: StructType, *, multi_line:
     """Valid rows and quarantined records of JSON files; a byte order mark is tolerated."""
     read = spark.read.schema(StructType([*schema.fields]).add(BAD, "string")).option("multiLine", multi_line).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD).json(path)
     read = read.withColumn("file", F.input_file_name())
-    return read.filter(F.col(BAD).isNull()).drop(BAD), read.filter(F.col(BAD).isNotNull()).select("file", BAD)
+    # A record is bad as a whole or not; asking for all columns keeps Spark from reading the mark alone, which it refuses.
+    marked = read.withColumn("__all", F.to_json(F.struct(*[f.name for f in schema.fields])))
+    return read.filter(F.col(BAD).isNull()).drop(BAD), marked.filter(F.col(BAD).isNotNull() & F.col("__all").isNotNull()).select("file", BAD)
 
 
 def json_state(valid: DataFrame, bad: DataFrame) -> str:
