@@ -75,7 +75,7 @@ def search_block(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndar
             seeds = seeds[np.isfinite(bound[seeds])]
             known = _scores(q[j], c[seeds])
             bar = np.sort(known)[-top] if len(known) >= top else -np.inf
-            left = np.flatnonzero(bound >= bar)
+            left = np.flatnonzero((bound >= bar) & np.isfinite(bound))
             for fine_q, fine_c in finer:
                 near = ((fine_c[left] - fine_q[j]) ** 2).sum(1)
                 left = left[(q_square[j] + c_square[left] - near) / 2 + slack >= bar]
