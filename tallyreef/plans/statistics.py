@@ -136,7 +136,7 @@ ORACLE_SQL = {
     "multi_key_counts": "WITH e AS (SELECT unnest(list_distinct(list_append(string_split(p_name, ' '), p_type))) AS key FROM part) SELECT d.key, count(e.key) AS n FROM (VALUES ('red'), ('small'), ('widget'), ('ring'), ('PROMO'), ('absent')) d(key) LEFT JOIN e USING (key) GROUP BY d.key UNION ALL SELECT 'all', count(*) FROM part",
     "region_rollup": "SELECT region, nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM (SELECT coalesce(r_name, 'unknown') AS region, coalesce(n_name, 'unknown') AS nation, c_acctbal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey) GROUP BY ROLLUP (region, nation)",
     "coverage_percent": "SELECT n_regionkey, count(*) AS units, sum(c)::BIGINT AS covered, sum(s)::BIGINT AS size, round(sum(c) * 100.0::DOUBLE / count(*), 1) AS percent FROM (SELECT n_regionkey, n_nationkey, max((s_acctbal >= 5000)::INT) AS c, sum(s_suppkey) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1",
-    "funnel_by_key": "SELECT key, count_if(event_type IS NOT NULL) AS seen, count_if(event_type = 'click') AS clicked, count_if(event_type = 'purchase' AND key % 2 = 0) AS bought FROM range(21) d(key) LEFT JOIN events ON user_id % 21 = key GROUP BY key",
+    "funnel_by_key": "SELECT key, count(event_type) AS seen, count(*) FILTER (event_type = 'click') AS clicked, count(*) FILTER (event_type = 'purchase' AND key % 2 = 0) AS bought FROM range(21) d(key) LEFT JOIN events ON user_id % 21 = key GROUP BY key",
     "reason_histogram": "SELECT o_orderpriority, string_agg(o_orderstatus || '=' || n, ',' ORDER BY o_orderstatus) AS reasons FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1",
     "faceted_counts": "WITH j AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) SELECT 'segment' AS facet, c_mktsegment AS value, count(*) AS n FROM j GROUP BY 2 UNION ALL SELECT 'nation', c_nationkey::VARCHAR, count(*) FROM j WHERE c_mktsegment = 'BUILDING' GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM j WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5 GROUP BY 2",
     "dashboard_kpis": "SELECT (SELECT count_if(o_orderstatus = 'P') FROM orders) AS waiting, (SELECT count_if(o_totalprice > 400000) FROM orders) AS large, (SELECT max(o_orderdate)::VARCHAR FROM orders) AS latest, (SELECT count_if(c_acctbal < 0) FROM customer) AS in_debt, (SELECT count(DISTINCT c_nationkey) FROM customer) AS nations",
