@@ -35,6 +35,8 @@ END_ID = 1
 BLOCK_IDS, SHARD_IDS = 1024, 1 << 20
 #: Distinct words whose ids a Python worker remembers; beyond that it starts anew with the next batch.
 CACHE_WORDS = 600_000
+#: New words that are given to the tokenizer at once.
+RUN_WORDS = 1000
 
 _MAGIC = b"TRPK"
 _HEADER = struct.Struct("<4sBBHIQ")  # magic, version, bits, nothing, documents, ids
@@ -122,6 +124,14 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known: dict[bytes, bytes] = {}
 
+    def _encode_run(self, words: list[str]) -> list[bytes]:
+        """Ids of each word from one call for all; the offsets of the ids tell the words apart."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        starts = np.cumsum([0, *(len(w) + 1 for w in words)])
+        cuts = (4 * np.searchsorted(np.array([first for first, _ in found.offsets], np.int64), starts)).tolist()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         words = [common.words_of(t) for t in texts]
@@ -129,8 +139,9 @@ class WordEncoder:
             self.known = {}
         known = self.known
         new = list(set(chain.from_iterable(words)).difference(known))
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "surrogatepass") for w in new], add_special_tokens=False)
-        known.update(zip(new, (np.array(e.ids, "<u4").tobytes() for e in encoded), strict=True))
+        for at in range(0, len(new), RUN_WORDS):
+            run = new[at : at + RUN_WORDS]
+            known.update(zip(run, self._encode_run([w.decode("utf-8", "surrogatepass") for w in run]), strict=True))
         return [b"".join(map(known.__getitem__, w)) for w in words]
 
 

@@ -85,3 +85,12 @@ def test_packed_on_odd_rows(spark, odd, nothing, tmp_path):
     assert next(r for r in rows if r.doc_id == 1).n_tokens == 1
     packed_ids.write_packed(nothing, WORDS, str(tmp_path / "none"))
     assert packed_ids.read_packed(spark, str(tmp_path / "none")).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=60), max_size=6))
+def test_word_encoder_equals_whole_texts(texts):
+    """Any text, with marks and blanks of all kinds, in one batch."""
+    coder = packed_ids.encoder(WORDS)
+    whole = [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == whole
