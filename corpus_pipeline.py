@@ -42,7 +42,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of each document, with the digests of the ids and of the bytes decoded from them."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return byte_bpe.encode_documents(docs, path, keep=("lang", "source")).withColumn("ids_sha256", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256))
+    return byte_bpe.encode_documents(docs, path, keep=("lang", "source"), decoded=True).withColumn("ids_sha256", F.sha2(F.array_join(F.transform("ids", lambda i: i.cast("string")), " "), 256))
 
 
 STAGES = [("quality rules", rules), ("near-duplicates", dedup), ("secrets", secrets), ("mixing", mixture), ("byte-level BPE", encode)]

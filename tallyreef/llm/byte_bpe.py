@@ -190,8 +190,8 @@ def coder(path: str) -> TreeBpe:
     return _coders[path]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = ()) -> DataFrame:
-    """id, the columns of ``keep``, ids array<int>, n_tokens long."""
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", keep: Iterable[str] = (), decoded: bool = False) -> DataFrame:
+    """id, the columns of ``keep``, ids array<int>, n_tokens long; if ``decoded``, also the digest of the bytes decoded from the ids."""
     kept = [docs.schema[id_col], *(docs.schema[c] for c in keep)]
     narrow = docs.select(id_col, *keep, docs[text_col].alias("__text"))
 
@@ -201,13 +201,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
             for part in _slices(batch):
                 ids = bpe.encode_batch(part.column("__text").to_pylist())
                 columns = [part.column(i) for i in range(part.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())],
-                    names=[*part.schema.names[:-1], "ids", "n_tokens"],
-                )
+                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())]
+                if decoded:
+                    columns.append(pa.array([hashlib.sha256(bpe.decode(x)).hexdigest() for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], *added])
 
+    added = ["ids", "n_tokens", *(["decoded_sha256"] if decoded else [])]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return narrow.mapInArrow(run, f"{fields}, ids array<int>, n_tokens long")
+    return narrow.mapInArrow(run, f"{fields}, ids array<int>, n_tokens long" + (", decoded_sha256 string" if decoded else ""))
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

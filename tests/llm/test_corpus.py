@@ -203,3 +203,9 @@ def test_pipeline_on_odd_rows(spark, odd, nothing):
         for _, stage in corpus_pipeline.STAGES:
             at = stage(spark, at, "")
         assert at.filter(F.col("doc_id") == 1).count() == 0
+
+
+def test_pipeline_decodes_what_it_encodes(spark, odd):
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
+    found = Counter((r.doc_id, r.decoded_sha256) for r in corpus_pipeline.encode(spark, docs, "").collect())
+    assert found == Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
