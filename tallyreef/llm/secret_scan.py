@@ -5,12 +5,14 @@ stand in a credential context (``bearer ...``, ``pwd: ...``, ``passphrase is
 ...``) are then cut into the cheapest sequence of words, dates, repeats,
 keyboard walks and brute-force spans; the decimal logarithm of the guesses that
 this sequence takes is the value's cost, and a value that costs enough is a
-secret of kind ``guess``. Words and their ranks come from a public vocabulary
-file, so no word list is kept here.
+secret of kind ``guess``; a value shorter than the bound must cost as much as
+brute force over all of it, which is the most that its length allows. Words and
+their ranks come from a public vocabulary file, so no word list is kept here.
 
 Defined cases: a null text counts as empty and has no spans; spans are code
-points with exclusive ends; a guess that overlaps a base span is not reported
-again; repeated rows are scanned alike; other columns pass through.
+points with exclusive ends; a guess that lies inside a base span is not reported
+again, one that reaches past it stands beside it; repeated rows are scanned
+alike; other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from tallyreef.llm import common
 
 KINDS = ("assign", "access", "hex", "guess")
-#: Decimal logarithm of the guesses from which a value counts as a secret.
+#: Decimal logarithm of the guesses from which a value counts as a secret; its length where that is less.
 LEAST_COST = 10.0
 REDACTED = "[secret]"
 
@@ -130,14 +132,14 @@ def base_spans(text: str) -> list[Span]:
 
 
 def guessed_spans(text: str, cost: GuessCost, base: list[Span], least: float = LEAST_COST) -> list[Span]:
-    """Values in a credential context whose least cost reaches the bound, clear of base spans."""
+    """Values in a credential context whose least cost reaches the bound, but for those inside a base span."""
     if not _CUES.search(text):
         return []
     found = []
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= 8 and not any(s < end and start < e for _, s, e in base) and cost.segments(value)[0] >= least:
+        if len(value) >= 8 and not any(s <= start and end <= e for _, s, e in base) and cost.segments(value)[0] >= min(least, len(value)):
             found.append(("guess", start, end))
     return found
 

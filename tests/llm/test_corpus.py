@@ -37,6 +37,27 @@ def test_guess_cost_is_least():
         assert total <= len(value)  # brute force over the whole
 
 
+def cleaned(text):
+    base = secret_scan.base_spans(text)
+    guessed = secret_scan.guessed_spans(text, secret_scan.model(public_tokenizers.path("byte_bpe_50k.tiktoken")), base)
+    return secret_scan.redacted(text, sorted([*base, *guessed], key=lambda s: s[1]))
+
+
+def test_guess_reaches_past_a_base_span():
+    assert cleaned("a password=abc123$Xy9#Lm2&Qr b") == "a [secret] b"
+    assert cleaned('{"token": "abcdef!9#Lm2&Qr%4"}') == '{"[secret]"}'
+    text = "password=k9Vq2zLw8Xr4 b"
+    base = secret_scan.base_spans(text)
+    assert base == [("assign", 0, 21)] and secret_scan.guessed_spans(text, secret_scan.model(public_tokenizers.path("byte_bpe_50k.tiktoken")), base) == []
+
+
+def test_guess_of_eight_and_nine_characters():
+    for value in ("xK9#mQ2$", "$k9#mQ2p", "$k9#mQ2p%"):
+        assert cleaned(f"pwd: {value} b") == "pwd: [secret] b" and cleaned(f"passphrase is {value}.") == "passphrase is [secret]."
+    for value in ("password", "summer2019", "qwertyuiop", "aaaaaaaa"):
+        assert cleaned(f"pwd: {value} b") == f"pwd: {value} b"
+
+
 def test_secrets_on_odd_rows(odd, nothing):
     found = {(r.doc_id, (r.text or "")[:4]): r.secrets for r in secret_scan.scan(odd).collect()}
     assert found[1, ""].spans == "" and found[11, "pass"].n_assign == 1 and found[11, "pass"].n_access == 1
