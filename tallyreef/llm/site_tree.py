@@ -11,12 +11,14 @@ What the markup says shifts the bar: navigation, page header, footer, sidebar,
 form, advert, notice and comment branches never reach it; article, main and their
 paragraphs always do; other branches are judged by importance where the host has
 at least LEAST_PAGES pages with the node, and kept otherwise. If a page has
-articles, or else a main part, only these are read.
+articles, or else a main part, only these are read. A class or id name removes no
+branch that holds the main part, nor one that holds the articles of a page without
+other articles or main part.
 
 Defined cases: a null or empty html has an empty text; a null url belongs to a
 host of its own, without a name; markup that ends early is read as far as it
-goes; repeated pages are extracted alike and count as pages; extra columns are
-ignored.
+goes; repeated pages are extracted alike, and those of one host and html count as
+one page of the tree; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ _NOISE_OUTSIDE = frozenset("header masthead topbar".split())
 _NOISE_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement promo related sponsored teaser".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
-NOISE, NEUTRAL, CONTENT = range(3)
+NOISE, NEUTRAL, CONTENT, NAMED = range(4)  # NAMED: noise by its class or id alone
 
 
 @dataclass
@@ -150,7 +152,7 @@ def parse(text: str) -> Page:
         elif tag == "article":
             hint = NOISE if names & _NOISE_ARTICLE else CONTENT
         elif names & _NOISE or not inside and names & _NOISE_OUTSIDE:
-            hint = NOISE
+            hint = NAMED
         else:
             hint = CONTENT if tag in _PROTECTED and key == tag else NEUTRAL
         if tag in _INLINE and hint == NEUTRAL and not names:
@@ -193,12 +195,34 @@ def node_rows(page: Page) -> list[tuple[int, int, int]]:
 
 def main_text(page: Page, removed: frozenset[int]) -> str:
     """Text of what stays: noise and removed branches go, and articles, or else main parts, are read alone."""
+    noise, named = [], []
+    for i, parent in enumerate(page.parents):
+        noise.append(page.hints[i] == NOISE or parent >= 0 and noise[parent])
+        named.append(page.hints[i] == NAMED or parent >= 0 and named[parent])
+    mains, articles = ([i for i, tag in enumerate(page.tags) if tag == name and not noise[i]] for name in ("main", "article"))
+    around = mains or (articles if all(named[i] for i in articles) else [])
+    text = _text(page, removed, _above(page, around))
+    # A main part without text of its own has its articles in branches with such names.
+    return text or (_text(page, removed, _above(page, mains + articles)) if mains and articles else text)
+
+
+def _above(page: Page, elements: list[int]) -> set[int]:
+    """The elements and all that hold them."""
+    found: set[int] = set()
+    for i in elements:
+        while i >= 0 and i not in found:
+            found.add(i)
+            i = page.parents[i]
+    return found
+
+
+def _text(page: Page, removed: frozenset[int], spared: set[int]) -> str:
     n = len(page.tags)
     gone, in_article, in_main = [False] * n, [False] * n, [False] * n
     has_article = has_main = False
     for i in range(n):
         parent = page.parents[i]
-        gone[i] = (parent >= 0 and gone[parent]) or page.hints[i] == NOISE or page.hints[i] == NEUTRAL and page.paths[i] in removed
+        gone[i] = (parent >= 0 and gone[parent]) or page.hints[i] == NOISE or page.hints[i] == NAMED and i not in spared or page.hints[i] == NEUTRAL and page.paths[i] in removed
         if not gone[i]:
             in_article[i] = page.tags[i] == "article" or parent >= 0 and in_article[parent]
             in_main[i] = page.tags[i] == "main" or parent >= 0 and in_main[parent]
@@ -222,6 +246,8 @@ def host_of(url: Column) -> Column:
 def site_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, path, pages and importance of every node of every host's tree."""
     narrow = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
+    # Copies would make what they hold look like boilerplate: each html counts once a host.
+    narrow = narrow.withColumn("digest", F.sha2("html", 256)).dropDuplicates(["host", "digest"]).select("host", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

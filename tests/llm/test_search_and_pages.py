@@ -50,6 +50,18 @@ def test_site_tree_named_noise():
     assert site_tree.main_text(site_tree.parse(html), frozenset()) == "T Body text"
 
 
+def test_site_tree_copies_count_once(spark):
+    """Most pages of the host are copies of one; the others keep their text, whose container has a neutral class."""
+    rows = [(i, "http://h.example/", f"<body><div class='post-body'><p>Story {i if i < 40 else 0} told.</p></div></body>") for i in range(100)]
+    found = {r.page_id: r.main_text for r in site_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found == {i: f"Story {i if i < 40 else 0} told." for i in range(100)}
+
+
+def test_site_tree_names_spare_the_article():
+    for body in ("<div class='has-sidebar'><article><p>Body</p><div class='share'>S</div></article></div>", "<div class='share layout'><main><p>Body</p></main></div>", "<main><div class='with-sidebar'><article>Body</article></div></main>", "<main><p>Body</p><div class='comments'><article>first!</article></div></main>", "<article>Body</article><div class='related'><article>Other</article></div>"):
+        assert site_tree.main_text(site_tree.parse(f"<body>{body}<div class='footer'>F</div></body>"), frozenset()) == "Body"
+
+
 def test_op3_has_a_text_for_every_page(spark, sf):
     rows = site_tree.op3_site_tree(spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/pages.parquet").count()
