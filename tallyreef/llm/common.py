@@ -67,6 +67,17 @@ def crc32_mod(column: Column, divisor: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(divisor)), F.lit(0))
 
 
+def in_sample(salt: str, key: Column, wanted: int, rows: int) -> Column:
+    """Whether a row is among about ``wanted`` of ``rows``, by hash of its key; all rows where they are no more.
+
+    The hash is cut to 53 bits, so the share taken does not fall to nothing
+    before there are ``wanted`` times 2^53 rows.
+    """
+    if rows <= wanted:
+        return F.lit(True)
+    return F.pmod(F.xxhash64(F.lit(salt), key), F.lit(1 << 53)) < F.lit(max(1, (wanted << 53) // rows))
+
+
 def running_totals(df: DataFrame, group: list[str], order: list[str], value: str, out: str) -> DataFrame:
     """Exclusive running sum of ``value`` over rows of a small bounded group."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
