@@ -124,8 +124,7 @@ def tree_paths(described: str) -> set[Rule]:
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Ensemble:
     """The ensemble of rows with an id, the statistics and a label 0 or 1."""
     rows = labelled.count()
-    if rows > sample_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("quality"), "id"), F.lit(1 << 20)) < int(sample_rows / rows * (1 << 20)))
+    labelled = labelled.filter(common.in_sample("quality", F.col("id"), sample_rows, rows))
     labelled = labelled.persist()
     try:
         share, kinds = labelled.agg(F.avg("label"), F.countDistinct("label")).first()
