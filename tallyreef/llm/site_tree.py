@@ -7,18 +7,25 @@ pages of the host that have the node, in units of the largest that is possible,
 is its importance, the larger of the two. A branch that looks or reads alike on
 all pages of a site has low importance and is removed from each page.
 
-What the markup says shifts the bar: navigation, page header, footer, sidebar,
-form, advert, notice and comment branches never reach it; article, main and their
-paragraphs always do; other branches are judged by importance where the host has
-at least LEAST_PAGES pages with the node, and kept otherwise. If a page has
-articles, or else a main part, only these are read. A class or id name removes no
-branch that holds the main part, nor one that holds the articles of a page without
-other articles or main part.
+What the markup says comes first, as what a site writes anew for each page (adverts,
+reader comments, lists of links) has high importance all the same: elements and
+roles for navigation, page header, footer, sidebar, form and dialog never reach
+the bar; article, main and their paragraphs always do. Of a class or id, each name
+is read as a whole, by its last part (``site-footer``, ``comment-list``, but not
+``no-sidebar`` or ``social-history``). Other branches are judged by importance where
+the host has at least LEAST_PAGES pages with the node, and kept otherwise. If a
+page has articles, or else a main part, only these are read. A class or id name
+removes no branch that holds the main part, nor one that holds the articles of a
+page without other articles or main part.
+
+Nodes travel as small rows of host, page digest and path; what is low on a host
+meets the paths that a page has itself, so no page is sent its host's whole tree.
 
 Defined cases: a null or empty html has an empty text; a null url belongs to a
 host of its own, without a name; markup that ends early is read as far as it
-goes; repeated pages are extracted alike, and those of one host and html count as
-one page of the tree; extra columns are ignored.
+goes, and a quote within an unquoted value is a character of it; repeated pages are
+extracted alike, and those of one host and html count as one page of the tree;
+work grows with a page's length however deep it nests; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,8 +47,9 @@ from tallyreef.llm import common
 #: Importance that an element without a hint must reach, and pages of a host from which it is judged.
 LEAST_IMPORTANCE, LEAST_PAGES = 0.5, 8
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_VALUE = r"=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'>][^\s>]*+)?+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:{_VALUE}|[^=>])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.DOTALL)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 _NAME_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of the markup language.
@@ -54,7 +62,7 @@ _SCOPE = frozenset("html body article section div table td th ul ol dl main asid
 _NEVER = frozenset("head script style title noscript template iframe object embed svg math canvas audio video form button select textarea input fieldset nav footer aside menu dialog datalist".split())
 _PROTECTED = frozenset("html body main article p h1 h2 h3 h4 h5 h6 blockquote pre ul ol li dl dt dd table thead tbody tfoot tr td th caption figure figcaption".split())
 
-# Names that mark a branch as no part of the article, and roles that do.
+# Names that mark a branch as no part of the article, roles that do, words that only say what kind of box a name is for, and words that turn a name round.
 _NOISE = frozenset(
     "nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations comment comments respond disqus reply replies pagination pager toolbar".split()
@@ -63,6 +71,9 @@ _NOISE_OUTSIDE = frozenset("header masthead topbar".split())
 _NOISE_ARTICLE = frozenset("comment comments reply replies ad ads advert advertisement promo related sponsored teaser".split())
 _NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 
+_BOXES = frozenset("area bar block box button buttons container content group inner item items link links list menu panel row section slot unit widget widgets wrap wrapper".split())
+_TURNED = frozenset("no not has with without hide hidden".split())
+
 NOISE, NEUTRAL, CONTENT, NAMED = range(4)  # NAMED: noise by its class or id alone
 
 
@@ -77,9 +88,24 @@ class Page:
     texts: list[tuple[int, str | None]] = field(default_factory=list)
 
 
+def heads_of(names: str) -> frozenset[str]:
+    """What each name of a class or id says: its last part that is no word for a box, unless a part turns it round.
+
+    A box word itself counts where the name is nothing else.
+    """
+    found = set()
+    for name in names.split():
+        parts = [x.lower() for x in _NAME_PARTS.findall(name) if not x.isdigit()]
+        if parts and parts[0] not in _TURNED:
+            while len(parts) > 1 and parts[-1] in _BOXES:
+                del parts[-1]
+            found.add(parts[-1])
+    return frozenset(found)
+
+
 @lru_cache(maxsize=20_000)
 def _described(tag: str, raw: str) -> tuple[str, frozenset[str], str, bool]:
-    """Presentation key, name parts of class and id, role, and whether the element is hidden."""
+    """Presentation key, heads of the names of class and id, role, and whether the element is hidden."""
     if "=" not in raw and "hidden" not in raw:
         return tag, frozenset(), "", False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)}
@@ -87,64 +113,89 @@ def _described(tag: str, raw: str) -> tuple[str, frozenset[str], str, bool]:
     role = found.get("role", "").lower()
     hidden = "hidden" in found or re.search(r"display\s*:\s*none", found.get("style", "")) is not None
     shown = re.sub(r"\d+", "0", f"{tag}.{'.'.join(found.get('class', '').split())}#{found.get('id', '')}@{role}")
-    return shown, frozenset(x.lower() for x in _NAME_PARTS.findall(names)), role, hidden
+    return shown, heads_of(names), role, hidden
+
+
+class _Stack:
+    """Open elements, with the places at which each tag is open, so that no step looks through all of them."""
+
+    def __init__(self, page: Page):
+        self.page, self.elements = page, []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.elements)
+
+    def top(self) -> int:
+        return self.elements[-1] if self.elements else -1
+
+    def push(self, element: int) -> None:
+        tag = self.page.tags[element]
+        self.at.setdefault(tag, []).append(len(self.elements))
+        if tag in _SCOPE:
+            self.scopes.append(len(self.elements))
+        self.elements.append(element)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.elements) > place:
+            tag = self.page.tags[self.elements.pop()]
+            self.at[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+
+    def last(self, *tags: str) -> int:
+        """Place of the last open element of some tags; -1 if there is none."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+    def last_scope(self) -> int:
+        return self.scopes[-1] if self.scopes else -1
 
 
 def parse(text: str) -> Page:
     """The page's elements and texts; ends that the markup leaves out are put in."""
     page = Page()
-    stack: list[int] = []
+    stack = _Stack(page)
     at, length = 0, len(text)
 
     def close_to(place: int) -> None:
-        del stack[place:]
-        page.texts.append((stack[-1] if stack else -1, None))
-
-    def close(names: set[str] | frozenset[str], stop: frozenset[str]) -> None:
-        for place in range(len(stack) - 1, -1, -1):
-            tag = page.tags[stack[place]]
-            if tag in names:
-                close_to(place)
-                return
-            if tag in stop:
-                return
+        stack.cut(place)
+        page.texts.append((stack.top(), None))
 
     while at < length:
         m = _TOKEN.search(text, at)
         if m is None:
-            page.texts.append((stack[-1] if stack else -1, text[at:]))
+            page.texts.append((stack.top(), text[at:]))
             break
         if m.start() > at:
-            page.texts.append((stack[-1] if stack else -1, text[at : m.start()]))
+            page.texts.append((stack.top(), text[at : m.start()]))
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
         if m[1] or m[4]:
-            for place in range(len(stack) - 1, -1, -1):
-                if page.tags[stack[place]] == tag:
-                    if tag in _INLINE:
-                        del stack[place:]
-                    else:
-                        close_to(place)
-                    break
-                if tag in _INLINE and page.tags[stack[place]] in _SCOPE:
-                    break
+            place = stack.last(tag)
+            if place >= 0 and tag not in _INLINE:
+                close_to(place)
+            elif place > stack.last_scope():
+                stack.cut(place)
             continue
-        if tag in _CLOSES_P:
-            close({"p"}, _SCOPE)
+        if tag in _CLOSES_P and (place := stack.last("p")) > stack.last_scope():
+            close_to(place)
         if tag in _CLOSED_BY_LIKE:
-            close(_CLOSED_BY_LIKE[tag], frozenset({"ul", "ol", "dl", "table", "select"}))
-            if tag == "tr":
-                close({"tr"}, frozenset({"table"}))
-        if tag == "body" and "body" in (page.tags[i] for i in stack) or tag == "html" and stack:
+            if (place := stack.last(*_CLOSED_BY_LIKE[tag])) > stack.last("ul", "ol", "dl", "table", "select"):
+                close_to(place)
+            if tag == "tr" and (place := stack.last("tr")) > stack.last("table"):
+                close_to(place)
+        if tag == "body" and stack.last("body") >= 0 or tag == "html" and len(stack):
             continue
         raw = m[3] or m[6] or ""
-        if tag == "body":
-            close({"head"}, frozenset())
+        if tag == "body" and (place := stack.last("head")) >= 0:
+            close_to(place)
         key, names, role, hidden = _described(tag, raw)
-        parent = stack[-1] if stack else -1
-        inside = any(page.tags[i] in ("article", "main") for i in stack)
+        parent = stack.top()
+        inside = stack.last("article", "main") >= 0
         if hidden or tag in _NEVER or role in _NOISE_ROLES or tag == "header" and not inside:
             hint = NOISE
         elif tag in ("html", "body", "main"):
@@ -167,30 +218,37 @@ def parse(text: str) -> Page:
         if tag in _VOID or raw.endswith("/") and tag not in _RAW and tag not in _CLOSES_P:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}\s*(?:/?>|\s)", re.IGNORECASE).search(text, at)
+            end = _raw_end(tag).search(text, at)
             at = text.find(">", end.start()) + 1 or length if end else length
             continue
-        stack.append(here)
+        stack.push(here)
     return page
 
 
+@lru_cache(maxsize=32)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}\s*(?:/?>|\s)", re.IGNORECASE)
+
+
 def node_rows(page: Page) -> list[tuple[int, int, int]]:
     """(path, presentation hash, content hash) of each node of the page; elements at one path are one node."""
     looks: dict[int, int] = {}
-    reads: dict[int, int] = {}
     for path, parent in zip(page.paths, page.parents, strict=True):
         looks.setdefault(path, 0)
         if parent >= 0 and looks[page.paths[parent]] % (1 << 63) != path:
             looks[page.paths[parent]] = (looks[page.paths[parent]] * 0x9E3779B97F4A7C15 + path) % (1 << 63)
+    # A branch reads as its own texts and those of its children in turn; children come after their parents.
+    branch = [0] * len(page.tags)
     for element, text in page.texts:
-        if text is None or element < 0 or not (plain := text.strip()):
-            continue
-        h = xxhash.xxh64_intdigest(plain)
-        while element >= 0:
-            path = page.paths[element]
-            reads[path] = (reads.get(path, 0) * 31 + h) % (1 << 63)
-            element = page.parents[element]
-    return [(path, look, reads.get(path, 0)) for path, look in looks.items()]
+        if text is not None and element >= 0 and (plain := text.strip()):
+            branch[element] = (branch[element] * 31 + xxhash.xxh64_intdigest(plain)) % (1 << 63)
+    for i in range(len(branch) - 1, -1, -1):
+        if page.parents[i] >= 0 and branch[i]:
+            branch[page.parents[i]] = (branch[page.parents[i]] * 31 + branch[i]) % (1 << 63)
+    reads: dict[int, int] = {}
+    for path, read in zip(page.paths, branch, strict=True):
+        reads[path] = (reads.get(path, 0) * 31 + read) % (1 << 63) if read else reads.get(path, 0)
+    return [(path, look, reads[path]) for path, look in looks.items()]
 
 
 def main_text(page: Page, removed: frozenset[int]) -> str:
@@ -243,24 +301,28 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def site_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path, pages and importance of every node of every host's tree."""
-    narrow = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.col(f"`{html_col}`").alias("html"))
-    # Copies would make what they hold look like boilerplate: each html counts once a host.
-    narrow = narrow.withColumn("digest", F.sha2("html", 256)).dropDuplicates(["host", "digest"]).select("host", "html")
+def page_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, digest of the html, path, look and read: the nodes of each page, once for all copies of a page on a host."""
+    narrow = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.md5(F.col(f"`{html_col}`").cast("binary")).alias("digest"), F.col(f"`{html_col}`").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, paths, looks, reads = [], [], [], []
-            for host, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            hosts, digests, paths, looks, reads = [], [], [], [], []
+            for host, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 for path, look, read in node_rows(parse(text or "")):
                     hosts.append(host)
+                    digests.append(digest)
                     paths.append(path)
                     looks.append(look)
                     reads.append(read)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), *(pa.array(x, pa.int64()) for x in (paths, looks, reads))], names=["host", "path", "look", "read"])
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), *(pa.array(x, pa.int64()) for x in (paths, looks, reads))], names=["host", "digest", "path", "look", "read"])
+
+    nodes = narrow.filter("html is not null").mapInArrow(run, "host string, digest string, path long, look long, read long")
+    return nodes.groupBy("host", "digest", "path").agg(F.first("look").alias("look"), F.first("read").alias("read"))
 
-    nodes = narrow.mapInArrow(run, "host string, path long, look long, read long")
+
+def importances(nodes: DataFrame) -> DataFrame:
+    """host, path, pages and importance of every node of every host's tree, from page_nodes."""
     # Kinds of presentation and content are counted apart, in one pass over the nodes.
     kinds = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("read").alias("value")))).alias("x")).select("host", "path", "x.*").groupBy("host", "path", "kind", "value").count()
     entropy = F.when(F.sum("count") > 1, F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count")) / F.sum("count")).otherwise(F.lit(None))
@@ -269,17 +331,23 @@ def site_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return by_kind.groupBy("host", "path").agg(F.max("pages").alias("pages"), importance.alias("importance"))
 
 
+def site_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """host, path, pages and importance of every node of every host's tree."""
+    return importances(page_nodes(pages, url_col, html_col))
+
+
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """All columns of pages but ``main_text`` and ``host``, and the page's main text in ``main_text``."""
-    low = site_trees(pages, url_col, html_col).filter((F.col("pages") >= least_pages) & (F.col("importance") < least))
-    removed = common.written(low.groupBy("host").agg(F.collect_set("path").alias("__removed")).withColumnRenamed("host", "__host"), "site-removed")
+    nodes = common.written(page_nodes(pages, url_col, html_col), "site-nodes")
+    low = common.written(importances(nodes).filter((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path"), "site-low")
+    removed = common.written(nodes.select("host", "digest", "path").join(low, ["host", "path"]).groupBy(F.col("host").alias("__host"), F.col("digest").alias("__digest")).agg(F.collect_set("path").alias("__removed")), "site-removed")
     rest = [F.col(f"`{c}`") for c in pages.columns if c != "main_text"]
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([main_text(parse(h or ""), frozenset(() if g is None else g)) for h, g in zip(htmls, gone, strict=True)])
 
-    met = pages.withColumn("__host", host_of(F.col(f"`{url_col}`"))).join(removed, "__host", "left")
+    met = pages.withColumn("__host", host_of(F.col(f"`{url_col}`"))).withColumn("__digest", F.md5(F.col(f"`{html_col}`").cast("binary"))).join(removed, ["__host", "__digest"], "left")
     return met.select(*rest, text.asNondeterministic()(F.col(f"`{html_col}`"), "__removed").alias("main_text"))
 
 
