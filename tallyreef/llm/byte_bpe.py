@@ -6,7 +6,9 @@ window around their boundary. The window grows until its first token equals the
 token the left side had there and its last token the one the right side had.
 Then every adjacent pair of the joined sequence occurs in a correct encoding, and
 a sequence whose adjacent pairs are all correct is the encoding of its bytes, so
-nothing outside the window can change. Decoding concatenates up the same tree.
+nothing outside the window can change. Where a few bytes repeat, windows never
+stabilise; such runs differ in length and phase alone, so each is encoded once.
+Decoding concatenates up the same tree.
 
 Defined cases: a null text counts as empty; an empty text has no ids, the digest
 of the empty string, and zero tokens; rows are handled one by one, so repeated
@@ -31,6 +33,8 @@ from tallyreef.llm import common
 
 #: Bytes of a leaf of the encoding tree.
 LEAF_BYTES = 32
+#: Longest period of repeating bytes that is looked for.
+PERIOD = 12
 #: Ids that one leaf of the decoding tree holds.
 LEAF_IDS = 4096
 #: Distinct pieces that a Python worker remembers; beyond that it starts anew with the next batch.
@@ -137,11 +141,17 @@ class TreeBpe:
         middle = len(data) // 2
         return self._leaves(data[:middle]) + self._leaves(data[middle:])
 
-    def _reduce(self, data: bytes, known: dict[bytes, tuple[int, ...]]) -> tuple[int, ...]:
+    def _reduce(self, data: bytes, known: dict[bytes, tuple[int, ...]], runs: dict[tuple[bytes, int], tuple[int, ...]]) -> tuple[int, ...]:
         if len(data) <= self.leaf_bytes:
             return known[data]
+        run = next(((data[:p], len(data)) for p in range(1, PERIOD + 1) if data[p : 2 * p] == data[:p] and data[p:] == data[:-p]), None)
+        if run in runs:
+            return runs[run]
         middle = len(data) // 2
-        return self.join(self._reduce(data[:middle], known), self._reduce(data[middle:], known))
+        ids = self.join(self._reduce(data[:middle], known, runs), self._reduce(data[middle:], known, runs))
+        if run is not None:
+            runs[run] = ids
+        return ids
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each piece; the leaves of all their trees are merged together."""
@@ -153,7 +163,7 @@ class TreeBpe:
             else:
                 cut[piece] = data
         known = self.merge_leaves(list({leaf for data in cut.values() for leaf in self._leaves(data)}))
-        return out | {piece: self._reduce(data, known) for piece, data in cut.items()}
+        return out | {piece: self._reduce(data, known, {}) for piece, data in cut.items()}
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; each match of the pattern is encoded by itself."""
