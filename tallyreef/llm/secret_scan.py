@@ -44,12 +44,35 @@ _CONTEXT = re.compile(
 )
 _CUES = re.compile(r"[:=]|\x20(?:is|was)\x20|(?:bearer|basic)\x20", re.ASCII | re.IGNORECASE)
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:19|20)\d\d|(?:19|20)\d\d")
-_REPEAT = re.compile(r"(.{1,8}?)\1{2,}")
 # Rows of a common keyboard and usual stand-ins for letters.
 _KEY_ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "0123456789")
 _STAND_INS = str.maketrans("@4301!5$7", "aaeoiisst")
 
 
+#: Most characters of a unit that repeats.
+LONGEST_UNIT = 8
+
+
+class _Starts:
+    """Starts of a span whose cost grows with the logarithm of its length.
+
+    A later start that is no cheaper than an earlier one stays so, since the
+    logarithms draw nearer; so few starts are kept, however long the span.
+    """
+
+    def __init__(self):
+        self.places: list[int] = []
+
+    def cheapest(self, before: list[float], place: int, end: int) -> tuple[float, int]:
+        """Least of cost before a start plus the logarithm of the length, with ``place`` as one more start."""
+        self.places.append(place)
+        costs = [before[j] + math.log10(end - j) for j in self.places]
+        at = min(range(len(costs)), key=costs.__getitem__)
+        found = costs[at], self.places[at]
+        del self.places[at + 1 :]
+        return found
+
+
 class GuessCost:
     """Minimum-cost segmentation of a value; costs are decimal logarithms of guesses."""
 
@@ -75,31 +98,43 @@ class GuessCost:
         return cost + capital + changed * math.log10(2)
 
     def segments(self, value: str) -> tuple[float, list[tuple[str, int, int]]]:
-        """Least cost and the segments (kind, start, end) that reach it."""
+        """Least cost and the segments (kind, start, end) that reach it; every start and end of each kind is tried."""
         n, low = len(value), value.lower()
         plain = low.translate(_STAND_INS)
-        ending: dict[int, list[tuple[int, float, str]]] = {}
-        for m in _DATE.finditer(value):
-            ending.setdefault(m.end(), []).append((m.start(), math.log10(120 if m.end() - m.start() == 4 else 4 * 365 * 120), "date"))
-        for m in _REPEAT.finditer(value):
-            ending.setdefault(m.end(), []).append((m.start(), len(m[1]) + math.log10((m.end() - m.start()) / len(m[1])), "repeat"))
-        start = 0
-        for i in range(1, n + 1):
-            if i == n or low[i - 1 : i + 1] not in self.walks:
-                if i - start >= 3:
-                    ending.setdefault(i, []).append((start, math.log10(94 * 4 * (i - start)), "walk"))
-                start = i
         best: list[tuple[float, int, str]] = [(0.0, 0, "")]
+        before = [0.0]  # least cost up to a place and of the joint there
         brute = (0.0, 0)  # cheapest way to be inside a brute-force span, and where that began
+        walk = _Starts()
+        walk_from = 0
+        # Repeats of each length: characters that equal the one so far back, and starts by their remainder.
+        equal = [0] * (LONGEST_UNIT + 1)
+        repeats: list[dict[int, _Starts]] = [{} for _ in equal]
         for i in range(1, n + 1):
-            opened = best[i - 1][0] + (self.JOINT if i > 1 else 0.0)
-            brute = min((brute[0] + 1 if i > 1 else 1.0, brute[1]), (opened + 1, i - 1))
+            brute = min((brute[0] + 1 if i > 1 else 1.0, brute[1]), (before[i - 1] + 1, i - 1))
             options = [(brute[0], brute[1], "brute")]
-            options += [(best[j][0] + c + (self.JOINT if j else 0.0), j, kind) for j, c, kind in ending.get(i, ())]
+            if i > 1 and low[i - 2 : i] not in self.walks:
+                walk, walk_from = _Starts(), i - 1
+            if i - walk_from >= 3:
+                cost, j = walk.cheapest(before, i - 3, i)
+                options.append((cost + math.log10(94 * 4), j, "walk"))
+            for unit in range(1, min(LONGEST_UNIT, i - 1) + 1):
+                if value[i - 1] != value[i - 1 - unit]:
+                    equal[unit] = 0
+                    repeats[unit] = {}
+                    continue
+                equal[unit] += 1
+                if equal[unit] >= 2 * unit:
+                    cost, j = repeats[unit].setdefault(i % unit, _Starts()).cheapest(before, i - 3 * unit, i)
+                    options.append((cost + unit - math.log10(unit), j, "repeat"))
+            if value[i - 1].isdigit():
+                for j in range(max(0, i - 10), i - 3):
+                    if value[j].isdigit() and _DATE.fullmatch(value, j, i):
+                        options.append((before[j] + math.log10(120 if i - j == 4 else 4 * 365 * 120), j, "date"))
             for j in range(max(0, i - self.LONGEST_WORD), i - 2):
                 if (c := self._word(plain[j:i], value[j:i])) is not None:
-                    options.append((best[j][0] + c + (self.JOINT if j else 0.0), j, "word"))
+                    options.append((before[j] + c, j, "word"))
             best.append(min(options))
+            before.append(best[i][0] + self.JOINT)
         parts, i = [], n
         while i:
             _, j, kind = best[i]
