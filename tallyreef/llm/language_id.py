@@ -9,9 +9,15 @@ The model is fitted on a bounded sample of labelled rows (SAMPLE_ROWS, by hash o
 the id); its size is languages times 2^HASH_BITS, whatever the input.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; so is
-every text if no row is labelled; words in a script that no learned language uses
-count for none; ties go to the language that sorts first; extra columns are
-ignored and repeated rows are labelled alike.
+every text if no row is labelled. Words in a script that no learned language uses
+count for none, though their letters count in the total that the score is a share
+of, and their spans are ``und``; a text of such words alone has score 0 and the
+language with the most letters learned. Ties go to the language that sorts first;
+extra columns are ignored and repeated rows are labelled alike. Long texts are
+scored in runs of RUN_CHARS, and the sums along a text begin anew from the best
+state with each block, so that they keep their precision.
+
+Trigrams share 2^HASH_BITS counters; see the README for what collisions cost.
 """
 
 from __future__ import annotations
@@ -35,8 +41,8 @@ HASH_BITS = 16
 SWITCH, SMOOTH = 8.0, 0.5
 #: Share of a language's letters from which it counts as written in a script.
 LEAST_SHARE = 0.001
-#: Words of a block whose transitions are multiplied at once.
-BLOCK = 64
+#: Words of a block whose transitions are multiplied at once, and characters of a run that is scored at once.
+BLOCK, RUN_CHARS = 64, 1 << 20
 UNKNOWN = "und"
 
 # First code points of script ranges and the script that starts there; "" is any other.
@@ -98,21 +104,25 @@ class Model:
     #: Log-likelihoods, trigram by language, and whether a language is written in a script.
     likelihood: np.ndarray
     written: np.ndarray
+    #: Letters learned of each language.
+    letters: np.ndarray
 
     def scores(self, words: Words) -> np.ndarray:
-        """Score of each word in each language; a word's script leaves candidates."""
+        """Score of each word in each language; a word's script leaves candidates, and without any all scores are 0."""
         found = np.add.reduceat(self.likelihood[words.trigrams], words.starts, axis=0)
         candidate = self.written[words.script]
-        found = np.where(candidate, found, found.min() - 100)
+        found = np.where(candidate, found, found.min(1, keepdims=True) - 100)
         return np.where(candidate.any(1, keepdims=True), found, 0).astype(np.float32)
 
+    def known(self, words: Words) -> np.ndarray:
+        """Whether a learned language is written in the word's script."""
+        return self.written[words.script].any(1)
+
 
 def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """The model of labelled rows."""
     labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")).filter("text is not null and lang is not null")
-    rows = labelled.select("id").count()
-    if rows > sample_rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64(F.lit("language"), "id"), F.lit(1 << 20)) < int(sample_rows / rows * (1 << 20)))
+    labelled = labelled.filter(common.in_sample("language", F.col("id"), sample_rows, labelled.select("id").count()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 << HASH_BITS
@@ -135,7 +145,45 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id
     table = np.zeros((size + len(SCRIPT_NAMES), len(languages)))
     table[counts["place"], counts["lang"].map({name: i for i, name in enumerate(languages)})] = counts["n"]
     trigrams, scripts = table[:size] + SMOOTH, table[size:]
-    return Model(languages, np.log(trigrams / trigrams.sum(0)).astype(np.float32), scripts >= LEAST_SHARE * np.maximum(scripts.sum(0), 1))
+    return Model(languages, np.log(trigrams / trigrams.sum(0)).astype(np.float32), scripts >= LEAST_SHARE * np.maximum(scripts.sum(0), 1), scripts.sum(0))
+
+
+def _runs(text: str) -> Iterator[str]:
+    """The text in runs that end where no letter stands, as far as there is such a place."""
+    at = 0
+    while at < len(text):
+        end = min(len(text), at + RUN_CHARS)
+        while end < len(text) and text[end - 1].isalpha() and text[end].isalpha():
+            end += 1
+        yield text[at:end]
+        at = end
+
+
+def scored(texts: list[str | None], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each text; letters, whether the script is known, and scores of each word in turn."""
+    counts, letters, known, scores = [], [], [], []
+    # Short texts are scored together, a long one in runs.
+    groups: list[list[str | None]] = []
+    size = RUN_CHARS + 1
+    for i, text in enumerate(texts):
+        if size + len(text or "") > RUN_CHARS:
+            groups.append([])
+            size = 0
+        groups[-1].append(i)
+        size += len(text or "")
+    for group in groups:
+        several = len(group) > 1
+        total = np.zeros(len(group), np.int64)
+        for part in [[texts[i] for i in group]] if several else ([run] for run in _runs(texts[group[0]] or "")):
+            words = words_of(part)
+            if len(words.doc):
+                total += np.bincount(words.doc, minlength=len(group))
+                letters.append(words.letters)
+                known.append(model.known(words))
+                scores.append(model.scores(words))
+        counts.append(total)
+    empty = np.zeros((0, len(model.languages)), np.float32)
+    return np.concatenate(counts), np.concatenate([np.zeros(0, np.int64), *letters]), np.concatenate([np.zeros(0, bool), *known]), np.concatenate([empty, *scores])
 
 
 def label_words(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -144,28 +192,32 @@ def label_words(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH)
     Texts are padded to whole blocks. For each block and entry state the best way
     to each end state is found for all blocks at once; these small matrices are
     then chained along each text, and the chosen ways are traced inside blocks.
+    Only differences of states matter, so the values are lowered by the best one
+    after each block and each word's scores by its own best.
     """
     n_states = scores.shape[1]
+    kind = np.int8 if n_states < 128 else np.int32
     per_text = -(-counts // BLOCK)
     first_block = np.concatenate([[0], per_text.cumsum()])[:-1]
     place = np.arange(len(scores)) + np.repeat(first_block * BLOCK - np.concatenate([[0], counts.cumsum()])[:-1], counts)
     padded = np.zeros((int(per_text.sum()) * BLOCK, n_states), np.float32)
-    padded[place] = scores
+    padded[place] = scores - scores.max(1, keepdims=True) if len(scores) else scores
     x = padded.reshape(-1, BLOCK, n_states)
-    enter = np.where(np.eye(n_states, dtype=bool), 0, -switch).astype(np.float32)
+    enter = np.where(np.eye(n_states, dtype=bool), 0.0, -switch)
     way = enter[None] + x[:, 0, None, :]
     for t in range(1, BLOCK):
         way = np.maximum(way, way.max(2, keepdims=True) - switch) + x[:, t, None, :]
     # Along the texts: longest first, so that the open ones stay a prefix.
     order = np.argsort(-per_text, kind="stable")
-    value = np.zeros((len(counts), n_states), np.float32)
-    came = np.zeros((len(x), n_states), np.int64)
+    value = np.zeros((len(counts), n_states))
+    came = np.zeros((len(x), n_states), kind)
     n_open = np.searchsorted(-per_text[order], -np.arange(1, per_text.max(initial=0) + 1), "right")
     for k, n in enumerate(n_open):
         blocks = first_block[order[:n]] + k
         step = value[:n, :, None] + way[blocks]
         came[blocks] = step.argmax(1)
-        value[:n] = step.max(1)
+        best = step.max(1)
+        value[:n] = best - best.max(1, keepdims=True)
     ends, entries = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
     state = value.argmax(1)
     for k in range(len(n_open) - 1, -1, -1):
@@ -175,13 +227,13 @@ def label_words(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH)
     # Inside the blocks, from the entry state to the end state.
     rows = np.arange(len(x))
     now = enter[entries] + x[:, 0]
-    stays, tops = np.zeros((BLOCK, len(x), n_states), bool), np.zeros((BLOCK, len(x)), np.int64)
+    stays, tops = np.zeros((BLOCK, len(x), n_states), bool), np.zeros((BLOCK, len(x)), kind)
     for t in range(1, BLOCK):
         tops[t] = now.argmax(1)
         best = now.max(1, keepdims=True) - switch
         stays[t] = now >= best
         now = np.maximum(now, best) + x[:, t]
-    labels = np.zeros((len(x), BLOCK), np.int64)
+    labels = np.zeros((len(x), BLOCK), kind)
     state = ends
     for t in range(BLOCK - 1, -1, -1):
         labels[:, t] = state
@@ -189,6 +241,29 @@ def label_words(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH)
     return labels.reshape(-1)[place]
 
 
+def labelled_texts(texts: list[str | None], model: Model) -> list[tuple[str, float, list[dict]]]:
+    """Language, score and spans of each text."""
+    if not model.languages:
+        return [(UNKNOWN, 0.0, [])] * len(texts)
+    counts, n_letters, known, scores = scored(texts, model)
+    if not len(scores):
+        return [(UNKNOWN, 0.0, [])] * len(texts)
+    labels = label_words(scores, counts)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    n_states = len(model.languages)
+    letters = np.bincount(doc[known] * n_states + labels[known], n_letters[known], len(texts) * n_states).reshape(-1, n_states)
+    total = np.bincount(doc, n_letters, len(texts))
+    best = np.where(letters.any(1), letters.argmax(1), model.letters.argmax())
+    shown = np.where(known, labels.astype(np.int64), -1)
+    change = np.flatnonzero((np.diff(shown, prepend=-2) != 0) | (np.diff(doc, prepend=-1) != 0))
+    spans: list[list] = [[] for _ in texts]
+    first = np.concatenate([[0], counts.cumsum()])
+    for a, b in zip(change.tolist(), [*change[1:].tolist(), len(shown)], strict=True):
+        d = doc[a]
+        spans[d].append({"start": int(a - first[d]), "words": b - a, "lang": model.languages[shown[a]] if shown[a] >= 0 else UNKNOWN})
+    return [(model.languages[k], float(letters[i, k] / total[i]), spans[i]) if total[i] else (UNKNOWN, 0.0, []) for i, k in enumerate(best.tolist())]
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of docs and a struct ``language`` of lang_pred, score (share of letters) and spans (first letter-word, words, language)."""
 
@@ -196,24 +271,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     def language(texts: pd.Series) -> pd.DataFrame:
         rows: list[tuple] = []
         for at in range(0, len(texts), 256):
-            part = texts.iloc[at : at + 256].tolist()
-            words = words_of(part)
-            if not model.languages or not len(words.doc):
-                rows += [(UNKNOWN, 0.0, [])] * len(part)
-                continue
-            counts = np.bincount(words.doc, minlength=len(part))
-            labels = label_words(model.scores(words), counts)
-            letters = np.zeros((len(part), len(model.languages)))
-            np.add.at(letters, (words.doc, labels), words.letters)
-            total = letters.sum(1)
-            best = letters.argmax(1)
-            change = np.flatnonzero((np.diff(labels, prepend=-1) != 0) | (np.diff(words.doc, prepend=-1) != 0))
-            spans: list[list] = [[] for _ in part]
-            first = np.concatenate([[0], counts.cumsum()])
-            for a, b in zip(change, [*change[1:], len(labels)], strict=True):
-                d = words.doc[a]
-                spans[d].append({"start": int(a - first[d]), "words": int(b - a), "lang": model.languages[labels[a]]})
-            rows += [(model.languages[k], float(letters[i, k] / total[i]), spans[i]) if total[i] else (UNKNOWN, 0.0, []) for i, k in enumerate(best)]
+            rows += labelled_texts(texts.iloc[at : at + 256].tolist(), model)
         return pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
     return docs.drop("language").withColumn("language", language.asNondeterministic()(docs[text_col]))
