@@ -7,16 +7,20 @@ registers name candidate groups; a candidate pair's Jaccard similarity is first
 estimated from the registers, less the collisions that compressed registers are
 expected to have, and pairs that may reach the bound are confirmed on full sets.
 
-Documents with equal sets are one class from the start. A group of candidates is
-not expanded into pairs: members are compared with the group's leader, the node
-whose groups are largest, which is the text that the others were made from, and
-links are contracted into components. Where groups still span several components,
-these are compared block by block, and only links leave a block.
+Documents with equal sets (by a digest of 128 bits) are one class from the start.
+A group of candidates is not expanded into pairs: members are compared with the
+group's leader, the node whose groups are largest, which is the text that the
+others were made from, and links are contracted into components. Where groups
+still span several components, the sketches of these are compared block by block;
+only pairs whose estimate may reach the bound leave a block, first the best one of
+a node and another component, then, for components that still meet, all of them.
+Full sets are read for pairs alone.
 
 Defined cases: without words or text a set is empty and linked with nothing;
 texts with fewer words than a shingle have their whole sequence as the one
-shingle; a null doc_id takes no part and has a null component; rows that repeat
-a doc_id with another text stand for that text; extra columns are ignored.
+shingle; in ``near_duplicates`` a null doc_id takes no part and has a null
+component, in ``keep_one`` it comes after all others; rows that repeat a doc_id
+with another text stand for that text; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,28 +101,36 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return ((a == b).mean(-1) - chance) / (1 - chance)
 
 
-def sketch_documents(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), set_hash and sketch (null for empty sets)."""
-    narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+def sketch_documents(texts: DataFrame, words: int) -> DataFrame:
+    """All columns of texts but ``text`` (id, text, more of any name), n (set size), set_hash and sketch (null for empty sets)."""
+    narrow = texts.select(*[F.col(f"`{c}`") for c in texts.columns if c != "text"], "text")
+    names = narrow.columns[:-1]
+    last = len(names)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields[:last])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(last).to_pylist()]
                 full = [s for s in sets if len(s)]
                 made = iter(sketches(full) if full else ())
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column(0),
+                        *part.columns[:last],
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
                         pa.array([next(made).astype("<u2").tobytes() if len(s) else None for s in sets], pa.binary()),
                     ],
-                    names=["id", "n", "set_hash", "sketch"],
+                    names=[*names, "n", "set_hash", "sketch"],
                 )
 
-    return narrow.mapInArrow(run, "id long, n long, set_hash binary, sketch binary")
+    return narrow.mapInArrow(run, f"{fields}, n long, set_hash binary, sketch binary")
+
+
+def _with_key(texts: DataFrame) -> DataFrame:
+    """Rows of one id and text share a key; a clash of keys does no harm, since sets are told apart by their digest."""
+    return texts.withColumn("key", F.xxhash64("id", "text"))
 
 
 def _passing(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -146,24 +158,24 @@ def _least_estimate(percent: int) -> float:
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """cid and full set (sorted hashes) of the wanted cids; docs has id and text."""
+    """cid and full set (sorted hashes) of the wanted cids; docs has key and text."""
     # A list of checked size is sent to the texts, which then stay where they are; beyond it both sides are shuffled.
-    wanted = common.written(wanted.distinct().join(nodes.select("cid", "rep"), "cid"), "dedup-wanted")
+    wanted = common.written(wanted.distinct().join(nodes.select("cid", F.col("key").alias("rep"), F.col("set_hash").alias("expected")), "cid"), "dedup-wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                sets = [shingle_set(t, words) for t in part.column(1).to_pylist()]
+                sets = [shingle_set(t, words) for t in part.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
-                    names=["cid", "set_hash", "full"],
+                    [part.column(0), part.column(1), pa.array([hashlib.blake2b(s, digest_size=16).digest() for s in sets], pa.binary()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())],
+                    names=["cid", "expected", "set_hash", "full"],
                 )
 
-    sets = docs.join(wanted, docs["id"] == wanted["rep"]).select("cid", "text").mapInArrow(fill, "cid long, set_hash binary, full binary")
-    # A doc_id may repeat with another text; only the text of the class counts, once.
-    return common.written(sets.filter(F.xxhash64("set_hash") == F.col("cid")).dropDuplicates(["cid"]).select("cid", "full"), "dedup-sets")
+    sets = docs.join(wanted, docs["key"] == wanted["rep"]).select("cid", "expected", "text").mapInArrow(fill, "cid long, expected binary, set_hash binary, full binary")
+    # Rows may repeat; the text of the class counts, once.
+    return common.written(sets.filter(F.col("set_hash") == F.col("expected")).dropDuplicates(["cid"]).select("cid", "full"), "dedup-sets")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
@@ -191,13 +203,14 @@ def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Links between components that still meet in a group; rest has bucket, cid, reach, label.
+def _remaining_pairs(rest: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, best_only: bool) -> DataFrame:
+    """Pairs (a, b) of components that still meet in a group, whose estimate may reach the bound; rest has bucket, cid, reach, label.
 
     Each group belongs to the component of its farthest-reaching node; members of
     other components are attached to that component. Attached nodes are compared
-    with all its nodes and with each other, blocks against blocks: the estimate
-    picks pairs, full sets confirm them, and only links leave a block.
+    with all its nodes and with each other, blocks of sketches against blocks, and
+    only pairs leave a block: all that may be links, or, with ``best_only``, the
+    likeliest one of each node and other component in the block.
     """
     owners = rest.groupBy("bucket").agg(F.max(F.struct("reach", "label")).alias("x")).select("bucket", F.col("x.label").alias("owner"))
     attached = rest.join(common.written(owners, "dedup-owners"), "bucket").filter("label <> owner").select("owner", "cid", "label", F.lit(True).alias("attached")).distinct()
@@ -215,16 +228,14 @@ def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes:
         F.transform(other_own, lambda k: cell(0, k, block, F.lit(False))),
         F.transform(other_attached, lambda k: cell(1, F.least(block, k), F.greatest(block, k), block <= k)),
     )).otherwise(F.transform(other_attached, lambda k: cell(0, block, k, F.lit(True))))
-    sets = _sets_of(rows.select("cid"), docs, nodes, words).join(nodes.select("cid", "sketch"), "cid")
-    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(sets, "cid")
+    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(nodes.select("cid", "n", "sketch"), "cid")
     at_least = _least_estimate(percent)
 
     def run(pdf):
         import pandas as pd
 
         s = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, REGISTERS)
-        full = [np.frombuffer(x, "<u8") for x in pdf["full"]]
-        n = np.array([len(x) for x in full], float)
+        n = pdf["n"].to_numpy(float)
         label, cid, left = pdf["label"].to_numpy(), pdf["cid"].to_numpy(), pdf["left"].to_numpy()
         inside = pdf["kind"].iloc[0] == 1 and pdf["low"].iloc[0] == pdf["high"].iloc[0]
         found = []
@@ -233,24 +244,25 @@ def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes:
             others = others[label[others] != label[i]]
             if not len(others):
                 continue
-            near = others[(estimate(s[others], s[i], n[others], n[i]) >= at_least) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
-            if len(near):
-                hit = near[_linked(full[i], [full[j] for j in near], percent)]
-                # One link to a component is as good as all.
-                hit = hit[np.unique(label[hit], return_index=True)[1]]
-                found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in hit]
+            guess = estimate(s[others], s[i], n[others], n[i])
+            may = (guess >= at_least) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
+            near = others[may]
+            if best_only and len(near):
+                near = near[np.argsort(-guess[may], kind="stable")]
+                near = near[np.unique(label[near], return_index=True)[1]]
+            found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in near]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
     return common.written(spread.groupBy("owner", "kind", "low", "high").applyInPandas(run, "a long, b long").distinct(), "dedup-last")
 
 
-def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id (smallest id reachable by links), kept (it is that id)."""
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    drawn = common.written(sketch_documents(docs, words, id_col, text_col).withColumn("cid", F.xxhash64("set_hash")), "dedup-sketches")
-    part = drawn.filter("n > 0 and id is not null")
-    nodes = part.groupBy("cid").agg(F.min(F.struct("id", "n", "sketch")).alias("x")).select("cid", F.col("x.id").alias("rep"), "x.n", "x.sketch")
-    nodes = common.written(nodes, "dedup-classes")
+def _labelled(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """texts (id, text, more) without the text but with n and set_hash, and the label of each set_hash: sets of one component share it."""
+    keyed = _with_key(texts)
+    drawn = common.written(sketch_documents(keyed, words), "dedup-sketches")
+    # A class is named by a number that is drawn once, when its row is written.
+    nodes = drawn.filter("n > 0").groupBy("set_hash").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "n", "sketch")).alias("x")).select("set_hash", "x.key", "x.n", "x.sketch")
+    nodes = common.written(nodes.withColumn("cid", F.monotonically_increasing_id()), "dedup-classes")
 
     # Groups: nodes that agree in a band; the band's 8 bytes are the registers themselves.
     bands = nodes.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1)))).select(
@@ -265,20 +277,45 @@ def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int =
     leaders = members.groupBy("bucket").agg(F.max(F.struct("reach", "cid")).alias("x")).select("bucket", F.col("x.cid").alias("leader"))
     pairs = members.join(common.written(leaders, "dedup-leaders"), "bucket").filter("cid <> leader").select(F.least("cid", "leader").alias("a"), F.greatest("cid", "leader").alias("b")).distinct()
     pairs = common.written(_passing(pairs, nodes, percent), "dedup-passing")
-    links = _confirmed(pairs, texts, nodes, words, percent)
+    links = _confirmed(pairs, keyed, nodes, words, percent)
     labels = connect(links)
 
-    labelled = members.join(labels, "cid", "left").select("bucket", "cid", "reach", F.coalesce("label", "cid").alias("label"))
-    last = _remaining_links(labelled, labels, texts, nodes, words, percent)
-    if not last.isEmpty():
-        labels = connect(links.union(last))
-
-    named = nodes.select("cid", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    heads = common.written(named.groupBy("label").agg(F.min("rep").alias("head")), "dedup-heads")
-    classes = common.written(named.join(heads, "label").select("cid", "head"), "dedup-components")
-    out = drawn.select("id", "n", F.when(F.col("id").isNotNull() & (F.col("n") > 0), F.col("cid")).alias("cid")).join(classes, "cid", "left")
-    head = F.coalesce("head", "id")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), head.alias("component_id"), F.coalesce(F.col("id") == head, F.lit(True)).alias("kept"))
+    for best_only in (True, False):
+        rest = members.join(labels, "cid", "left").select("bucket", "cid", "reach", F.coalesce("label", "cid").alias("label"))
+        pairs = _remaining_pairs(rest, labels, nodes, percent, best_only)
+        if pairs.isEmpty():
+            break
+        found = _confirmed(pairs, keyed, nodes, words, percent)
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = connect(links)
+    return drawn.drop("key", "sketch"), common.written(nodes.select("set_hash", "cid").join(labels, "cid", "left").select("set_hash", F.coalesce("label", "cid").alias("label")), "dedup-labels")
+
+
+def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id (smallest id reachable by links), kept (it is that id)."""
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    # Rows without an id take no part, but their sets are counted.
+    known = texts.filter("id is not null")
+    drawn, labels = _labelled(known, words, percent)
+    heads = drawn.filter("n > 0").join(labels, "set_hash").groupBy("label").agg(F.min("id").alias("head"))
+    classes = common.written(labels.join(common.written(heads, "dedup-heads"), "label").select("set_hash", "head"), "dedup-components")
+    out = drawn.join(classes, "set_hash", "left").select("id", "n", F.coalesce("head", "id").alias("head"))
+    nameless = sketch_documents(texts.filter("id is null"), words).select("id", "n", F.lit(None).cast("long").alias("head"))
+    out = out.unionByName(nameless)
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("head").alias("component_id"), F.coalesce(F.col("id") == F.col("head"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs less all but one of each component: the row of the smallest id, null last, then of the smallest digest of all columns."""
+    keyed = docs.withColumn("__row", F.concat(*[F.hex(F.xxhash64(F.lit(i), *[F.col(f"`{c}`") for c in docs.columns])) for i in range(2)]))
+    texts = keyed.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"), "__row")
+    drawn, labels = _labelled(texts, words, percent)
+    chosen = drawn.filter("n > 0").join(labels, "set_hash").groupBy("label").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("x")).select("x.__row")
+    chosen = common.written(chosen, "dedup-chosen")
+    wordless = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).rlike(r"\A[\x20\x09-\x0D]*\z")
+    kept = keyed.filter(~wordless).join(chosen, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return kept.unionByName(docs.filter(wordless))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
