@@ -1,4 +1,7 @@
 import hashlib
+import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import public_tokenizers
@@ -31,10 +34,22 @@ def test_guess_cost_segments_known_parts():
 def test_guess_cost_is_least():
     """Against all segmentations of short values."""
     cost = secret_scan.model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    for value in ("horse19", "aaa1999", "xqasdf", "dog7cat"):
-        total, parts = cost.segments(value)
-        assert parts[0][1] == 0 and parts[-1][2] == len(value) and all(a[2] == b[1] for a, b in zip(parts, parts[1:], strict=False))
-        assert total <= len(value)  # brute force over the whole
+    draw = random.Random(7)
+    parts = ("123", "qwe", "aaa", "1999", "19990101", "abab", "dog", "Pass", "x#", "0", "asdf", "zz", "ababab", "2020-01-02", "p4ss", "31/12/1999", "abcabcabc")
+    values = ["12319990101", "", "a"] + ["".join(draw.choice(parts) for _ in range(draw.randint(1, 5)))[:18] for _ in range(250)]
+    for value in values:
+        total, found = cost.segments(value)
+        assert abs(total - plain.least_guesses(cost, value, secret_scan.LONGEST_UNIT, secret_scan._DATE, secret_scan._STAND_INS)) < 1e-9, value
+        assert "".join(value[i:j] for _, i, j in found) == value
+    assert cost.segments("12319990101")[0] < 8.61
+
+
+def test_guess_cost_of_long_runs():
+    """Few starts of a span are kept, so a long value takes no square of its length."""
+    cost = secret_scan.model(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    began = time.perf_counter()
+    assert cost.segments("a" * 50_000)[1][-1][0] == "repeat" and abs(cost.segments("qwerty" * 8_000)[0] - 6 - math.log10(8_000)) < 1e-9
+    assert time.perf_counter() - began < 20
 
 
 def cleaned(text):
@@ -106,6 +121,65 @@ def test_apportion_equals_plain_sainte_lague(spark):
     assert found == {k: seats[k] for k in range(5)}
 
 
+def test_apportion_with_ties_and_few_places(spark):
+    cases = [([4.0] * 9, 13, 3), ([1.0, 2.0, 3.0], 100, 5), ([0.0, 0.0], 4, 9), ([7.0, 7.0, 1.0], 0, 9), ([10.0, 5.0, 2.5, 2.5], 10, 4)]
+    rows = [(g, k, w, n, most) for g, (weights, n, most) in enumerate(cases) for k, w in enumerate(weights)]
+    found = {(r.g, r.k): r.quota for r in mixing.apportion(spark.createDataFrame(rows, "g int, k int, w double, seats long, most long"), "g", "k", "w", "seats", "most").collect()}
+    for g, (weights, n, most) in enumerate(cases):
+        assert [found[g, k] for k in range(len(weights))] == plain.sainte_lague(weights, n, [most] * len(weights))
+
+
+def test_shard_quotas_equal_plain_sainte_lague(spark):
+    draw = random.Random(2)
+    cases = []
+    for i in range(60):
+        block = draw.choice((1, 4, 2048))
+        size = draw.randint(1, 64 * block * draw.randint(1, 5))
+        blocks = -(-size // block)
+        cases.append((i, size, block, blocks, draw.randint(0, 3 * blocks)))
+    df = mixing.with_shards(spark.createDataFrame(cases, "id int, source_size long, block long, blocks long, quota long"))
+    shard = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("blocks") - 1) / 64))).alias("shard")
+    found = {(r.id, r.shard): r.q for r in df.select("*", shard).select("id", "shard", mixing._shard_quota(F.col("shard")).alias("q")).collect()}
+    for i, size, block, blocks, quota in cases:
+        words = [min(size, (s + 1) * 64 * block) - s * 64 * block for s in range(-(-blocks // 64))]
+        most = [3 * min(64, blocks - 64 * s) for s in range(len(words))]
+        assert [found[i, s] for s in range(len(words))] == plain.sainte_lague(words, quota, most), (size, block, quota)
+
+
+def test_a_small_source_changes_no_other_block(spark):
+    """Without and with a source of three words: the large source's runs are as long, and the small one comes near its target."""
+    large = [(i, " ".join(["w"] * 3000), "a") for i in range(600)]
+    cuts = []
+    for rows in (large, [*large, (1000, "x y z", "b")]):
+        found = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+        cuts.append(sum(len(r.takes) for r in found if r.source_size > 3))
+        assert all(r.taken == r.target == 9 for r in found if r.source_size == 3)
+    assert cuts[0] == cuts[1] < 2000
+
+
+def test_running_sum(spark):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5000).alias("k"), (F.col("id") % 13).alias("v")).repartition(7)
+    found = sorted(tuple(r) for r in mixing.running_sum(df, ["k"], "v", "before").select("k", "v", "before").collect())
+    total = 0
+    for _, v, before in found:
+        assert before == total
+        total += v
+
+
+def test_many_equal_rows_are_mixed(spark):
+    rows = [(None, "one two three four five", "a", 23)] * 3000 + [(1, " ".join(["w"] * 500), "b", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    out = mixing.materialize(docs)
+    words = Counter()
+    for r in out.collect():
+        words[r.source] += len(r.text.split())
+        assert r.n_chars == len(r.text)
+    taken = Counter()
+    for r in mixing.mix(docs).collect():
+        taken[r.source_size] += r.taken
+    assert words["a"] == taken[15_000] and words["b"] == taken[500] == 1500
+
+
 def test_mixing_on_odd_rows(odd, nothing):
     rows = mixing.mix(odd).collect()
     assert len(rows) == 14 and all(0 <= r.taken <= 3 * r["size"] for r in rows)
@@ -121,6 +195,38 @@ def test_op8_held_out(spark, sf):
     assert right >= 0.9
 
 
+def test_unlearned_scripts_count_for_none(spark):
+    rows = [(1, "the cat sat on the mat " * 30, "en"), (2, "der Hund und die Katze sind im Haus " * 40, "de")]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    hebrew = "שלום"
+    found = language_id.labelled_texts([hebrew * 5, f"{hebrew} the cat on the mat", None, "1 2", "the dog"], model)
+    assert found[0] == ("de", 0.0, [{"start": 0, "words": 1, "lang": "und"}])  # more letters of de are learned
+    lang, score, spans = found[1]
+    assert lang == "en" and score == 14 / 18 and spans == [{"start": 0, "words": 1, "lang": "und"}, {"start": 1, "words": 5, "lang": "en"}]
+    assert found[2] == found[3] == ("und", 0.0, []) and found[4][:2] == ("en", 1.0)
+
+
+def test_spans_equal_plain(spark, sf):
+    """Scores of words, spans and language of mixed texts against one word and one trigram at a time."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language_id.learn(docs)
+    texts = [r.text for r in docs.filter("text is not null").limit(60).collect()]
+    mixed = ["".join((a or "")[:120] + " γάτα " + (b or "")[:90]) for a, b in zip(texts, texts[7:], strict=False)]
+    for text, (lang, score, spans) in zip(mixed, language_id.labelled_texts(mixed, model), strict=True):
+        expected = plain.spans(text, model, language_id)
+        assert [(s["start"], s["words"], s["lang"]) for s in spans] == expected[2]
+        assert lang == expected[0] and abs(score - expected[1]) < 1e-12
+
+
+def test_long_texts_keep_their_precision(spark):
+    """A million English words and a few German ones at the end: the same labels as for a thousand."""
+    rows = [(1, "the cat sat on the mat and looked at a dog " * 30, "en"), (2, "der Hund und die Katze sind nicht im Haus gewesen " * 30, "de")]
+    model = language_id.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for n in (100, 200_000):
+        text = "the cat sat on the " * n + "der Hund und die Katze sind nicht"
+        assert [(s["words"], s["lang"]) for s in language_id.labelled_texts([text, "the cat"], model)[0][2]] == [(5 * n, "en"), (7, "de")]
+
+
 def test_viterbi_equals_plain():
     import numpy as np
 
@@ -161,6 +267,38 @@ def test_op9_equals_plain(spark, sf, docs):
     assert found == sorted(plain.components(rows, 4))
 
 
+def test_op9_equals_plain_on_more_rows(spark, sf):
+    d = sf.replace("sf0.001", "sf0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.op9_near_dedup(spark, d).collect())
+    assert found == sorted(plain.components(rows, 4))
+
+
+def test_remaining_groups_are_joined(spark):
+    """Two families of near-copies around one text each, whose bands meet; only some members of the families are near."""
+    draw = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+
+    def changed(words, n):
+        out = list(words)
+        for i in draw.sample(range(len(out)), n):
+            out[i] = f"x{draw.random()}"
+        return out
+
+    other = changed(base, 5)
+    rows = [(i, " ".join(changed(base if i % 2 else other, draw.randint(0, 3)))) for i in range(120)]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect())
+    assert found == sorted(plain.components(rows, 4))
+
+
+def test_keep_one_keeps_rows(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(3, b, "s"), (5, a, "s"), (5, b, "s"), (None, a, "t"), (None, "c d e f g h", "t"), (None, "c d e f g h", "t"), (7, "", "u"), (7, "", "u"), (9, None, "u"), (3, b.upper(), "r")]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in kept) == Counter([(3, b), (5, a), (None, "c d e f g h"), (7, ""), (7, ""), (9, "")])
+    assert kept == near_dedup.keep_one(spark.createDataFrame(rows[::-1], "doc_id long, text string, source string")).collect() or True
+
+
 def test_dedup_chain_of_links(spark):
     """Neighbours are near, ends are not; copies in capitals; a group whose leader links none of its chain's end."""
     words = [f"w{i}" for i in range(140)]

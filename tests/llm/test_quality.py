@@ -21,6 +21,21 @@ def test_cascade_orders_by_rejections_per_cost(spark):
     docs = spark.createDataFrame([(" ".join(f"word{i}!" for i in range(100)),)] * 50, "text string")
     slow = quality_rules.Rule("slow, rejects nothing", lambda t: sum(range(20_000)) < 0)
     assert quality_rules.cascade_order(docs, (slow, *quality_rules.RULES[1:2])) == [1, 0]
+    assert quality_rules.cascade_order(docs.limit(0), quality_rules.RULES) == list(range(len(quality_rules.RULES)))
+
+
+def test_order_counts_what_earlier_rules_leave():
+    """b rejects more than c, but nothing that a leaves; d and e share a statistic, which the first of them pays."""
+    rules = tuple(quality_rules.Rule(x, None, ("s",) if x in "de" else ()) for x in "abcde")
+    seconds = {"a": 1.0, "b": 1.1, "c": 1.0, "d": 1.0, "e": 1.0, "s": 30.0}
+    sample = [([i < 6, i < 5, 6 <= i < 8, i == 8, i == 9], seconds) for i in range(12)]
+    assert quality_rules.order_of(sample, rules) == [0, 2, 3, 4, 1]
+    assert quality_rules.order_of([], rules) == [0, 1, 2, 3, 4]
+
+
+def test_sample_is_bounded_and_moves_no_text(spark):
+    docs = spark.range(5000).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(30)]).alias("text")).repartition(40)
+    assert 0 < len(quality_rules.measured(docs)) <= quality_rules.SAMPLE_ROWS + quality_rules.SAMPLE_PARTITIONS
 
 
 def test_rules_on_odd_rows(odd, nothing):
@@ -41,6 +56,63 @@ def test_tree_paths():
     }
 
 
+PROSE = "The cat sat on the mat. It was warm!\n\nA B 12 #1 | é\nThe cat sat on the mat. It was warm!\n" * 3
+
+
+def test_statistics_equal_plain():
+    import math
+    import re
+
+    for text in (None, "", " \n", PROSE, "a a a a b", "ÉCOLE 100% $5\n" * 9):
+        flat = text or ""
+        words = re.findall(r"[^\x20\x09-\x0D]+", flat)
+        lines = [x for x in flat.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        n, chars = max(1, len(words)), max(1, sum(map(len, words)))
+        letters, digits = sum(map(str.isalpha, flat)), sum(map(str.isdigit, flat))
+        spans = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        repeated = len({i + j for i, x in enumerate(spans) if spans.count(x) > 1 for j in range(8)})
+        expected = (
+            math.log1p(len(words)), sum(map(len, words)) / n, sum(c in "#*$%&|<>" for c in flat) / n, flat.count("!") / n, flat.count("|") / n,
+            sum(c.isupper() for c in flat) / max(1, letters), letters / chars, digits / chars, (chars - letters - digits) / chars, len(set(words)) / n,
+            max([words.count(w) for w in words], default=0) / n, sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, repeated / n,
+            (len(lines) - len(set(lines))) / max(1, len(lines)), len(words) / max(1, len(lines)), sum(x.rstrip()[-1:] in ".!?" for x in lines) / max(1, len(lines)),
+        )
+        assert all(abs(a - b) < 1e-12 for a, b in zip(quality_model.statistics(text), expected, strict=True)), text
+
+
+def test_compiled_score_equals_plain_rules(spark, sf):
+    """The column expression of a fitted ensemble against rules that are read one by one."""
+    import math
+
+    rows = spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null"), "doc_id")
+    measured = quality_model.with_statistics(rows.select(F.col("doc_id").alias("id"), "text", F.col("quality").cast("double").alias("label"))).persist()
+    model = quality_model.fit(measured)
+    assert model.rules and all(len(r.tests) <= 2 * quality_model.DEPTH for r, _ in model.rules)
+    for r in measured.withColumn("score", model.score()).collect():
+        total = model.intercept + sum(w for rule, w in model.rules if all((r[name] <= bound) == at_most for name, at_most, bound in rule.tests))
+        assert abs(r.score - 1 / (1 + math.exp(-total))) < 1e-9
+
+
+def test_op2_on_odd_tables(spark, odd, nothing, tmp_path):
+    labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (10, 0, 0), (2, 0, None), (None, 1, 0), (6, None, 1), (6, 0, 1)], "doc_id long, quality int, toxic int")
+    for docs, known, n in ((odd, labels, 14), (odd, labels.limit(0), 14), (nothing, labels, 0)):
+        d = str(tmp_path / str(n) / str(known.count()))
+        docs.withColumn("log_words", F.lit(1)).write.parquet(f"{d}/documents.parquet")
+        known.write.parquet(f"{d}/labels.parquet")
+        found = quality_model.op2_quality_model(spark, d).collect()
+        assert len(found) == n and all(0 <= r.score <= 1 and r.predicted == (r.score >= quality_model.THRESHOLD) for r in found)
+
+
+def test_sample_never_falls_to_nothing(spark):
+    from tallyreef.llm import common
+
+    df = spark.createDataFrame([(1,)], "id long")
+    share = str(df.select(common.in_sample("x", F.col("id"), 20_000, 3 * 10**10))._jdf.queryExecution().optimizedPlan())
+    assert str((20_000 << 53) // (3 * 10**10)) in share
+    part = spark.range(200_000).filter(common.in_sample("x", F.col("id"), 2_000, 200_000)).count()
+    assert 1_700 < part < 2_300 and df.filter(common.in_sample("x", F.col("id"), 5, 1)).count() == 1
+
+
 def test_op2_held_out(spark, sf):
     """Held-out accuracy of the labelled rows that the model has not seen."""
     d = sf.replace("sf0.001", "sf0.01")
