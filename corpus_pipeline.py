@@ -22,11 +22,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of near-duplicates; rows of one doc_id and text count once."""
-    kept = near_dedup.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    kept = common.written(kept, "pipeline-kept")
-    chosen = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return chosen.select(*docs.columns).union(docs.filter(F.col("doc_id").isNull()))
+    """One row of each group of near-duplicates, that of the smallest doc_id; a document without doc_id comes after all others."""
+    return near_dedup.keep_one(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
