@@ -11,10 +11,9 @@ Documents with equal sets (by a digest of 128 bits) are one class from the start
 A group of candidates is not expanded into pairs: members are compared with the
 group's leader, the node whose groups are largest, which is the text that the
 others were made from, and links are contracted into components. Where groups
-still span several components, the sketches of these are compared block by block;
-only pairs whose estimate may reach the bound leave a block, first the best one of
-a node and another component, then, for components that still meet, all of them.
-Full sets are read for pairs alone.
+still span several components, the sketches of these are compared block by block,
+which tells the nodes that may have a link in a block. Only these are given their
+full sets there, and only links leave a block.
 
 Defined cases: without words or text a set is empty and linked with nothing;
 texts with fewer words than a shingle have their whole sequence as the one
@@ -203,14 +202,14 @@ def _linked(one: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarr
     return 100 * both >= percent * (len(one) + sizes - both)
 
 
-def _remaining_pairs(rest: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int, best_only: bool) -> DataFrame:
-    """Pairs (a, b) of components that still meet in a group, whose estimate may reach the bound; rest has bucket, cid, reach, label.
+def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that still meet in a group; rest has bucket, cid, reach, label.
 
     Each group belongs to the component of its farthest-reaching node; members of
     other components are attached to that component. Attached nodes are compared
-    with all its nodes and with each other, blocks of sketches against blocks, and
-    only pairs leave a block: all that may be links, or, with ``best_only``, the
-    likeliest one of each node and other component in the block.
+    with all its nodes and with each other, blocks against blocks: sketches first,
+    which leave the nodes that may have a link in that pair of blocks, and then the
+    full sets of these.
     """
     owners = rest.groupBy("bucket").agg(F.max(F.struct("reach", "label")).alias("x")).select("bucket", F.col("x.label").alias("owner"))
     attached = rest.join(common.written(owners, "dedup-owners"), "bucket").filter("label <> owner").select("owner", "cid", "label", F.lit(True).alias("attached")).distinct()
@@ -228,32 +227,47 @@ def _remaining_pairs(rest: DataFrame, labels: DataFrame, nodes: DataFrame, perce
         F.transform(other_own, lambda k: cell(0, k, block, F.lit(False))),
         F.transform(other_attached, lambda k: cell(1, F.least(block, k), F.greatest(block, k), block <= k)),
     )).otherwise(F.transform(other_attached, lambda k: cell(0, block, k, F.lit(True))))
-    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(nodes.select("cid", "n", "sketch"), "cid")
+    place = ["owner", "kind", "low", "high"]
+    sketched = nodes.select("cid", "n", "sketch")
+    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(sketched, "cid")
     at_least = _least_estimate(percent)
 
-    def run(pdf):
-        import pandas as pd
-
+    def near_ones(pdf) -> Iterator[tuple[int, np.ndarray]]:
+        """For rows of a pair of blocks: each row and the rows of other components that may be linked with it."""
         s = np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(-1, REGISTERS)
-        n = pdf["n"].to_numpy(float)
-        label, cid, left = pdf["label"].to_numpy(), pdf["cid"].to_numpy(), pdf["left"].to_numpy()
+        n, label, left = pdf["n"].to_numpy(float), pdf["label"].to_numpy(), pdf["left"].to_numpy()
         inside = pdf["kind"].iloc[0] == 1 and pdf["low"].iloc[0] == pdf["high"].iloc[0]
-        found = []
-        for i in range(len(cid)) if inside else np.flatnonzero(left):
-            others = np.arange(i + 1, len(cid)) if inside else np.flatnonzero(~left)
+        for i in range(len(n)) if inside else np.flatnonzero(left):
+            others = np.arange(i + 1, len(n)) if inside else np.flatnonzero(~left)
             others = others[label[others] != label[i]]
-            if not len(others):
-                continue
-            guess = estimate(s[others], s[i], n[others], n[i])
-            may = (guess >= at_least) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))
-            near = others[may]
-            if best_only and len(near):
-                near = near[np.argsort(-guess[may], kind="stable")]
-                near = near[np.unique(label[near], return_index=True)[1]]
-            found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in near]
+            near = others[(estimate(s[others], s[i], n[others], n[i]) >= at_least) & (100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i]))]
+            if len(near):
+                yield i, near
+
+    def involved(pdf):
+        found = np.zeros(len(pdf), bool)
+        for i, near in near_ones(pdf):
+            found[i] = True
+            found[near] = True
+        return pdf.loc[found, [*place, "left", "cid", "label"]]
+
+    kept = common.written(spread.groupBy(*place).applyInPandas(involved, "owner long, kind int, low int, high int, left boolean, cid long, label long"), "dedup-involved")
+    sets = _sets_of(kept.select("cid"), docs, nodes, words)
+
+    def confirm(pdf):
+        import pandas as pd
+
+        full = [np.frombuffer(x, "<u8") for x in pdf["full"]]
+        label, cid = pdf["label"].to_numpy(), pdf["cid"].to_numpy()
+        found = []
+        for i, near in near_ones(pdf):
+            hit = near[_linked(full[i], [full[j] for j in near], percent)]
+            # One link to a component is as good as all.
+            hit = hit[np.unique(label[hit], return_index=True)[1]]
+            found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in hit]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return common.written(spread.groupBy("owner", "kind", "low", "high").applyInPandas(run, "a long, b long").distinct(), "dedup-last")
+    return common.written(kept.join(sketched, "cid").join(sets, "cid").groupBy(*place).applyInPandas(confirm, "a long, b long").distinct(), "dedup-last")
 
 
 def _labelled(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -280,15 +294,10 @@ def _labelled(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, Da
     links = _confirmed(pairs, keyed, nodes, words, percent)
     labels = connect(links)
 
-    for best_only in (True, False):
-        rest = members.join(labels, "cid", "left").select("bucket", "cid", "reach", F.coalesce("label", "cid").alias("label"))
-        pairs = _remaining_pairs(rest, labels, nodes, percent, best_only)
-        if pairs.isEmpty():
-            break
-        found = _confirmed(pairs, keyed, nodes, words, percent)
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = connect(links)
+    rest = members.join(labels, "cid", "left").select("bucket", "cid", "reach", F.coalesce("label", "cid").alias("label"))
+    last = _remaining_links(rest, labels, keyed, nodes, words, percent)
+    if not last.isEmpty():
+        labels = connect(links.union(last))
     return drawn.drop("key", "sketch"), common.written(nodes.select("set_hash", "cid").join(labels, "cid", "left").select("set_hash", F.coalesce("label", "cid").alias("label")), "dedup-labels")
 
 
