@@ -302,29 +302,28 @@ def host_of(url: Column) -> Column:
 
 
 def page_nodes(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, digest of the html, path, look and read: the nodes of each page, once for all copies of a page on a host."""
+    """host, digest of the html, and nodes (path, look, read): one row for all copies of a page on a host."""
     narrow = pages.select(host_of(F.col(f"`{url_col}`")).alias("host"), F.md5(F.col(f"`{html_col}`").cast("binary")).alias("digest"), F.col(f"`{html_col}`").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, digests, paths, looks, reads = [], [], [], [], []
-            for host, digest, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for path, look, read in node_rows(parse(text or "")):
-                    hosts.append(host)
-                    digests.append(digest)
-                    paths.append(path)
-                    looks.append(look)
-                    reads.append(read)
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.string()), *(pa.array(x, pa.int64()) for x in (paths, looks, reads))], names=["host", "digest", "path", "look", "read"])
+            found, ends = [], [0]
+            for text in batch.column(2).to_pylist():
+                found += node_rows(parse(text or ""))
+                ends.append(len(found))
+            columns = [pa.array(x, pa.int64()) for x in (zip(*found, strict=True) if found else ((), (), ()))]
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, ["path", "look", "read"]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), nodes], names=["host", "digest", "nodes"])
 
-    nodes = narrow.filter("html is not null").mapInArrow(run, "host string, digest string, path long, look long, read long")
-    return nodes.groupBy("host", "digest", "path").agg(F.first("look").alias("look"), F.first("read").alias("read"))
+    nodes = narrow.filter("html is not null").mapInArrow(run, "host string, digest string, nodes array<struct<path:bigint,look:bigint,read:bigint>>")
+    return nodes.groupBy("host", "digest").agg(F.first("nodes").alias("nodes"))
 
 
 def importances(nodes: DataFrame) -> DataFrame:
     """host, path, pages and importance of every node of every host's tree, from page_nodes."""
     # Kinds of presentation and content are counted apart, in one pass over the nodes.
-    kinds = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("look").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("read").alias("value")))).alias("x")).select("host", "path", "x.*").groupBy("host", "path", "kind", "value").count()
+    both = lambda n: F.array(F.struct(n["path"].alias("path"), F.lit(0).alias("kind"), n["look"].alias("value")), F.struct(n["path"].alias("path"), F.lit(1).alias("kind"), n["read"].alias("value")))
+    kinds = nodes.select("host", F.explode(F.flatten(F.transform("nodes", both))).alias("x")).select("host", "x.*").groupBy("host", "path", "kind", "value").count()
     entropy = F.when(F.sum("count") > 1, F.log(F.sum("count")) - F.sum(F.col("count") * F.log("count")) / F.sum("count")).otherwise(F.lit(None))
     by_kind = kinds.groupBy("host", "path", "kind").agg(F.sum("count").alias("pages"), entropy.alias("entropy"))
     importance = F.coalesce(F.max(F.col("entropy") / F.log("pages")), F.lit(1.0))
@@ -340,7 +339,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", leas
     """All columns of pages but ``main_text`` and ``host``, and the page's main text in ``main_text``."""
     nodes = common.written(page_nodes(pages, url_col, html_col), "site-nodes")
     low = common.written(importances(nodes).filter((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path"), "site-low")
-    removed = common.written(nodes.select("host", "digest", "path").join(low, ["host", "path"]).groupBy(F.col("host").alias("__host"), F.col("digest").alias("__digest")).agg(F.collect_set("path").alias("__removed")), "site-removed")
+    removed = common.written(nodes.select("host", "digest", F.explode("nodes.path").alias("path")).join(low, ["host", "path"]).groupBy(F.col("host").alias("__host"), F.col("digest").alias("__digest")).agg(F.collect_set("path").alias("__removed")), "site-removed")
     rest = [F.col(f"`{c}`") for c in pages.columns if c != "main_text"]
 
     @F.pandas_udf("string")
