@@ -43,21 +43,6 @@ def search_text(column: Column) -> Column:
     return collapsed(nfkc_casefold(F.coalesce(column.cast("string"), F.lit(""))))
 
 
-def compact_name(column: Column) -> Column:
-    """Name without case, white space and punctuation (ASCII form)."""
-    return F.regexp_replace(F.lower(blank(column)), r"[\s\p{P}]+", "")
-
-
-def strong_name(column: Column) -> Column:
-    """Compact name less trailing pack words, repeatedly."""
-    return F.regexp_replace(compact_name(column), r"(?:box|pack|set|case)+$", "")
-
-
-def identifier(column: Column) -> Column:
-    """Letters and digits of an identifier in lower case; null if none."""
-    return F.nullif(F.regexp_replace(F.lower(blank(column)), "[^a-z0-9]", ""), F.lit(""))
-
-
 def repair_mojibake(column: Column) -> Column:
     """Text that was read as cp1252 though written in cp932, decoded anew where that works."""
 

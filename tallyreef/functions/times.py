@@ -69,11 +69,20 @@ def remaining(minutes: Column) -> Column:
 
 
 def inferred_year(month: Column, day: Column, today: Column, release: Column) -> Column:
-    """The year of last, this, next and the release's that puts month and day nearest to the release, else today; ties go to the smaller."""
+    """The year of last, this, next and the release's that puts month and day nearest to the release, else to today; ties go to the smaller, and none fits 30 February.
+
+    Dates over 120 days after or 400 before a release, and dates over 120 days
+    past without one, count as farther.
+    """
     years = F.array_distinct(F.array_compact(F.array(F.year(today) - 1, F.year(today), F.year(today) + 1, F.year(release))))
-    near = F.coalesce(release, today)
-    options = F.transform(years, lambda y: F.struct(F.abs(F.date_diff(date_of(y, month, day), near)).alias("far"), y.alias("year")))
-    return F.array_min(F.filter(options, lambda o: o["far"].isNotNull()))["year"]
+
+    def option(y: Column) -> Column:
+        date = date_of(y, month, day)
+        off = F.date_diff(date, release)
+        far = F.when(release.isNotNull(), F.abs(off) + F.when((off > 120) | (off < -400), 1000).otherwise(0)).otherwise(F.abs(F.date_diff(date, today)) + F.when(F.date_diff(today, date) > 120, 365).otherwise(0))
+        return F.struct(far.alias("far"), y.alias("year"))
+
+    return F.array_min(F.filter(F.transform(years, option), lambda o: o["far"].isNotNull()))["year"]
 
 
 def rolled_forward(date: Column, today: Column, days: int = 120) -> Column:

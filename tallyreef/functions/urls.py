@@ -9,6 +9,12 @@ from tallyreef.functions.text import blank
 
 # Query parameters that only track visitors.
 TRACKING = ("fbclid", "gclid", "ref_src", "ref_url", "twclid", "xclid")
+SHOP_TRACKING = ("_gl", "gclid", "fbclid", "yclid")
+# Hosts that only carry posts and lists of links.
+SOCIAL_HOSTS = (
+    "x.com", "twitter.com", "www.instagram.com", "instagram.com", "www.facebook.com", "facebook.com",
+    "www.youtube.com", "youtube.com", "www.tiktok.com", "tiktok.com", "linktr.ee",
+)
 
 
 def _part(url: Column, pattern: str, group: int = 1) -> Column:
@@ -36,25 +42,40 @@ def query(url: Column) -> Column:
     return _part(blank(url), r"^[^?#]*\?([^#]*)")
 
 
-def _parameters(url: Column, dropped: tuple[str, ...]) -> Column:
-    def stays(item: Column) -> Column:
-        key = F.lower(F.substring_index(item, "=", 1))
-        return (item != "") & ~key.isin(*dropped) & ~key.startswith("utm_")
+def _decoded(text: Column) -> Column:
+    """A part of a query as it is meant; a percent sign that begins no code stands for itself."""
+    return F.coalesce(F.try_url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25")), text)
 
-    return F.filter(F.split(query(url), "&"), stays) if dropped else F.filter(F.split(query(url), "&"), lambda x: x != "")
 
+def _encoded(text: Column) -> Column:
+    return F.replace(F.replace(F.url_encode(text), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))
 
-def canonical(url: Column, *, empty_root: bool = False, ordered: bool = False, https_only: bool = False, dropped: tuple[str, ...] = TRACKING) -> Column:
+
+def parameters(url: Column, dropped: tuple[str, ...], ordered: bool = False) -> Column:
+    """The parameters that stay, decoded and written anew, so that different spellings of one are equal."""
+    items = F.filter(F.split(query(url), "&"), lambda x: x != "")
+
+    def pair(item: Column) -> Column:
+        return F.struct(_decoded(F.substring_index(item, "=", 1)).alias("key"), _decoded(F.when(item.contains("="), F.regexp_replace(item, "^[^=]*=", "")).otherwise("")).alias("value"))
+
+    pairs = F.transform(items, pair)
+    if dropped:
+        pairs = F.filter(pairs, lambda p: ~F.lower(p["key"]).isin(*dropped) & ~F.lower(p["key"]).startswith("utm_"))
+    pairs = F.array_sort(pairs) if ordered else pairs
+    return F.array_join(F.transform(pairs, lambda p: F.concat(_encoded(p["key"]), F.lit("="), _encoded(p["value"]))), "&")
+
+
+def canonical(url: Column, *, empty_root: bool = False, ordered: bool = False, whole_path: bool = False, https_only: bool = False, dropped: tuple[str, ...] = TRACKING) -> Column:
     """Canonical form; "" for what is no web address.
 
     Scheme and host in lower case, no fragment, no trailing slash, and tracking
-    parameters removed. ``empty_root``: a root path is "" and not "/";
-    ``ordered``: parameters are sorted; ``https_only``: other schemes give "".
+    parameters removed. ``empty_root``: a root path is "" and not "/"; ``ordered``:
+    parameters are sorted; ``whole_path``: slashes at the end stay; ``https_only``:
+    other schemes give "".
     """
-    tail = F.regexp_replace(path(url), "/+$", "")
+    tail = path(url) if whole_path else F.regexp_replace(path(url), "/+$", "")
     tail = tail if empty_root else F.when(tail == "", F.lit("/")).otherwise(tail)
-    kept = _parameters(url, dropped)
-    kept = F.array_join(F.array_sort(kept) if ordered else kept, "&")
+    kept = parameters(url, dropped, ordered)
     web = scheme(url).isin("https") if https_only else scheme(url).isin("http", "https")
     return F.when(web & (host(url) != ""), F.concat(scheme(url), F.lit("://"), netloc(url), tail, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))).otherwise("")
 
@@ -68,11 +89,11 @@ def discovery_url(url: Column) -> Column:
 
 
 def article_url(url: Column) -> Column:
-    return canonical(url, ordered=True, dropped=())
+    return canonical(url, ordered=True, whole_path=True, dropped=())
 
 
 def shop_url(url: Column) -> Column:
-    return canonical(url, ordered=True, https_only=True)
+    return canonical(url, ordered=True, whole_path=True, https_only=True, dropped=SHOP_TRACKING)
 
 
 def in_domain(url: Column, domain: Column) -> Column:
@@ -86,12 +107,14 @@ def path_number(url: Column) -> Column:
 
 
 def safety_error(url: Column) -> Column:
-    """Why a link is not followed; "" if it may be."""
-    name = host(url)
+    """Why a link is not followed, the first reason that holds; "" if it may be."""
+    name = F.regexp_replace(host(url), r"^\.+|\.+$", "")
     return (
         F.when(scheme(url) != "https", "scheme")
         .when(netloc(url).contains("@"), "credentials")
-        .when(netloc(url).rlike(":(?!443$)[0-9]+$"), "port")
-        .when((name == "") | (name == "localhost") | name.rlike(r"^[0-9.]+$") | name.contains("["), "host")
+        .when(F.regexp_replace(netloc(url), r"\[.*\]", "").rlike(":(?!443$)[0-9]+$"), "port")
+        .when((name == "") | (name == "localhost") | name.rlike(r"\.(?:local|localhost)$"), "local")
+        .when(name.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$") | netloc(url).contains("["), "address")
+        .when(name.isin(*SOCIAL_HOSTS), "social")
         .otherwise("")
     )

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyreef.operators.windows import ranked
+
 
 def win_rates(df: DataFrame, keys: Sequence[str | Column], win: Column, loss: Column, few: int = 10) -> DataFrame:
     """Totals by key: total, wins, losses, waiting, win_rate (percent of what is decided, null if nothing is), reference (few decided)."""
@@ -33,9 +35,10 @@ def counts_with_total(df: DataFrame, keys: str | Column, dimension: DataFrame, k
 
 
 def grouped_rows(df: DataFrame, keys: Sequence[str], order: str, columns: Sequence[str], most: int | None = None) -> DataFrame:
-    """Rows of a group as an array of structs in the given order."""
-    rows = F.array_sort(F.collect_list(F.struct(order, *columns)))
-    return df.groupBy(*keys).agg(F.min(order).alias("first"), (F.slice(rows, 1, most) if most else rows).alias("rows"))
+    """Rows of a group as an array of structs in the given order, the first ``most``."""
+    if most:
+        df = ranked(df, keys, [F.col(order), *map(F.col, columns)], most)
+    return df.groupBy(*keys).agg(F.min(order).alias("first"), F.array_sort(F.collect_list(F.struct(order, *columns))).alias("rows"))
 
 
 def histogram(df: DataFrame, keys: Sequence[str], reason: str) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,31 +17,6 @@ def left_with_fallback(df: DataFrame, state: DataFrame, on: Sequence[str], fallb
     return joined.select(*df.columns, *[F.when(F.col("__exact"), F.col(f"__{c}")).otherwise(F.col(f"__{c}_legacy")).alias(c) for c in columns])
 
 
-def match_ladder(incoming: DataFrame, known: DataFrame, block: str, steps: Sequence[tuple[str, str]], id_col: str = "in_id", known_id: str = "known_id") -> DataFrame:
-    """id, match and reason: each step is an equal join within the block, and only exactly one partner is a match.
-
-    A row that has the first step's key (an identifier) never falls back to
-    later steps, and known rows with an identifier are no partners for these.
-    """
-    first_key = steps[0][1]
-    tried = incoming.select(id_col, block, *[k for _, k in steps])
-    out = tried.select(id_col, F.col(first_key).isNotNull().alias("__has_id"))
-    for i, (_, key) in enumerate(steps):
-        partners = known.filter(F.col(key).isNotNull())
-        if i:
-            partners = partners.filter(F.col(first_key).isNull())
-        # Partners are counted before the join, so a frequent key is one row and not many.
-        counted = partners.groupBy(block, key).agg(F.count("*").alias(f"__n{i}"), F.min(known_id).alias(f"__m{i}"))
-        out = out.join(tried.join(counted, [block, key], "left").select(id_col, f"__n{i}", f"__m{i}"), id_col)
-    match, reason = F.lit(None), F.lit("no_match")
-    for i in reversed(range(len(steps))):
-        allowed = F.col("__has_id") if not i else ~F.col("__has_id")
-        n = F.coalesce(f"__n{i}", F.lit(0))
-        match = F.when(allowed & (n == 1), F.col(f"__m{i}")).when(allowed & (n > 1), None).otherwise(match)
-        reason = F.when(allowed & (n == 1), steps[i][0]).when(allowed & (n > 1), f"ambiguous_{steps[i][0]}").otherwise(reason)
-    return out.select(id_col, match.cast(known.schema[known_id].dataType).alias("match"), reason.alias("reason"))
-
-
 def domain_ladder(df: DataFrame, domains: DataFrame, host: str, domain: str = "domain", group: str = "group") -> DataFrame:
     """The rows with the group of the longest domain that the host is or lies below.
 
@@ -54,52 +30,86 @@ def domain_ladder(df: DataFrame, domains: DataFrame, host: str, domain: str = "d
     return keyed.join(best, "__row", "left").drop("__row")
 
 
-def containing(texts: DataFrame, phrases: DataFrame, id_col: str, text: str, phrase_id: str, phrase: str, words: int = 5) -> DataFrame:
-    """(id, phrase_id) of texts that contain a phrase.
-
-    Phrases meet texts by their first words, as an equal join on a run of words;
-    only such pairs are tested for containment. Phrases with fewer words than a
-    run are keyed by their first word.
-    """
+#: Characters of the phrases that one pass over the texts looks for at most, and words of a run by which longer lists are joined.
+PASS_CHARACTERS, RUN_WORDS = 2_000_000, 5
 
-    def runs(column: Column) -> Column:
-        # Runs are put together from shorter ones; slicing the word list for each place would read the text that often.
-        w = F.filter(F.split(F.lower(column), r"\s+"), lambda x: x != "")
 
-        def of(n: int) -> Column:
-            if n == 1:
-                return w
-            half = n // 2
-            rest = of(n - half)
-            return F.zip_with(of(half), F.slice(rest, half + 1, F.greatest(F.size(rest), F.lit(1))), lambda x, y: F.concat_ws(" ", x, y))
+def containing(texts: DataFrame, phrases: DataFrame, id_col: str, text: str, phrase_id: str, phrase: str, most: int = PASS_CHARACTERS) -> DataFrame:
+    """(id, phrase_id) of texts that contain a phrase, in any case and at any place, also within words; blank phrases are in none.
 
-        return of(words)
-
-    def first_runs(column: Column, n: int) -> Column:
-        w = F.filter(F.split(F.lower(column), r"\s+"), lambda x: x != "")
-        return F.array_join(F.slice(w, 1, n), " ")
-
-    size = F.size(F.filter(F.split(F.lower(phrase), r"\s+"), lambda x: x != ""))
-    long = phrases.filter(size > words).select(phrase_id, phrase, first_runs(F.col(phrase), words).alias("__run"))
-    keyed = texts.select(id_col, F.explode(F.array_distinct(runs(F.col(text)))).alias("__run"))
-    pairs = keyed.join(long.select(phrase_id, "__run"), "__run").select(id_col, phrase_id).distinct()
-    return pairs.join(texts.select(id_col, text), id_col).join(long.select(phrase_id, phrase), phrase_id).filter(F.lower(text).contains(F.lower(phrase))).select(id_col, phrase_id).distinct()
-
-
-def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int, weight: int = 2, bonus: Sequence[tuple[str, str, int]] = ()) -> DataFrame:
+    Phrases of a checked size are sent to the texts, which stay where they are and
+    are read once for all of them. Beyond that size, phrases of RUN_WORDS words
+    between their first and last one meet texts by these words, which stand in the
+    text as a whole, as an equal join; the rest are sent in several passes.
+    """
+    listed = phrases.select(F.col(phrase_id).alias("__id"), F.lower(F.col(phrase)).alias("__phrase")).filter(F.trim("__phrase") != "")
+    low = texts.select(id_col, F.lower(F.col(text)).alias("__text")).filter("__text is not null")
+    size = listed.agg(F.sum(F.length("__phrase"))).first()[0] or 0
+    if size <= most:
+        return _found_in(low, listed, id_col, phrase_id)
+    words = F.filter(F.split("__phrase", r"\s+"), lambda x: x != "")
+    inner = F.slice(words, 2, RUN_WORDS)
+    long = listed.filter(F.size(words) > RUN_WORDS + 1).select("__id", "__phrase", F.array_join(inner, " ").alias("__run"))
+    every = F.filter(F.split("__text", r"\s+"), lambda x: x != "")
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(every) - RUN_WORDS + 1, F.lit(1))), lambda i: F.array_join(F.slice(every, i, RUN_WORDS), " "))
+    pairs = low.select(id_col, F.explode(F.array_distinct(runs)).alias("__run")).join(long.select("__id", "__run"), "__run").select(id_col, "__id").distinct()
+    out = pairs.join(low, id_col).join(long.select("__id", "__phrase"), "__id").filter(F.contains("__text", "__phrase")).select(id_col, F.col("__id").alias(phrase_id))
+    # Shorter phrases, dealt by hash into passes of about half the size.
+    short = listed.filter(F.size(words) <= RUN_WORDS + 1)
+    passes = max(1, -(-2 * (short.agg(F.sum(F.length("__phrase"))).first()[0] or 0) // most))
+    for i in range(passes):
+        out = out.union(_found_in(low, short.filter(F.pmod(F.xxhash64("__phrase"), F.lit(passes)) == i), id_col, phrase_id))
+    return out.distinct()
+
+
+def _found_in(low: DataFrame, listed: DataFrame, id_col: str, phrase_id: str) -> DataFrame:
+    """(id, phrase_id) by one automaton of all phrases listed, a bounded number; low has id and __text, listed __id and __phrase."""
+    known: dict[str, list] = {}
+    for r in listed.collect():
+        known.setdefault(r["__phrase"], []).append(r["__id"])
+    kinds = {f.name: f.dataType.simpleString() for f in [*low.schema.fields, *listed.schema.fields]}
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for found in known:
+            automaton.add_word(found, found)
+        automaton.make_automaton()
+        for frame in frames:
+            rows = [(i, p) for i, t in zip(frame[id_col], frame["__text"], strict=True) for found in sorted({x for _, x in automaton.iter(t)} if known else ()) for p in known[found]]
+            yield pd.DataFrame(rows, columns=[id_col, phrase_id])
+
+    return low.mapInPandas(run, f"`{id_col}` {kinds[id_col]}, `{phrase_id}` {kinds['__id']}").distinct()
+
+
+def best_match(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_words: str, right_words: str, least: int, weight: int = 2, bonus: Sequence[tuple[str, str, int]] = (), frequent: int = 1000) -> DataFrame:
     """The right row with the highest score for each left row; below ``least`` there is none; ties go to the smaller id.
 
     Score: ``weight`` for each shared word, and a bonus for each equal pair of
-    columns (counted for rows that share a word). Rows meet on shared words.
+    columns (counted for rows that share a word). Rows meet on shared words that
+    at most ``frequent`` right rows have, and are then scored by all their words.
+    Rows that share frequent words alone are scored by these and the columns of
+    the bonus, so right rows that agree in both stand as one, the smallest id.
     """
-    a = left.select(left_id, F.explode(F.array_distinct(left_words)).alias("__w"))
-    b = right.select(right_id, F.explode(F.array_distinct(right_words)).alias("__w"))
-    score = a.join(b, "__w").groupBy(left_id, right_id).agg((F.count("*") * weight).alias("score"))
-    for i, (x, y, points) in enumerate(bonus):
-        score = score.join(left.select(left_id, F.col(x).alias(f"__x{i}")), left_id).join(right.select(right_id, F.col(y).alias(f"__y{i}")), right_id)
-        score = score.withColumn("score", F.col("score") + F.when(F.col(f"__x{i}") == F.col(f"__y{i}"), points).otherwise(0)).drop(f"__x{i}", f"__y{i}")
-    best = score.filter(F.col("score") >= least).groupBy(left_id).agg(F.min(F.struct((-F.col("score")).alias("s"), right_id)).alias("x"))
-    return left.select(left_id).join(best, left_id, "left").select(left_id, F.col(f"x.{right_id}").alias(right_id), (-F.col("x.s")).alias("score"))
+    sides = []
+    for side, key, words, at in ((left, left_id, left_words, 0), (right, right_id, right_words, 1)):
+        sides.append(side.select(F.col(key).alias(f"__{at}"), F.array_distinct(words).alias(f"__words{at}"), *[F.col(pair[at]).alias(f"__b{i}_{at}") for i, pair in enumerate(bonus)]))
+    a, b = sides
+    each = b.select("__1", F.explode("__words1").alias("__w"))
+    counts = each.groupBy("__w").agg((F.count("*") > frequent).alias("__frequent"))
+    points = sum((F.when(F.col(f"__b{i}_0") == F.col(f"__b{i}_1"), n).otherwise(0) for i, (_, _, n) in enumerate(bonus)), F.lit(0))
+    told = a.select("__0", F.explode("__words0").alias("__w"))
+    rare = told.join(each.join(counts.filter("not __frequent"), "__w", "left_semi"), "__w").select("__0", "__1").distinct()
+    scored = rare.join(a, "__0").join(b, "__1").select("__0", "__1", (F.size(F.array_intersect("__words0", "__words1")) * weight + points).alias("score"))
+    # One row for all right rows of the same frequent words and columns.
+    usual = each.join(counts.filter("__frequent"), "__w").groupBy("__1").agg(F.array_sort(F.collect_set("__w")).alias("__usual"))
+    alike = [f"__b{i}_1" for i in range(len(bonus))]
+    kinds = usual.join(b, "__1").groupBy("__usual", *alike).agg(F.min("__1").alias("__1"))
+    met = told.join(kinds.select("__1", "__usual", *alike, F.explode("__usual").alias("__w")), "__w").groupBy("__0", "__1").agg((F.count("*") * weight).alias("__n"))
+    met = met.join(a.drop("__words0"), "__0").join(kinds.drop("__usual"), "__1").select("__0", "__1", (F.col("__n") + points).alias("score"))
+    best = scored.unionByName(met).filter(F.col("score") >= least).groupBy("__0").agg(F.min(F.struct((-F.col("score")).alias("s"), "__1")).alias("x"))
+    return left.select(left_id).join(best, F.col(left_id) == F.col("__0"), "left").select(left_id, F.col("x.__1").alias(right_id), (-F.col("x.s")).alias("score"))
 
 
 def prefix_anti(df: DataFrame, excluded: DataFrame, key: str, prefix: str, separator: str = " ") -> DataFrame:

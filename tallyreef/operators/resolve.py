@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyreef.functions.text import blank, first_filled
+from tallyreef.operators.windows import ranked
+
+#: Evidence that is kept for a row at most.
+MOST_EVIDENCE = 20
 
 
 def identity(explicit: Column, *parts: Column) -> Column:
@@ -28,25 +32,31 @@ def first_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("x")).select(*keys, "x.*").select(*df.columns)
 
 
-def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], accumulate: Sequence[str] = ()) -> DataFrame:
-    """The last row of each key; columns to accumulate become sorted distinct arrays over all its rows."""
+def distinct_values(df: DataFrame, keys: Sequence[str], value: str, most: int) -> DataFrame:
+    """keys and the sorted distinct values of each, the first ``most``; a key with very many never holds them all at once."""
+    once = df.select(*keys, value).filter(F.col(value).isNotNull()).distinct()
+    return ranked(once, keys, [F.col(value)], most).groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(value))
+
+
+def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], accumulate: Sequence[str] = (), most: int = MOST_EVIDENCE) -> DataFrame:
+    """The last row of each key; columns to accumulate become sorted distinct arrays of its rows' values, the first ``most``."""
     rest = [c for c in df.columns if c not in keys and c not in order and c not in accumulate]
-    return (
-        df.groupBy(*keys)
-        .agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("x"), *[F.array_sort(F.collect_set(c)).alias(c) for c in accumulate])
-        .select(*keys, "x.*", *accumulate)
-    )
+    out = df.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("x")).select(*keys, "x.*")
+    for c in accumulate:
+        out = out.join(distinct_values(df, keys, c, most), list(keys), "left")
+    return out
 
 
-def upgraded_in_place(df: DataFrame, keys: Sequence[str], order: str, candidate: Column, evidence: str) -> DataFrame:
-    """First-wins, but a confirmed row replaces a candidate; evidence of all rows is united and the first place kept."""
+def upgraded_in_place(df: DataFrame, keys: Sequence[str], order: str, candidate: Column, evidence: str, most: int = MOST_EVIDENCE) -> DataFrame:
+    """First-wins, but a confirmed row replaces a candidate; evidence of all rows is united, the first ``most``, and the first place kept."""
     rest = [c for c in df.columns if c not in keys and c != evidence]
-    return (
+    chosen = (
         df.withColumn("__rank", F.struct(candidate.cast("int"), order))
         .groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), "__rank").alias("x"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(evidence)))).alias(evidence), F.min(order).alias("place"), F.count("*").alias("merged"))
-        .select(*keys, "x.*", evidence, "place", "merged")
+        .agg(F.min_by(F.struct(*rest), "__rank").alias("x"), F.min(order).alias("place"), F.count("*").alias("merged"))
+        .select(*keys, "x.*", "place", "merged")
     )
+    return chosen.join(distinct_values(df.select(*keys, F.explode(evidence).alias(evidence)), keys, evidence, most), list(keys), "left")
 
 
 def fill_missing(current: Column, incoming: Column) -> Column:
@@ -87,35 +97,46 @@ def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> tupl
     return merged.select(*keys, "x.*"), merged.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def greedy_merge(df: DataFrame, block: str, order: str, same: Callable[[dict, dict], bool], fill: Sequence[str], count: str = "merged") -> DataFrame:
-    """Order-dependent merge within a block: a row joins the first earlier row that it equals and fills what that lacks.
+def greedy_merge(df: DataFrame, block: str, order: str, keys: Sequence[Sequence[str]], fill: Sequence[str], count: str = "merged") -> DataFrame:
+    """Order-dependent merge within a block: a row joins the first earlier row with which it agrees in all parts of a key, none of them empty, and fills what that lacks.
 
     A filled row may then equal later rows, so the result is a fold and no
-    grouping. Blocks are folded apart; choose them small (category and host, not
-    category alone), since a block is one task's work.
+    grouping. The rows of a block stream through one task in order; it holds the
+    rows that remain and finds them by key, so time grows with the rows.
     """
     columns = df.columns
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[dict] = []
-        for row in pdf.sort_values(order, kind="stable").to_dict("records"):
-            found = next((held for held in out if same(held, row)), None)
-            if found is None:
-                out.append(row | {count: 1})
-                continue
-            found[count] += 1
-            for c in fill:
-                if pd.isna(found[c]) or found[c] == "":
-                    found[c] = row[c]
-        return pd.DataFrame(out, columns=[*columns, count])
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[dict] = []
+        first: dict[tuple, int] = {}
+        current = None
+
+        def values(row: dict) -> Iterator[tuple]:
+            for i, key in enumerate(keys):
+                parts = [row[c] for c in key]
+                if not any(pd.isna(x) or x == "" for x in parts):
+                    yield (i, *parts)
+
+        for frame in frames:
+            done = []
+            for row in frame.astype(object).to_dict("records"):
+                if row[block] != current and not (pd.isna(row[block]) and current is None):
+                    done += held
+                    held, first, current = [], {}, None if pd.isna(row[block]) else row[block]
+                at = min((first[v] for v in values(row) if v in first), default=None)
+                if at is None:
+                    at = len(held)
+                    held.append(row | {count: 1})
+                else:
+                    held[at][count] += 1
+                    for c in fill:
+                        if pd.isna(held[at][c]) or held[at][c] == "":
+                            held[at][c] = row[c]
+                for v in values(held[at]):
+                    first[v] = min(first.get(v, at), at)
+            if done:
+                yield pd.DataFrame(done, columns=[*columns, count])
+        yield pd.DataFrame(held, columns=[*columns, count])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    return df.groupBy(block).applyInPandas(fold, f"{schema}, {count} long")
-
-
-def split_conflicts(df: DataFrame, id_col: str, order: str, parts: Sequence[str]) -> DataFrame:
-    """Rows of one id that differ in a part get ids of their own: the first group keeps the id, others a hash of id and parts."""
-    key = F.concat_ws("|", *[blank(F.col(p)) for p in parts])
-    keyed = df.withColumn("__key", key)
-    heads = keyed.groupBy(id_col).agg(F.min_by("__key", order).alias("__head"))
-    return keyed.join(heads, id_col).withColumn("new_id", F.when(F.col("__key") == F.col("__head"), F.col(id_col).cast("string")).otherwise(stable_id(F.col(id_col), F.col("__key")))).drop("__key", "__head")
+    return df.repartition(block).sortWithinPartitions(block, order).mapInPandas(fold, f"{schema}, {count} long")

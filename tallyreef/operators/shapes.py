@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyreef.operators.windows import ranked
@@ -112,11 +112,11 @@ def union_distinct(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(F.coalesce(a, empty), F.coalesce(b, empty)))
 
 
-def pages_up_to(df: DataFrame, key: str, page: str) -> DataFrame:
-    """Every page from 1 to the key's highest, and whether it was seen."""
+def page_gaps(df: DataFrame, key: str, page: str) -> DataFrame:
+    """key, first, last: the ranges of pages from 1 to the key's highest that were not seen."""
     seen = df.filter(F.col(page) >= 1).select(key, page).distinct()
-    all_pages = seen.groupBy(key).agg(F.max(page).alias("__most")).select(key, F.explode(F.sequence(F.lit(1), F.col("__most").cast("int"))).alias(page))
-    return all_pages.join(seen.withColumn("seen", F.lit(True)), [key, page], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    before = F.coalesce(F.lag(page).over(Window.partitionBy(key).orderBy(page)), F.lit(0))
+    return seen.select(key, (before + 1).alias("first"), (F.col(page) - 1).alias("last")).filter("first <= last")
 
 
 def expanded(df: DataFrame, keys: Sequence[str], items: str, name: str) -> DataFrame:

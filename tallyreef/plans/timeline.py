@@ -133,12 +133,13 @@ def agenda_union(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def date_inference(spark: SparkSession, sf: str) -> DataFrame:
-    """Year of a month and day without one, nearest to now, and long past dates rolled to next year."""
+    """Year of a month and day without one, nearest to now or to a release, and long past dates rolled to next year; 29 February has the leap year or none."""
     today = F.lit("2024-01-20").cast("date")
     o = table(spark, sf, "orders").select("o_orderkey", F.month("o_orderdate").alias("m"), F.dayofmonth("o_orderdate").alias("d"))
     year = times.inferred_year(F.col("m"), F.col("d"), today, F.lit(None).cast("date"))
     rolled = times.rolled_forward(times.date_of(F.lit(2023), F.col("m"), F.col("d")), today)
-    return o.filter("not (m = 2 and d = 29)").select("o_orderkey", year.alias("year"), rolled.cast("string").alias("rolled"))
+    near = times.inferred_year(F.col("m"), F.col("d"), today, F.lit("2026-03-01").cast("date"))
+    return o.select("o_orderkey", year.alias("year"), near.alias("by_release"), rolled.cast("string").alias("rolled"))
 
 
 QUERIES = {f.__name__: f for f in (latest_event_per_user, value_change_feed, filled_change_feed, edge_detect, title_changes, history_top50_per_user, timeline_top20, throttled_errors, deadline_buckets, period_states, reminder_offsets, seen_delta, props_json, api_items_by_kind, calendar_unpivot, agenda_union, date_inference)}
@@ -161,5 +162,5 @@ ORACLE_SQL = {
     "api_items_by_kind": "SELECT event_type AS type, count(*) AS n FROM events WHERE value > 50 AND event_type <> 'error' GROUP BY 1",
     "calendar_unpivot": "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS d FROM orders), u AS (SELECT o_orderkey, 'ordered' AS event_type, d AS s FROM o UNION ALL SELECT o_orderkey, 'due', d + 30 FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'follow_up', d + 7 FROM o WHERE o_totalprice > 400000) SELECT event_type, strftime(s, '%Y-%m') AS month, count(*) AS n, min(o_orderkey) AS first FROM u GROUP BY 1, 2",
     "agenda_union": f"WITH o AS (SELECT *, o_orderdate::DATE AS d FROM orders), t AS (SELECT 1 AS priority, 'pay' AS kind, o_orderkey, d + 14 AS due FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT 2, 'check', o_orderkey, d + 3 FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT 3, 'review', o_orderkey, d FROM o WHERE o_totalprice > 450000) SELECT priority, kind, o_orderkey, due::VARCHAR AS due FROM t WHERE due BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30",
-    "date_inference": "WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)), y AS (SELECT o_orderkey, y, abs(make_date(y, m, d) - DATE '2024-01-20') AS far FROM o, (VALUES (2023), (2024), (2025)) t(y)), r AS (SELECT o_orderkey, make_date(2023, m, d) AS p FROM o) SELECT o_orderkey, arg_min(y, (far, y)) AS year, any_value((CASE WHEN DATE '2024-01-20' - p > 120 THEN p + INTERVAL 1 YEAR ELSE p END)::DATE::VARCHAR) AS rolled FROM y JOIN r USING (o_orderkey) GROUP BY 1",
+    "date_inference": "WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders), y AS (SELECT o_orderkey, y, TRY_CAST(y || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE) AS c FROM o, (VALUES (2023), (2024), (2025), (2026)) t(y)), f AS (SELECT o_orderkey, y, abs(c - DATE '2024-01-20') + CASE WHEN DATE '2024-01-20' - c > 120 THEN 365 ELSE 0 END AS near, abs(c - DATE '2026-03-01') + CASE WHEN c - DATE '2026-03-01' > 120 OR c - DATE '2026-03-01' < -400 THEN 1000 ELSE 0 END AS rel FROM y WHERE c IS NOT NULL), g AS (SELECT o_orderkey, arg_min(y, (near, y)) FILTER (WHERE y < 2026) AS year, arg_min(y, (rel, y)) AS by_release FROM f GROUP BY 1), r AS (SELECT o_orderkey, TRY_CAST('2023-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE) AS p FROM o) SELECT r.o_orderkey, year, by_release, (CASE WHEN DATE '2024-01-20' - p > 120 THEN p + INTERVAL 1 YEAR ELSE p END)::DATE::VARCHAR AS rolled FROM r LEFT JOIN g USING (o_orderkey)",
 }

@@ -1,10 +1,11 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyreef.functions import money, rules, text, times, urls
-from tallyreef.operators import resolve, shapes, windows
+from tallyreef.operators import joins, resolve, shapes, windows
 from tallyreef.sources import sinks, tables
 
 
@@ -19,7 +20,7 @@ def value(df, column):
 @pytest.mark.parametrize(
     ("url", "application", "discovery", "shop"),
     [
-        ("HTTPS://Shop.Example.com/A/?b=2&utm_source=x&a=1#top", "https://shop.example.com/A?b=2&a=1", "https://shop.example.com/A?b=2&a=1", "https://shop.example.com/A?a=1&b=2"),
+        ("HTTPS://Shop.Example.com/A/?b=2&utm_source=x&a=1#top", "https://shop.example.com/A?b=2&a=1", "https://shop.example.com/A?b=2&a=1", "https://shop.example.com/A/?a=1&b=2"),
         ("http://example.com/", "http://example.com/", "http://example.com", ""),
         ("ftp://example.com/x", "", "", ""),
         (None, "", "", ""),
@@ -33,7 +34,7 @@ def test_canonical_urls(spark, url, application, discovery, shop):
 
 @pytest.mark.parametrize(
     ("url", "error"),
-    [("https://a.example/x", ""), ("http://a.example", "scheme"), ("https://u:p@a.example", "credentials"), ("https://a.example:444/", "port"), ("https://127.0.0.1/", "host"), ("https://localhost/", "host")],
+    [("https://a.example/x", ""), ("http://a.example", "scheme"), ("https://u:p@a.example", "credentials"), ("https://a.example:444/", "port"), ("https://127.0.0.1/", "address"), ("https://localhost/", "local"), ("https://a.local", "local"), ("https://[::1]/", "address"), ("https://X.com/a", "social")],
 )
 def test_url_safety(spark, url, error):
     assert value(one(spark, url), urls.safety_error(F.col("x"))) == error
@@ -82,7 +83,6 @@ def test_accuracy_is_null_when_nothing_is_decided(spark):
 def test_text_forms(spark):
     df = one(spark, "ＢＯＸ　Ａbc　 d")
     assert value(df, text.search_text(F.col("x"))) == "box abc d"
-    assert value(df, text.strong_name(F.lit("Super Pack BOX"))) == "super"
     assert value(df, text.masked_reference(F.lit(None), F.lit("abcd"))) == "••••"
     broken = "価格".encode("cp932").decode("cp1252", errors="ignore")
     assert value(one(spark, "plain"), text.repair_mojibake(F.col("x"))) == "plain"
@@ -111,9 +111,56 @@ def test_first_and_last_wins(spark):
 
 
 def test_greedy_merge_fills_and_then_matches(spark):
-    df = spark.createDataFrame([("b", 1, "u", None), ("b", 2, "u", "n"), ("b", 3, None, "n")], "b string, ord int, url string, num string")
-    same = lambda x, y: bool(x["url"]) and x["url"] == y["url"] or bool(x["num"]) and x["num"] == y["num"]
-    assert [r.merged for r in resolve.greedy_merge(df, "b", "ord", same, ["url", "num"]).collect()] == [3]
+    df = spark.createDataFrame([("b", 1, "u", None), ("b", 2, "u", "n"), ("b", 3, None, "n"), (None, 4, "u", "n"), (None, 5, "u", None)], "b string, ord int, url string, num string")
+    assert sorted(r.merged for r in resolve.greedy_merge(df, "b", "ord", [("url",), ("num",)], ["url", "num"]).collect()) == [2, 3]
+
+
+def test_greedy_merge_equals_a_plain_fold(spark):
+    """Against a scan of all rows held so far, on keys that often meet."""
+    draw = random.Random(4)
+    some = lambda n: draw.choice([None, "", *map(str, range(n))])
+    rows = [(draw.choice("abc"), i, some(60), some(9), some(9)) for i in range(600)]
+    expected = []
+    for block in "abc":
+        held = []
+        for _, i, u, x, y in (r for r in rows if r[0] == block):
+            same = next((h for h in held if u and h[1] == u or x and y and (h[2], h[3]) == (x, y)), None)
+            if same is None:
+                held.append([i, u, x, y, 1])
+                continue
+            same[4] += 1
+            for at, v in ((1, u), (2, x), (3, y)):
+                same[at] = same[at] or v
+        expected += held
+    df = spark.createDataFrame(rows, "b string, ord int, u string, x string, y string").repartition(5)
+    found = resolve.greedy_merge(df, "b", "ord", [("u",), ("x", "y")], ["u", "x", "y"]).collect()
+    assert sorted((r.ord, r.u or "", r.x or "", r.y or "", r.merged) for r in found) == sorted((i, u or "", x or "", y or "", n) for i, u, x, y, n in expected)
+
+
+def test_containing_phrases_of_any_length(spark):
+    texts = ["alpha beta gamma delta epsilon zeta eta theta iota", "ALPHA  beta", "xalpha betax", "", None, "one two three four five six seven eight"]
+    phrases = ["alpha beta", "alpha beta gamma delta epsilon", "pha beta gamma delta epsilon zeta eta theta", "a", "", " ", None, "beta gamma delta epsilon zeta eta thet", "four", "two three four five six seven eight", "eight nine"]
+    t = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    p = spark.createDataFrame(list(enumerate(phrases)), "p long, phrase string")
+    expected = {(i, k) for i, x in enumerate(texts) for k, y in enumerate(phrases) if x and y and y.strip() and y.lower() in x.lower()}
+    for most in (10_000, 40):
+        found = [tuple(r) for r in joins.containing(t, p, "i", "text", "p", "phrase", most).collect()]
+        assert sorted(found) == sorted(expected)
+
+
+def test_best_match_with_frequent_words(spark):
+    """Against all pairs, whatever counts as frequent."""
+    draw = random.Random(8)
+    row = lambda i: (i, draw.sample(["a", "b", "c", "d1", "d2", "d3", "d4"], draw.randint(0, 4)), draw.randint(0, 2))
+    left, right = [row(i) for i in range(30)], [row(i) for i in range(80)]
+    a, b = (spark.createDataFrame(rows, f"{x}id int, {x}w array<string>, {x}n int") for rows, x in ((left, "l"), (right, "r")))
+    expected = {}
+    for i, w, n in left:
+        best = max(((2 * len(set(w) & set(v)) + 3 * (n == m), -j) for j, v, m in right if set(w) & set(v)), default=(0, 0))
+        expected[i] = (-best[1], best[0]) if best[0] >= 3 else (None, None)
+    for frequent in (0, 20, 1000):
+        found = {r.lid: (r.rid, r.score) for r in joins.best_match(a, b, "lid", "rid", "lw", "rw", 3, 2, [("ln", "rn", 3)], frequent).collect()}
+        assert found == expected
 
 
 def test_throttle_counts_from_the_last_notified(spark):
