@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tallyreef.plans import catalog, statistics, streams, timeline
+from tallyreef.plans import catalog, master, naming, periods, statistics, streams, timeline
 
 FLAGSHIP = "win_rate_by_nation"
-QUERIES: dict = {**statistics.QUERIES, **timeline.QUERIES, **catalog.QUERIES, **streams.QUERIES}
-ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL, **timeline.ORACLE_SQL, **catalog.ORACLE_SQL, **streams.ORACLE_SQL}
+QUERIES: dict = {**statistics.QUERIES, **timeline.QUERIES, **catalog.QUERIES, **naming.QUERIES, **master.QUERIES, **periods.QUERIES, **streams.QUERIES}
+ORACLE_SQL: dict[str, str] = {**statistics.ORACLE_SQL, **timeline.ORACLE_SQL, **catalog.ORACLE_SQL, **naming.ORACLE_SQL, **master.ORACLE_SQL, **periods.ORACLE_SQL, **streams.ORACLE_SQL}
