@@ -6,6 +6,7 @@ which Spark has no built-in; these two are Arrow-batched UDFs.
 
 from __future__ import annotations
 
+import html as html_module
 import unicodedata
 
 import pandas as pd
@@ -86,6 +87,21 @@ def stripped(html: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
+def unescaped(text: Column) -> Column:
+    """Character references decoded."""
+
+    def decode(t: str | None) -> str | None:
+        return None if t is None else html_module.unescape(t)
+
+    return F.pandas_udf(lambda texts: texts.map(decode), StringType())(text)
+
+
+def plain_text(html: Column) -> Column:
+    """A page as lines of text: pictures stand for their words, scripts and styles go, block ends become new lines, references are decoded."""
+    shown = F.regexp_replace(html, r"""(?is)<img\b[^>]*?\balt\s*=\s*["']([^"']+)["'][^>]*>""", " $1 ")
+    return unescaped(stripped(shown))
+
+
 def links(html: Column) -> Column:
     """Distinct targets of anchors in page order."""
     return F.array_distinct(F.regexp_extract_all(html, F.lit(r'<a [^>]*href="([^"]*)"'), F.lit(1)))

@@ -155,3 +155,46 @@ def unseen(df: DataFrame, seen: DataFrame, key: Sequence[str]) -> DataFrame:
 def with_count(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     """Rows and how many share their key."""
     return df.withColumn(name, F.count("*").over(Window.partitionBy(*keys)))
+
+
+def with_fallback_counts(df: DataFrame, counters: DataFrame, key: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows with their counters, 0 where there are none."""
+    return df.join(counters.select(*key, *columns), list(key), "left").select(*df.columns, *[F.coalesce(c, F.lit(0)).alias(c) for c in columns])
+
+
+def discovered(incoming: DataFrame, known: DataFrame, key: str, known_id: str) -> DataFrame:
+    """Incoming rows with ``merge`` and the known row where exactly one has the key, ``ambiguous`` for several, ``create`` for none."""
+    counted = known.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__n"), F.min(known_id).alias("target"))
+    n = F.coalesce("__n", F.lit(0))
+    out = incoming.join(counted, key, "left").withColumn("action", F.when(n == 1, "merge").when(n > 1, "ambiguous").otherwise("create"))
+    return out.withColumn("target", F.when(F.col("action") == "merge", F.col("target"))).drop("__n")
+
+
+def verified(candidates: DataFrame, evidence: DataFrame, key: str, order: str, rejects: Column, confirms: Column, cancelled: Column) -> DataFrame:
+    """key and status: the first piece of evidence that rejects or confirms decides; a cancelled candidate is rejected at once; else pending.
+
+    Only the first place of either kind counts, so no row of evidence is listed.
+    """
+    first = evidence.groupBy(key).agg(F.min(F.when(rejects, F.col(order))).alias("__no"), F.min(F.when(confirms & ~rejects, F.col(order))).alias("__yes"))
+    status = F.when(cancelled, "rejected").when(F.col("__no").isNotNull() & (F.col("__yes").isNull() | (F.col("__no") < F.col("__yes"))), "rejected").when(F.col("__yes").isNotNull(), "confirmed").otherwise("pending")
+    return candidates.join(first, key, "left").select(*candidates.columns, status.alias("status"))
+
+
+def two_sources(first: DataFrame, second: DataFrame, keys: Sequence[Sequence[str]], row: str, evidence: str, confidence: str) -> DataFrame:
+    """Rows of the first source with what equal rows of the second add: distinct evidence and the greatest confidence; then the second's rows that equal none.
+
+    A second row joins the first one, by ``row``, of the rows that it equals.
+    """
+    pairs = same_case(first.withColumnRenamed(row, "__a"), second.withColumnRenamed(row, "__b"), keys, "__a", "__b").groupBy("__b").agg(F.min("__a").alias("__a"))
+    joined = second.join(pairs, second[row] == pairs["__b"], "left")
+    added = joined.filter("__a is not null").groupBy(F.col("__a").alias(row)).agg(F.array_sort(F.collect_set(evidence)).alias("__added"), F.max(confidence).alias("__best"))
+    out = first.join(added, row, "left")
+    merged = out.select(row, F.array_sort(F.array_distinct(F.concat(F.array(evidence), F.coalesce("__added", F.array().cast("array<string>"))))).alias("evidence"), F.greatest(confidence, F.coalesce("__best", F.col(confidence))).alias("confidence"), F.lit("first").alias("source"))
+    alone = joined.filter("__a is null").select(row, F.array(evidence).alias("evidence"), F.col(confidence).alias("confidence"), F.lit("second").alias("source"))
+    return merged.unionByName(alone)
+
+
+def new_members(dimension: DataFrame, settings: DataFrame, key: str, renamed: DataFrame, enabled: str) -> DataFrame:
+    """key, enabled and whether it is new: settings keep their state under the key's present name, members without one are off."""
+    named = settings.join(renamed, key, "left").select(F.coalesce("present", key).alias(key), enabled).groupBy(key).agg(F.bool_or(enabled).alias(enabled))
+    return dimension.select(key).join(named.withColumn("__known", F.lit(True)), key, "left").select(key, F.coalesce(enabled, F.lit(False)).alias(enabled), F.col("__known").isNull().alias("new"))

@@ -122,3 +122,57 @@ def page_gaps(df: DataFrame, key: str, page: str) -> DataFrame:
 def expanded(df: DataFrame, keys: Sequence[str], items: str, name: str) -> DataFrame:
     """A row for each distinct item; a row without items stays with a null."""
     return df.withColumn(name, F.explode_outer(F.array_sort(F.array_distinct(items)))).drop(items)
+
+
+# Kinds of products that a category releases, words of supplies and of cards, and words of pages that release nothing.
+RELEASE_KINDS = {
+    "onepiece": ("ブースターパック", "エクストラブースター", "スタートデッキ", "プレミアムカードコレクション", "プレミアム商品", "その他"),
+    "gundam": ("ブースターパック", "スタートデッキ", "プレミアムバンダイ", "その他"),
+    "union_arena": ("ブースターパック", "スタートデッキ", "構築済みデッキ", "プレミアム商品", "その他カード商品"),
+    "dragon_ball_fusion_world": ("ブースターパック", "スタートデッキ", "プレミアム商品", "その他カード商品"),
+}
+SUPPLIES, CARDS, NO_RELEASE = "スリーブ|プレイマット|ケース|アクセサリー|sleeve|playmat|case", "カード|セット|コレクション|card|set|collection", "cardlist|event|rule|カードリスト|イベント|ルール"
+UNDATED_ALLOWED = ("onepiece", "union_arena", "dragon_ball_fusion_world")
+#: Days after a release that a product still counts as new and before it that it already does, and after which it is archived.
+NEW_AFTER, NEW_BEFORE, ARCHIVED_AFTER = 45, 730, 183
+
+
+def new_release(category: Column, kind: Column, name: Column, release: Column, official: Column, url: Column, today: Column) -> Column:
+    """A product that may be released soon or just was; categories without a list take any that has a name."""
+    listed = F.lit(False)
+    for key, kinds in RELEASE_KINDS.items():
+        listed = listed | ((category == key) & kind.isin(*kinds))
+    low = F.lower(name)
+    fits = (kind != "その他") | (~low.rlike(SUPPLIES) & low.rlike(CARDS))
+    date = release.try_cast("date")
+    age = F.date_diff(today, date)
+    dated = F.when(F.coalesce(release, F.lit("")) == "", category.isin(*UNDATED_ALLOWED) & F.coalesce(official, F.lit(False))).otherwise(F.coalesce((age <= NEW_AFTER) & (age >= -NEW_BEFORE), F.lit(False)))
+    plain = ~F.lower(F.concat_ws(" ", name, url)).rlike(NO_RELEASE)
+    return F.when(~category.isin(*RELEASE_KINDS), F.trim(name) != "").otherwise(listed & fits & dated & url.startswith("https://") & plain)
+
+
+def not_archived(release: Column, today: Column) -> Column:
+    """Released at most ARCHIVED_AFTER days ago; what is no date stays."""
+    return F.coalesce(F.date_diff(today, release.try_cast("date")) <= ARCHIVED_AFTER, F.lit(True))
+
+
+def in_category(keys: Column, wanted: str) -> Column:
+    """The wanted key is among a row's; "all" is any."""
+    return F.lit(True) if wanted == "all" else F.array_contains(keys, wanted)
+
+
+def same_span(date: Column, day: Column, span: str) -> Column:
+    """In the month, or in the week from Monday on, of a day."""
+    return F.date_trunc(span, date.cast("timestamp_ntz")) == F.date_trunc(span, day.cast("timestamp_ntz"))
+
+
+def first_failing_counts(df: DataFrame, checks: Sequence[tuple[str, Column]]) -> DataFrame:
+    """How many rows fail each check first, and how many none."""
+    return df.groupBy(first_failing(checks).alias("reason")).agg(F.count("*").alias("n"))
+
+
+def rotated(df: DataFrame, keys: Sequence[str], order: Sequence[Column], index: Column) -> DataFrame:
+    """The row of each key that is next in turn: the one at the stored index modulo the rows of the key."""
+    w = Window.partitionBy(*keys)
+    placed = df.withColumn("__n", F.count("*").over(w)).withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1)
+    return placed.filter(F.col("__i") == F.pmod(index, F.col("__n"))).drop("__n", "__i")
