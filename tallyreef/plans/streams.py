@@ -22,7 +22,7 @@ def stream_throttled_errors(spark: SparkSession, sf: str) -> DataFrame:
 def stream_latest_event(spark: SparkSession, sf: str) -> DataFrame:
     """The latest event of each user, merged batch by batch."""
     events = streams.table_stream(spark, sf, "events").select("user_id", "event_id", "event_type")
-    return streams.upsert_batches(events, "user_id", "event_id", streams.scratch(spark, "stream-merge"))
+    return streams.upsert_batches(events, "user_id", "event_id", streams.scratch(spark, "stream-merge"), streams.scratch(spark, "stream-state"))
 
 
 def stream_dedupe_keys(spark: SparkSession, sf: str) -> DataFrame:

@@ -51,7 +51,35 @@ def replace_by_key(current: DataFrame, incoming: DataFrame, key: Sequence[str])
     return current.join(incoming.select(*key).distinct(), list(key), "left_anti").unionByName(incoming.select(*current.columns))
 
 
-def export_csv(df: DataFrame, path: str, labels: tuple[str, str] = ("yes", "no")) -> None:
-    """CSV with a header; booleans are written as labels."""
+def upsert_newest(current: DataFrame, incoming: DataFrame, key: Sequence[str], newest: str, keep: int) -> DataFrame:
+    """The newest row of each key, compared without case where it is text; the newest ``keep`` of all."""
+    both = current.unionByName(incoming.select(*current.columns))
+    kinds = dict(current.dtypes)
+    parts = [F.lower(k) if kinds[k] == "string" else F.col(k) for k in key]
+    latest = Window.partitionBy(*parts).orderBy(F.desc(newest))
+    return both.withColumn("__r", F.row_number().over(latest)).filter("__r = 1").drop("__r").orderBy(F.desc(newest), *key).limit(keep)
+
+
+def remove_keys(current: DataFrame, gone: DataFrame, key: Sequence[str], excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows that stay, and the exclusion list with the keys of those that went."""
+    return current.join(gone.select(*key).distinct(), list(key), "left_anti"), excluded.select(*key).union(gone.select(*key)).distinct()
+
+
+def repaired_overwrite(df: DataFrame, path: str, key: Sequence[str], order: str) -> int:
+    """Overwrite after rows that repeat a key alike are dropped; an error if they differ. Returns how many were dropped."""
+    rest = [c for c in df.columns if c not in key and c != order]
+    differing = df.groupBy(*key).agg(F.count_distinct(F.struct(*rest)).alias("n")).filter("n > 1") if rest else df.limit(0)
+    if not differing.isEmpty():
+        raise ValueError(f"rows of one {list(key)} differ; nothing is written")
+    once = df.groupBy(*key).agg(F.min_by(F.struct(*[c for c in df.columns if c not in key]), order).alias("x")).select(*key, "x.*").select(*df.columns)
+    dropped = df.count() - once.count()
+    guarded_overwrite(once, path, key)
+    return dropped
+
+
+def export_csv(df: DataFrame, path: str, labels: tuple[str, str] = ("yes", "no"), mark: bool = False) -> None:
+    """CSV with a header; booleans are written as labels. ``mark`` puts a byte order mark before each file's header, as spreadsheets want it."""
     shown = [F.when(F.col(f"`{n}`"), labels[0]).otherwise(labels[1]).alias(n) if kind == "boolean" else F.col(f"`{n}`") for n, kind in df.dtypes]
+    if mark:
+        shown[0] = shown[0].alias("\ufeff" + df.columns[0])
     df.select(*shown).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)

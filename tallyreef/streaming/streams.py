@@ -7,16 +7,17 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder of spark.checkpoint.dir, or in a temporary one where Spark runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tallyreef-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
@@ -50,7 +51,9 @@ def deduplicated(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
 def throttled(stream: DataFrame, key: str, at: str, order: str, minutes: int) -> DataFrame:
     """Rows with a running count of their key and whether they are notified: that long since the last notified row.
 
-    State is one count and one time a key. Rows of a micro-batch are taken in order of time.
+    State is one count and one time a key. Rows of a micro-batch are taken in order
+    of time; one that comes with a later batch is judged then, whatever its time, so
+    rows that are out of order across batches may be told otherwise than in one batch.
     """
     gap = max(1, minutes) * 60
 
@@ -72,25 +75,53 @@ def throttled(stream: DataFrame, key: str, at: str, order: str, minutes: int) ->
     return stream.select(key, at, order).groupBy(key).applyInPandasWithState(step, out, "n long, last double", "append", GroupStateTimeout.NoTimeout)
 
 
-def upsert_batches(stream: DataFrame, key: str, order: str, merge_path: str, mark: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Latest row of each key over all micro-batches.
+#: Batches after which the merged table is written as a whole.
+COMPACT_EVERY = 20
 
-    Every batch is merged into a new version of the table, named by its number,
-    so a batch that runs again writes the same version. ``mark`` gets each batch
+
+def _numbers(spark: SparkSession, path: str, kind: str) -> list[int]:
+    """Numbers of the finished ``kind=n`` folders of a path, in any file system that Spark reads."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [status.getPath() for status in files.listStatus(root)]
+    done = [p for p in found if p.getName().startswith(f"{kind}=") and files.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def _newest(rows: DataFrame, key: str, order: str) -> DataFrame:
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("x")).select(key, "x.*").select(*rows.columns)
+
+
+def merged_table(spark: SparkSession, schema: StructType, key: str, order: str, merge_path: str, before: int | None = None) -> DataFrame:
+    """The newest row of each key in the table that upsert_batches keeps at a path, as it was before a batch."""
+    held = lambda n: before is None or n < before
+    whole = max((n for n in _numbers(spark, merge_path, "whole") if held(n)), default=None)
+    parts = [f"{merge_path}/batch={n}" for n in _numbers(spark, merge_path, "batch") if held(n) and (whole is None or n > whole)]
+    paths = parts if whole is None else [f"{merge_path}/whole={whole}", *parts]
+    return _newest(spark.read.schema(schema).parquet(*paths), key, order) if paths else spark.createDataFrame([], schema)
+
+
+def upsert_batches(stream: DataFrame, key: str, order: str, merge_path: str, checkpoint: str, mark: Callable[[DataFrame, int], None] | None = None, compact_every: int = COMPACT_EVERY) -> DataFrame:
+    """Newest row of each key over all micro-batches, of this run and of those before it with the same paths.
+
+    A batch adds the newest rows of its own keys under its number and leaves the
+    rest of the table alone; every few batches the table is written as a whole. What
+    is there is found in storage, so a restart goes on where the checkpoint stands,
+    and a batch that runs again writes the same files. ``mark`` gets each batch
     before it counts as done, which delivers at least once.
     """
     spark = stream.sparkSession
-    latest = Window.partitionBy(key).orderBy(F.desc(order))
-    done: list[str] = []
 
     def merge(batch: DataFrame, number: int) -> None:
-        rows = batch if not done else batch.unionByName(spark.read.schema(batch.schema).parquet(done[-1]))
         if mark is not None:
             mark(batch, number)
-        path = f"{merge_path}/version={number}"
-        rows.withColumn("__r", F.row_number().over(latest)).filter("__r = 1").drop("__r").write.mode("overwrite").parquet(path)
-        done.append(path)
+        _newest(batch, key, order).write.mode("overwrite").parquet(f"{merge_path}/batch={number}")
+        if (number + 1) % compact_every == 0:
+            merged_table(spark, stream.schema, key, order, merge_path, number + 1).write.mode("overwrite").parquet(f"{merge_path}/whole={number}")
 
-    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", scratch(spark, "stream-state")).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(done[-1]) if done else spark.createDataFrame([], stream.schema)
+    return merged_table(spark, stream.schema, key, order, merge_path)

@@ -181,10 +181,10 @@ def test_json_scan_keeps_bad_records_apart(spark, tmp_path):
 
 
 def test_feed_items(spark):
-    xml = "<rss><item><link>u1</link><title>A</title><pubDate>d</pubDate></item><item><link>u1</link><title>B</title></item><item><link>u2</link><title><![CDATA[C]]></title></item></rss>"
+    xml = "<rss><item><link>https://A.example/u1?x=1#top</link><title>A</title><pubDate>d</pubDate></item><item><link>https://a.example/u1?x=1</link><title>B</title></item><item><link>https://a.example/u2</link><title><![CDATA[C]]></title></item></rss>"
     found = tables.feed_items(spark.createDataFrame([("f", xml)], "url string, xml string")).orderBy("ord").collect()
-    assert [(r.link, r.title) for r in found] == [("u1", "A"), ("u2", "C")]
-    sitemap = "<urlset><url><loc>p</loc><lastmod>2026</lastmod></url></urlset>"
+    assert [(r.link, r.title) for r in found] == [("https://a.example/u1?x=1", "A"), ("https://a.example/u2", "C")]
+    sitemap = "<urlset><url><loc>https://a.example/p</loc><lastmod>2026</lastmod></url></urlset>"
     assert tables.feed_items(spark.createDataFrame([("f", sitemap)], "url string, xml string")).first().published == "2026"
 
 
@@ -204,3 +204,91 @@ def test_sinks(spark, tmp_path):
 def test_ids_compare_as_numbers(spark):
     df = spark.createDataFrame([("9",), ("100",), ("x",)], "id string")
     assert [r.id for r in tables.since(df, "id", 50).collect()] == ["100"]
+
+
+def rows_of_a_plugin():
+    yield {"name": "n", "url": "u", "category": "a"}
+    yield {"name": "m", "url": "v", "category": "b"}
+
+
+def test_plugin_source(spark):
+    spark.dataSource.register(tables.PluginSource)
+    read = spark.read.format("plugin").option("plugins", "tests.test_functions:rows_of_a_plugin,tests.test_functions:rows_of_a_plugin")
+    assert read.load().count() == 4 and [r.name for r in read.option("category", "b").load().collect()] == ["m", "m"]
+
+
+def test_file_states(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructType
+
+    schema = StructType().add("id", StringType())
+    (tmp_path / "bak.json").write_text("[]")
+    assert tables.file_state(spark, str(tmp_path / "a.json"), schema) == "missing"
+    assert tables.file_state(spark, str(tmp_path / "a.json"), schema, str(tmp_path / "bak.json")) == "corrupt"
+    (tmp_path / "a.json").write_text('\ufeff[{"id": "1"}]', encoding="utf-8")
+    assert tables.file_state(spark, str(tmp_path / "a.json"), schema) == "valid"
+    assert tables.file_state(spark, str(tmp_path / "bak.json"), schema) == "valid_empty"
+
+
+def test_plugin_folder(spark, tmp_path):
+    from pyspark.sql.types import StringType, StructType
+
+    (tmp_path / "b.json").write_text('[{"id": "1", "url": "u"}, {"id": "2"}]')
+    (tmp_path / "a.json").write_text('{"id": "3", "url": "w"}')
+    (tmp_path / "c.json").write_text("{broken")
+    found = tables.plugin_rows(spark, str(tmp_path), StructType().add("id", StringType()).add("url", StringType()), ["id", "url"])
+    assert [(r.file, r.id, r.error) for r in found.collect()] == [("a.json", "3", ""), ("b.json", "1", ""), ("b.json", "2", "missing: url"), ("c.json", None, "missing: id,url")]
+
+
+def test_versioned_catalog(spark):
+    rows = spark.createDataFrame([("a", 2, None), ("b", 2, "x")], "id string, version int, kind string")
+    defaults = spark.createDataFrame([("d",)], "kind string")
+    assert sorted((r.id, r.kind) for r in tables.versioned_catalog(rows, defaults, "id", "version", 2).collect()) == [("a", "d"), ("b", "x")]
+    for wrong in (rows.union(rows), rows.selectExpr("id", "3 as version", "kind")):
+        with pytest.raises(ValueError, match="catalog"):
+            tables.versioned_catalog(wrong, defaults, "id", "version", 2)
+
+
+def test_log_lines(spark, tmp_path):
+    (tmp_path / "a.log").write_text("INFO x\nERROR y\nINFO ERROR z\n")
+    assert [r.line for r in tables.log_lines(spark, str(tmp_path), level="INFO").orderBy("line").collect()] == ["INFO ERROR z", "INFO x"]
+    assert [r.line for r in tables.log_lines(spark, str(tmp_path), word="Y").collect()] == ["ERROR y"]
+
+
+def test_posts_since_or_of_the_last_days(spark):
+    posts = spark.createDataFrame([("9", "u", NOW), ("100", "v", NOW - dt.timedelta(days=8)), ("101", "w", NOW)], "id string, user string, at timestamp_ntz")
+    users = spark.createDataFrame([("u", "U"), ("w", "W")], "user string, name string")
+    now = F.lit(str(NOW)).cast("timestamp_ntz")
+    assert sorted((r.id, r.name) for r in tables.recent_posts(posts, users, "id", "user", "at", 50, now).collect()) == [("100", None), ("101", "W")]
+    assert sorted(r.id for r in tables.recent_posts(posts, users, "id", "user", "at", None, now).collect()) == ["101", "9"]
+
+
+def test_more_sinks(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1, "x"), ("b", 2, "y")], "k string, at int, v string")
+    new = spark.createDataFrame([("a", 3, "z")], df.schema)
+    assert [(r.k, r.v) for r in sinks.upsert_newest(df, new, ["k"], "at", 5).collect()] == [("a", "z"), ("b", "y")]
+    assert sinks.repaired_overwrite(df.union(df), str(tmp_path / "r"), ["k"], "at") == 2 and spark.read.parquet(str(tmp_path / "r")).count() == 2
+    with pytest.raises(ValueError, match="differ"):
+        sinks.repaired_overwrite(df.union(spark.createDataFrame([("A", 9, "q")], df.schema)), str(tmp_path / "s"), ["k"], "at")
+    left, excluded = sinks.remove_keys(df, df.filter("k = 'A'"), ["k"], spark.createDataFrame([("old",)], "k string"))
+    assert left.count() == 1 and sorted(r.k for r in excluded.collect()) == ["A", "old"]
+    sinks.export_csv(df, str(tmp_path / "c"), mark=True)
+    assert any(p.read_text(encoding="utf-8").startswith("\ufeffk,at,v") for p in (tmp_path / "c").glob("*.csv"))
+
+
+def test_stream_upsert_survives_a_restart(spark, tmp_path):
+    from tallyreef.streaming import streams
+
+    paths = [str(tmp_path / x) for x in ("merge", "state")]
+    seen = []
+
+    def run():
+        stream = spark.readStream.schema("k string, ord int, v string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+        found = streams.upsert_batches(stream, "k", "ord", *paths, mark=lambda batch, n: seen.append(n), compact_every=2)
+        return sorted(tuple(r) for r in found.collect())
+
+    (tmp_path / "in").mkdir()
+    for i, line in enumerate(('{"k": "a", "ord": 1, "v": "x"}', '{"k": "b", "ord": 2, "v": "y"}', '{"k": "a", "ord": 3, "v": "z"}')):
+        (tmp_path / "in" / f"{i}.json").write_text(line)
+    assert run() == [("a", 3, "z"), ("b", 2, "y")]
+    (tmp_path / "in" / "4.json").write_text('{"k": "c", "ord": 4, "v": "w"}\n{"k": "b", "ord": 1, "v": "old"}')
+    assert run() == [("a", 3, "z"), ("b", 2, "y"), ("c", 4, "w")] and seen == [0, 1, 2, 3]
