@@ -181,6 +181,16 @@ def store_name(column: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(F.coalesce(column.cast("string"), F.lit("")))), f"(?U){STORE_MARKS}", "")
 
 
+def chain_and_branch(column: Column) -> tuple[Column, Column]:
+    """Chain and branch of a store's name where it names one of the known chains; else the name and no branch."""
+    value = _trimmed(nfkc(F.coalesce(column.cast("string"), F.lit(""))))
+    akiba = store_name(column).rlike("ヨドバシ(?:カメラ)?(?:マルチメディア)?(?:akiba|秋葉原)")
+    pattern = r"(カードラボ|ホビーステーション|ビックカメラ|ヨドバシカメラ)\s*([^\s　]{1,30}?)(?:店|店舗)?$"
+    branch = F.regexp_extract(value, pattern, 2)
+    chain = F.when(akiba, "ヨドバシカメラ").when(branch != "", F.regexp_extract(value, pattern, 1)).otherwise(value)
+    return chain, F.when(akiba, "マルチメディアAkiba").otherwise(branch)
+
+
 def search_keyword(column: Column) -> Column:
     """What is left of a name when marks and words of all products are gone."""
     value = F.lower(F.regexp_replace(F.coalesce(column.cast("string"), F.lit("")), f"(?U){SEARCH_MARKS}", ""))

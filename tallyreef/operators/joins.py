@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyreef.functions.urls import host
+
 
 def left_with_fallback(df: DataFrame, state: DataFrame, on: Sequence[str], fallback: str, columns: Sequence[str]) -> DataFrame:
     """State columns by the full key, else by the fallback key where it names one state row only."""
@@ -198,3 +200,18 @@ def new_members(dimension: DataFrame, settings: DataFrame, key: str, renamed: Da
     """key, enabled and whether it is new: settings keep their state under the key's present name, members without one are off."""
     named = settings.join(renamed, key, "left").select(F.coalesce("present", key).alias(key), enabled).groupBy(key).agg(F.bool_or(enabled).alias(enabled))
     return dimension.select(key).join(named.withColumn("__known", F.lit(True)), key, "left").select(key, F.coalesce(enabled, F.lit(False)).alias(enabled), F.col("__known").isNull().alias("new"))
+
+
+def store_ladder(df: DataFrame, stores: DataFrame, row: str) -> DataFrame:
+    """Rows (row, name, code, url) with the store (store, alias, group, code, domain) that they mean, and the step that told it.
+
+    By alias, the least store of it; else by code in any case; else by the longest
+    domain that the address lies in, if all of its stores are of one group.
+    """
+    by_alias = stores.groupBy(F.col("alias").alias("name")).agg(F.min("store").alias("__alias"))
+    by_code = stores.groupBy(F.lower("code").alias("__key")).agg(F.min("store").alias("__code"))
+    domains = stores.groupBy("domain").agg(F.when(F.countDistinct("group") == 1, F.min("store")).alias("__domain"))
+    found = df.join(by_alias, "name", "left").join(by_code, F.lower("code") == F.col("__key"), "left").withColumn("__host", host(F.col("url")))
+    found = domain_ladder(found, domains, "__host", "domain", "__domain")
+    step = F.when(F.col("__alias").isNotNull(), "alias").when(F.col("__code").isNotNull(), "code").when(F.col("__domain").isNotNull(), "domain").otherwise("none")
+    return found.select(row, F.coalesce("__alias", "__code", "__domain").alias("store"), step.alias("step"))
