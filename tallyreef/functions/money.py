@@ -67,3 +67,38 @@ def verdict(agree: Column, expired: Column, official: Column, explicit_type: Col
 def accuracy(confirmed: Column, rejected: Column) -> Column:
     """Confirmed share of what is decided; null if nothing is."""
     return F.bround(F.try_divide(confirmed.cast("double"), (confirmed + rejected).cast("double")), 4)
+
+
+# Wordings that exclude an offer, in order, and how far above its price a kind may be sold.
+EXCLUSIONS = (
+    ("中古品", r"中古|ユーズド|開封済み|開封品"),
+    ("オリパ", r"オリパ|オリジナルパック"),
+    ("まとめ売り", r"まとめ売り|大量セット|引退品"),
+    ("抱き合わせ販売", r"抱き合わせ|セット販売|\d+\s*(?:個|箱|BOX)セット"),
+    ("オークション・フリマ", r"入札|オークション|フリマ|メルカリ|ヤフオク"),
+    ("海外版", r"海外版|英語版|北米版|EU版|アジア版|並行輸入"),
+    ("プレミア価格表記", r"プレミア価格|希少価格|相場価格"),
+    ("販売終了・在庫切れ", r"在庫切れ|販売終了|受付終了|売り切れ"),
+)
+TOLERANCE = {
+    "ブースターパック": 1.15, "エクストラブースター": 1.15, "スタートデッキ": 1.20, "スターターデッキ": 1.20, "構築デッキ": 1.20, "プレミアムカードコレクション": 1.10, "プレミアム商品": 1.10, "アクセサリー": 1.25, "その他": 1.15,
+}
+# Shops with many sellers, and the sellers that are the shop itself.
+AMAZON, MALLS, BOOKS = "amazon_jp", ("yahoo_shopping", "rakuten_marketplace", "dmm_marketplace"), "rakuten_books"
+AMAZON_SELLERS, BOOKS_SELLER = ("amazon.co.jp", "amazon japan g.k."), "楽天ブックス"
+
+
+def offer_verdict(text: Column, shop: Column, seller: Column, shipper: Column, verified: Column, official: Column, kind: Column, reference: Column, sale: Column) -> Column:
+    """The first reason to refuse an offer, else accepted: wording, who sells it, price."""
+    known = F.coalesce(text, F.lit(""))
+    chain = F
+    for reason, pattern in EXCLUSIONS:
+        chain = chain.when(known.rlike(f"(?i){pattern}"), reason)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    own = F.lower(F.trim(F.coalesce(seller, F.lit("")))).isin(*AMAZON_SELLERS) & F.lower(F.trim(F.coalesce(shipper, F.lit("")))).isin(*AMAZON_SELLERS)
+    by = F.trim(F.coalesce(seller, F.lit("")))
+    chain = chain.when((shop == AMAZON) & ~own, "marketplace").when(shop.isin(*MALLS) & ~(yes(verified) & yes(official)), "mall")
+    chain = chain.when((shop == BOOKS) & (by != "") & ~by.contains(BOOKS_SELLER), "third party").when(~shop.isin(AMAZON, *MALLS, BOOKS) & ~yes(verified), "unverified")
+    limits = F.create_map(*[F.lit(x) for pair in TOLERANCE.items() for x in pair])
+    limit = F.coalesce(F.try_element_at(limits, kind), F.lit(TOLERANCE["その他"]))
+    return chain.when(F.coalesce(sale > F.bround(reference * limit), F.lit(False)), "price").otherwise("accepted")

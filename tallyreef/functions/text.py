@@ -6,7 +6,10 @@ which Spark has no built-in; these two are Arrow-batched UDFs.
 
 from __future__ import annotations
 
+import email
+import email.policy
 import html as html_module
+import re
 import unicodedata
 
 import pandas as pd
@@ -96,6 +99,26 @@ def unescaped(text: Column) -> Column:
     return F.pandas_udf(lambda texts: texts.map(decode), StringType())(text)
 
 
+def mail_text(raw: Column) -> Column:
+    """Text of a message as it was sent: its plain parts, else its HTML parts without markup; attachments are left out."""
+
+    def walk(source: str | None) -> str | None:
+        if source is None:
+            return None
+        message = email.message_from_string(source, policy=email.policy.default)
+        found = {"plain": [], "html": []}
+        for part in message.walk():
+            if part.get_content_maintype() == "text" and part.get_content_disposition() != "attachment" and part.get_content_subtype() in found:
+                try:
+                    found[part.get_content_subtype()].append(part.get_content())
+                except (LookupError, ValueError):
+                    continue
+        lines = found["plain"] or [html_module.unescape(re.sub(r"<[^>]*>", " ", x)) for x in found["html"]]
+        return "\n".join(x.strip() for x in lines)
+
+    return F.pandas_udf(lambda texts: texts.map(walk), StringType())(raw)
+
+
 def plain_text(html: Column) -> Column:
     """A page as lines of text: pictures stand for their words, scripts and styles go, block ends become new lines, references are decoded."""
     shown = F.regexp_replace(html, r"""(?is)<img\b[^>]*?\balt\s*=\s*["']([^"']+)["'][^>]*>""", " $1 ")

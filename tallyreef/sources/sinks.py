@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def differs(a: DataFrame, b: DataFrame) -> bool:
@@ -83,3 +84,17 @@ def export_csv(df: DataFrame, path: str, labels: tuple[str, str] = ("yes", "no")
     if mark:
         shown[0] = shown[0].alias("\ufeff" + df.columns[0])
     df.select(*shown).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def restore(spark: SparkSession, path: str, backup: str, schema: StructType, key: Sequence[str]) -> bool:
+    """Put the backup in place of a table, if it can be read, has rows, and no key is missing or there twice."""
+    held = spark.read.schema(schema).parquet(backup)
+    if held.isEmpty():
+        return False
+    guarded_overwrite(held, path, key)
+    return True
+
+
+def merge_write(spark: SparkSession, path: str, incoming: DataFrame, key: Sequence[str], newest: str, keep: int, target: str) -> None:
+    """Read, merge and write: incoming rows join those of a table and the newest of each key are written to the target; a table that cannot be read stops it."""
+    upsert_newest(spark.read.schema(incoming.schema).option("mode", "FAILFAST").parquet(path), incoming, key, newest, keep).write.mode("errorifexists").parquet(target)

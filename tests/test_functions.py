@@ -275,6 +275,22 @@ def test_more_sinks(spark, tmp_path):
     assert any(p.read_text(encoding="utf-8").startswith("\ufeffk,at,v") for p in (tmp_path / "c").glob("*.csv"))
 
 
+def test_restore_and_merge_write(spark, tmp_path):
+    df = spark.createDataFrame([("A", 1, "x"), ("b", 2, "y")], "k string, at int, v string")
+    paths = [str(tmp_path / x) for x in ("table", "backup", "empty", "new")]
+    df.write.parquet(paths[1])
+    df.limit(0).write.parquet(paths[2])
+    assert not sinks.restore(spark, paths[0], paths[2], df.schema, ["k"]) and sinks.restore(spark, paths[0], paths[1], df.schema, ["k"])
+    sinks.merge_write(spark, paths[0], spark.createDataFrame([("B", 5, "z")], df.schema), ["k"], "at", 9, paths[3])
+    assert sorted((r.k, r.v) for r in spark.read.parquet(paths[3]).collect()) == [("A", "x"), ("B", "z")]
+
+
+def test_mail_text(spark):
+    mixed = "MIME-Version: 1.0\nContent-Type: multipart/mixed; boundary=b\n\n--b\nContent-Type: text/html\n\n<p>no &amp; no</p>\n--b\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n5b2T6YG4\n--b\nContent-Type: text/plain\nContent-Disposition: attachment\n\nfile\n--b--\n"
+    assert value(one(spark, mixed), text.mail_text(F.col("x"))) == "当選"
+    assert value(one(spark, "Content-Type: text/html\n\n<b>a</b>&lt;"), text.mail_text(F.col("x"))).split() == ["a", "<"]
+
+
 def test_stream_upsert_survives_a_restart(spark, tmp_path):
     from tallyreef.streaming import streams
 
