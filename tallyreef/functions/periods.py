@@ -7,7 +7,7 @@ and without zone; ``now`` is always an argument.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyreef.functions.text import blank
@@ -91,29 +91,34 @@ def method(text: Column) -> Column:
     return chain.otherwise("")
 
 
-def parsed(text: Column, now: Column, release: Column) -> Column:
-    """Struct of start, end, result, method, conditions, store, unsettled and end_timed (the end's time is told), from free text."""
-    lines = period_lines(unified(text))
-    today = now.cast("date")
-    ranged = lines.rlike(RANGE)
-    first, second = _groups(lines, RANGE, 1), _groups(lines, RANGE, 6)
-    start, end = moment(first, today, release, False), moment(second, today, release, True)
-    carried = F.when((end < start) & (second[0] == ""), F.try_make_timestamp_ntz(F.year(end) + 1, F.month(end), F.dayofmonth(end), F.hour(end), F.minute(end), F.second(end).cast("int"))).otherwise(end)
-    whole = ranged & start.isNotNull() & carried.isNotNull()
-    end_parts, has_end = _labelled(lines, END_LABEL)
-    start_parts, has_start = _labelled(lines, START_LABEL)
-    result_parts, has_result = _labelled(lines, RESULT_LABEL)
-    single_end = F.when(has_end, moment(end_parts, today, release, True))
-    return F.struct(
-        F.when(whole, start).otherwise(F.when(has_start, moment(start_parts, today, release, False))).alias("start"),
-        F.when(whole, carried).otherwise(single_end).alias("end"),
-        F.when(has_result, moment(result_parts, today, release, True)).alias("result"),
+def with_period(df: DataFrame, text: Column, now: Column, release: Column, name: str = "period") -> DataFrame:
+    """df with a struct of start, end, result, method, conditions, store, unsettled and end_timed (the end's time is told), from free text.
+
+    Lines, matched parts and times are columns of their own on the way, so that
+    each is worked out once however often the next step reads it.
+    """
+    lines, today = F.col("__lines"), now.cast("date")
+    found = df.withColumn("__lines", period_lines(unified(text)))
+    parts = {"first": (_groups(lines, RANGE, 1), lines.rlike(RANGE)), "second": (_groups(lines, RANGE, 6), F.lit(True))} | {n: _labelled(lines, label) for n, label in (("end", END_LABEL), ("start", START_LABEL), ("result", RESULT_LABEL))}
+    found = found.withColumn("__parts", F.struct(*[F.array(*groups, F.when(there, "x").otherwise("")).alias(n) for n, (groups, there) in parts.items()]))
+    part = lambda n: [F.col(f"__parts.{n}")[i] for i in range(6)]
+    told = {n: F.when(part(n)[5] != "", moment(part(n)[:5], today, release, n in ("second", "end", "result"))).alias(n) for n in parts}
+    found = found.withColumn("__at", F.struct(*told.values()))
+    start, end = F.col("__at.first"), F.col("__at.second")
+    next_year = F.try_make_timestamp_ntz(F.year(end) + 1, F.month(end), F.dayofmonth(end), F.hour(end), F.minute(end), F.second(end).cast("int"))
+    found = found.withColumn("__end", F.when((end < start) & (part("second")[0] == ""), next_year).otherwise(end))
+    whole = (part("first")[5] != "") & start.isNotNull() & F.col("__end").isNotNull()
+    out = F.struct(
+        F.when(whole, start).otherwise(F.col("__at.start")).alias("start"),
+        F.when(whole, F.col("__end")).otherwise(F.col("__at.end")).alias("end"),
+        F.col("__at.result").alias("result"),
         method(lines).alias("method"),
         label_value(lines, CONDITION_LABELS).alias("conditions"),
         label_value(lines, STORE_LABELS).alias("store"),
         lines.rlike(UNSETTLED).alias("unsettled"),
-        F.when(whole, second[3] != "").otherwise(single_end.isNotNull() & (end_parts[3] != "")).alias("end_timed"),
+        F.when(whole, part("second")[3] != "").otherwise(F.col("__at.end").isNotNull() & (part("end")[3] != "")).alias("end_timed"),
     )
+    return found.withColumn(name, out).drop("__lines", "__parts", "__at", "__end")
 
 
 def overlaid(stored_end: Column, found: Column) -> tuple[Column, Column]:

@@ -36,8 +36,7 @@ _PERIODS = (
 
 def period_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Periods that free texts tell: start, end, result, way to apply, conditions, stores."""
-    found = periods.parsed(pick([x[0] for x in _PERIODS], "p_partkey"), _at(NOW), F.lit(None).cast("date"))
-    t = table(spark, sf, "part").select("p_partkey", found.alias("x"))
+    t = periods.with_period(table(spark, sf, "part").select("p_partkey"), pick([x[0] for x in _PERIODS], "p_partkey"), _at(NOW), F.lit(None).cast("date"), "x")
     return t.select("p_partkey", *[F.col(f"x.{c}").cast("string").alias(c) for c in ("start", "end", "result")], "x.method", "x.conditions", "x.store", "x.unsettled", "x.end_timed")
 
 
@@ -46,8 +45,7 @@ _STORED = ("2026-07-20T18:00", "2026-07-20", "", None, "7月20日 18:00", "2026-
 
 def period_overlay(spark: SparkSession, sf: str) -> DataFrame:
     """Ends of rows after texts were read: a stored end with a time stays, any other gives way."""
-    found = periods.parsed(pick([x[0] for x in _PERIODS], "p_partkey"), _at(NOW), F.lit(None).cast("date"))
-    t = table(spark, sf, "part").select("p_partkey", found.alias("x"), pick(_STORED, "p_size").alias("stored"))
+    t = periods.with_period(table(spark, sf, "part").select("p_partkey", pick(_STORED, "p_size").alias("stored")), pick([x[0] for x in _PERIODS], "p_partkey"), _at(NOW), F.lit(None).cast("date"), "x")
     end, timed = periods.overlaid(F.col("stored"), F.col("x"))
     return t.select("p_partkey", end.cast("string").alias("end"), timed.alias("timed"))
 
