@@ -20,9 +20,11 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,8 +33,8 @@ from tallyreef.llm import common
 SYMBOLS = "#*$%&|<>"
 #: Words of a window, fewest words, and percent of repeated words of the base.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Rows at most that are sampled to order the rules, and partitions at most that they are from; the order affects speed alone.
-SAMPLE_ROWS, SAMPLE_PARTITIONS = 1000, 16
+#: Rows at most that are sampled to order the rules, and files that they are from, about; the order affects speed alone.
+SAMPLE_ROWS, SAMPLE_FILES = 1000, 16
 SEED = 17
 
 
@@ -134,18 +136,26 @@ RULES = (
 )
 
 
+def some_files(docs: DataFrame, most: int = SAMPLE_FILES) -> DataFrame:
+    """The rows of a few files, drawn by a seed, of docs that are read from many; else docs."""
+    names = sorted({unquote(path.rsplit("/", 1)[-1]) for path in docs.inputFiles()})
+    if len(names) <= most:
+        return docs
+    try:
+        return docs.filter(F.col("_metadata.file_name").isin(*random.Random(SEED).sample(names, most)))
+    except AnalysisException:  # the files of rows are no longer known
+        return docs
+
+
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[list[bool], dict[str, float]]]:
     """For sampled texts that pass the base: which rules reject them, and seconds of each rule and statistic by name.
 
-    A few partitions, drawn by a seed, are read as far as their share of the
-    sample reaches; no text leaves its task.
+    Texts are measured where they are read: no text leaves its task, a task stops
+    after its share of the sample, and no more tasks run than the sample takes.
     """
     names = [rule.name for rule in rules]
     needs = sorted({x for rule in rules for x in rule.needs})
-    parts = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    total = parts.rdd.getNumPartitions()
-    chosen = sorted(random.Random(SEED).sample(range(total), min(total, SAMPLE_PARTITIONS)))
-    share = -(-sample_rows // max(1, len(chosen)))
+    share = -(-sample_rows // SAMPLE_FILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = share
@@ -172,8 +182,7 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
             if not left:
                 return
 
-    told = parts.mapInArrow(run, "rejected array<boolean>, seconds array<double>").rdd
-    rows = docs.sparkSession.sparkContext.runJob(told, list, [i for i in chosen if i < told.getNumPartitions()]) if chosen else []
+    rows = some_files(docs).select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "rejected array<boolean>, seconds array<double>").take(sample_rows)
     return [(list(r.rejected), dict(zip([*needs, *names], r.seconds, strict=True))) for r in rows]
 
 

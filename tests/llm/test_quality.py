@@ -35,7 +35,15 @@ def test_order_counts_what_earlier_rules_leave():
 
 def test_sample_is_bounded_and_moves_no_text(spark):
     docs = spark.range(5000).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(30)]).alias("text")).repartition(40)
-    assert 0 < len(quality_rules.measured(docs)) <= quality_rules.SAMPLE_ROWS + quality_rules.SAMPLE_PARTITIONS
+    assert 0 < len(quality_rules.measured(docs)) <= quality_rules.SAMPLE_ROWS
+
+
+def test_sample_is_of_some_files(spark, tmp_path):
+    spark.range(400).select(F.lit("a b").alias("text"), "id").repartition(40).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    files = lambda df: df.select(F.input_file_name().alias("f")).distinct().count()
+    assert files(docs) > quality_rules.SAMPLE_FILES == files(quality_rules.some_files(docs.select("text")))
+    assert quality_rules.some_files(docs.groupBy("text").count()).count() == 1
 
 
 def test_rules_on_odd_rows(odd, nothing):
