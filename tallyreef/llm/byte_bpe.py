@@ -38,7 +38,7 @@ PERIOD = 12
 #: Ids that one leaf of the decoding tree holds.
 LEAF_IDS = 4096
 #: Distinct pieces that a Python worker remembers; beyond that it starts anew with the next batch.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 200_000
 NO_RANK = 1 << 40
 
 
