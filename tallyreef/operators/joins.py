@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyreef.functions.urls import host
+from tallyreef.operators.resolve import MOST_EVIDENCE, distinct_values
 
 
 def left_with_fallback(df: DataFrame, state: DataFrame, on: Sequence[str], fallback: str, columns: Sequence[str]) -> DataFrame:
@@ -183,14 +184,14 @@ def verified(candidates: DataFrame, evidence: DataFrame, key: str, order: str, r
 
 
 def two_sources(first: DataFrame, second: DataFrame, keys: Sequence[Sequence[str]], row: str, evidence: str, confidence: str) -> DataFrame:
-    """Rows of the first source with what equal rows of the second add: distinct evidence and the greatest confidence; then the second's rows that equal none.
+    """Rows of the first source with what equal rows of the second add: distinct evidence, the first MOST_EVIDENCE, and the greatest confidence; then the second's rows that equal none.
 
     A second row joins the first one, by ``row``, of the rows that it equals.
     """
     pairs = same_case(first.withColumnRenamed(row, "__a"), second.withColumnRenamed(row, "__b"), keys, "__a", "__b").groupBy("__b").agg(F.min("__a").alias("__a"))
     joined = second.join(pairs, second[row] == pairs["__b"], "left")
-    added = joined.filter("__a is not null").groupBy(F.col("__a").alias(row)).agg(F.array_sort(F.collect_set(evidence)).alias("__added"), F.max(confidence).alias("__best"))
-    out = first.join(added, row, "left")
+    met = joined.filter("__a is not null").select(F.col("__a").alias(row), F.col(evidence).alias("__added"), F.col(confidence).alias("__best"))
+    out = first.join(met.groupBy(row).agg(F.max("__best").alias("__best")), row, "left").join(distinct_values(met, [row], "__added", MOST_EVIDENCE), row, "left")
     merged = out.select(row, F.array_sort(F.array_distinct(F.concat(F.array(evidence), F.coalesce("__added", F.array().cast("array<string>"))))).alias("evidence"), F.greatest(confidence, F.coalesce("__best", F.col(confidence))).alias("confidence"), F.lit("first").alias("source"))
     alone = joined.filter("__a is null").select(row, F.array(evidence).alias("evidence"), F.col(confidence).alias("confidence"), F.lit("second").alias("source"))
     return merged.unionByName(alone)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyreef.functions.text import blank, first_filled
+from tallyreef.operators.components import linked_groups
 from tallyreef.operators.windows import ranked
 
 #: Evidence that is kept for a row at most.
@@ -101,9 +102,21 @@ def greedy_merge(df: DataFrame, block: str, order: str, keys: Sequence[Sequence[
     """Order-dependent merge within a block: a row joins the first earlier row with which it agrees in all parts of a key, none of them empty, and fills what that lacks.
 
     A filled row may then equal later rows, so the result is a fold and no
-    grouping. The rows of a block stream through one task in order; it holds the
-    rows that remain and finds them by key, so time grows with the rows.
+    grouping. Rows that no key links, directly or through others, never meet, so
+    each linked group of a block is folded apart: it streams through one task in
+    order, which holds the rows that remain and finds them by key, so time grows
+    with the rows. As filling may put a key together from several rows, rows are
+    linked by the first part of each key alone. ``order`` is unique.
     """
+    df = df.withColumn("__block", F.coalesce(F.concat(F.lit("is "), F.col(block).cast("string")), F.lit("none")))
+    groups = linked_groups(df, order, [("__block", key[0]) for key in keys])
+    grouped = df.drop("__block").join(groups.withColumnRenamed("label", "__group"), order)
+    merged = _fold(grouped, "__group", order, keys, fill, count)
+    return merged.drop("__group")
+
+
+def _fold(df: DataFrame, block: str, order: str, keys: Sequence[Sequence[str]], fill: Sequence[str], count: str) -> DataFrame:
+    """The fold of greedy_merge within each value of ``block``."""
     columns = df.columns
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

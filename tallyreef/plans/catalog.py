@@ -226,7 +226,7 @@ def greedy_merge(spark: SparkSession, sf: str) -> DataFrame:
         "page_id", urls.host(F.col("url")).alias("host"), F.when(F.col("page_id") % 3 != 0, urls.application_url(F.col("url"))).alias("address"),
         F.when(F.col("page_id") % 4 != 0, F.floor(urls.path_number(F.col("url")) / 1000)).alias("number"), F.length(text.page_title(F.col("html"))).alias("length"),
     )
-    return resolve.greedy_merge(p, "host", "page_id", [("address",), ("number", "length")], ["address", "number"])
+    return resolve.greedy_merge(p, "host", "page_id", [("address",), ("length", "number")], ["address", "number"])
 
 
 def defaults_overlay(spark: SparkSession, sf: str) -> DataFrame:

@@ -103,7 +103,7 @@ def evidence_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def store_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Pages as candidates for stores: equal in host, in title, or in number they are one, found in order and filled."""
-    p = table(spark, sf, "pages").select("page_id", F.lit("all").alias("block"), F.when(F.col("page_id") % 2 == 0, urls.host(F.col("url"))).alias("host"), F.when(F.col("page_id") % 3 == 0, F.substring(text.page_title(F.col("html")), 1, 6)).alias("title"), F.when(F.col("page_id") % 5 == 0, urls.path_number(F.col("url")) % 100).alias("code"))
+    p = table(spark, sf, "pages").select("page_id", F.lit("").alias("block"), F.when(F.col("page_id") % 2 == 0, urls.host(F.col("url"))).alias("host"), F.when(F.col("page_id") % 3 == 0, F.substring(text.page_title(F.col("html")), 1, 6)).alias("title"), F.when(F.col("page_id") % 5 == 0, urls.path_number(F.col("url")) % 100).alias("code"))
     return resolve.greedy_merge(p, "block", "page_id", [("host",), ("title",), ("code",)], ["host", "title", "code"]).drop("block")
 
 

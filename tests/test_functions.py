@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyreef.functions import money, rules, text, times, urls
-from tallyreef.operators import joins, resolve, shapes, windows
+from tallyreef.operators import components, joins, resolve, shapes, windows
 from tallyreef.sources import sinks, tables
 
 
@@ -137,6 +137,13 @@ def test_greedy_merge_equals_a_plain_fold(spark):
     assert sorted((r.ord, r.u or "", r.x or "", r.y or "", r.merged) for r in found) == sorted((i, u or "", x or "", y or "", n) for i, u, x, y, n in expected)
 
 
+def test_linked_groups(spark):
+    """A chain of links, rows that share a key with many, and rows without any."""
+    rows = [(i, f"c{i // 2}", f"d{(i + 1) // 2}") for i in range(40)] + [(100 + i, "hot", None) for i in range(30)] + [(200, None, ""), (201, "", None)]
+    found = {r.i: r.label for r in components.linked_groups(spark.createDataFrame(rows, "i long, a string, b string"), "i", [("a",), ("b",)]).collect()}
+    assert found == {i: 0 if i < 40 else 100 if i < 200 else i for i, _, _ in rows}
+
+
 def test_containing_phrases_of_any_length(spark):
     texts = ["alpha beta gamma delta epsilon zeta eta theta iota", "ALPHA  beta", "xalpha betax", "", None, "one two three four five six seven eight"]
     phrases = ["alpha beta", "alpha beta gamma delta epsilon", "pha beta gamma delta epsilon zeta eta theta", "a", "", " ", None, "beta gamma delta epsilon zeta eta thet", "four", "two three four five six seven eight", "eight nine"]
