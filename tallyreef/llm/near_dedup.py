@@ -47,8 +47,8 @@ MANTISSA = 10
 SLACK = 5.0
 #: Ids of a list (16 bytes each) that is broadcast at most.
 BROADCAST_IDS = 1_000_000
-#: Members of a block in the comparison of groups that span several components.
-BLOCK = 256
+#: Members of a block in the comparison of groups that span several components, and rows of sketches and of full sets that a task is given, about.
+BLOCK, SKETCH_ROWS, SET_ROWS = 256, 2048, 512
 
 _seeds = np.random.default_rng(20240229)
 _MULTIPLY = _seeds.integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -229,7 +229,9 @@ def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes:
     )).otherwise(F.transform(other_attached, lambda k: cell(0, block, k, F.lit(True))))
     place = ["owner", "kind", "low", "high"]
     sketched = nodes.select("cid", "n", "sketch")
-    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(sketched, "cid")
+    # Rows are few bytes and much work, so tasks are told by rows.
+    tasks = (dealt.agg(F.sum(F.size(cells))).first()[0] or 0) // SKETCH_ROWS + 1
+    spread = dealt.withColumn("cell", F.explode(cells)).select("owner", "cell.*", "cid", "label").join(sketched, "cid").repartition(tasks, *place)
     at_least = _least_estimate(percent)
 
     def near_ones(pdf) -> Iterator[tuple[int, np.ndarray]]:
@@ -267,7 +269,7 @@ def _remaining_links(rest: DataFrame, labels: DataFrame, docs: DataFrame, nodes:
             found += [(min(cid[i], cid[j]), max(cid[i], cid[j])) for j in hit]
         return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
 
-    return common.written(kept.join(sketched, "cid").join(sets, "cid").groupBy(*place).applyInPandas(confirm, "a long, b long").distinct(), "dedup-last")
+    return common.written(kept.join(sketched, "cid").join(sets, "cid").repartition(kept.count() // SET_ROWS + 1, *place).groupBy(*place).applyInPandas(confirm, "a long, b long").distinct(), "dedup-last")
 
 
 def _labelled(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
