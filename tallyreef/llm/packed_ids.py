@@ -9,10 +9,10 @@ binary rows of a Parquet table in a shared folder, so that Spark's committer
 guards them against lost executors and repeated tasks.
 
 Defined cases: a null text counts as empty and still has its end id; rows that
-repeat a doc_id stand next to each other, ordered by a hash of the text, so that
-ranges may part them, and then by the text; a null doc_id comes first; the string
-of a special token becomes that token, as the library has it; an empty table gives
-no shards and no rows; extra columns are ignored.
+repeat a doc_id stand next to each other in the order in which they are read, so
+that ranges may part them; a null doc_id comes first; the string of a special
+token becomes that token, as the library has it; an empty table gives no shards
+and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -161,8 +161,9 @@ def write_packed(docs: DataFrame, tokenizer_path: str, target: str, end_id: int
 
     bits = bits_for(max(Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1))
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    order = ["id", F.xxhash64("text"), "text"]
-    ordered = narrow.repartitionByRange(*order[:2]).sortWithinPartitions(*order)
+    # Rows of one id keep the order in which they are read, which parts them without a look at their texts.
+    order = ["id", "place"]
+    ordered = narrow.withColumn("place", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place = TaskContext.get().partitionId(), 0
