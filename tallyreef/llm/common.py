@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores added until no column of df has the name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; null counts as empty."""
     return text.encode("utf-8", "surrogatepass") if text else b""

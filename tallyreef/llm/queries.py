@@ -1,6 +1,6 @@
 """The registered query and, where SQL can express it, the oracle of each operator."""
 
-from tallyreef.llm import byte_bpe, language_id, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, site_tree, topk
+from tallyreef.llm import byte_bpe, conversation_repair, cross_polytope, fill_middle, language_id, mixing, near_dedup, packed_ids, quality_model, quality_rules, secret_scan, site_tree, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
@@ -13,9 +13,13 @@ QUERIES = {
     "op8_language_id": language_id.op8_language_id,
     "op9_near_dedup": near_dedup.op9_near_dedup,
     "op10_top_k": topk.op10_top_k,
+    "op11_conversation_repair": conversation_repair.op11_conversation_repair,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_cross_polytope": cross_polytope.op13_cross_polytope,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op10_top_k": topk.ORACLE_SQL,
+    "op12_fill_in_middle": fill_middle.ORACLE_SQL,
 }
