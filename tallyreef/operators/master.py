@@ -152,10 +152,10 @@ def attributes(df: DataFrame, key: str, order: str, fields: Sequence[str], prior
 
 
 def gathered(df: DataFrame, key: str, order: str, value: Column, name: str, most: int = MOST_VALUES) -> DataFrame:
-    """key and the distinct values of each in the order of their first row, the first ``most``; equality is that of their JSON where they are structs."""
+    """key and the distinct values of each in the order of their first row, the first ``most``; rows of one place stand by their values."""
     each = df.select(key, F.col(order).alias("__at"), value.alias("__v")).filter(F.col("__v").isNotNull())
-    once = each.groupBy(key, F.to_json(F.struct("__v")).alias("__j")).agg(F.min_by("__v", "__at").alias("__v"), F.min("__at").alias("__at"))
-    return ranked(once, [key], [F.col("__at"), F.col("__j")], most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__j", "__v"))), lambda x: x["__v"]).alias(name))
+    once = each.groupBy(key, "__v").agg(F.min("__at").alias("__at"))
+    return ranked(once, [key], [F.col("__at"), F.col("__v")], most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"]).alias(name))
 
 
 def folded_dates(df: DataFrame, key: str, order: Sequence[str], date: str = "date", priority: str = "priority", seen: str = "seen") -> DataFrame:

@@ -62,7 +62,7 @@ def source_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 def monitor_states(spark: SparkSession, sf: str) -> DataFrame:
     """State of each account's monitor by its latest retry and request."""
-    e = table(spark, sf, "events").filter("event_id % 2 = 0")
+    e = table(spark, sf, "events")
     by = e.groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", F.col("ts") + F.expr("INTERVAL 1 DAY"))).alias("retry"), F.max(F.when(F.col("event_type") != "error", F.col("ts"))).alias("last"))
     state = rules.first_match([("limited", F.col("retry") > _now()), ("fresh", F.timestamp_diff("SECOND", F.col("last"), _now()) <= 3 * 86400), ("waiting", F.col("last").isNotNull())], "unset")
     return by.select("user_id", state.alias("state"))
@@ -239,7 +239,7 @@ ORACLE_SQL = {
     "calendar_spans": f"SELECT event_type, count_if(date_trunc('month', ts) = date_trunc('month', {_N})) AS month, count_if(date_trunc('week', ts) = date_trunc('week', {_N})) AS week FROM events GROUP BY 1",
     "index_links": "WITH l AS (SELECT DISTINCT page_id % 5 = 0 AS old, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS target FROM pages) SELECT target IN (SELECT target FROM l WHERE old) AS known, count(*) AS n FROM l WHERE NOT old AND regexp_matches(lower(target), 'an|th') GROUP BY 1",
     "source_groups": "SELECT l_suppkey, l_returnflag, max(l_quantity::INT) AS branches, string_agg(DISTINCT l_linestatus, ',' ORDER BY l_linestatus) AS kinds, count(*) AS n FROM lineitem GROUP BY 1, 2",
-    "monitor_states": f"WITH x AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'error') + INTERVAL 1 DAY AS retry, max(ts) FILTER (WHERE event_type <> 'error') AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1) SELECT user_id, CASE WHEN retry > {_N} THEN 'limited' WHEN trunc(epoch({_N} - last)) <= 259200 THEN 'fresh' WHEN last IS NOT NULL THEN 'waiting' ELSE 'unset' END AS state FROM x",
+    "monitor_states": f"WITH x AS (SELECT user_id, max(ts) FILTER (WHERE event_type = 'error') + INTERVAL 1 DAY AS retry, max(ts) FILTER (WHERE event_type <> 'error') AS last FROM events GROUP BY 1) SELECT user_id, CASE WHEN retry > {_N} THEN 'limited' WHEN trunc(epoch({_N} - last)) <= 259200 THEN 'fresh' WHEN last IS NOT NULL THEN 'waiting' ELSE 'unset' END AS state FROM x",
     "account_observations": "WITH s AS (SELECT user_id, max(event_id) AS l, count(*) AS n, count_if(event_type = 'purchase') AS c, count_if(event_type = 'error') AS r FROM events GROUP BY 1) SELECT c_custkey AS user_id, coalesce(l, 0) AS last_post, coalesce(n, 0) AS posts, coalesce(c, 0) AS confirmed, coalesce(r, 0) AS rejected, round(c::DOUBLE / nullif(c + r, 0), 4) AS accuracy FROM customer LEFT JOIN s ON user_id = c_custkey",
     "scan_histograms": "SELECT lang, source, GROUPING_ID(lang, source) AS level, count(*) AS n, count_if(length(text) < 200) AS review FROM documents GROUP BY GROUPING SETS ((lang), (source), ())",
     "adapter_outcomes": "WITH x AS (SELECT user_id % 12 AS adapter, count(*) AS hits, count_if(event_type = 'purchase') AS confirmed, count_if(event_type = 'error') AS errors, count(DISTINCT user_id) AS sites FROM events GROUP BY 1) SELECT *, CASE WHEN errors * 4 > hits THEN 'failing' WHEN confirmed > 0 THEN 'found' ELSE 'empty' END AS outcome FROM x",

@@ -286,6 +286,7 @@ def _url(tail: str, kept: str) -> str:
 _APP = APPLICATION = _url(_ROOTED, _T)
 _NUMBER = "TRY_CAST(nullif(regexp_extract(regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1), '/([0-9]+)/?$', 1), '') AS BIGINT)"
 _RULES_SQL = "CASE WHEN regexp_matches(lower(text), 'password|token =') THEN 'SECRET' WHEN regexp_matches(lower(text), '@[a-z0-9.-]+\\.[a-z]+|\\+[0-9]+ \\(') THEN 'CONTACT' WHEN regexp_matches(lower(text), 'rights reserved|license') THEN 'LICENSE' ELSE 'PLAIN' END"
+_TITLE = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\r\\n]+', ' ', 'g'))"
 _SCORE = "greatest(0, least(1, 0.3::DOUBLE + CASE WHEN contains(p_name, 'ring') THEN 0.5::DOUBLE ELSE 0 END + CASE WHEN p_size > 25 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN p_type = 'PROMO' THEN -0.4::DOUBLE ELSE 0 END + CASE WHEN p_retailprice > 1500 THEN 0.15::DOUBLE ELSE 0 END))"
 _CONF = "round_even(least(1.0, (doc_id % 101) / 100 * 0.35::DOUBLE + least(doc_id % 5, 3) / 3 * 0.15::DOUBLE + CASE WHEN quality = 1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN contains(text, 'http') THEN 0.1::DOUBLE ELSE 0 END + CASE WHEN coalesce(toxic, 0) = 0 THEN 0.05::DOUBLE ELSE 0 END + 0.5 * 0.075::DOUBLE), 4)"
 
@@ -293,6 +294,14 @@ ORACLE_SQL = {
     "url_canonical": f"SELECT page_id, {_APP} AS application, {_url(_TAIL, _T)} AS discovery, {_url(_WHOLE, f'list_sort({_ALLQ})')} AS article, CASE WHEN lower(url) LIKE 'https://%' THEN {_url(_WHOLE, f'list_sort({_S})')} ELSE '' END AS shop FROM pages",
     "url_parts": f"SELECT page_id, {_HOST} AS host, {_NUMBER} AS number, CASE WHEN lower(url) LIKE 'https://%' THEN '' ELSE 'scheme' END AS error, {_HOST} = 'example.com' OR ends_with({_HOST}, '.example.com') AS inside FROM pages",
     "page_dedupe": f"SELECT address, min(page_id) AS page_id, count(*) AS n FROM (SELECT page_id, {_APP} AS address FROM pages) GROUP BY address",
+    # Per host a fold that keeps the merged rows so far; a row joins the first that has its address, or its title length and number, and fills what that lacks.
+    "greedy_merge": f"""WITH RECURSIVE p AS (SELECT page_id, {_HOST} AS host, CASE WHEN page_id % 3 <> 0 THEN {_APP} END AS address, CASE WHEN page_id % 4 <> 0 THEN floor({_NUMBER} / 1000)::BIGINT END AS number, length({_TITLE}) AS length, row_number() OVER (PARTITION BY {_HOST} ORDER BY page_id) AS i FROM pages),
+      f AS (SELECT DISTINCT host, 0::BIGINT AS i, []::STRUCT(id BIGINT, address VARCHAR, number BIGINT, length BIGINT, merged BIGINT)[] AS held FROM p
+        UNION ALL SELECT host, i, CASE WHEN m IS NULL THEN list_append(held, {{'id': page_id, 'address': address, 'number': number, 'length': length, 'merged': 1}})
+          ELSE list_transform(held, lambda h: CASE WHEN h.id = m THEN {{'id': h.id, 'address': coalesce(h.address, address), 'number': coalesce(h.number, number), 'length': h.length, 'merged': h.merged + 1}} ELSE h END) END FROM (
+          SELECT p.*, f.held, list_filter(f.held, lambda h: coalesce(h.address <> '' AND h.address = p.address, false) OR coalesce(h.length = p.length AND h.number = p.number, false))[1].id AS m FROM f JOIN p ON p.host = f.host AND p.i = f.i + 1)),
+      l AS (SELECT host, unnest(arg_max(held, i)) AS h FROM f GROUP BY 1)
+      SELECT h.id AS page_id, host, h.address, h.number, h.length, h.merged FROM l""",
     "page_title_text": "SELECT page_id, t AS title, length(t) AS n FROM (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\r\\n]+', ' ', 'g')) AS t FROM pages)",
     "page_links": "SELECT target, count(*) AS pages, min(page_id) AS first FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))) AS target FROM pages) GROUP BY target",
     "page_text_length": "SELECT page_id, len(list_filter(string_split(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?i)<(br|/p|/div|/li|/tr|/h[1-6])[^>]*>', chr(10), 'g'), '(?s)<[^>]*>', ' ', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r]+', ' ', 'g')) <> '')) AS lines FROM pages",

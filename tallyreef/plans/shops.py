@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyreef.functions import names, pages, rules, text, times, urls
-from tallyreef.operators import joins, notices, records, resolve, shapes
+from tallyreef.operators import joins, notices, ordered_merge, records, shapes
 from tallyreef.plans.cases import pick, sql_pick
 from tallyreef.sources.tables import inventory, table
 
@@ -101,10 +101,32 @@ def evidence_items(spark: SparkSession, sf: str) -> DataFrame:
     return records.distinct_evidence(line, ["l_orderkey"], "e", "ord").select("l_orderkey", "ord", "source_type", "source_url", "trust")
 
 
+def _store_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages as hits of stores: host, name, code, confidence, and where the evidence was seen."""
+    number = urls.path_number(F.col("url"))
+    return table(spark, sf, "pages").select(
+        "page_id", urls.host(F.col("url")).alias("host"), names.store_name(text.page_title(F.col("html"))).alias("name"), number.alias("code"), (number / 9000).alias("confidence"), F.col("page_id").alias("seen"),
+        F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("source_url"), urls.path(F.col("url")).alias("path"),
+    )
+
+
+_STORE_KEYS = [("host",), ("name",), ("code",)]
+
+
 def store_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Pages as candidates for stores: equal in host, in title, or in number they are one, found in order and filled."""
-    p = table(spark, sf, "pages").select("page_id", F.lit("").alias("block"), F.when(F.col("page_id") % 2 == 0, urls.host(F.col("url"))).alias("host"), F.when(F.col("page_id") % 3 == 0, F.substring(text.page_title(F.col("html")), 1, 6)).alias("title"), F.when(F.col("page_id") % 5 == 0, urls.path_number(F.col("url")) % 100).alias("code"))
-    return resolve.greedy_merge(p, "block", "page_id", [("host",), ("title",), ("code",)], ["host", "title", "code"]).drop("block")
+    """Pages as candidates for stores in order: one that has the host, the name or the code of a kept one joins the first such; with the greatest confidence and the newest evidence."""
+    heads, evidence = ordered_merge.merged_candidates(_store_hits(spark, sf), "page_id", _STORE_KEYS, "confidence", "seen", ["source_url", "path"])
+    kept = evidence.groupBy("head").agg(F.count("*").alias("evidence"), F.min("page_id").alias("oldest"), F.max("page_id").alias("newest"))
+    return heads.join(kept, "head").select("head", "host", "name", "code", "n", "confidence", "last_detected_at", "evidence", "oldest", "newest")
+
+
+def candidates_of_known_stores(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as new rows against suppliers as known ones: each joins the first known or kept row with its nation and balance in whole units, or with its number."""
+    keys = [("nation", "units"), ("number",)]
+    nation = lambda n: F.col(n).cast("string").alias("nation")
+    known = table(spark, sf, "supplier").select((F.col("s_suppkey") - (1 << 40)).alias("row"), nation("s_nationkey"), F.floor(F.col("s_acctbal")).alias("units"), F.regexp_extract("s_name", "#0*([0-9]+)", 1).alias("number"))
+    new = table(spark, sf, "customer").select(F.col("c_custkey").alias("row"), nation("c_nationkey"), F.floor(F.col("c_acctbal")).alias("units"), F.regexp_extract("c_name", "#0*([0-9]+)", 1).alias("number"))
+    return ordered_merge.first_match(new, "row", keys, kept=known)
 
 
 def sorted_boards(spark: SparkSession, sf: str) -> DataFrame:
@@ -156,7 +178,7 @@ def recent_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    catalog_items, catalog_details, html_tables, script_products, article_classes, source_inventory, store_ladder, branch_splits, application_identities, evidence_items, store_candidates, sorted_boards, wanted_rows, word_scores, priority_values, recent_times,
+    catalog_items, catalog_details, html_tables, script_products, article_classes, source_inventory, store_ladder, branch_splits, application_identities, evidence_items, store_candidates, candidates_of_known_stores, sorted_boards, wanted_rows, word_scores, priority_values, recent_times,
 )}
 
 _TS = "TIMESTAMP '1996-01-01'"
@@ -170,10 +192,32 @@ def _board(name: str, order: str) -> str:
     return f"(SELECT '{name}' AS board, o_orderkey FROM orders ORDER BY {order}, o_orderkey LIMIT 10)"
 
 
+def first_match_sql(rows: str, columns: dict[str, str], same: str, known: str = "") -> str:
+    """A recursive query f(i, id, head) that folds rows (id and the columns, with i from 1) in order, and the heads that stand before."""
+    listed = ", ".join(f"{c} {t}" for c, t in {"id": "BIGINT", **columns}.items())
+    held = "{" + ", ".join(f"'{c}': r.{c}" for c in ("id", *columns)) + "}"
+    start = f"(SELECT list(k ORDER BY k.id) FROM ({known}) k)" if known else "[]"
+    return f"""r AS ({rows}), f AS (SELECT 0::BIGINT AS i, CAST({start} AS STRUCT({listed})[]) AS heads, NULL::BIGINT AS id, NULL::BIGINT AS head
+    UNION ALL SELECT i, CASE WHEN m IS NULL THEN list_append(heads, held) ELSE heads END, id, coalesce(m, id) FROM (
+      SELECT r.i, r.id, f.heads, {held} AS held, list_filter(f.heads, lambda h: {same})[1].id AS m FROM f JOIN r ON r.i = f.i + 1))"""
+
+
 def _sql() -> dict[str, str]:
     from tallyreef.plans import catalog
 
+    title = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '[ \\t\\r\\n]+', ' ', 'g'))"
+    hits = f"SELECT row_number() OVER (ORDER BY page_id) AS i, page_id AS id, {catalog._HOST} AS host, regexp_replace(lower({title}), '[\\s\\-_/・･.()（）\\[\\]【】]+', '', 'g') AS name, {catalog._NUMBER} AS code, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS source_url, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path FROM pages"
+    merged = first_match_sql(hits, {"host": "VARCHAR", "name": "VARCHAR", "code": "BIGINT"}, "coalesce(h.host <> '' AND h.host = r.host, false) OR coalesce(h.name <> '' AND h.name = r.name, false) OR coalesce(h.code = r.code, false)")
+    member = "SELECT row_number() OVER (ORDER BY {0}) AS i, {0} AS id, {1}_nationkey AS nation, floor({1}_acctbal)::BIGINT AS units, regexp_extract({1}_name, '#0*([0-9]+)', 1) AS number FROM {2}"
+    known = "SELECT s_suppkey - 1099511627776 AS id, s_nationkey AS nation, floor(s_acctbal)::BIGINT AS units, regexp_extract(s_name, '#0*([0-9]+)', 1) AS number FROM supplier"
+    customers = first_match_sql(member.format("c_custkey", "c", "customer"), {"nation": "BIGINT", "units": "BIGINT", "number": "VARCHAR"}, "coalesce(h.nation = r.nation AND h.units = r.units, false) OR coalesce(h.number <> '' AND h.number = r.number, false)", known)
     return {
+        "store_candidates": f"""WITH RECURSIVE {merged}, m AS (SELECT f.head, r.*, row_number() OVER (PARTITION BY f.head ORDER BY r.id) AS k FROM f JOIN r ON r.id = f.id),
+            e AS (SELECT head, 0::BIGINT AS k, []::STRUCT(id BIGINT, s VARCHAR, p VARCHAR)[] AS kept FROM m WHERE k = 1
+              UNION ALL SELECT e.head, m.k, CASE WHEN len(list_filter(e.kept, lambda x: x.s = m.source_url AND x.p = m.path)) > 0 THEN e.kept ELSE list_append(e.kept, {{'id': m.id, 's': m.source_url, 'p': m.path}})[-20:] END FROM e JOIN m ON m.head = e.head AND m.k = e.k + 1),
+            l AS (SELECT head, arg_max(kept, k) AS kept FROM e GROUP BY 1), c AS (SELECT head, count(*) AS n, max(greatest(0.0, least(1.0, coalesce(code / 9000, 0.0)))) AS confidence, max(id) AS last_detected_at FROM m GROUP BY 1)
+            SELECT c.head, r.host, r.name, r.code, c.n, c.confidence::DOUBLE AS confidence, c.last_detected_at, len(l.kept) AS evidence, list_min(list_transform(l.kept, lambda x: x.id)) AS oldest, list_max(list_transform(l.kept, lambda x: x.id)) AS newest FROM c JOIN l ON l.head = c.head JOIN r ON r.id = c.head""",
+        "candidates_of_known_stores": f"WITH RECURSIVE {customers} SELECT id AS row, head FROM f WHERE i > 0",
         "catalog_items": "SELECT p_partkey // 10 AS page, row_number() OVER (PARTITION BY p_partkey // 10 ORDER BY p_partkey) - 1 AS ord, p_name || ' & more' AS name, '/p/' || p_partkey AS link, CASE WHEN p_partkey % 5 > 0 THEN 'C' || p_partkey ELSE '' END AS code, '2026-07-01' AS date FROM part QUALIFY p_partkey % 7 > 0",
         "catalog_details": "SELECT '/p/' || p_partkey AS link, CASE WHEN p_partkey % 5 > 0 THEN 'C' ELSE 'D' END || p_partkey AS code FROM part WHERE p_partkey % 7 > 0",
         "html_tables": "SELECT p_partkey, 0 AS ord, 'name|size' AS cells FROM part UNION ALL SELECT p_partkey, 1, p_name || '|' || p_size FROM part",

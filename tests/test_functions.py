@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyreef.functions import money, rules, text, times, urls
-from tallyreef.operators import components, joins, resolve, shapes, windows
+from tallyreef.operators import components, joins, ordered_merge, resolve, shapes, windows
 from tallyreef.sources import sinks, tables
 
 
@@ -315,3 +315,54 @@ def test_stream_upsert_survives_a_restart(spark, tmp_path):
     assert run() == [("a", 3, "z"), ("b", 2, "y")]
     (tmp_path / "in" / "4.json").write_text('{"k": "c", "ord": 4, "v": "w"}\n{"k": "b", "ord": 1, "v": "old"}')
     assert run() == [("a", 3, "z"), ("b", 2, "y"), ("c", 4, "w")] and seen == [0, 1, 2, 3]
+
+
+def _plain_first_match(rows, keys, kept=()):
+    """Rows (order, columns) folded one by one."""
+    heads, out = list(kept), {}
+    for i, *values in sorted(rows):
+        mine = [tuple(values[c] for c in key) for key in keys]
+        head = next((h for h, *other in heads if any(m == tuple(other[c] for c in key) and all(x not in (None, "") for x in m) for m, key in zip(mine, keys, strict=True))), None)
+        if head is None:
+            heads.append((i, *values))
+        out[i] = i if head is None else head
+    return out
+
+
+@pytest.mark.parametrize("fold", [0, 15, 10_000])
+def test_first_match_equals_a_plain_fold(spark, fold):
+    """Rounds alone, rounds with folds of the first rows, and one fold."""
+    draw = random.Random(fold)
+    some = lambda n: draw.choice([None, "", *map(str, range(n))])
+    rows = [(i, some(150), some(40), some(12), some(12)) for i in range(400)]
+    kept = [(i - 100, some(150), some(40), some(12), some(12)) for i in range(20)]
+    keys, names = [(0,), (1,), (2, 3)], "abcd"
+    schema = "ord int, a string, b string, c string, d string"
+    df, old = spark.createDataFrame(rows, schema).repartition(3), spark.createDataFrame(kept, schema)
+    for before in ((), kept):
+        found = ordered_merge.first_match(df, "ord", [[names[c] for c in key] for key in keys], old if before else None, max(fold, 1))
+        assert {r.ord: r["head"] for r in found.collect()} == _plain_first_match(rows, keys, before)
+
+
+def test_first_match_of_a_chain_and_of_a_hot_key(spark):
+    """Each row shares a key with the next only; and one key that half of the rows have."""
+    chain = [(i, f"x{i // 2}", f"y{(i + 1) // 2}") for i in range(300)]
+    hot = [(1000 + i, "hot" if i % 2 else None, None) for i in range(300)]
+    df = spark.createDataFrame(chain + hot, "ord int, a string, b string").repartition(4)
+    found = {r.ord: r["head"] for r in ordered_merge.first_match(df, "ord", [("a",), ("b",)], fold=50).collect()}
+    assert found == _plain_first_match(chain + hot, [(0,), (1,)])
+    assert ordered_merge.first_match(df.filter("ord < 0"), "ord", [("a",)]).count() == 0
+
+
+def test_last_evidence_equals_a_plain_buffer(spark):
+    draw = random.Random(1)
+    rows = [(draw.choice([None, "g", "h"]), i, draw.choice("abcdefg"), draw.choice([None, "u"])) for i in range(400)]
+    expected = []
+    for group in (None, "g", "h"):
+        held = []
+        for r in (r for r in rows if r[0] == group):
+            if r[2:] not in [h[2:] for h in held]:
+                held = [*held, r][-5:]
+        expected += [(*h, k) for k, h in enumerate(held)]
+    found = ordered_merge.last_evidence(spark.createDataFrame(rows, "g string, i int, s string, u string").repartition(3), "g", ["i"], ["s", "u"], 5)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
