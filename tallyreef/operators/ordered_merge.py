@@ -147,8 +147,8 @@ def last_evidence(df: DataFrame, group: str, order: Sequence[str], key: Sequence
     return some.repartition(group).sortWithinPartitions(group, *order).mapInPandas(run, f"{schema}, place int")
 
 
-def merged_candidates(df: DataFrame, order: str, keys: Sequence[Sequence[str]], confidence: str, detected: str, evidence: Sequence[str], most: int = 20, kept: DataFrame | None = None, fold: int = FOLD) -> tuple[DataFrame, DataFrame]:
-    """Heads (rows of df that are kept, with n, confidence, last_detected_at) and the evidence of each.
+def merged_candidates(df: DataFrame, order: str, keys: Sequence[Sequence[str]], confidence: str, detected: str, evidence: Sequence[str], most: int = 20, kept: DataFrame | None = None, held: DataFrame | None = None, fold: int = FOLD) -> tuple[DataFrame, DataFrame]:
+    """Heads (rows of df that are kept, with n, confidence, last_detected_at) and the evidence of each, after that which they ``held`` before.
 
     The greatest confidence counts, within 0 and 1, and the last time of detection; what a
     kept row lacks is not filled, so later rows match it by its own keys alone.
@@ -157,4 +157,31 @@ def merged_candidates(df: DataFrame, order: str, keys: Sequence[Sequence[str]],
     sums = found.groupBy("head").agg(F.count("*").alias("n"), F.max(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(confidence, F.lit(0.0))))).alias("confidence"), F.max_by(detected, order).alias("last_detected_at"))
     own = found.filter(F.col(order) == F.col("head")).drop("head", confidence, detected)
     heads = sums.join(own, F.col("head") == F.col(order), "left").drop(order)
-    return heads, last_evidence(found.select("head", order, *evidence), "head", [order], evidence, most)
+    shown = found.select("head", order, *evidence)
+    return heads, last_evidence(shown if held is None else held.unionByName(shown), "head", [order], evidence, most)
+
+
+def upsert_candidates(stored: DataFrame | None, hits: DataFrame, order: str, keys: Sequence[Sequence[str]], confidence: str, detected: str, evidence: Sequence[str], most: int = 20, fold: int = FOLD) -> DataFrame:
+    """The candidate store after a batch of hits, whose order comes after all that is stored.
+
+    One row a candidate: the columns of its first hit, n, confidence (the greatest),
+    last_detected_at, and evidence, an array of the newest rows of other keys, oldest first.
+    Batches give what all hits at once would.
+    """
+    rest = [c for c in hits.columns if c not in (order, confidence, detected)]
+    known = held = None
+    if stored is not None:
+        known = stored.select(order, *dict.fromkeys(c for key in keys for c in key))
+        held = stored.select(F.col(order).alias("head"), F.explode("evidence").alias("e")).select("head", f"e.{order}", *[f"e.{c}" for c in evidence])
+    heads, kept = merged_candidates(hits, order, keys, confidence, detected, evidence, most, known, held, fold)
+    gathered = kept.groupBy(F.col("head").alias(order)).agg(F.array_sort(F.collect_list(F.struct(order, *evidence))).alias("evidence"))
+    if stored is None:
+        return heads.select(F.col("head").alias(order), *rest, "n", "confidence", "last_detected_at").join(gathered, order)
+    new = heads.select(F.col("head").alias(order), F.struct("n", "confidence", "last_detected_at", *rest).alias("new"))
+    old = stored.drop("evidence")
+    both = old.select(order, F.struct(*[c for c in old.columns if c != order]).alias("old")).join(new, order, "full_outer")
+    merged = both.select(
+        order, *[F.when(F.col("old").isNotNull(), F.col(f"old.{c}")).otherwise(F.col(f"new.{c}")).alias(c) for c in rest],
+        (F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0))).alias("n"), F.greatest("old.confidence", "new.confidence").alias("confidence"), F.coalesce("new.last_detected_at", "old.last_detected_at").alias("last_detected_at"),
+    )
+    return merged.join(gathered, order)

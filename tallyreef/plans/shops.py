@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tallyreef.functions import names, pages, rules, text, times, urls
 from tallyreef.operators import joins, notices, ordered_merge, records, shapes
 from tallyreef.plans.cases import pick, sql_pick
+from tallyreef.sources import staged
+from tallyreef.sources.scratch import scratch
 from tallyreef.sources.tables import inventory, table
 
 _ITEM = r"(?s)<li class=\"item\">.*?</li>"
@@ -120,6 +122,20 @@ def store_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return heads.join(kept, "head").select("head", "host", "name", "code", "n", "confidence", "last_detected_at", "evidence", "oldest", "newest")
 
 
+def candidate_store(spark: SparkSession, sf: str) -> DataFrame:
+    """The same candidates when the first half of the pages is stored and the rest comes as a second batch; each batch is committed at once."""
+    hits = _store_hits(spark, sf)
+    middle = hits.agg(F.percentile_approx("page_id", 0.5)).first()[0]
+    path = scratch(spark, "candidates")
+    for batch in (hits.filter(F.col("page_id") <= middle), hits.filter(F.col("page_id") > middle)):
+        done = ordered_merge.upsert_candidates(staged.read(spark, path, "candidates"), batch, "page_id", _STORE_KEYS, "confidence", "seen", ["source_url", "path"])
+        staged.write(done, path, "candidates")
+    ids = F.transform("evidence", lambda x: x["page_id"])
+    return staged.read(spark, path, "candidates").select(
+        F.col("page_id").alias("head"), "host", "name", "code", "n", "confidence", "last_detected_at", F.size("evidence").cast("long").alias("evidence"), F.array_min(ids).alias("oldest"), F.array_max(ids).alias("newest")
+    )
+
+
 def candidates_of_known_stores(spark: SparkSession, sf: str) -> DataFrame:
     """Customers as new rows against suppliers as known ones: each joins the first known or kept row with its nation and balance in whole units, or with its number."""
     keys = [("nation", "units"), ("number",)]
@@ -178,7 +194,7 @@ def recent_times(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    catalog_items, catalog_details, html_tables, script_products, article_classes, source_inventory, store_ladder, branch_splits, application_identities, evidence_items, store_candidates, candidates_of_known_stores, sorted_boards, wanted_rows, word_scores, priority_values, recent_times,
+    catalog_items, catalog_details, html_tables, script_products, article_classes, source_inventory, store_ladder, branch_splits, application_identities, evidence_items, store_candidates, candidate_store, candidates_of_known_stores, sorted_boards, wanted_rows, word_scores, priority_values, recent_times,
 )}
 
 _TS = "TIMESTAMP '1996-01-01'"
@@ -237,3 +253,4 @@ def _sql() -> dict[str, str]:
 
 
 ORACLE_SQL = _sql()
+ORACLE_SQL["candidate_store"] = ORACLE_SQL["store_candidates"]

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tallyreef.functions import money, rules, text, times, urls
 from tallyreef.operators import components, joins, ordered_merge, resolve, shapes, windows
-from tallyreef.sources import sinks, tables
+from tallyreef.sources import sinks, staged, tables
+from tallyreef.sources.scratch import written
 
 
 def one(spark, value, kind="string"):
@@ -366,3 +367,48 @@ def test_last_evidence_equals_a_plain_buffer(spark):
         expected += [(*h, k) for k, h in enumerate(held)]
     found = ordered_merge.last_evidence(spark.createDataFrame(rows, "g string, i int, s string, u string").repartition(3), "g", ["i"], ["s", "u"], 5)
     assert sorted(map(tuple, found.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def _failing(frames):
+    for i, frame in enumerate(frames):
+        yield frame
+        if i or 7 in set(frame["id"]):
+            raise ValueError("a task fails")
+
+
+def test_staged_tables_change_at_once_or_not_at_all(spark, tmp_path):
+    path = str(tmp_path / "store")
+    assert staged.read(spark, path, "t") is None and staged.manifest(path)["version"] == 0
+    df = spark.range(20).repartition(4)
+    staged.write(df, path, "t")
+    before = staged.read(spark, path, "t")
+    broken = df.filter("id < 8").repartition(4).mapInPandas(_failing, "id long")
+    with pytest.raises(Exception, match="a task fails"):
+        staged.write(broken, path, "t")
+    with pytest.raises(Exception, match="a task fails"):
+        staged.write_all({"t": df.limit(3), "u": broken}, path)
+    assert staged.manifest(path)["version"] == 1 and staged.read(spark, path, "t").count() == 20 and staged.read(spark, path, "u") is None
+    assert staged.vacuum(path) == 0  # what failed has left nothing
+    # Rows that were read from the table may be written to it; who holds the old version still reads it.
+    assert staged.write_all({"t": staged.read(spark, path, "t").filter("id < 5"), "u": spark.range(0)}, path) == 2
+    assert before.count() == 20 and staged.read(spark, path, "t").count() == 5 and staged.read(spark, path, "u").count() == 0
+    with pytest.raises(staged.StaleVersion):
+        staged.write_all({"t": df}, path, began=1)
+    assert staged.read(spark, path, "t").count() == 5 and staged.vacuum(path) > 0
+
+
+def test_candidate_batches_equal_one_batch(spark):
+    draw = random.Random(6)
+    some = lambda n: draw.choice([None, *map(str, range(n))])
+    rows = [(i, some(30), some(12), draw.random() * 1.4 - 0.2, f"t{i:03}", some(6), some(3)) for i in range(240)]
+    hits = spark.createDataFrame(rows, "i int, host string, name string, confidence double, at string, source string, url string")
+    stored = None
+    for a, b in ((0, 50), (50, 51), (51, 200), (200, 240)):
+        stored = written(ordered_merge.upsert_candidates(stored, hits.filter(f"i >= {a} and i < {b}"), "i", [("host",), ("name",)], "confidence", "at", ["source", "url"], 4), "stored")
+    whole = ordered_merge.upsert_candidates(None, hits, "i", [("host",), ("name",)], "confidence", "at", ["source", "url"], 4)
+    shown = lambda df: sorted(map(repr, df.select("i", "host", "name", "n", "confidence", "last_detected_at", "evidence").collect()))
+    assert shown(stored) == shown(whole)
+    heads = _plain_first_match([(r[0], r[1], r[2]) for r in rows], [(0,), (1,)])
+    for r in whole.collect():
+        members = [m for m in rows if heads[m[0]] == r.i]
+        assert r.n == len(members) and r.confidence == max(min(1.0, max(0.0, m[3])) for m in members) and r.last_detected_at == members[-1][4]
