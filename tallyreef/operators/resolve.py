@@ -48,6 +48,21 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str], accumula
     return out
 
 
+def merged_discoveries(df: DataFrame, identity: Sequence[Column], order: Sequence[str], sources: str) -> DataFrame:
+    """The first row of each identity, a hash of parts without separators, with ``identity``, n, and the sources of all its rows, each once, as first seen.
+
+    Sources are made distinct before they meet, so a hot identity gathers no more than its distinct sources.
+    """
+    bare = [F.regexp_replace(F.lower(blank(c)), r"(?U)[\s　「」『』・_\-/]", "") for c in identity]
+    rows = df.withColumn("identity", F.sha2(F.concat_ws("|", *bare), 256))
+    rest = [c for c in df.columns if c not in (*order, sources)]
+    first = rows.groupBy("identity").agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("x"), F.count("*").alias("n")).select("identity", "x.*", "n")
+    told = rows.select("identity", F.struct(*order).alias("__at"), F.posexplode(sources).alias("__i", "__s"))
+    once = told.groupBy("identity", "__s").agg(F.min(F.struct("__at", "__i")).alias("__at"))
+    gathered = once.groupBy("identity").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda x: x["__s"]).alias(sources))
+    return first.join(gathered, "identity", "left").withColumn(sources, F.coalesce(sources, F.array().cast(df.schema[sources].dataType)))
+
+
 def upgraded_in_place(df: DataFrame, keys: Sequence[str], order: str, candidate: Column, evidence: str, most: int = MOST_EVIDENCE) -> DataFrame:
     """First-wins, but a confirmed row replaces a candidate; evidence of all rows is united, the first ``most``, and the first place kept."""
     rest = [c for c in df.columns if c not in keys and c != evidence]
