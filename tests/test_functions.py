@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyreef.functions import money, rules, text, times, urls
-from tallyreef.operators import components, joins, ordered_merge, resolve, shapes, windows
+from tallyreef.operators import components, joins, ordered_merge, resolve, searches, shapes, windows
 from tallyreef.sources import sinks, staged, tables
 from tallyreef.sources.scratch import written
 
@@ -412,3 +412,22 @@ def test_candidate_batches_equal_one_batch(spark):
     for r in whole.collect():
         members = [m for m in rows if heads[m[0]] == r.i]
         assert r.n == len(members) and r.confidence == max(min(1.0, max(0.0, m[3])) for m in members) and r.last_detected_at == members[-1][4]
+
+
+def test_search_counters_come_with_the_job(spark):
+    candidates = spark.createDataFrame([(1, "t", "a"), (2, "t", "b"), (3, None, "a")], "id int, term string, cat string")
+    offers = spark.createDataFrame([("t", 1, "u", 0.9, 1), ("t", 2, "u", 0.9, 2), ("t", 2, "v", 0.1, 3), ("t", 2, "w", None, 4), ("t", 3, "x", 0.9, 5), (None, 1, "y", 0.9, 6)], "term string, plugin int, url string, sure double, o int")
+    plugins = spark.createDataFrame([(1, 2, ["a"]), (2, 1, []), (3, 0, ["b"])], "plugin int, rank int, categories array<string>")
+    hits = searches.fan_out(candidates, offers, plugins, "id", "cat", "term", ["o"], ["url"], "sure", 0.5, F.when(F.col("o") == 5, "dear"))
+    shown, seen = searches.observed(hits, ["dear"])
+    assert sorted((r.id, r.o, r.outcome) for r in shown.collect()) == [(1, 1, "duplicate"), (1, 2, "accepted"), (1, 3, "unsure"), (1, 4, "unsure"), (2, 2, "accepted"), (2, 3, "unsure"), (2, 4, "unsure"), (2, 5, "dear")]
+    assert seen.get == {"hits": 8, "accepted": 2, "duplicate": 1, "unsure": 4, "dear": 1}
+    assert searches.search_counters(hits, "id", "plugin").filter("id = 2").first().asDict(recursive=True) == {"id": 2, "hits": 4, "duplicates": 0, "unsure": 2, "excluded": 1, "accepted": 1, "found_shops": 2, "regular_shops": 1, "reasons": [{"outcome": "dear", "n": 1}]}
+
+
+def test_details_are_read_for_the_first_likely_listings_alone(spark):
+    listings = spark.createDataFrame([(1, f"a{i}", i, 0.6, None) for i in range(5)] + [(1, "a0", 9, 0.9, None), (1, "b", 10, 0.1, None), (2, None, 1, 0.9, "own")], "k int, address string, o int, look double, name string")
+    details = spark.createDataFrame([("a0", "found", 0.9), ("a1", "", 0.2), ("a4", "late", 1.0)], "address string, name string, sure double")
+    found = searches.staged(listings, details, "k", "address", ["o"], F.col("look"), 0.5, 3, ["name", "sure"], F.coalesce("sure", "look"), 0.8, searches.by_reason({"no name": F.col("name").isNull()}))
+    assert sorted((r.k, r.o, r.name, r.outcome) for r in found.filter("k = 1").na.fill("-").collect()) == [(1, 0, "found", "accepted"), (1, 1, "-", "no name"), (1, 2, "-", "no name"), (1, 3, "-", "detail_limit"), (1, 4, "-", "detail_limit"), (1, 9, "-", "duplicate"), (1, 10, "-", "preliminary")]
+    assert [(r.name, r.outcome) for r in found.filter("k = 2").collect()] == [("own", "accepted")]
