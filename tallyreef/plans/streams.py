@@ -16,7 +16,7 @@ def stream_first_seen(spark: SparkSession, sf: str) -> DataFrame:
 def stream_throttled_errors(spark: SparkSession, sf: str) -> DataFrame:
     """Errors that are notified, at most one in 720 minutes for each user."""
     errors = streams.table_stream(spark, sf, "events").filter("event_type = 'error'")
-    return streams.run_to_end(streams.throttled(errors, "user_id", "ts", "event_id", 720))
+    return streams.throttled_to_end(errors, "user_id", "ts", "event_id", 720, "1 hour")
 
 
 def stream_latest_event(spark: SparkSession, sf: str) -> DataFrame:

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
 from tallyreef.sources.scratch import scratch
@@ -38,31 +38,96 @@ def deduplicated(stream: DataFrame, key: str, at: str, delay: str) -> DataFrame:
     return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def throttled(stream: DataFrame, key: str, at: str, order: str, minutes: int) -> DataFrame:
+class _Throttle(StatefulProcessor):
+    """Rows wait in state until the watermark has passed them, then they are judged in order of time."""
+
+    def __init__(self, gap: int, order_type: str):
+        self.gap, self.order_type = gap, order_type
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.judged = handle.getValueState("judged", "n long, last long")
+        self.waiting = handle.getListState("waiting", f"micros long, o {self.order_type}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = [(r["micros"], r["o"]) for r in rows]
+        self.waiting.appendList(new)
+        # A timer for the earliest new row is enough: what it leaves sets the next one.
+        self.handle.registerTimer(min(m for m, _ in new) // 1000)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = [(m, o) for m, o in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((r for r in rows if r[0] < passed), key=lambda r: (r[0], r[1] is not None, r[1]))
+        if due:
+            n, last = self.judged.get() if self.judged.exists() else (0, None)
+            for micros, o in due:
+                n += 1
+                notify = last is None or micros - last >= self.gap
+                last = micros if notify else last
+                yield Row(k=key[0], o=o, count=n, notify=notify)
+            self.judged.update((n, last))
+        left = [r for r in rows if r[0] >= passed]
+        if left:
+            self.waiting.put(left)
+            self.handle.registerTimer(min(m for m, _ in left) // 1000)
+        else:
+            self.waiting.clear()
+
+    def close(self) -> None:
+        pass
+
+
+def throttled(stream: DataFrame, key: str, at: str, order: str, minutes: int, delay: str) -> DataFrame:
     """Rows with a running count of their key and whether they are notified: that long since the last notified row.
 
-    State is one count and one time a key. Rows of a micro-batch are taken in order
-    of time; one that comes with a later batch is judged then, whatever its time, so
-    rows that are out of order across batches may be told otherwise than in one batch.
+    Rows are judged by their times, not by when they come: each waits until the watermark,
+    ``delay`` behind the latest time seen, has passed it, so any split of rows into batches
+    gives what one batch gives. Later rows are dropped. State of a key is one count, one
+    time, and the rows that wait. The query needs the RocksDB state store (``with_rocksdb``).
     """
-    gap = max(1, minutes) * 60
-
-    def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, last = state.get if state.exists else (0, -1.0)
-        rows = pd.concat(list(frames)).sort_values([at, order], kind="stable")
-        counts, notify = [], []
-        for t in rows[at].astype("datetime64[us]").astype("int64") / 1e6:
-            n += 1
-            due = last < 0 or t - last >= gap
-            last = t if due else last
-            counts.append(n)
-            notify.append(due)
-        state.update((n, last))
-        yield rows[[key, order]].assign(count=counts, notify=notify)
-
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
-    out = f"{key} {kinds[key]}, {order} {kinds[order]}, count long, notify boolean"
-    return stream.select(key, at, order).groupBy(key).applyInPandasWithState(step, out, "n long, last double", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(key).alias("k"), F.col(at).cast("timestamp").alias("at"), F.col(order).alias("o")).withWatermark("at", delay)
+    rows = rows.filter(F.col("at") < F.lit(CLOSING).cast("timestamp")).withColumn("micros", F.unix_micros("at"))
+    judged = rows.groupBy("k").transformWithState(_Throttle(max(1, minutes) * 60_000_000, kinds[order]), f"k {kinds[key]}, o {kinds[order]}, count long, notify boolean", "append", "EventTime")
+    return judged.select(F.col("k").alias(key), F.col("o").alias(order), "count", "notify")
+
+
+#: The time of a row that closes a stream: it moves the watermark past all others and is nothing itself.
+CLOSING = "9999-01-01 00:00:00"
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def throttled_to_end(stream: DataFrame, key: str, at: str, order: str, minutes: int, delay: str) -> DataFrame:
+    """All rows of a stream that has an end, judged: what is there is processed, then a closing row comes and the query goes on from its checkpoint."""
+    spark = stream.sparkSession
+    folder, out, state = (scratch(spark, f"throttle-{n}") for n in ("closing", "out", "state"))
+    shown = stream.select(key, at, order)
+    spark.createDataFrame([], shown.schema).write.parquet(folder)
+    judged = throttled(shown.unionByName(spark.readStream.schema(shown.schema).parquet(folder)), key, at, order, minutes, delay)
+    with with_rocksdb(spark):
+        for closing in (False, True):
+            if closing:
+                end = [F.lit(CLOSING if f.name == at else None).cast(f.dataType).alias(f.name) for f in shown.schema.fields]
+                spark.range(1).select(*end).write.mode("append").parquet(folder)
+            query = judged.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+            query.awaitTermination()
+    return spark.read.schema(judged.schema).parquet(out)
 
 
 #: Batches after which the merged table is written as a whole.

@@ -8,6 +8,7 @@ from tallyreef.functions import money, rules, text, times, urls
 from tallyreef.operators import components, joins, ordered_merge, resolve, searches, shapes, windows
 from tallyreef.sources import sinks, staged, tables
 from tallyreef.sources.scratch import written
+from tallyreef.streaming import streams
 
 
 def one(spark, value, kind="string"):
@@ -431,3 +432,19 @@ def test_details_are_read_for_the_first_likely_listings_alone(spark):
     found = searches.staged(listings, details, "k", "address", ["o"], F.col("look"), 0.5, 3, ["name", "sure"], F.coalesce("sure", "look"), 0.8, searches.by_reason({"no name": F.col("name").isNull()}))
     assert sorted((r.k, r.o, r.name, r.outcome) for r in found.filter("k = 1").na.fill("-").collect()) == [(1, 0, "found", "accepted"), (1, 1, "-", "no name"), (1, 2, "-", "no name"), (1, 3, "-", "detail_limit"), (1, 4, "-", "detail_limit"), (1, 9, "-", "duplicate"), (1, 10, "-", "preliminary")]
     assert [(r.name, r.outcome) for r in found.filter("k = 2").collect()] == [("own", "accepted")]
+
+
+def test_throttled_stream_does_not_depend_on_its_batches(spark, tmp_path):
+    """Rows out of order within the delay, in files of one batch each, with a restart after every one."""
+    draw = random.Random(3)
+    start = dt.datetime(2024, 1, 1)
+    rows = sorted((start + dt.timedelta(minutes=draw.randrange(4000)), i, draw.choice(["a", "b", None])) for i in range(300))
+    df = spark.createDataFrame([(k, t, i) for t, i, k in rows], "k string, t timestamp, i int")
+    expected = sorted(map(repr, (tuple(r) for r in windows.throttle(df, "k", "t", "i", 60).select("k", "i", "count", "notify").collect())))
+    late = sorted(rows, key=lambda r: r[0] + dt.timedelta(minutes=draw.randrange(-20, 20)))
+    source = tmp_path / "in"
+    for n in range(0, 300, 100):
+        spark.createDataFrame([(k, t, i) for t, i, k in late[n : n + 100]], df.schema).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
+    found = streams.throttled_to_end(stream, "k", "t", "i", 60, "1 hour")
+    assert sorted(map(repr, (tuple(r) for r in found.select("k", "i", "count", "notify").collect()))) == expected
