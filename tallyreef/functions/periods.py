@@ -30,6 +30,8 @@ METHODS = ((r"アプリ", "アプリ受付"), (r"店頭", "店頭受付"), (r"
 END_STATUSES = ("終了済み", "受付終了", "応募終了", "予約終了", "抽選終了", "販売終了", "closed", "ended", "expired", "中止", "キャンセル", "受付中止", "抽選中止", "予約中止")
 PLANNED_END = r"終了(?:する)?(?:予定|見込|見込み|予告)"
 END_PHRASE = r"(?:応募受付|申込受付|申し込み受付|受付|応募|予約|抽選(?:販売)?|販売)(?:は|が|を)?(?:終了済み|終了しました|終了いたしました|終了しております|終了しています|終了となりました|終了となっています)"
+# Fixed value: the label under which a stored end is read again.
+STORED_LABEL = "応募締切"
 #: A period's end that no time is told for, and the seconds of one that is.
 LAST = (23, 59, 59)
 
@@ -121,10 +123,21 @@ def with_period(df: DataFrame, text: Column, now: Column, release: Column, name:
     return found.withColumn(name, out).drop("__lines", "__parts", "__at", "__end")
 
 
+def _timed(stored_end: Column) -> Column:
+    """Whether a stored end is a time that counts as it stands."""
+    return F.coalesce(stored_end.rlike(r"(?:T|\s)\d{1,2}(?::|時)\d{0,2}") & stored_end.try_cast("timestamp_ntz").isNotNull(), F.lit(False))
+
+
+def overlay_text(text: Column, stored_end: Column) -> Column:
+    """The text to read a period from: a stored end without a time stands as a deadline after what is told."""
+    stored = blank(stored_end)
+    told = F.coalesce(text, F.lit(""))
+    return F.when(_timed(stored_end) | (stored == ""), told).otherwise(F.concat(told, F.lit(f"\n{STORED_LABEL} "), stored))
+
+
 def overlaid(stored_end: Column, found: Column) -> tuple[Column, Column]:
-    """End and whether its time is told: a stored end with a time is never overwritten by what a text tells."""
-    timed = stored_end.rlike(r"(?:T|\s)\d{1,2}(?::|時)\d{0,2}") & stored_end.try_cast("timestamp_ntz").isNotNull()
-    kept = F.coalesce(timed, F.lit(False))
+    """End and whether its time is told, from the period of ``overlay_text``: a stored end with a time is never overwritten."""
+    kept = _timed(stored_end)
     return F.when(kept, stored_end.try_cast("timestamp_ntz")).otherwise(found["end"]), kept | F.coalesce(found["end_timed"], F.lit(False))
 
 

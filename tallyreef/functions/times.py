@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,19 @@ def period_state(start: Column, end: Column, now: Column, explicit_end: Column,
     )
 
 
+def remaining_text(start: Column, end: Column, ended: Column, now: Column) -> Column:
+    """What is left of a period in words: over, when it starts, unknown, the hour of its last day, hours, or days."""
+    seconds = F.timestamp_diff("SECOND", now, end)
+    return (
+        F.when(ended | F.coalesce(now > end, F.lit(False)), "受付終了")
+        .when(start.isNotNull() & (now < start), F.concat(F.date_format(start, "MM/dd HH:mm"), F.lit("受付開始")))
+        .when(end.isNull(), "締切日時不明")
+        .when(end.cast("date") == now.cast("date"), F.concat(F.lit("本日"), F.date_format(end, "HH:mm"), F.lit("締切")))
+        .when(seconds < 86400, F.concat(F.lit("あと"), F.greatest(F.lit(1), F.floor(seconds / 3600)).cast("string"), F.lit("時間")))
+        .otherwise(F.concat(F.lit("あと"), F.greatest(F.lit(1), F.floor(seconds / 86400)).cast("string"), F.lit("日")))
+    )
+
+
 def remaining(minutes: Column) -> Column:
     """Minutes as days, hours and minutes."""
     return (
@@ -95,3 +110,25 @@ def dates_in(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(r"(\d{4}[-/.]\d{1,2}[-/.]\d{1,2})"), F.lit(1))
     part = lambda d, i: F.element_at(F.split(d, "[-/.]"), i).cast("int")
     return F.array_sort(F.array_distinct(F.array_compact(F.transform(found, lambda d: date_of(part(d, 1), part(d, 2), part(d, 3))))))
+
+
+# A date with its year, and one without, which counts only where none has a year.
+YEAR_DATE, DAY_DATE = r"(\d{4})[./年-]\s*(\d{1,2})[./月-]\s*(\d{1,2})日?", r"(\d{1,2})[./月]\s*(\d{1,2})日?"
+
+
+def text_dates(text: Column, today: Column) -> Column:
+    """All valid dates of a text, distinct and sorted; dates without a year count if none has one, and those over 120 days past are next year's."""
+
+    def found(pattern: str, day: Callable[[Column], Column]) -> Column:
+        return F.array_sort(F.array_distinct(F.array_compact(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), day))))
+
+    def part(d: Column, pattern: str, i: int) -> Column:
+        return F.regexp_extract(d, pattern, i).cast("int")
+
+    def this_or_next(d: Column) -> Column:
+        month, day = part(d, DAY_DATE, 1), part(d, DAY_DATE, 2)
+        date = date_of(F.year(today), month, day)
+        return F.when(F.date_diff(today, date) > 120, date_of(F.year(today) + 1, month, day)).otherwise(date)
+
+    whole = found(YEAR_DATE, lambda d: date_of(*[part(d, YEAR_DATE, i) for i in (1, 2, 3)]))
+    return F.when(F.size(whole) > 0, whole).otherwise(found(DAY_DATE, this_or_next))

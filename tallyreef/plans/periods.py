@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyreef.functions import periods, times
@@ -18,36 +18,38 @@ def _at(text: str):
     return F.lit(text).cast("timestamp_ntz")
 
 
-#: Texts and what they tell: start, end, result, method, conditions, store, unsettled, end_timed.
-_PERIODS = (
-    ("応募期間：2026年7月18日 10:00から2026年7月25日 18:00\n当選発表：2026年7月30日 12:00", "2026-07-18 10:00:00", "2026-07-25 18:00:59", "2026-07-30 12:00:59", "", "", "", False, True),
-    ("抽選受付 7/20(月) 12時00分～8/3 23:59 結果発表 8/10", "2026-07-20 12:00:00", "2026-08-03 23:59:59", "2026-08-10 23:59:59", "抽選", "", "", False, True),
-    ("予約は12月28日から1月5日まで", "2026-12-28 00:00:00", "2027-01-05 23:59:59", None, "予約", "", "", False, False),
-    ("締切：2026年7月31日", None, "2026-07-31 23:59:59", None, "", "", "", False, False),
-    ("受付開始 2026年9月1日 9:00\n9月30日 21:00まで受付", "2026-09-01 09:00:00", None, None, "", "", "", False, False),
-    ("応募締切は8月5日 18:00です。公式アプリから応募", None, "2026-08-05 18:00:59", None, "アプリ受付", "", "", False, True),
-    ("受付期間：未定", None, None, None, "", "", "", True, False),
-    ("お知らせ 7月20日から7月25日", None, None, None, "", "", "", False, False),
-    ("対象店舗：東京 1号店、大阪店。応募条件：会員 限定\n抽選 2026/10/1 ～ 2026/10/3", "2026-10-01 00:00:00", "2026-10-03 23:59:59", None, "抽選", "会員 限定", "東京 1号店、大阪店", False, False),
-    ("", None, None, None, "", "", "", False, False),
-    ("応募：2月30日まで", None, None, None, "", "", "", False, False),
-)
+#: Days that bring the orders' dates into this century.
+LATER = 10_000
 
 
-def period_texts(spark: SparkSession, sf: str) -> DataFrame:
-    """Periods that free texts tell: start, end, result, way to apply, conditions, stores."""
-    t = periods.with_period(table(spark, sf, "part").select("p_partkey"), pick([x[0] for x in _PERIODS], "p_partkey"), _at(NOW), F.lit(None).cast("date"), "x")
-    return t.select("p_partkey", *[F.col(f"x.{c}").cast("string").alias(c) for c in ("start", "end", "result")], "x.method", "x.conditions", "x.store", "x.unsettled", "x.end_timed")
+def _day(days: int, form: str) -> Column:
+    return F.date_format(F.date_add(F.col("o_orderdate").cast("date"), LATER + days), form)
 
 
-_STORED = ("2026-07-20T18:00", "2026-07-20", "", None, "7月20日 18:00", "2026-13-40T10:00")
+def _told_periods() -> Column:
+    """What an order's dates are told as: five wordings by priority."""
+    long, short = "yyyy年M月d日", "yyyy/M/d"
+    return (
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.lit("応募期間："), _day(0, long), F.lit(" 10:00から"), _day(9, long), F.lit(" 18:00\n当選発表："), _day(20, long), F.lit(" 12:00")))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.concat(F.lit("抽選受付 "), _day(0, short), F.lit("(月) 12時00分～"), _day(9, short), F.lit(" 23:59 結果発表 "), _day(20, short)))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("お知らせ\n締切："), _day(9, long)))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.lit("受付期間：未定"))
+        .otherwise(F.concat(F.lit("対象店舗："), "o_custkey", F.lit("号店。応募条件：会員 "), "o_orderkey", F.lit("\n予約 "), _day(0, short), F.lit(" ～ "), _day(9, short)))
+    )
+
+
+def period_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Periods that free texts tell: start, end, result, way to apply, conditions, stores."""
+    t = periods.with_period(table(spark, sf, "orders"), _told_periods(), _at(NOW), F.lit(None).cast("date"), "x")
+    return t.select("o_orderkey", *[F.col(f"x.{c}").cast("string").alias(c) for c in ("start", "end", "result")], "x.method", "x.conditions", "x.store", "x.unsettled", "x.end_timed")
 
 
 def period_overlay(spark: SparkSession, sf: str) -> DataFrame:
-    """Ends of rows after texts were read: a stored end with a time stays, any other gives way."""
-    t = periods.with_period(table(spark, sf, "part").select("p_partkey", pick(_STORED, "p_size").alias("stored")), pick([x[0] for x in _PERIODS], "p_partkey"), _at(NOW), F.lit(None).cast("date"), "x")
+    """Ends of rows after texts were read: a stored end with a time stays; one without counts where the text tells no end."""
+    o = table(spark, sf, "orders").withColumn("stored", F.when(F.col("o_orderstatus") == "P", _day(30, "yyyy-MM-dd'T'18:00")).when(F.col("o_orderstatus") == "F", _day(30, "yyyy-MM-dd")))
+    t = periods.with_period(o, periods.overlay_text(_told_periods(), F.col("stored")), _at(NOW), F.lit(None).cast("date"), "x")
     end, timed = periods.overlaid(F.col("stored"), F.col("x"))
-    return t.select("p_partkey", end.cast("string").alias("end"), timed.alias("timed"))
+    return t.select("o_orderkey", end.cast("string").alias("end"), timed.alias("timed"))
 
 
 #: Texts with first and last date, release date, labelled dates, dates of a post, and whether a result is due.
@@ -163,16 +165,19 @@ def _told(cases, at: int, key: str = "p_partkey") -> str:
     return sql_pick([x[at] for x in cases], key)
 
 
-_END = _told(_PERIODS, 2)
-_STORED_SQL = sql_pick(_STORED, "p_size")
+_PR = "left(o_orderpriority, 1)"
+_D = f"(o_orderdate::DATE + {LATER})"
+_TEXT_END = f"CASE WHEN {_PR} = '1' THEN {_D} + INTERVAL 9 DAY + INTERVAL 64859 SECOND WHEN {_PR} <> '4' THEN {_D} + INTERVAL 9 DAY + INTERVAL 86399 SECOND END"
 _ENDED = "CASE " + " ".join(f"WHEN p_partkey % {len(_STATUSES)} = {i} THEN {sql_text('status=' + s)}" for i, (s, end, _) in enumerate(_STATUSES) if end) + " END"
 _N = f"TIMESTAMP '{EVENTS_NOW}'"
 _EV = f"SELECT *, {sql_pick(_VERIFIED, 'event_id')} AS v, {sql_pick(_RESULTS, 'user_id')} AS res, {sql_pick(('未応募', None, '応募済み'), 'event_id')} AS st, {sql_pick(_WORDS, 'event_id')} AS w FROM events"
 _REM = f"SELECT *, greatest(1, floor(trunc(epoch(ts - {_N})) / 60))::BIGINT AS m FROM events WHERE ts > {_N}"
 
 ORACLE_SQL = {
-    "period_texts": f"SELECT p_partkey, {_told(_PERIODS, 1)} AS start, {_END} AS \"end\", {_told(_PERIODS, 3)} AS result, {_told(_PERIODS, 4)} AS method, {_told(_PERIODS, 5)} AS conditions, {_told(_PERIODS, 6)} AS store, {_told(_PERIODS, 7)} AS unsettled, {_told(_PERIODS, 8)} AS end_timed FROM part",
-    "period_overlay": f"SELECT p_partkey, CASE WHEN {_STORED_SQL} = '2026-07-20T18:00' THEN '2026-07-20 18:00:00' ELSE {_END} END AS \"end\", coalesce({_STORED_SQL} = '2026-07-20T18:00', false) OR {_told(_PERIODS, 8)} AS timed FROM part",
+    "period_texts": f"""SELECT o_orderkey, CASE WHEN {_PR} = '1' THEN ({_D} + INTERVAL 10 HOUR)::VARCHAR WHEN {_PR} = '2' THEN ({_D} + INTERVAL 12 HOUR)::VARCHAR WHEN {_PR} = '5' THEN ({_D} + INTERVAL 0 HOUR)::VARCHAR END AS start, {_TEXT_END}::VARCHAR AS "end",
+        CASE WHEN {_PR} = '1' THEN ({_D} + INTERVAL 20 DAY + INTERVAL 43259 SECOND)::VARCHAR WHEN {_PR} = '2' THEN ({_D} + INTERVAL 20 DAY + INTERVAL 86399 SECOND)::VARCHAR END AS result, CASE {_PR} WHEN '2' THEN '抽選' WHEN '5' THEN '予約' ELSE '' END AS method,
+        CASE WHEN {_PR} = '5' THEN '会員 ' || o_orderkey ELSE '' END AS conditions, CASE WHEN {_PR} = '5' THEN o_custkey || '号店' ELSE '' END AS store, {_PR} = '4' AS unsettled, {_PR} IN ('1', '2') AS end_timed FROM orders""",
+    "period_overlay": f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN {_D} + INTERVAL 30 DAY + INTERVAL 18 HOUR WHEN {_PR} <> '4' THEN {_TEXT_END} WHEN o_orderstatus = 'F' THEN {_D} + INTERVAL 30 DAY + INTERVAL 86399 SECOND END::VARCHAR AS "end", o_orderstatus = 'P' OR {_PR} IN ('1', '2') AS timed FROM orders""",
     "text_dates": f"SELECT p_partkey, {_told(_SPANS, 1)} AS span_start, {_told(_SPANS, 2)} AS span_end, {_told(_RELEASES, 1)} AS released, {_told(_LABELLED, 1)} AS label_start, {_told(_LABELLED, 2)} AS label_end, {_told(_LABELLED, 3)} AS label_result, {_told(_POSTS, 1)} AS post_start, {_told(_POSTS, 2)} AS post_end, {_told(_DUE, 1)} AS due, {_told(_LOOSE, 1)} AS loose FROM part",
     "explicit_ends": f"SELECT p_partkey, coalesce(CASE WHEN p_size % 10 = 0 THEN 'is_closed=true' END, {_ENDED}, CASE WHEN p_size % 7 = 0 THEN 'status_history=中止' END, '') AS ended, {_told(_STATUSES, 1)} AS says_end, {_told(_STATUSES, 2)} AS says_open FROM part",
     "derived_states": f"WITH x AS (SELECT {sql_pick(_APPLICATIONS, 'o_orderkey')} AS a, coalesce({sql_pick(_RESULTS, 'o_custkey')}, '') AS r, o_orderstatus AS s, o_orderkey AS k, o_orderdate AS d FROM orders) SELECT CASE WHEN a = '当選' OR r = '当選' THEN '当選' WHEN a = '落選' OR r = '落選' THEN '落選' WHEN s = 'F' THEN '終了済み' WHEN a = '未応募' THEN CASE WHEN s = 'P' THEN '本日締切' ELSE '未応募' END WHEN a = '抽選結果待ち' THEN '結果待ち' ELSE '応募済み' END AS dashboard, CASE WHEN r IN ('当選', '落選', '予約完了') THEN r WHEN k % 3 = 0 THEN '未応募' WHEN s = 'P' THEN '抽選結果確認' ELSE '抽選受付完了' END AS application, CASE a WHEN '抽選受付完了' THEN '応募済み' WHEN '結果待ち候補' THEN '抽選結果待ち' WHEN '変' THEN 'その他' ELSE a END AS shown, CASE WHEN s = 'F' THEN 'EXPIRED' WHEN d > '1996-01-01' THEN 'UPCOMING' ELSE 'ACTIVE' END AS active, count(*) AS n FROM x GROUP BY ALL",

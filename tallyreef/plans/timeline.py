@@ -84,6 +84,21 @@ def period_states(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
 
 
+def remaining_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of the period that begins with each event, in words, as it stands at its state."""
+    e = _events(spark, sf)
+    end = F.when(F.col("event_type") != "view", F.col("ts") + F.expr("INTERVAL 1 DAY") * F.floor(F.col("value") / 10))
+    return e.select("event_id", times.remaining_text(F.col("ts"), end, F.col("value") > 90, _now()).alias("left"))
+
+
+def loose_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """First and last date of texts with and without years; what is long past is next year's."""
+    d = F.col("o_orderdate")
+    o = table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.concat(F.date_format(d, "yyyy年M月d日"), F.lit(" 1/2 2月30日"))).otherwise(F.concat(F.date_format(d, "M月d日"), F.lit("から"), F.date_format(F.date_add(d, 3), "M/d"), F.lit(" 2月30日"))).alias("t"))
+    found = times.text_dates(F.col("t"), F.lit("1998-08-02").cast("date"))
+    return o.select("o_orderkey", F.try_element_at(found, F.lit(1)).cast("string").alias("start"), F.try_element_at(found, F.lit(-1)).cast("string").alias("end"))
+
+
 def reminder_offsets(spark: SparkSession, sf: str) -> DataFrame:
     """Deadlines ahead with the smallest reminder offset that is not passed, and the time that is left."""
     e = _events(spark, sf).select("event_id", F.floor(times.seconds_between(_now(), F.col("ts")) / 60).alias("minutes"))
@@ -142,7 +157,7 @@ def date_inference(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("o_orderkey", year.alias("year"), near.alias("by_release"), rolled.cast("string").alias("rolled"))
 
 
-QUERIES = {f.__name__: f for f in (latest_event_per_user, value_change_feed, filled_change_feed, edge_detect, title_changes, history_top50_per_user, timeline_top20, throttled_errors, deadline_buckets, period_states, reminder_offsets, seen_delta, props_json, api_items_by_kind, calendar_unpivot, agenda_union, date_inference)}
+QUERIES = {f.__name__: f for f in (latest_event_per_user, value_change_feed, filled_change_feed, edge_detect, title_changes, history_top50_per_user, timeline_top20, throttled_errors, deadline_buckets, period_states, remaining_texts, loose_dates, reminder_offsets, seen_delta, props_json, api_items_by_kind, calendar_unpivot, agenda_union, date_inference)}
 
 _N = f"TIMESTAMP '{NOW}'"
 ORACLE_SQL = {
@@ -155,6 +170,10 @@ ORACLE_SQL = {
     "timeline_top20": "SELECT ts::DATE::VARCHAR AS day, user_id, event_type, max(event_id) AS event_id FROM events GROUP BY 1, 2, 3 ORDER BY event_id DESC LIMIT 20",
     "throttled_errors": "WITH RECURSIVE e AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'error'), f AS (SELECT user_id, event_id, r, ts AS last, true AS notify FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, CASE WHEN e.ts - f.last >= INTERVAL 720 MINUTE THEN e.ts ELSE f.last END, e.ts - f.last >= INTERVAL 720 MINUTE FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1) SELECT user_id, event_id, r AS count, notify FROM f",
     "deadline_buckets": f"SELECT CASE WHEN event_type = 'error' THEN 'expired' WHEN ts < {_N} - INTERVAL 1 SECOND + INTERVAL 1 MICROSECOND THEN 'expired' WHEN ts::DATE = {_N}::DATE THEN 'today' WHEN ts < {_N} + INTERVAL 24 HOUR + INTERVAL 1 SECOND THEN 'within_24h' WHEN ts < {_N} + INTERVAL 72 HOUR + INTERVAL 1 SECOND THEN 'within_72h' ELSE 'normal' END AS state, ts < {_N} + INTERVAL 1 SECOND AND ts > {_N} - INTERVAL 7 DAY - INTERVAL 1 SECOND AS fresh, ts > {_N} - INTERVAL 14 DAY - INTERVAL 1 SECOND AS kept, count(*) AS n FROM events GROUP BY ALL",
+    "remaining_texts": f"""WITH x AS (SELECT event_id, ts, value, CASE WHEN event_type <> 'view' THEN ts + INTERVAL 1 DAY * floor(value / 10)::INT END AS e FROM events), y AS (SELECT *, trunc(epoch(e - {_N})) AS s FROM x)
+        SELECT event_id, CASE WHEN value > 90 OR coalesce({_N} > e, false) THEN '受付終了' WHEN {_N} < ts THEN strftime(ts, '%m/%d %H:%M') || '受付開始' WHEN e IS NULL THEN '締切日時不明' WHEN e::DATE = {_N}::DATE THEN '本日' || strftime(e, '%H:%M') || '締切' WHEN s < 86400 THEN 'あと' || greatest(1, floor(s / 3600)::INT) || '時間' ELSE 'あと' || greatest(1, floor(s / 86400)::INT) || '日' END AS "left" FROM y""",
+    "loose_dates": """WITH x AS (SELECT o_orderkey, o_orderstatus AS s, o_orderdate::DATE AS d, unnest([o_orderdate::DATE, o_orderdate::DATE + 3]) AS a FROM orders), y AS (SELECT o_orderkey, s, d, TRY_CAST('1998-' || strftime(a, '%m-%d') AS DATE) AS a, TRY_CAST('1999-' || strftime(a, '%m-%d') AS DATE) AS b FROM x),
+        z AS (SELECT o_orderkey, s, d, CASE WHEN DATE '1998-08-02' - a > 120 THEN b ELSE a END AS a FROM y) SELECT o_orderkey, CASE WHEN any_value(s) = 'F' THEN any_value(d) ELSE min(a) END::VARCHAR AS start, CASE WHEN any_value(s) = 'F' THEN any_value(d) ELSE max(a) END::VARCHAR AS "end" FROM z GROUP BY 1""",
     "period_states": f"SELECT CASE WHEN value > 90 THEN 'ended' WHEN event_type <> 'view' AND {_N} > ts + INTERVAL 1 DAY THEN 'ended' WHEN {_N} < ts THEN 'upcoming' WHEN event_type = 'view' THEN 'stated' WHEN (ts + INTERVAL 1 DAY)::DATE = {_N}::DATE THEN 'today' ELSE 'open' END AS state, count(*) AS n FROM events GROUP BY 1",
     "reminder_offsets": f"WITH m AS (SELECT event_id, floor(trunc(epoch(ts - {_N})) / 60)::BIGINT AS minutes FROM events), r AS (SELECT *, CASE WHEN minutes < 0 THEN NULL WHEN minutes <= 60 THEN 60 WHEN minutes <= 180 THEN 180 WHEN minutes <= 1440 THEN 1440 WHEN minutes <= 4320 THEN 4320 END AS reminder FROM m) SELECT event_id, reminder, CASE WHEN minutes >= 1440 THEN (minutes // 1440) || 'd' WHEN minutes >= 60 THEN (minutes // 60) || 'h' ELSE minutes || 'm' END AS \"left\" FROM r WHERE reminder IS NOT NULL",
     "seen_delta": "SELECT DISTINCT user_id, event_type FROM events e WHERE ts >= '2024-01-10' AND NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = e.event_type AND s.ts < '2024-01-10')",
