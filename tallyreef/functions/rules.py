@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -41,3 +41,8 @@ def additive(base: float, rules: Sequence[tuple[str, Column, float]]) -> tuple[C
 def clamped(value: Column, allowed: Sequence[str], otherwise: str) -> Column:
     """A value of a fixed vocabulary, else the default."""
     return F.when(value.isin(*allowed), value).otherwise(otherwise)
+
+
+def bound(value: Column, result: Callable[[Column], Column]) -> Column:
+    """result(value), with the value worked out once however often the result reads it, also where a filter is pushed down."""
+    return F.transform(F.array(value), result)[0]

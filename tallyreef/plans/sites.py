@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyreef.functions import applications, markup
+from tallyreef.functions import applications, entries, markup
 from tallyreef.operators import resolve
 from tallyreef.sources.tables import table
 
@@ -149,7 +149,18 @@ def discovery_merge_by_identity(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("identity", "l_partkey", "l_returnflag", "l_linestatus", "l_orderkey", "n", F.array_join("sources", ",").alias("sources"), F.when(F.size("sources") >= 2, "HIGH").otherwise("NORMAL").alias("priority"))
 
 
-QUERIES = {f.__name__: f for f in (catalog_layouts, catalog_detail_pages, official_applications, article_candidates, product_links, card_products, store_rows, discovery_merge_by_identity)}
+def text_entries(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as news of products: those that name one with its date, surely enough."""
+    o, k, day = table(spark, sf, "orders"), F.col("o_orderkey"), F.date_format("o_orderdate", "M月d日")
+    told = (
+        F.when(F.col("o_orderpriority") == "1-URGENT", _text("新しい拡張パック「Pack ", k, "」全", F.col("o_custkey"), "種が", F.date_format("o_orderdate", "yyyy年M月d日"), "発売！")).when(F.col("o_orderpriority") == "2-HIGH", _text("構築デッキ『Deck ", k, "』5種　", day, " 登場。"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", _text("拡張パック「Pack ", k, "」が", day, "発売")).when(F.col("o_orderpriority") == "4-NOT SPECIFIED", _text("大会 拡張パック「Pack ", k, "」3種 ", day)).otherwise(_text("ブースターパック Booster ", k, " EX 発売日未定"))
+    )
+    rows = o.select("o_orderkey", told.alias("told"), F.when(F.col("o_orderstatus") == "F", "https://x.example/info/1").otherwise("https://x.example/ex/1").alias("url"))
+    return entries.product_entries(rows, "told", "url", F.lit("news"), F.lit("1998-08-02").cast("date")).select("o_orderkey", "product_id", "name", "release_date", "confidence")
+
+
+QUERIES = {f.__name__: f for f in (text_entries, catalog_layouts, catalog_detail_pages, official_applications, article_candidates, product_links, card_products, store_rows, discovery_merge_by_identity)}
 
 
 def _cases(values: dict[str, str]) -> str:
@@ -159,6 +170,10 @@ def _cases(values: dict[str, str]) -> str:
 _D = f"(o_orderdate::DATE + {LATER})"
 _K = f"(o_custkey % {len(LISTS)})"
 ORACLE_SQL = {
+    # A quoted name keeps its closing bracket only where a count follows; that and a date make the validator sure.
+    "text_entries": """WITH x AS (SELECT o_orderkey, o_orderstatus AS s, o_orderpriority AS p, o_orderdate::DATE AS d, o_custkey AS c, TRY_CAST('1998-' || strftime(o_orderdate, '%m-%d') AS DATE) AS a, TRY_CAST('1999-' || strftime(o_orderdate, '%m-%d') AS DATE) AS b FROM orders),
+        y AS (SELECT o_orderkey, s, CASE WHEN p = '1-URGENT' THEN '拡張パック「Pack ' || o_orderkey || '」 ' || c || '種' ELSE '構築デッキ「Deck ' || o_orderkey || '」 5種' END AS name, CASE WHEN p = '1-URGENT' THEN d WHEN DATE '1998-08-02' - a > 120 THEN b ELSE a END AS r FROM x WHERE p IN ('1-URGENT', '2-HIGH'))
+        SELECT o_orderkey, 'source_' || left(sha256('news|' || name || '|' || r), 20) AS product_id, name, r::VARCHAR AS release_date, 0.85::DOUBLE AS confidence FROM y WHERE r IS NOT NULL AND s <> 'F'""",
     "catalog_layouts": f"""SELECT o_custkey, {list(LISTS)}[{_K} + 1] AS layout, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS ord, 'Pack ' || o_orderkey || ' & ' || o_orderpriority AS name,
         CASE {_K} WHEN 4 THEN 'https://dm.example/product/' WHEN 7 THEN '/detail.php?id=' ELSE '/products/' END || o_orderkey AS url, '/i/' || o_orderkey || '.png' AS image, CASE WHEN {_K} IN (0, 1, 2, 4, 5) THEN o_orderstatus ELSE '' END AS kind,
         CASE {_K} WHEN 7 THEN o_orderstatus WHEN 8 THEN 'true' ELSE '' END AS status, CASE {_K} WHEN 8 THEN 'h' || o_orderkey ELSE '' END AS code, CASE WHEN {_K} < 6 THEN {_D}::VARCHAR END AS date, CASE WHEN {_K} <> 6 THEN floor(o_totalprice)::BIGINT END AS price FROM orders""",
