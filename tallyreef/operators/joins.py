@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,19 +125,31 @@ def prefix_anti(df: DataFrame, excluded: DataFrame, key: str, prefix: str, separ
     return keyed.join(hit, "__row", "left_anti").drop("__row")
 
 
+def _filled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    for c in columns:
+        df = df.filter(F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
+    return df
+
+
 def same_case(left: DataFrame, right: DataFrame, keys: Sequence[Sequence[str]], left_id: str, right_id: str) -> DataFrame:
-    """Pairs that agree in any of several keys: a union of equal joins, each pair once; empty parts agree with nothing."""
-    pairs = None
-    for key in keys:
-        filled = [F.col(c).isNotNull() & (F.col(c).cast("string") != "") for c in key]
-        sides = []
-        for side, name in ((left, left_id), (right, right_id)):
-            for f in filled:
-                side = side.filter(f)
-            sides.append(side.select(name, *key))
-        found = sides[0].join(sides[1], list(key)).select(left_id, right_id)
-        pairs = found if pairs is None else pairs.union(found)
-    return pairs.distinct()
+    """left_id, links and first: how many right rows agree with a left row in any of several keys, and the least of them; empty parts agree with nothing.
+
+    Right rows are counted by key before they meet the left side, and rows that agree in
+    several keys are counted once by adding and taking away what sets of keys have in common,
+    so no pair is put out and a hot key sends one row.
+    """
+    out = left.select(left_id, *dict.fromkeys(c for key in keys for c in key))
+    links, firsts = F.lit(0).cast("long"), []
+    for size in range(1, len(keys) + 1):
+        for i, some in enumerate(combinations(keys, size)):
+            columns = list(dict.fromkeys(c for key in some for c in key))
+            n, least = f"__n{size}_{i}", f"__first{size}_{i}"
+            counted = _filled(right, columns).groupBy(*columns).agg(F.count("*").alias(n), F.min(right_id).alias(least))
+            out = out.join(counted if size == 1 else counted.drop(least), columns, "left")
+            links = links + F.coalesce(n, F.lit(0)) * (1 if size % 2 else -1)
+            firsts += [F.col(least)] if size == 1 else []
+    first = F.least(*firsts) if len(firsts) > 1 else firsts[0]
+    return out.select(left_id, links.alias("links"), first.alias("first"))
 
 
 def outcomes(df: DataFrame, id_col: str, flags: Sequence[tuple[str, DataFrame, str]], otherwise: str) -> DataFrame:
@@ -188,8 +201,8 @@ def two_sources(first: DataFrame, second: DataFrame, keys: Sequence[Sequence[str
 
     A second row joins the first one, by ``row``, of the rows that it equals.
     """
-    pairs = same_case(first.withColumnRenamed(row, "__a"), second.withColumnRenamed(row, "__b"), keys, "__a", "__b").groupBy("__b").agg(F.min("__a").alias("__a"))
-    joined = second.join(pairs, second[row] == pairs["__b"], "left")
+    # Only the least first row of a key can be the one, so each key sends one row.
+    joined = same_case(second, first, keys, row, row).select(row, F.col("first").alias("__a")).join(second, row)
     met = joined.filter("__a is not null").select(F.col("__a").alias(row), F.col(evidence).alias("__added"), F.col(confidence).alias("__best"))
     out = first.join(met.groupBy(row).agg(F.max("__best").alias("__best")), row, "left").join(distinct_values(met, [row], "__added", MOST_EVIDENCE), row, "left")
     merged = out.select(row, F.array_sort(F.array_distinct(F.concat(F.array(evidence), F.coalesce("__added", F.array().cast("array<string>"))))).alias("evidence"), F.greatest(confidence, F.coalesce("__best", F.col(confidence))).alias("confidence"), F.lit("first").alias("source"))

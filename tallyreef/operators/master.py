@@ -17,6 +17,7 @@ from tallyreef.functions import names
 from tallyreef.functions.text import blank, first_filled
 from tallyreef.operators.resolve import conflict
 from tallyreef.operators.windows import ranked
+from tallyreef.sources.scratch import written
 
 ID_FIELDS = tuple(name for name, _ in names.IDENTIFIERS)
 #: Aliases and addresses that a product keeps at most.
@@ -50,8 +51,9 @@ def matches(known: DataFrame, incoming: DataFrame, known_id: str, incoming_id: s
     ids = [f"m_{f}" for f in ID_FIELDS]
     has = F.coalesce(*[F.col(c) for c in ids]).isNotNull()
     signed = known.groupBy(*_FORMS).agg(F.count("*").alias("n"), F.min(known_id).alias("first"))
-    signed = signed.select(*[F.col(c).alias(f"k{c}") for c in _FORMS], "n", "first")
-    asked = incoming.select(incoming_id, *_FORMS)
+    # Both sides are compared in several ways: their forms are worked out once.
+    signed = written(signed.select(*[F.col(c).alias(f"k{c}") for c in _FORMS], "n", "first"), "match-known")
+    asked = written(incoming.select(incoming_id, *_FORMS), "match-incoming")
     fits = ~_differ("km_kind", "m_kind") & ~_differ("km_brand", "m_brand")
     clash = F.lit(False)
     for c in ids:
@@ -63,11 +65,18 @@ def matches(known: DataFrame, incoming: DataFrame, known_id: str, incoming_id: s
         pairs = found if pairs is None else pairs.union(found)
     by_id = pairs.dropDuplicates([incoming_id, *[f"k{f}" for f in _FORMS]]).groupBy(incoming_id).agg(F.sum("n").alias("n_id"), F.min("first").alias("by_id"))
     # A known row of other identifiers: some group has one that is less or greater.
+    # A category has one row, with the bounds of its few kinds and brands.
     groups = signed.groupBy("km_category", "km_kind", "km_brand").agg(*[f(f"k{c}").alias(f"{f.__name__}_{c}") for c in ids for f in (F.min, F.max)])
-    other = F.lit(False)
-    for c in ids:
-        other = other | conflict(F.col(f"min_{c}"), F.col(c)) | conflict(F.col(f"max_{c}"), F.col(c))
-    clashing = asked.filter(has).join(groups, same_category).filter(fits & other).select(incoming_id, F.lit(True).alias("clashes")).distinct()
+    bounds = groups.groupBy("km_category").agg(F.collect_list(F.struct(*[c for c in groups.columns if c != "km_category"])).alias("bounds"))
+
+    def clashes(group: Column) -> Column:
+        apart = lambda a, b: (a != "") & (b != "") & (a != b)
+        other = F.lit(False)
+        for c in ids:
+            other = other | conflict(group[f"min_{c}"], F.col(c)) | conflict(group[f"max_{c}"], F.col(c))
+        return F.coalesce(~apart(group["km_kind"], F.col("m_kind")) & ~apart(group["km_brand"], F.col("m_brand")) & other, F.lit(False))
+
+    clashing = asked.filter(has).join(bounds, same_category).select(incoming_id, F.exists("bounds", clashes).alias("clashes"))
     nameless = F.coalesce(*[F.col(f"k{c}") for c in ids]).isNull()
     out = asked.join(by_id, incoming_id, "left").join(clashing, incoming_id, "left")
     for form, label in (("m_plain", "name"), ("m_strong", "strong")):

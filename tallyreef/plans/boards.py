@@ -168,8 +168,8 @@ def new_stores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers as web rows and customers as posts: equal ones, by nation and balance or by the end of their name, put together."""
-    make = lambda df, p, k: df.select(F.col(k).alias("row"), F.col(f"{p}_nationkey").alias("nation"), F.floor(F.col(f"{p}_acctbal") / 50).alias("band"), F.right(f"{p}_name", F.lit(5)).alias("tail"), F.concat(F.lit(p), k).alias("proof"), F.round(F.abs(F.col(f"{p}_acctbal")) / 10000, 4).alias("sure"))
+    """Suppliers as web rows and customers as posts: equal ones, by nation and balance or by the number in their name, put together."""
+    make = lambda df, p, k: df.select(F.col(k).alias("row"), F.col(f"{p}_nationkey").alias("nation"), F.floor(F.col(f"{p}_acctbal") / 50).alias("band"), F.regexp_extract(f"{p}_name", "#0*([0-9]+)", 1).alias("tail"), F.concat(F.lit(p), k).alias("proof"), F.round(F.abs(F.col(f"{p}_acctbal")) / 10000, 4).alias("sure"))
     found = joins.two_sources(make(table(spark, sf, "supplier"), "s", "s_suppkey"), make(table(spark, sf, "customer"), "c", "c_custkey"), [("nation", "band"), ("tail",)], "row", "proof", "sure")
     return found.select("row", "source", F.array_join("evidence", ",").alias("evidence"), F.col("confidence"))
 
@@ -253,7 +253,7 @@ ORACLE_SQL = {
     "previews": "(SELECT 'favorites' AS list, p_partkey AS id FROM part ORDER BY p_size DESC, p_partkey LIMIT 6) UNION ALL (SELECT 'notices', event_id FROM events ORDER BY value DESC, event_id LIMIT 5) UNION ALL (SELECT 'orders', o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 6)",
     "official_documents": "WITH p AS (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]*)', 1)) AS h, html FROM pages) SELECT (h = 'example.com' OR ends_with(h, '.example.com')) AND (contains(lower(html), 'thing') OR regexp_matches(html, '\\bOP-[0-9]{2}\\b')) AS official, count(*) AS n FROM p GROUP BY 1",
     "new_stores": "SELECT s_suppkey AS key, s_suppkey % 3 = 0 AND s_suppkey % 4 > 0 AS enabled, s_suppkey % 3 <> 0 AS new FROM supplier",
-    "merged_sources": "WITH s AS (SELECT s_suppkey AS row, s_nationkey AS nation, floor(s_acctbal / 50) AS band, right(s_name, 5) AS tail, 's' || s_suppkey AS proof, round(abs(s_acctbal) / 10000, 4) AS sure FROM supplier), c AS (SELECT c_custkey AS row, c_nationkey AS nation, floor(c_acctbal / 50) AS band, right(c_name, 5) AS tail, 'c' || c_custkey AS proof, round(abs(c_acctbal) / 10000, 4) AS sure FROM customer), p AS (SELECT c.row AS b, min(s.row) AS a FROM s JOIN c ON (s.nation = c.nation AND s.band = c.band) OR s.tail = c.tail GROUP BY 1), m AS (SELECT p.a AS row, list(c.proof) AS l, max(c.sure) AS best FROM p JOIN c ON c.row = p.b GROUP BY 1) SELECT s.row, 'first' AS source, array_to_string(list_sort(list_distinct(list_append(coalesce(list_sort(list_distinct(l))[1:20], []), proof))), ',') AS evidence, greatest(sure, coalesce(best, sure)) AS confidence FROM s LEFT JOIN m USING (row) UNION ALL SELECT row, 'second', proof, sure FROM c WHERE row NOT IN (SELECT b FROM p)",
+    "merged_sources": "WITH s AS (SELECT s_suppkey AS row, s_nationkey AS nation, floor(s_acctbal / 50) AS band, nullif(regexp_extract(s_name, '#0*([0-9]+)', 1), '') AS tail, 's' || s_suppkey AS proof, round(abs(s_acctbal) / 10000, 4) AS sure FROM supplier), c AS (SELECT c_custkey AS row, c_nationkey AS nation, floor(c_acctbal / 50) AS band, nullif(regexp_extract(c_name, '#0*([0-9]+)', 1), '') AS tail, 'c' || c_custkey AS proof, round(abs(c_acctbal) / 10000, 4) AS sure FROM customer), p AS (SELECT c.row AS b, min(s.row) AS a FROM s JOIN c ON (s.nation = c.nation AND s.band = c.band) OR s.tail = c.tail GROUP BY 1), m AS (SELECT p.a AS row, list(c.proof) AS l, max(c.sure) AS best FROM p JOIN c ON c.row = p.b GROUP BY 1) SELECT s.row, 'first' AS source, array_to_string(list_sort(list_distinct(list_append(coalesce(list_sort(list_distinct(l))[1:20], []), proof))), ',') AS evidence, greatest(sure, coalesce(best, sure)) AS confidence FROM s LEFT JOIN m USING (row) UNION ALL SELECT row, 'second', proof, sure FROM c WHERE row NOT IN (SELECT b FROM p)",
     "mail_scan": f"SELECT user_id, event_id FROM events WHERE event_id % 6 <> 0 AND ts BETWEEN {_N} - INTERVAL 7 DAY AND {_N} ORDER BY ts DESC, event_id LIMIT 100",
     "state_updates": "SELECT user_id, arg_max(event_type, event_id) <> 'error' AS applied, CASE WHEN arg_max(event_type, event_id) <> 'error' THEN arg_max(event_type, event_id) ELSE '' END AS result FROM events GROUP BY 1",
     "exclusions": "WITH g AS (SELECT DISTINCT p_brand, p_type FROM part WHERE p_partkey % 10 = 0) SELECT 'left' AS what, count(*) AS n FROM part WHERE (p_brand, p_type) NOT IN (SELECT (p_brand, p_type) FROM g) UNION ALL SELECT 'excluded', count(*) FROM g",

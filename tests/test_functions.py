@@ -448,3 +448,15 @@ def test_throttled_stream_does_not_depend_on_its_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     found = streams.throttled_to_end(stream, "k", "t", "i", 60, "1 hour")
     assert sorted(map(repr, (tuple(r) for r in found.select("k", "i", "count", "notify").collect()))) == expected
+
+
+def test_links_of_several_keys_are_counted_once(spark):
+    draw = random.Random(8)
+    some = lambda n: draw.choice([None, "", *map(str, range(n))])
+    left, right = ([(i, some(4), some(3), some(6)) for i in range(120)] for _ in range(2))
+    keys, names = [(0, 1), (2,), (1, 2)], "abc"
+    df = lambda rows: spark.createDataFrame(rows, "i int, a string, b string, c string")
+    found = joins.same_case(df(left), df(right).withColumnRenamed("i", "j"), [[names[c] for c in key] for key in keys], "i", "j")
+    agree = lambda x, y: any(all(x[c + 1] not in (None, "") and x[c + 1] == y[c + 1] for c in key) for key in keys)
+    expected = [(x[0], len(met), min(met, default=None)) for x in left for met in [[y[0] for y in right if agree(x, y)]]]
+    assert sorted(map(tuple, found.collect())) == expected
