@@ -2,7 +2,8 @@
 
 A piece (one match of the split pattern) is halved until leaves are short; leaves
 are merged plainly, and two neighbouring encodings are joined by re-encoding a
-window around their boundary. The window grows until its first token equals the
+window around their boundary. Leaves and windows of all pieces of a batch are merged
+together, level by level. The window grows until its first token equals the
 token the left side had there and its last token the one the right side had.
 Then every adjacent pair of the joined sequence occurs in a correct encoding, and
 a sequence whose adjacent pairs are all correct is the encoding of its bytes, so
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyreef.llm import common
 
-#: Bytes of a leaf of the encoding tree.
-LEAF_BYTES = 32
+#: Bytes of a leaf of the encoding tree, pieces from which leaves are longer, and the bytes of those.
+LEAF_BYTES, LONG_PIECE, LONG_LEAF_BYTES = 12, 64, 32
 #: Longest period of repeating bytes that is looked for.
 PERIOD = 12
 #: Ids that one leaf of the decoding tree holds.
@@ -135,14 +136,43 @@ class TreeBpe:
                 return left[:a] + window + right[b:]
             width *= 2
 
-    def _leaves(self, data: bytes) -> list[bytes]:
-        if len(data) <= self.leaf_bytes:
+    def join_many(self, pairs: list[tuple[tuple[int, ...], tuple[int, ...]]]) -> list[tuple[int, ...]]:
+        """``join`` of many pairs: windows of one width are merged together."""
+        out: list[tuple[int, ...]] = [left or right for left, right in pairs]
+        width, open_ = 2, [i for i, (left, right) in enumerate(pairs) if left and right]
+        while open_:
+            cuts = [(max(0, len(pairs[i][0]) - width), min(len(pairs[i][1]), width)) for i in open_]
+            windows = [self.decode(pairs[i][0][a:] + pairs[i][1][:b]) for i, (a, b) in zip(open_, cuts, strict=True)]
+            merged = self.merge_leaves(list(set(windows)))
+            left_open = []
+            for i, (a, b), data in zip(open_, cuts, windows, strict=True):
+                left, right = pairs[i]
+                window = merged[data]
+                if (a == 0 or window[0] == left[a]) and (b == len(right) or window[-1] == right[b - 1]):
+                    out[i] = left[:a] + window + right[b:]
+                else:
+                    left_open.append(i)
+            width, open_ = 2 * width, left_open
+        return out
+
+    def _leaves(self, data: bytes, most: int) -> list[bytes]:
+        if len(data) <= most:
             return [data]
         middle = len(data) // 2
-        return self._leaves(data[:middle]) + self._leaves(data[middle:])
+        return self._leaves(data[:middle], most) + self._leaves(data[middle:], most)
+
+    def _reduce_many(self, nodes: dict[str, list[tuple[int, ...]]]) -> dict[str, tuple[int, ...]]:
+        """Encodings of pieces from those of their leaves: neighbours are joined, level by level, in all trees at once."""
+        out: dict[str, tuple[int, ...]] = {}
+        while nodes:
+            out.update((piece, parts[0]) for piece, parts in nodes.items() if len(parts) == 1)
+            nodes = {piece: parts for piece, parts in nodes.items() if len(parts) > 1}
+            joined = iter(self.join_many([(parts[i], parts[i + 1]) for parts in nodes.values() for i in range(0, len(parts) - 1, 2)]))
+            nodes = {piece: [next(joined) for _ in range(len(parts) // 2)] + parts[len(parts) - len(parts) % 2 :] for piece, parts in nodes.items()}
+        return out
 
     def _reduce(self, data: bytes, known: dict[bytes, tuple[int, ...]], runs: dict[tuple[bytes, int], tuple[int, ...]]) -> tuple[int, ...]:
-        if len(data) <= self.leaf_bytes:
+        if len(data) <= LONG_LEAF_BYTES:
             return known[data]
         run = next(((data[:p], len(data)) for p in range(1, PERIOD + 1) if data[p : 2 * p] == data[:p] and data[p:] == data[:-p]), None)
         if run in runs:
@@ -155,15 +185,19 @@ class TreeBpe:
 
     def encode_pieces(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
         """Ids of each piece; the leaves of all their trees are merged together."""
-        out, cut = {}, {}
+        out, short, long = {}, {}, {}
         for piece in pieces:
             data = common.utf8(piece)
             if (whole := self.ranks.get(data)) is not None:
                 out[piece] = (whole,)
+            elif len(data) < LONG_PIECE:
+                short[piece] = self._leaves(data, self.leaf_bytes)
             else:
-                cut[piece] = data
-        known = self.merge_leaves(list({leaf for data in cut.values() for leaf in self._leaves(data)}))
-        return out | {piece: self._reduce(data, known, {}) for piece, data in cut.items()}
+                long[piece] = data
+        leaves = {leaf for cut in short.values() for leaf in cut} | {leaf for data in long.values() for leaf in self._leaves(data, LONG_LEAF_BYTES)}
+        known = self.merge_leaves(list(leaves))
+        out |= self._reduce_many({piece: [known[leaf] for leaf in cut] for piece, cut in short.items()})
+        return out | {piece: self._reduce(data, known, {}) for piece, data in long.items()}
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; each match of the pattern is encoded by itself."""
