@@ -8,19 +8,20 @@ leave, where a statistic costs only its first user. It stops at a text's first
 rejection. The order changes the work and never the verdict, which is that of all
 rules together.
 
-Defined cases: a null or empty text has no words and fails the base; repeated
-rows are judged alike; other columns are passed through or ignored by name.
+Defined cases: a null or empty text has no words and fails the base; a very long text
+is judged whole, in time linear in its length; repeated rows are judged alike; an empty
+table has no rows and leaves the rules in their places; rules of equal worth go by cost,
+then by place; other columns pass through, and a column that is named like the new one
+keeps its name (``common.free_name``).
 """
 
 from __future__ import annotations
 
-import random
 import time
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from tallyreef.llm import common
 SYMBOLS = "#*$%&|<>"
 #: Words of a window, fewest words, and percent of repeated words of the base.
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Rows at most that are sampled to order the rules, and files that they are from, about; the order affects speed alone.
+#: Rows that are sampled to order the rules, and files that they are from, about; the order affects speed alone.
 SAMPLE_ROWS, SAMPLE_FILES = 1000, 16
 SEED = 17
 
@@ -137,12 +138,12 @@ RULES = (
 
 
 def some_files(docs: DataFrame, most: int = SAMPLE_FILES) -> DataFrame:
-    """The rows of a few files, drawn by a seed, of docs that are read from many; else docs."""
-    names = sorted({unquote(path.rsplit("/", 1)[-1]) for path in docs.inputFiles()})
-    if len(names) <= most:
+    """The rows of about so many files, drawn by a hash of their paths, of docs that are read from many; else docs."""
+    n = len(docs._jdf.inputFiles())  # their names stay in the JVM
+    if n <= most:
         return docs
     try:
-        return docs.filter(F.col("_metadata.file_name").isin(*random.Random(SEED).sample(names, most)))
+        return docs.filter(F.pmod(F.xxhash64(F.lit(SEED), F.col("_metadata.file_path")), F.lit(n)) < most)
     except AnalysisException:  # the files of rows are no longer known
         return docs
 
@@ -150,18 +151,17 @@ def some_files(docs: DataFrame, most: int = SAMPLE_FILES) -> DataFrame:
 def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[list[bool], dict[str, float]]]:
     """For sampled texts that pass the base: which rules reject them, and seconds of each rule and statistic by name.
 
-    Texts are measured where they are read: no text leaves its task, a task stops
-    after its share of the sample, and no more tasks run than the sample takes.
+    Rows are drawn one by one from all rows of the files, whose number Parquet's footers
+    tell, so every place of a file is as likely. Texts are measured where they are read:
+    no text leaves its task.
     """
     names = [rule.name for rule in rules]
     needs = sorted({x for rule in rules for x in rule.needs})
-    share = -(-sample_rows // SAMPLE_FILES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = share
         for batch in batches:
             rejected, seconds = [], []
-            for text in batch.column(0).slice(0, left).to_pylist():
+            for text in batch.column(0).to_pylist():
                 t = Text(text)
                 if t.base_failed:
                     continue
@@ -177,17 +177,17 @@ def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
                     spent.append(time.perf_counter() - began)
                 rejected.append(found)
                 seconds.append(spent)
-            left -= min(left, batch.num_rows)
             yield pa.RecordBatch.from_arrays([pa.array(rejected, pa.list_(pa.bool_())), pa.array(seconds, pa.list_(pa.float64()))], names=["rejected", "seconds"])
-            if not left:
-                return
 
-    rows = some_files(docs).select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "rejected array<boolean>, seconds array<double>").take(sample_rows)
+    files = some_files(docs)
+    share = sample_rows / max(1, files.count())
+    drawn = files if share >= 1 else files.filter(F.rand(SEED) < share)
+    rows = drawn.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, "rejected array<boolean>, seconds array<double>").collect()
     return [(list(r.rejected), dict(zip([*needs, *names], r.seconds, strict=True))) for r in rows]
 
 
 def cascade_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[int]:
-    """Places of the rules by rejections per second among what earlier rules leave, on a bounded sample; ties by place."""
+    """Places of the rules by rejections per second among what earlier rules leave, on a bounded sample; rules of equal worth by what they cost."""
     return order_of(measured(docs, rules, text_col, sample_rows), rules)
 
 
@@ -198,9 +198,10 @@ def order_of(sample: list[tuple[list[bool], dict[str, float]]], rules: tuple[Rul
     left = sample
     while len(order) < len(rules):
 
-        def worth(i: int) -> tuple[float, int]:
-            spent = sum(sum(seconds[x] for x in {rules[i].name, *rules[i].needs} - paid) for _, seconds in left)
-            return -sum(found[i] for found, _ in left) / max(spent, 1e-9), i
+        # What is left may be nothing at the end; costs are then those of the whole sample.
+        def worth(i: int) -> tuple[float, float, int]:
+            spent = sum(sum(seconds[x] for x in {rules[i].name, *rules[i].needs} - paid) for _, seconds in left or sample)
+            return -sum(found[i] for found, _ in left) / max(spent, 1e-9), spent, i
 
         best = min((i for i in range(len(rules)) if i not in order), key=worth)
         order.append(best)
@@ -214,10 +215,8 @@ def verdict(text: Text, rules: list[Rule]) -> bool:
     return not text.base_failed and not any(rule.rejects(text) for rule in rules)
 
 
-def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """All columns of docs and a struct ``quality`` of the base's statistics and the cascade's verdict."""
-    if "quality" in docs.columns:
-        docs = docs.drop("quality")
+def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out: str = "quality") -> DataFrame:
+    """All columns of docs and a struct of the base's statistics and the cascade's verdict, named ``common.free_name(docs, out)``."""
     ordered = [rules[i] for i in cascade_order(docs, rules, text_col)]
 
     @F.pandas_udf("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
@@ -230,12 +229,13 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "tex
             rows.append((t.n_words, t.word_chars, t.n_symbols, t.n_dup_lines, t.n_repeat_words, t.base_failed, verdict(t, ordered)))
         return pd.DataFrame(rows, columns=["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"])
 
-    return docs.withColumn("quality", quality.asNondeterministic()(docs[text_col]))
+    return docs.withColumn(common.free_name(docs, out), quality.asNondeterministic()(docs[text_col]))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows that no rule rejects, with their own columns."""
-    return judge(docs, text_col=text_col).filter("quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns if c != "quality"])
+    """The rows that no rule rejects, with all their columns."""
+    name = common.free_name(docs, "quality")
+    return judge(docs, text_col=text_col).filter(F.col(name)["kept"]).drop(name)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

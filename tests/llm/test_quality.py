@@ -35,25 +35,25 @@ def test_order_counts_what_earlier_rules_leave():
 
 def test_sample_is_bounded_and_moves_no_text(spark):
     docs = spark.range(5000).select(F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), "id") for i in range(30)]).alias("text")).repartition(40)
-    assert 0 < len(quality_rules.measured(docs)) <= quality_rules.SAMPLE_ROWS
+    assert 0.7 * quality_rules.SAMPLE_ROWS < len(quality_rules.measured(docs)) < 1.3 * quality_rules.SAMPLE_ROWS
 
 
 def test_sample_is_of_some_files(spark, tmp_path):
     spark.range(400).select(F.lit("a b").alias("text"), "id").repartition(40).write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     files = lambda df: df.select(F.input_file_name().alias("f")).distinct().count()
-    assert files(docs) > quality_rules.SAMPLE_FILES == files(quality_rules.some_files(docs.select("text")))
+    assert files(docs) == 40 and 5 < files(quality_rules.some_files(docs.select("text"))) < 30
     assert quality_rules.some_files(docs.groupBy("text").count()).count() == 1
 
 
 def test_rules_on_odd_rows(odd, nothing):
-    found = {(r.doc_id, (r.text or "")[:5]): r.quality for r in quality_rules.judge(odd).collect()}
+    found = {(r.doc_id, (r.text or "")[:5]): r.quality_ for r in quality_rules.judge(odd).collect()}
     assert len(found) == 13 and quality_rules.judge(odd).count() == 14
     assert found[1, ""].n_words == 0 and found[1, ""].base_failed and not found[1, ""].kept
     assert found[3, " \n\t "].n_words == 0 and found[4, "one t"].kept
     assert found[8, "xxxxx"].word_chars == 300_000
     assert quality_rules.judge(nothing).count() == 0 == quality_rules.keep_good(nothing).count()
-    assert quality_rules.keep_good(odd).columns == [c for c in odd.columns if c != "quality"]
+    assert quality_rules.keep_good(odd).columns == odd.columns and {r.quality for r in quality_rules.keep_good(odd).collect()} == {"q"}
 
 
 def test_tree_paths():
