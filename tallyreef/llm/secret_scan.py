@@ -10,9 +10,11 @@ brute force over all of it, which is the most that its length allows. Words and
 their ranks come from a public vocabulary file, so no word list is kept here.
 
 Defined cases: a null text counts as empty and has no spans; spans are code
-points with exclusive ends; a guess that lies inside a base span is not reported
-again, one that reaches past it stands beside it; repeated rows are scanned
-alike; other columns pass through.
+points with exclusive ends; every value in a context is scored, also one that a base span
+covers, and stands beside it; spans of one start stand in the order of their kinds; a very
+long text is scanned whole, and a value's cost takes time linear in its length; repeated
+rows are scanned alike; an empty table gives no rows; other columns pass through, and one
+that is named like the new column keeps its name (``common.free_name``).
 """
 
 from __future__ import annotations
@@ -166,19 +168,23 @@ def base_spans(text: str) -> list[Span]:
     return sorted(spans, key=_order)
 
 
-def guessed_spans(text: str, cost: GuessCost, base: list[Span], least: float = LEAST_COST) -> list[Span]:
-    """Values in a credential context whose least cost reaches the bound, but for those inside a base span."""
+def guesses(text: str, cost: GuessCost) -> list[tuple[int, int, float]]:
+    """Start, end and least cost of every value in a credential context."""
     if not _CUES.search(text):
         return []
     found = []
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
-        start, end = m.start(1), m.start(1) + len(value)
-        if len(value) >= 8 and not any(s <= start and end <= e for _, s, e in base) and cost.segments(value)[0] >= min(least, len(value)):
-            found.append(("guess", start, end))
+        if len(value) >= 8:
+            found.append((m.start(1), m.start(1) + len(value), cost.segments(value)[0]))
     return found
 
 
+def guessed_spans(values: list[tuple[int, int, float]], least: float = LEAST_COST) -> list[Span]:
+    """The values whose least cost reaches the bound, whether or not a base span covers them."""
+    return [("guess", start, end) for start, end, cost in values if cost >= min(least, end - start)]
+
+
 def _order(span: Span) -> tuple[int, int]:
     return span[1], KINDS.index(span[0])
 
@@ -197,37 +203,36 @@ def redacted(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, least: float = LEAST_COST) -> DataFrame:
-    """All columns of docs and a struct ``secrets``: counts, digest of the base spans, all spans, redacted text."""
+def scan(docs: DataFrame, text_col: str = "text", vocabulary: str | None = None, least: float = LEAST_COST, out: str = "secrets") -> DataFrame:
+    """All columns of docs and a struct, named ``common.free_name(docs, out)``: counts, digest of the base spans, all spans, redacted text, and each value in a context with its cost."""
     path = vocabulary or public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")
+    @F.pandas_udf("n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string, guesses string")
     def secrets(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             text = text or ""
-            base = base_spans(text)
-            spans = sorted([*base, *guessed_spans(text, model(path), base, least)], key=_order)
+            base, values = base_spans(text), guesses(text, model(path))
+            spans = sorted([*base, *guessed_spans(values, least)], key=_order)
             counts = [sum(k == kind for k, _, _ in base) for kind in KINDS[:3]]
-            rows.append((*counts, hashlib.sha256(_told(base).encode()).hexdigest(), _told(spans), redacted(text, spans) if spans else None))
-        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
+            told = ",".join(f"{start}:{end}:{cost:.2f}" for start, end, cost in values)
+            rows.append((*counts, hashlib.sha256(_told(base).encode()).hexdigest(), _told(spans), redacted(text, spans) if spans else None, told))
+        return pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted", "guesses"])
 
-    return docs.drop("secrets").withColumn("secrets", secrets.asNondeterministic()(docs[text_col]))
+    return docs.withColumn(common.free_name(docs, out), secrets.asNondeterministic()(docs[text_col]))
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows and columns of docs with every secret replaced by a mark, and the count of code points brought up to date."""
-    names = [c for c in docs.columns if c != "secrets"]
-    found = scan(docs, text_col)
-    text = F.coalesce(F.col("secrets.redacted"), F.col(f"`{text_col}`"))
-    changed = F.col("secrets.redacted").isNotNull()
-    columns = {text_col: text}
-    if chars_col in names:
-        columns[chars_col] = F.when(changed, F.char_length("secrets.redacted").cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"`{chars_col}`"))
-    return found.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in names])
+    found, name = scan(docs, text_col), common.free_name(docs, "secrets")
+    marked = F.col(name)["redacted"]
+    columns = {text_col: F.coalesce(marked, F.col(f"`{text_col}`"))}
+    if chars_col in docs.columns:
+        columns[chars_col] = F.when(marked.isNotNull(), F.char_length(marked).cast(docs.schema[chars_col].dataType)).otherwise(F.col(f"`{chars_col}`"))
+    return found.select(*[columns[c].alias(c) if c in columns else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return scan(docs).select("doc_id", *[f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans")])
+    return scan(docs).select("doc_id", *[f"secrets.{c}" for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "guesses")])
