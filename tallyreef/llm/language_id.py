@@ -264,8 +264,8 @@ def labelled_texts(texts: list[str | None], model: Model) -> list[tuple[str, flo
     return [(model.languages[k], float(letters[i, k] / total[i]), spans[i]) if total[i] else (UNKNOWN, 0.0, []) for i, k in enumerate(best.tolist())]
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of docs and a struct ``language`` of lang_pred, score (share of letters) and spans (first letter-word, words, language)."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", out: str = "language") -> DataFrame:
+    """All columns of docs and a struct, named ``common.free_name(docs, out)``, of lang_pred, score (share of letters) and spans (first letter-word, words, language)."""
 
     @F.pandas_udf("lang_pred string, score double, spans array<struct<start:int,words:int,lang:string>>")
     def language(texts: pd.Series) -> pd.DataFrame:
@@ -274,7 +274,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
             rows += labelled_texts(texts.iloc[at : at + 256].tolist(), model)
         return pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
-    return docs.drop("language").withColumn("language", language.asNondeterministic()(docs[text_col]))
+    return docs.withColumn(common.free_name(docs, out), language.asNondeterministic()(docs[text_col]))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,18 +336,19 @@ def site_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """All columns of pages but ``main_text`` and ``host``, and the page's main text in ``main_text``."""
+    """All columns of pages, and the page's main text in ``common.free_name(pages, "main_text")``."""
+    out, host, digest, gone_col = (common.free_name(pages, n) for n in ("main_text", "__host", "__digest", "__removed"))
     nodes = common.written(page_nodes(pages, url_col, html_col), "site-nodes")
     low = common.written(importances(nodes).filter((F.col("pages") >= least_pages) & (F.col("importance") < least)).select("host", "path"), "site-low")
-    removed = common.written(nodes.select("host", "digest", F.explode("nodes.path").alias("path")).join(low, ["host", "path"]).groupBy(F.col("host").alias("__host"), F.col("digest").alias("__digest")).agg(F.collect_set("path").alias("__removed")), "site-removed")
-    rest = [F.col(f"`{c}`") for c in pages.columns if c != "main_text"]
+    removed = common.written(nodes.select("host", "digest", F.explode("nodes.path").alias("path")).join(low, ["host", "path"]).groupBy(F.col("host").alias(host), F.col("digest").alias(digest)).agg(F.collect_set("path").alias(gone_col)), "site-removed")
+    rest = [F.col(f"`{c}`") for c in pages.columns]
 
     @F.pandas_udf("string")
     def text(htmls: pd.Series, gone: pd.Series) -> pd.Series:
         return pd.Series([main_text(parse(h or ""), frozenset(() if g is None else g)) for h, g in zip(htmls, gone, strict=True)])
 
-    met = pages.withColumn("__host", host_of(F.col(f"`{url_col}`"))).withColumn("__digest", F.md5(F.col(f"`{html_col}`").cast("binary"))).join(removed, ["__host", "__digest"], "left")
-    return met.select(*rest, text.asNondeterministic()(F.col(f"`{html_col}`"), "__removed").alias("main_text"))
+    met = pages.withColumn(host, host_of(F.col(f"`{url_col}`"))).withColumn(digest, F.md5(F.col(f"`{html_col}`").cast("binary"))).join(removed, [host, digest], "left")
+    return met.select(*rest, text.asNondeterministic()(F.col(f"`{html_col}`"), gone_col).alias(out))
 
 
 def op3_site_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

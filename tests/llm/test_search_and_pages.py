@@ -141,5 +141,5 @@ def test_importance_equals_plain_trees(spark, sf):
 def test_site_tree_on_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, "<p>a"), (2, "http://h.example/", deep), (3, "http://h.example/", "<p>" + "long text " * 50_000), (4, "no address", "<"), (5, "http://h.example/", "plain"), (None, "http://h.example/", "plain"), (5, "http://h.example/", "plain")]
-    found = [(r.page_id, r.main_text) for r in site_tree.extract(spark.createDataFrame([(*r, "m", "h") for r in rows], "page_id long, url string, html string, main_text string, digest string")).collect()]
+    found = [(r.page_id, r.main_text_) for r in site_tree.extract(spark.createDataFrame([(*r, "m", "h") for r in rows], "page_id long, url string, html string, main_text string, digest string")).collect()]
     assert sorted(found, key=str) == sorted([(1, "a"), (2, "deep"), (3, ("long text " * 50_000).strip()), (4, "<"), (5, "plain"), (None, "plain"), (5, "plain")], key=str)
