@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyreef.functions import names, pages, rules, text, times, urls
-from tallyreef.operators import joins, notices, ordered_merge, records, shapes
+from tallyreef.operators import joins, notices, ordered_merge, records, resolve, shapes
 from tallyreef.plans.cases import pick, sql_pick
 from tallyreef.sources import staged
 from tallyreef.sources.scratch import scratch
