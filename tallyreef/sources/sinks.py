@@ -52,13 +52,14 @@ def replace_by_key(current: DataFrame, incoming: DataFrame, key: Sequence[str])
     return current.join(incoming.select(*key).distinct(), list(key), "left_anti").unionByName(incoming.select(*current.columns))
 
 
-def upsert_newest(current: DataFrame, incoming: DataFrame, key: Sequence[str], newest: str, keep: int) -> DataFrame:
-    """The newest row of each key, compared without case where it is text; the newest ``keep`` of all."""
+def upsert_newest(current: DataFrame, incoming: DataFrame, key: Sequence[str], newest: str, keep: int | None = None) -> DataFrame:
+    """The newest row of each key, compared without case where it is text; the newest ``keep`` of all, if that is given."""
     both = current.unionByName(incoming.select(*current.columns))
     kinds = dict(current.dtypes)
     parts = [F.lower(k) if kinds[k] == "string" else F.col(k) for k in key]
     latest = Window.partitionBy(*parts).orderBy(F.desc(newest))
-    return both.withColumn("__r", F.row_number().over(latest)).filter("__r = 1").drop("__r").orderBy(F.desc(newest), *key).limit(keep)
+    once = both.withColumn("__r", F.row_number().over(latest)).filter("__r = 1").drop("__r")
+    return once if keep is None else once.orderBy(F.desc(newest), *key).limit(keep)
 
 
 def remove_keys(current: DataFrame, gone: DataFrame, key: Sequence[str], excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -79,11 +80,11 @@ def repaired_overwrite(df: DataFrame, path: str, key: Sequence[str], order: str)
 
 
 def export_csv(df: DataFrame, path: str, labels: tuple[str, str] = ("yes", "no"), mark: bool = False) -> None:
-    """CSV with a header; booleans are written as labels. ``mark`` puts a byte order mark before each file's header, as spreadsheets want it."""
+    """CSV with a header, quotes within values doubled; booleans are written as labels. ``mark`` puts a byte order mark before each file's header, as spreadsheets want it."""
     shown = [F.when(F.col(f"`{n}`"), labels[0]).otherwise(labels[1]).alias(n) if kind == "boolean" else F.col(f"`{n}`") for n, kind in df.dtypes]
     if mark:
         shown[0] = shown[0].alias("\ufeff" + df.columns[0])
-    df.select(*shown).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+    df.select(*shown).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
 
 
 def restore(spark: SparkSession, path: str, backup: str, schema: StructType, key: Sequence[str]) -> bool:
@@ -95,6 +96,6 @@ def restore(spark: SparkSession, path: str, backup: str, schema: StructType, key
     return True
 
 
-def merge_write(spark: SparkSession, path: str, incoming: DataFrame, key: Sequence[str], newest: str, keep: int, target: str) -> None:
+def merge_write(spark: SparkSession, path: str, incoming: DataFrame, key: Sequence[str], newest: str, keep: int | None, target: str) -> None:
     """Read, merge and write: incoming rows join those of a table and the newest of each key are written to the target; a table that cannot be read stops it."""
     upsert_newest(spark.read.schema(incoming.schema).option("mode", "FAILFAST").parquet(path), incoming, key, newest, keep).write.mode("errorifexists").parquet(target)

@@ -83,10 +83,10 @@ def versioned_catalog(rows: DataFrame, defaults: DataFrame, key: str, version: s
     return rows.join(F.broadcast(first)).select(*[F.coalesce(c, f"__{c}").alias(c) if c in defaults.columns else F.col(c) for c in rows.columns])
 
 
-def plugin_rows(spark: SparkSession, folder: str, schema: StructType, required: list[str]) -> DataFrame:
+def plugin_rows(spark: SparkSession, folder: str, schema: StructType, required: list[str], pattern: str = "*.json") -> DataFrame:
     """Definitions of all JSON files of a folder, one object or an array each, in order of file name, with ``error`` for those that lack a required field or are none."""
     fields = ",".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in schema.fields)
-    files = spark.read.text(f"{folder}/*.json", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
+    files = spark.read.text(f"{folder}/{pattern}", wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("body"))
     listed = F.when(F.trim("body").startswith("["), F.from_json("body", f"array<struct<{fields}>>")).otherwise(F.array(F.from_json("body", f"struct<{fields}>")))
     rows = files.select("file", F.posexplode_outer(listed).alias("ord", "x"))
     lacking = F.array_compact(F.array(*[F.when(F.coalesce(F.trim(F.col(f"x.{f}").cast("string")), F.lit("")) == "", F.lit(f)) for f in required]))
