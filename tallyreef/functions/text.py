@@ -105,7 +105,7 @@ def mail_text(raw: Column) -> Column:
     def walk(source: str | None) -> str | None:
         if source is None:
             return None
-        message = email.message_from_string(source, policy=email.policy.default)
+        message = email.message_from_bytes(source.encode("utf-8", "surrogateescape"), policy=email.policy.default)
         found = {"plain": [], "html": []}
         for part in message.walk():
             if part.get_content_maintype() == "text" and part.get_content_disposition() != "attachment" and part.get_content_subtype() in found:

@@ -27,9 +27,12 @@ def offer_policy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mail_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    """Text of messages as they were sent, plain or HTML."""
-    raw = F.concat(F.when(F.col("turn") % 2 == 0, "Content-Type: text/plain; charset=utf-8\n\n").otherwise("Content-Type: text/html; charset=utf-8\n\n<b>"), F.lit("body "), "conv_id", F.lit(" &amp; "), "turn")
-    return table(spark, sf, "conversations").select("conv_id", "turn", F.trim(text.mail_text(raw)).alias("body"))
+    """Conversations as messages, those of users plain and all others HTML: the text that was sent."""
+    said = F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[<>&]", ""), "[ \\t\\n\\r]+", " "))
+    plain = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n"), said, F.lit(" &amp; "), "turn")
+    html = F.concat(F.lit("Content-Type: text/html; charset=utf-8\nContent-Transfer-Encoding: 8bit\n\n<b>"), said, F.lit("</b> &amp; "), "turn")
+    body = F.regexp_replace(text.mail_text(F.when(F.col("role") == "user", plain).otherwise(html)), "[ \\t\\n\\r]+", " ")
+    return table(spark, sf, "conversations").select("conv_id", "turn", F.trim(body).alias("body"))
 
 
 def candidate_intake(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +99,7 @@ _ACT = {
 _PRIORITY = dict(zip(_ACT, (1, 2, 3, 4, 5, 5, 6, 7, 8), strict=True))
 ORACLE_SQL = {
     "offer_policy": f"WITH x AS (SELECT {sql_pick([o[1] for o in _OFFERS], 'l_orderkey')} AS w, {sql_pick([s[5] for s in _SHOPS], 'l_suppkey')} AS s, {sql_pick([k[1] for k in _KINDS], 'l_linenumber')}::DOUBLE AS t, CASE WHEN l_partkey % 6 > 0 THEN floor(p_retailprice) END AS r, floor(l_extendedprice / l_quantity) AS sale FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT CASE WHEN w <> 'accepted' THEN w WHEN s <> 'accepted' THEN s WHEN sale > round_even(r * t, 0) THEN 'price' ELSE 'accepted' END AS verdict, count(*) AS n FROM x GROUP BY 1",
-    "mail_bodies": "SELECT conv_id, turn, 'body ' || conv_id || CASE WHEN turn % 2 = 0 THEN ' &amp; ' ELSE ' & ' END || turn AS body FROM conversations",
+    "mail_bodies": "SELECT conv_id, turn, trim(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[<>&]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) || CASE WHEN role = 'user' THEN ' &amp; ' ELSE ' & ' END || turn) AS body FROM conversations",
     "candidate_intake": "WITH k AS (SELECT p_name AS nm, count(*) AS n FROM part WHERE p_partkey % 4 = 0 GROUP BY 1), r AS (SELECT p_type, CASE WHEN NOT p_retailprice % 10 >= 3 THEN 'confidence' WHEN p_size > 40 THEN 'window' WHEN coalesce(n, 0) > 3 THEN 'ambiguous' ELSE 'eligible' END AS reason FROM part LEFT JOIN k ON nm = p_name), c AS (SELECT p_type, reason, count(*) AS n FROM r GROUP BY 1, 2) SELECT p_type, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM c GROUP BY 1",
     "promoted_products": "SELECT left(sha256(p_name || '|' || p_type), 16) AS product_id, min(p_partkey) AS p_partkey, p_name, p_type, count(*) AS rows FROM part WHERE p_size > 10 GROUP BY p_name, p_type",
     "first_products": "SELECT p_name, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 ORDER BY 3 LIMIT 30",

@@ -187,10 +187,11 @@ def priority_values(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def recent_times(spark: SparkSession, sf: str) -> DataFrame:
-    """Local times of ISO texts with and without a zone, and whether they are recent."""
-    shown = pick(("2026-07-18T12:00:00Z", "2026-07-18T12:00:00+09:00", "2026-07-18T12:00:00", "bad"), "p_partkey")
+    """Local times of events told as ISO texts with and without a zone, and whether they are recent."""
+    told = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    shown = F.when(F.col("event_type") == "click", F.concat(told, F.lit("Z"))).when(F.col("event_type") == "view", F.concat(told, F.lit("+09:00"))).when(F.col("event_type") == "error", "bad").otherwise(told)
     at = times.local_time(shown)
-    return table(spark, sf, "part").select("p_partkey", at.cast("string").alias("at"), notices.recent(at, F.lit("2026-07-20 12:00:00").cast("timestamp_ntz")).alias("recent"))
+    return table(spark, sf, "events").select("event_id", at.cast("string").alias("at"), notices.recent(at, F.lit("2024-01-20 12:00:00").cast("timestamp_ntz")).alias("recent"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -248,7 +249,7 @@ def _sql() -> dict[str, str]:
         "wanted_rows": f"SELECT count_if(o_orderstatus = 'F') AS state, count(*) AS \"any\", count_if({_MODE} IN ('ONLINE', 'HYBRID')) AS online, count_if({_MODE} IN ('STORE', 'HYBRID')) AS store, count(*) AS \"all\", count_if(o_orderstatus IN ('P', 'O')) AS preferred, count(*) AS open, count_if(o_orderstatus = 'P') AS clamped, count_if({_LAST} IS NULL OR {_TS} - {_LAST} >= INTERVAL 1 DAY) AS due, count_if({_LAST} IS NULL OR {_TS} - {_LAST} <= INTERVAL 14 DAY) AS kept FROM orders",
         "word_scores": "SELECT doc_id, contains(lower(text), 'the')::INT + contains(lower(text), 'und')::INT + contains(lower(text), 'xx')::INT AS hits, length(array_to_string(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(lower(x), 'password|token'))[1:80], chr(10))) AS line_chars, len(list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: x NOT IN ('the', 'and'))) AS words FROM documents",
         "priority_values": "WITH x AS (SELECT CASE WHEN l_tax > 0.02 THEN l_returnflag END AS cur, CASE WHEN l_discount > 0.02 THEN l_linestatus END AS inc, l_suppkey % 3 AS pc, l_partkey % 3 AS pi, l_linenumber = 7 AS man, coalesce(CASE WHEN l_tax > 0.04 THEN l_returnflag END, l_linestatus) AS filled FROM lineitem) SELECT CASE WHEN pi >= pc AND NOT man AND inc IS NOT NULL THEN inc WHEN cur IS NULL THEN inc ELSE cur END AS kept, filled, count(*) AS n FROM x GROUP BY 1, 2",
-        "recent_times": f"SELECT p_partkey, {sql_pick(('2026-07-18 21:00:00', '2026-07-18 12:00:00', '2026-07-18 12:00:00', None), 'p_partkey')} AS at, p_partkey % 4 < 3 AS recent FROM part",
+        "recent_times": "WITH x AS (SELECT event_id, CASE WHEN event_type = 'error' THEN NULL WHEN event_type = 'click' THEN date_trunc('second', ts) + INTERVAL 9 HOUR ELSE date_trunc('second', ts) END AS at_ FROM events) SELECT event_id, at_::VARCHAR AS at, coalesce(at_ >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 48 HOUR, false) AS recent FROM x",
     }
 
 
