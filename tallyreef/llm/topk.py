@@ -38,8 +38,9 @@ from pyspark.sql import functions as F
 from tallyreef.llm import common
 
 SCALE, TOP, EVERY = 256, 5, 50
-#: Axes with a segment of their own, and segments of all others, of each resolution, coarse to fine.
-RESOLUTIONS = ((4, 4), (16, 8), (48, 16))
+#: Axes with a segment of their own, and segments of all others, of each resolution, coarse to fine; the finest keeps fewer
+#: numbers than a vector of 64 components has, so a bound is never the score itself.
+RESOLUTIONS = ((8, 4), (16, 8), (24, 16))
 #: Bytes of a block's values, rows of a candidate and of a query block, and bytes of the blocks that a task holds, at most.
 BLOCK_BYTES, CANDIDATES, QUERIES, HELD_BYTES = 1 << 21, 4096, 1024, 1 << 26
 #: Queries that are compared at once.
