@@ -55,12 +55,14 @@ def funnel(dimension: DataFrame, key: str, stages: dict[str, DataFrame]) -> Data
     return out.select(key, *[F.coalesce(n, F.lit(0)).alias(n) for n in stages])
 
 
-def coverage(df: DataFrame, key: str, unit: str, covered: Column, size: str) -> DataFrame:
-    """By key: distinct units, covered ones, their percentage to one place, and summed size."""
-    each = df.groupBy(key, unit).agg(F.max(covered.cast("int")).alias("covered"), F.sum(size).alias("size"))
+def coverage(df: DataFrame, key: str, unit: str, covered: Column, size: str, success: str | None = None) -> DataFrame:
+    """By key: distinct units, covered ones, their percentage to one place, summed size, and the last success where its column is given."""
+    last = [F.max(success).alias("last_success")] if success else []
+    each = df.groupBy(key, unit).agg(F.max(covered.cast("int")).alias("covered"), F.sum(size).alias("size"), *last)
+    again = [F.max("last_success").alias("last_success")] if success else []
     return (
         each.groupBy(key)
-        .agg(F.count("*").alias("units"), F.sum("covered").alias("covered"), F.sum("size").alias("size"))
+        .agg(F.count("*").alias("units"), F.sum("covered").alias("covered"), F.sum("size").alias("size"), *again)
         .withColumn("percent", F.round(F.try_divide(F.col("covered") * 100.0, F.col("units")), 1))
     )
 

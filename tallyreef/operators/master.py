@@ -167,6 +167,16 @@ def gathered(df: DataFrame, key: str, order: str, value: Column, name: str, most
     return ranked(once, [key], [F.col("__at"), F.col("__v")], most).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__v"))), lambda x: x["__v"]).alias(name))
 
 
+def merged_sites(df: DataFrame, key: str, order: str, site: Sequence[str], alias: Column) -> DataFrame:
+    """key, n, the distinct sites of all rows in the order in which they came, and the aliases, sorted where a key has several rows, as they stand where it has one."""
+    rows = df.withColumn("__alias", alias)
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    sites = gathered(rows, key, order, F.struct(*site), "sites", 1 << 30)
+    names_ = gathered(rows, key, order, F.col("__alias"), "aliases", 1 << 30)
+    out = counts.join(sites, key, "left").join(names_, key, "left")
+    return out.withColumn("aliases", F.when(F.col("n") > 1, F.array_sort("aliases")).otherwise(F.col("aliases")))
+
+
 def folded_dates(df: DataFrame, key: str, order: Sequence[str], date: str = "date", priority: str = "priority", seen: str = "seen") -> DataFrame:
     """key, date, priority, changes and rejected (the last reason of a date not taken) after all sightings of a key in order.
 

@@ -77,6 +77,12 @@ def master_aliases(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("l_partkey", F.array_join(F.transform("found", lambda x: F.concat(x["kind"], x["key"].cast("string"))), ",").alias("aliases"))
 
 
+def master_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """Sites of each product by supplier and status, each once as first seen, and its aliases, sorted where several rows were merged."""
+    found = master.merged_sites(_sightings(spark, sf), "l_partkey", "ord", ["l_suppkey", "l_linestatus"], F.concat(F.lit("a"), "l_suppkey"))
+    return found.select("l_partkey", "n", F.array_join(F.transform("sites", lambda x: F.concat(x["l_suppkey"].cast("string"), x["l_linestatus"])), ",").alias("sites"), F.array_join("aliases", ",").alias("aliases"))
+
+
 def _shared_ids(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("p_partkey")
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("id"), (k % 40).cast("string")).alias("product_id"), "p_name", "p_type", "p_brand")
@@ -106,7 +112,7 @@ def display_names(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").groupBy(shown.alias("shown")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (entity_match_ladder, product_references, merge_outcomes, release_date_fold, master_merge, master_aliases, conflict_split, repair_report, display_names)}
+QUERIES = {f.__name__: f for f in (entity_match_ladder, product_references, merge_outcomes, release_date_fold, master_merge, master_aliases, master_sites, conflict_split, repair_report, display_names)}
 
 _BASE = "replace(lower(p_name || p_size), ' ', '')"
 _MATCH = f"""WITH k AS (SELECT p_partkey AS id, p_type AS cat, {_BASE} AS strong, {_BASE} || CASE WHEN p_partkey % 2 = 0 THEN 'box' ELSE '' END AS nm,
@@ -121,7 +127,7 @@ _MATCH = f"""WITH k AS (SELECT p_partkey AS id, p_type AS cat, {_BASE} AS strong
   r AS (SELECT i.id AS in_id, i.brand AS tells, i.code IS NOT NULL OR i.jan IS NOT NULL AS has, a.* EXCLUDE (in_id) FROM i LEFT JOIN a ON a.in_id = i.id),
   f AS (SELECT in_id, tells, CASE WHEN has THEN CASE WHEN n0 = 1 THEN 'identifier' WHEN n0 > 1 THEN 'ambiguous_identifier' WHEN clash THEN 'identifier_conflict' ELSE 'no_match' END WHEN n1 = 1 THEN 'normalized_name' WHEN n1 > 1 THEN 'ambiguous_normalized_name' WHEN n2 = 1 THEN 'strong_name' WHEN n2 > 1 THEN 'ambiguous_strong_name' ELSE 'no_match' END AS method, m0, m1, m2 FROM r),
   m AS (SELECT in_id, tells, method, CASE method WHEN 'identifier' THEN m0 WHEN 'normalized_name' THEN m1 WHEN 'strong_name' THEN m2 END AS match FROM f)"""
-_SIGHT = "SELECT l_partkey, row(l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS ord, (l_orderkey * 10 + l_linenumber) % 97 = 0 AS manual, CASE WHEN l_quantity >= 10 THEN '2026-0' || (l_suppkey % 4 + 1) || '-01' END AS date, CASE l_returnflag WHEN 'R' THEN 300 WHEN 'A' THEN 200 ELSE 100 END AS priority, CASE WHEN l_tax > 0.02 THEN l_shipdate::DATE::VARCHAR END AS seen, l_suppkey, l_discount FROM lineitem"
+_SIGHT = "SELECT l_partkey, row(l_orderkey, l_linenumber, l_suppkey, l_shipdate) AS ord, (l_orderkey * 10 + l_linenumber) % 97 = 0 AS manual, CASE WHEN l_quantity >= 10 THEN '2026-0' || (l_suppkey % 4 + 1) || '-01' END AS date, CASE l_returnflag WHEN 'R' THEN 300 WHEN 'A' THEN 200 ELSE 100 END AS priority, CASE WHEN l_tax > 0.02 THEN l_shipdate::DATE::VARCHAR END AS seen, l_suppkey, l_linestatus, l_discount FROM lineitem"
 _SHARED = "SELECT p_partkey, 'id' || (p_partkey % 40) AS pid, replace(lower(p_name), ' ', '') AS strong, CASE WHEN p_partkey % 3 = 0 THEN lower(p_type) ELSE '' END AS kind, CASE WHEN p_partkey % 7 = 0 THEN regexp_replace(lower(p_brand), '[ \\-]', '', 'g') ELSE '' END AS brand, CASE WHEN p_partkey % 11 = 0 THEN '49' || (p_partkey % 3) ELSE '' END AS jan, row_number() OVER (PARTITION BY p_partkey % 40 ORDER BY p_partkey) AS r FROM part"
 _CLASH = "(s.kind <> '' AND len(list_filter(f.kinds, lambda x: x <> '' AND x <> s.kind)) > 0) OR (s.brand <> '' AND len(list_filter(f.brands, lambda x: x <> '' AND x <> s.brand)) > 0) OR (s.jan <> '' AND len(list_filter(f.jans, lambda x: x <> '' AND x <> s.jan)) > 0)"
 _SPLIT = f"""WITH RECURSIVE s AS ({_SHARED}), f AS (SELECT pid, r, p_partkey, strong, kind, brand, jan, [kind] AS kinds, [brand] AS brands, [jan] AS jans, false AS split FROM s WHERE r = 1
@@ -137,6 +143,7 @@ ORACLE_SQL = {
     "release_date_fold": f"WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY ord) AS r FROM ({_SIGHT})), z AS (SELECT DISTINCT l_partkey, 0::BIGINT AS r, NULL::VARCHAR AS date, NULL::INT AS priority, NULL::VARCHAR AS seen, []::VARCHAR[] AS past, 0::BIGINT AS changes, NULL::VARCHAR AS rejected FROM s), f AS (SELECT * FROM z UNION ALL SELECT l_partkey, r, CASE WHEN ok THEN d ELSE date END, CASE WHEN ok THEN p ELSE priority END, CASE WHEN ok THEN coalesce(sn, seen) ELSE seen END, CASE WHEN ok AND date IS NOT NULL THEN list_append(past, date) ELSE past END, changes + ok::INT, CASE WHEN NOT ok AND d IS NOT NULL AND d <> date THEN why ELSE rejected END FROM (SELECT *, why IN ('existing_date_unknown', 'trusted_newer_observation') AS ok FROM (SELECT f.l_partkey, s.r, f.date, f.priority, f.seen, f.past, f.changes, f.rejected, s.date AS d, s.priority AS p, s.seen AS sn, CASE WHEN s.date IS NULL THEN 'incoming_date_unknown' WHEN f.date IS NULL THEN 'existing_date_unknown' WHEN s.date = f.date THEN 'same_date' WHEN s.priority < f.priority THEN 'lower_priority_source' WHEN s.seen < f.seen THEN 'older_observation' WHEN s.priority <= f.priority AND list_contains(f.past, s.date) THEN 'historical_date_rollback' ELSE 'trusted_newer_observation' END AS why FROM f JOIN s ON s.l_partkey = f.l_partkey AND s.r = f.r + 1))) SELECT l_partkey, arg_max(date, r) AS date, arg_max(priority, r) AS priority, arg_max(changes, r) AS changes, arg_max(rejected, r) AS rejected FROM (SELECT l_partkey, r, [date] AS date, [priority] AS priority, changes, [rejected] AS rejected FROM f) GROUP BY 1",
     "master_merge": f"SELECT l_partkey, arg_max(CASE WHEN l_discount > 0.04 THEN 'img' || l_suppkey END, (manual, priority, ord)) FILTER (WHERE l_discount > 0.04) AS image, arg_max('s' || l_suppkey, (manual, priority, ord)) AS shop FROM ({_SIGHT}) GROUP BY 1",
     "master_aliases": f"WITH d AS (SELECT l_partkey, l_suppkey, min(ord) AS o FROM ({_SIGHT}) GROUP BY 1, 2), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY o) <= 5) SELECT l_partkey, string_agg('s' || l_suppkey, ',' ORDER BY o) AS aliases FROM t GROUP BY 1",
+    "master_sites": f"WITH s AS (SELECT *, row_number() OVER () AS x FROM ({_SIGHT})), d AS (SELECT l_partkey, l_suppkey, l_linestatus, min(ord) AS o FROM s GROUP BY ALL), t AS (SELECT l_partkey, string_agg(l_suppkey || l_linestatus, ',' ORDER BY o, l_suppkey, l_linestatus) AS sites FROM d GROUP BY 1), a AS (SELECT l_partkey, string_agg(a, ',' ORDER BY a) AS aliases FROM (SELECT DISTINCT l_partkey, 'a' || l_suppkey AS a FROM s) GROUP BY 1) SELECT s.l_partkey, count(*) AS n, any_value(sites) AS sites, any_value(aliases) AS aliases FROM s JOIN t USING (l_partkey) JOIN a USING (l_partkey) GROUP BY 1",
     "conflict_split": f"{_SPLIT} SELECT p_partkey, CASE WHEN NOT split THEN pid WHEN n = 0 THEN own ELSE left(sha256(own || '|' || n), 16) END AS product_id, pid AS old_id, split FROM n",
     "repair_report": f"{_SPLIT}, h AS (SELECT s.*, first_value(strong) OVER w AS fs, first_value(kind) OVER w AS fk, first_value(brand) OVER w AS fb, first_value(jan) OVER w AS fj FROM s WINDOW w AS (PARTITION BY pid ORDER BY r)), q AS (SELECT NOT ((kind <> '' AND fk <> '' AND kind <> fk) OR (brand <> '' AND fb <> '' AND brand <> fb) OR (jan <> '' AND fj <> '' AND jan <> fj)) AND (strong = fs OR (jan <> '' AND jan = fj)) AS safe FROM h WHERE r > 1) SELECT (SELECT count_if(split) FROM n) AS split_rows, (SELECT count(DISTINCT CASE WHEN split THEN pid END) FROM n) AS split_ids, (SELECT count_if(safe) FROM q) AS merged_rows, (SELECT count_if(NOT safe) FROM q) AS unsafe_rows",
     "display_names": "SELECT CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '商品名未設定' END AS shown, count(*) AS n FROM part GROUP BY 1",

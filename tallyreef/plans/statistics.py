@@ -70,9 +70,10 @@ def region_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def coverage_percent(spark: SparkSession, sf: str) -> DataFrame:
-    """Nations of each region with a supplier in credit of 5000 or more."""
-    joined = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    return agg.coverage(joined, "n_regionkey", "n_nationkey", F.col("s_acctbal") >= 5000, "s_suppkey")
+    """Nations of each region with a supplier in credit of 5000 or more, and the last day on which one of its suppliers shipped what was kept."""
+    sent = table(spark, sf, "lineitem").filter("l_returnflag = 'N'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.max("l_shipdate").cast("date").cast("string").alias("success"))
+    joined = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(sent, "s_suppkey", "left")
+    return agg.coverage(joined, "n_regionkey", "n_nationkey", F.col("s_acctbal") >= 5000, "s_suppkey", "success")
 
 
 def funnel_by_key(spark: SparkSession, sf: str) -> DataFrame:
@@ -106,6 +107,17 @@ def dashboard_kpis(spark: SparkSession, sf: str) -> DataFrame:
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
+def dashboard_all_filters(spark: SparkSession, sf: str) -> DataFrame:
+    """All twelve filters of the list at once, in its order: period, kind, mode, channel, nation, region, favorites, new rows, near deadlines, category, state, keyword."""
+    o = _orders(spark, sf).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    day, mode = F.col("o_orderdate").cast("date"), F.when(F.col("c_acctbal") > 6000, "HYBRID").when(F.col("c_acctbal") > 2000, "ONLINE").otherwise("STORE")
+    wanted = shapes.snapshot(
+        o.withColumn("day", day), period=day.between(F.lit("1993-01-01"), F.lit("1999-12-31")), o_orderpriority=["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"], mode=mode != "STORE", channel=shapes.channel(mode, "online"), n_name="all", r_name=["AFRICA", "AMERICA", "ASIA", "EUROPE"],
+        favorites=F.col("o_custkey") % 5 != 0, new=day >= F.lit("1994-06-01"), deadline=F.date_add(day, 30) <= F.lit("1999-01-15"), c_mktsegment=["BUILDING", "MACHINERY", "HOUSEHOLD"], state=shapes.any_state("O", "o_orderstatus", "o_orderpriority"), word=shapes.keyword("customer 1", "o_orderpriority", "c_name"),
+    )
+    return wanted.select("o_orderkey", F.col("day").cast("string").alias("day"), "n_name", "c_mktsegment")
+
+
 def dashboard_filtered_sorted(spark: SparkSession, sf: str) -> DataFrame:
     """A filtered and ranked list: statuses, segment, keyword, then the 50 first by status rank and date."""
     joined = _orders(spark, sf).join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
@@ -128,7 +140,7 @@ def grouped_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("o_custkey", "first", F.array_join(F.transform("rows", lambda r: F.concat(r["o_orderkey"].cast("string"), r["o_orderstatus"])), ",").alias("rows"))
 
 
-QUERIES = {f.__name__: f for f in (win_rate_by_nation, win_rate_by_month, win_rate_grouping_sets, status_dashboard_counts, multi_key_counts, region_rollup, coverage_percent, funnel_by_key, reason_histogram, faceted_counts, dashboard_kpis, dashboard_filtered_sorted, priority_state, grouped_rows)}
+QUERIES = {f.__name__: f for f in (win_rate_by_nation, win_rate_by_month, win_rate_grouping_sets, status_dashboard_counts, multi_key_counts, region_rollup, coverage_percent, funnel_by_key, reason_histogram, faceted_counts, dashboard_kpis, dashboard_filtered_sorted, dashboard_all_filters, priority_state, grouped_rows)}
 
 ORACLE_SQL = {
     "win_rate_by_nation": f"SELECT n_name, {_RATES} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
@@ -137,11 +149,13 @@ ORACLE_SQL = {
     "status_dashboard_counts": "SELECT status, count(o_orderkey) AS n, count(DISTINCT o_custkey) AS customers FROM (VALUES ('F'), ('O'), ('P'), ('X')) d(status) LEFT JOIN orders ON o_orderstatus = status GROUP BY status",
     "multi_key_counts": "WITH e AS (SELECT unnest(list_distinct(list_append(string_split(p_name, ' '), p_type))) AS key FROM part) SELECT d.key, count(e.key) AS n FROM (VALUES ('red'), ('small'), ('widget'), ('ring'), ('PROMO'), ('absent')) d(key) LEFT JOIN e USING (key) GROUP BY d.key UNION ALL SELECT 'all', count(*) FROM part",
     "region_rollup": "SELECT region, nation, count(*) AS customers, round(sum(c_acctbal), 2) AS balance FROM (SELECT coalesce(r_name, 'unknown') AS region, coalesce(n_name, 'unknown') AS nation, c_acctbal FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey) GROUP BY ROLLUP (region, nation)",
-    "coverage_percent": "SELECT n_regionkey, count(*) AS units, sum(c)::BIGINT AS covered, sum(s)::BIGINT AS size, round(sum(c) * 100.0::DOUBLE / count(*), 1) AS percent FROM (SELECT n_regionkey, n_nationkey, max((s_acctbal >= 5000)::INT) AS c, sum(s_suppkey) AS s FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2) GROUP BY 1",
+    "coverage_percent": "SELECT n_regionkey, count(*) AS units, sum(c)::BIGINT AS covered, sum(s)::BIGINT AS size, max(l) AS last_success, round(sum(c) * 100.0::DOUBLE / count(*), 1) AS percent FROM (SELECT n_regionkey, n_nationkey, max((s_acctbal >= 5000)::INT) AS c, sum(s_suppkey) AS s, max(d) AS l FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN (SELECT l_suppkey, max(l_shipdate)::DATE::VARCHAR AS d FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1) ON l_suppkey = s_suppkey GROUP BY 1, 2) GROUP BY 1",
     "funnel_by_key": "SELECT key, count(event_type) AS seen, count(*) FILTER (event_type = 'click') AS clicked, count(*) FILTER (event_type = 'purchase' AND key % 2 = 0) AS bought FROM range(21) d(key) LEFT JOIN events ON user_id % 21 = key GROUP BY key",
     "reason_histogram": "SELECT o_orderpriority, string_agg(o_orderstatus || '=' || n, ',' ORDER BY o_orderstatus) AS reasons FROM (SELECT o_orderpriority, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2) GROUP BY 1",
     "faceted_counts": "WITH j AS (SELECT * FROM orders JOIN customer ON o_custkey = c_custkey) SELECT 'segment' AS facet, c_mktsegment AS value, count(*) AS n FROM j GROUP BY 2 UNION ALL SELECT 'nation', c_nationkey::VARCHAR, count(*) FROM j WHERE c_mktsegment = 'BUILDING' GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM j WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 5 GROUP BY 2",
     "dashboard_kpis": "SELECT (SELECT count_if(o_orderstatus = 'P') FROM orders) AS waiting, (SELECT count_if(o_totalprice > 400000) FROM orders) AS large, (SELECT max(o_orderdate)::VARCHAR FROM orders) AS latest, (SELECT count_if(c_acctbal < 0) FROM customer) AS in_debt, (SELECT count(DISTINCT c_nationkey) FROM customer) AS nations",
+    "dashboard_all_filters": """SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day, n_name, c_mktsegment FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
+        WHERE o_orderdate::DATE BETWEEN DATE '1994-06-01' AND DATE '1998-12-16' AND o_orderpriority < '5' AND c_acctbal > 2000 AND r_name IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE') AND o_custkey % 5 <> 0 AND c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') AND o_orderstatus = 'O' AND contains(o_orderpriority || c_name, '1')""",
     "dashboard_filtered_sorted": "SELECT o_orderkey, o_orderstatus, o_orderdate::DATE::VARCHAR AS day, CASE o_orderstatus WHEN 'P' THEN 1 ELSE 2 END AS state_rank FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus IN ('P', 'O') AND c_mktsegment = 'BUILDING' AND contains(lower(o_orderpriority || ' ' || c_name), 'high') AND contains(lower(o_orderpriority || ' ' || c_name), '2') ORDER BY state_rank, day, o_orderkey LIMIT 50",
     "priority_state": "SELECT o_custkey, CASE WHEN bool_or(o_orderstatus = 'P') THEN 'waiting' WHEN bool_or(o_orderstatus = 'O') THEN 'open' ELSE 'done' END AS state FROM orders GROUP BY 1",
     "grouped_rows": "SELECT o_custkey, min(o_orderkey) AS first, string_agg(o_orderkey || o_orderstatus, ',' ORDER BY o_orderkey) FILTER (r <= 3) AS rows FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) GROUP BY 1",

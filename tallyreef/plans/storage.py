@@ -136,6 +136,17 @@ def account_upserts(spark: SparkSession, sf: str) -> DataFrame:
     return left.withColumn("excluded", F.lit(excluded.count()))
 
 
+def hashed_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as results put into a table of earlier ones: by id, which is a hash of customer and priority; the last of an id counts, and keeps the place of the one that it replaces."""
+    o = table(spark, sf, "orders").select(F.lit("").alias("id"), "o_custkey", "o_orderpriority", "o_orderstatus", F.col("o_orderkey").alias("ord"))
+    middle = o.agg(F.floor(F.max("ord") / 2)).first()[0]
+    empty = o.limit(0).select("id", "o_custkey", "o_orderpriority", "o_orderstatus", F.col("ord").alias("place"))
+    first = sinks.upsert_hashed(empty, o.filter(F.col("ord") <= middle), ["o_custkey", "o_orderpriority"], "ord")
+    held = first.select("id", "o_custkey", "o_orderpriority", "o_orderstatus", F.col("place.at").alias("place"))
+    done = sinks.upsert_hashed(held, o.filter(F.col("ord") > middle), ["o_custkey", "o_orderpriority"], "ord")
+    return done.select("id", "o_custkey", "o_orderpriority", "o_orderstatus", F.col("place.added").alias("added"), F.col("place.at").alias("place"))
+
+
 def csv_export(spark: SparkSession, sf: str) -> DataFrame:
     """Customers exported as CSV and read back: flags are labels, texts are whole."""
     path = scratch(spark, "csv")
@@ -164,7 +175,7 @@ def version_order(spark: SparkSession, sf: str) -> DataFrame:
     return p.groupBy("v").agg(F.count("*").alias("n")).withColumn("o", text.version_order(F.col("v"))).select("v", "n", "o.*")
 
 
-QUERIES = {f.__name__: f for f in (json_scan, feed_entries, recent_posts, plugin_folder, log_scan, versioned_stores, sink_outcomes, account_upserts, csv_export, text_forms, ordered_prices, version_order)}
+QUERIES = {f.__name__: f for f in (json_scan, feed_entries, recent_posts, plugin_folder, log_scan, versioned_stores, sink_outcomes, account_upserts, hashed_results, csv_export, text_forms, ordered_prices, version_order)}
 
 ORACLE_SQL = {
     "json_scan": "SELECT c_custkey AS id, c_name AS name, CASE WHEN b > 0 THEN 'corrupt' ELSE 'valid' END AS state, 'missing' AS missing, 'corrupt' AS gone, b AS broken FROM customer, (SELECT count_if(c_acctbal < 0) AS b FROM customer) WHERE c_acctbal >= 0",
@@ -181,6 +192,7 @@ ORACLE_SQL = {
         UNION ALL SELECT 'after the refusal', n::VARCHAR FROM n UNION ALL SELECT 'changed rows', b::VARCHAR FROM n UNION ALL SELECT 'repaired', n::VARCHAR FROM n UNION ALL SELECT 'merged', n::VARCHAR FROM n UNION ALL SELECT 'merged in capitals', m::VARCHAR FROM n""",
     "account_upserts": """WITH a AS (SELECT c_name AS name, c_nationkey AS tcg, c_custkey AS at_ FROM customer UNION ALL SELECT replace(upper(s_name), 'SUPPLIER', 'CUSTOMER'), s_nationkey, s_suppkey + 10000000 FROM supplier),
         m AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY lower(name), tcg ORDER BY at_ DESC) = 1) SELECT m.name, m.tcg, m.at_ AS at, (SELECT count(*) FROM (SELECT DISTINCT name, tcg FROM m WHERE at_ % 5 = 0)) AS excluded FROM m WHERE at_ % 5 <> 0""",
+    "hashed_results": """WITH m AS (SELECT floor(max(o_orderkey) / 2) AS m FROM orders) SELECT left(sha256(o_custkey || '|' || o_orderpriority), 16) AS id, o_custkey, o_orderpriority, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus, min(o_orderkey) > any_value(m) AS added, min(o_orderkey) AS place FROM orders, m GROUP BY o_custkey, o_orderpriority""",
     "csv_export": "SELECT c_custkey::VARCHAR AS c_custkey, c_name || ', \"' || c_mktsegment || '\"' AS name, CASE WHEN c_acctbal > 0 THEN '済' ELSE '未' END AS solvent FROM customer",
     "text_forms": "WITH x AS (SELECT doc_id, trim(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[\\s\\x0B]+', ' ', 'g')) AS t FROM documents) SELECT doc_id, length(t) AS n, md5(t) AS digest FROM x",
     "version_order": "WITH x AS (SELECT p_size, p_partkey % 7 AS minor, CASE WHEN p_type = 'PROMO' THEN p_partkey % 13 END AS rc FROM part) SELECT p_size || '.' || minor || '.0' || CASE WHEN rc IS NOT NULL THEN ' RC' || rc ELSE '' END AS v, count(*) AS n, p_size::INT AS major, minor::INT AS minor, 0 AS patch, coalesce(rc, 1073741824)::INT AS candidate FROM x GROUP BY ALL",

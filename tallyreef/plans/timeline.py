@@ -134,7 +134,7 @@ def calendar_unpivot(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def agenda_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Tasks of the 30 days from a date, in three kinds with priorities, in order."""
+    """Tasks of the 30 days from a date, in four kinds with priorities, in order."""
     today = F.lit(TODAY).cast("date")
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", F.col("o_orderdate").cast("date").alias("day"))
     due = lambda shift: F.date_add("day", shift)
@@ -143,6 +143,7 @@ def agenda_union(spark: SparkSession, sf: str) -> DataFrame:
         (1, "pay", o.filter(F.col("o_orderstatus") == "O").select("o_orderkey", due(14).alias("due"))),
         (2, "check", o.filter(F.col("o_orderstatus") == "P").select("o_orderkey", due(3).alias("due"))),
         (3, "review", o.filter(F.col("o_totalprice") > 450000).select("o_orderkey", due(0).alias("due"))),
+        (4, "collect", o.filter((F.col("o_orderstatus") == "F") & (F.col("o_totalprice") > 300000)).select("o_orderkey", due(7).alias("due"))),
     ]
     return shapes.task_union(tasks).filter(near(F.col("due"))).select("priority", "kind", "o_orderkey", F.col("due").cast("string").alias("due")).orderBy("priority", "due", "o_orderkey")
 
@@ -180,6 +181,6 @@ ORACLE_SQL = {
     "props_json": "SELECT event_type, sum((props->>'$.k')::INT)::BIGINT AS total, max((props->>'$.k')::INT) AS top FROM events GROUP BY 1",
     "api_items_by_kind": "SELECT event_type AS type, count(*) AS n FROM events WHERE value > 50 AND event_type <> 'error' GROUP BY 1",
     "calendar_unpivot": "WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice, o_orderdate::DATE AS d FROM orders), u AS (SELECT o_orderkey, 'ordered' AS event_type, d AS s FROM o UNION ALL SELECT o_orderkey, 'due', d + 30 FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT o_orderkey, 'follow_up', d + 7 FROM o WHERE o_totalprice > 400000) SELECT event_type, strftime(s, '%Y-%m') AS month, count(*) AS n, min(o_orderkey) AS first FROM u GROUP BY 1, 2",
-    "agenda_union": f"WITH o AS (SELECT *, o_orderdate::DATE AS d FROM orders), t AS (SELECT 1 AS priority, 'pay' AS kind, o_orderkey, d + 14 AS due FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT 2, 'check', o_orderkey, d + 3 FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT 3, 'review', o_orderkey, d FROM o WHERE o_totalprice > 450000) SELECT priority, kind, o_orderkey, due::VARCHAR AS due FROM t WHERE due BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30",
+    "agenda_union": f"WITH o AS (SELECT *, o_orderdate::DATE AS d FROM orders), t AS (SELECT 1 AS priority, 'pay' AS kind, o_orderkey, d + 14 AS due FROM o WHERE o_orderstatus = 'O' UNION ALL SELECT 2, 'check', o_orderkey, d + 3 FROM o WHERE o_orderstatus = 'P' UNION ALL SELECT 3, 'review', o_orderkey, d FROM o WHERE o_totalprice > 450000 UNION ALL SELECT 4, 'collect', o_orderkey, d + 7 FROM o WHERE o_orderstatus = 'F' AND o_totalprice > 300000) SELECT priority, kind, o_orderkey, due::VARCHAR AS due FROM t WHERE due BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 30",
     "date_inference": "WITH o AS (SELECT o_orderkey, month(o_orderdate) AS m, day(o_orderdate) AS d FROM orders), y AS (SELECT o_orderkey, y, TRY_CAST(y || '-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE) AS c FROM o, (VALUES (2023), (2024), (2025), (2026)) t(y)), f AS (SELECT o_orderkey, y, abs(c - DATE '2024-01-20') + CASE WHEN DATE '2024-01-20' - c > 120 THEN 365 ELSE 0 END AS near, abs(c - DATE '2026-03-01') + CASE WHEN c - DATE '2026-03-01' > 120 OR c - DATE '2026-03-01' < -400 THEN 1000 ELSE 0 END AS rel FROM y WHERE c IS NOT NULL), g AS (SELECT o_orderkey, arg_min(y, (near, y)) FILTER (WHERE y < 2026) AS year, arg_min(y, (rel, y)) AS by_release FROM f GROUP BY 1), r AS (SELECT o_orderkey, TRY_CAST('2023-' || lpad(m::VARCHAR, 2, '0') || '-' || lpad(d::VARCHAR, 2, '0') AS DATE) AS p FROM o) SELECT r.o_orderkey, year, by_release, (CASE WHEN DATE '2024-01-20' - p > 120 THEN p + INTERVAL 1 YEAR ELSE p END)::DATE::VARCHAR AS rolled FROM r LEFT JOIN g USING (o_orderkey)",
 }

@@ -62,6 +62,20 @@ def upsert_newest(current: DataFrame, incoming: DataFrame, key: Sequence[str], n
     return once if keep is None else once.orderBy(F.desc(newest), *key).limit(keep)
 
 
+def upsert_hashed(current: DataFrame, incoming: DataFrame, parts: Sequence[str], order: str, id_col: str = "id", length: int = 16) -> DataFrame:
+    """The table after incoming rows replace those of their id, in place, or come after all others; an id is a hash of parts where a row has none.
+
+    ``place`` is the row's place: that of the row it replaces, else after the last by ``order``; the last incoming row of an id counts.
+    """
+    made = F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(p).cast("string"), F.lit("")) for p in parts]), 256), 1, length)
+    named = incoming.withColumn(id_col, F.coalesce(F.nullif(F.col(id_col), F.lit("")), made))
+    rest = [c for c in named.columns if c not in (id_col, order)]
+    last = named.groupBy(id_col).agg(F.max_by(F.struct(*rest), order).alias("new"), F.min(order).alias("__at"))
+    old = current.select(id_col, "place", F.struct(*rest).alias("old"))
+    both = old.join(last, id_col, "full_outer")
+    return both.select(id_col, F.coalesce("new", "old").alias("x"), F.struct(F.col("place").isNull().alias("added"), F.coalesce("place", "__at").alias("at")).alias("place")).select(id_col, "x.*", "place")
+
+
 def remove_keys(current: DataFrame, gone: DataFrame, key: Sequence[str], excluded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows that stay, and the exclusion list with the keys of those that went."""
     return current.join(gone.select(*key).distinct(), list(key), "left_anti"), excluded.select(*key).union(gone.select(*key)).distinct()
