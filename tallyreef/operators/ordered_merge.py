@@ -19,7 +19,7 @@ from collections import deque
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyreef.sources.scratch import written
@@ -185,3 +185,29 @@ def upsert_candidates(stored: DataFrame | None, hits: DataFrame, order: str, key
         (F.coalesce("old.n", F.lit(0)) + F.coalesce("new.n", F.lit(0))).alias("n"), F.greatest("old.confidence", "new.confidence").alias("confidence"), F.coalesce("new.last_detected_at", "old.last_detected_at").alias("last_detected_at"),
     )
     return merged.join(gathered, order)
+
+
+def intake(df: DataFrame, order: str, gates: Sequence[tuple[str, Column]], keys: Sequence[Sequence[str]], identity: Sequence[Column], known: DataFrame | None = None, fold: int = FOLD) -> DataFrame:
+    """df with ``reason`` (the first gate that a row fails, else merged, known or promoted), ``head`` and ``product_id`` of what is promoted.
+
+    Rows that pass all gates join the first known or promoted row that shares a key with
+    them, in order; those that join none are promoted, under a hash of their identity. So a
+    row is matched with what rows before it have added, as if they came one by one.
+    """
+    chain = F
+    for name, holds in gates:
+        chain = chain.when(~F.coalesce(holds, F.lit(False)), name)
+    gated = written(df.withColumn("reason", chain.otherwise(None)), "intake")
+    passed = gated.filter(F.col("reason").isNull())
+    columns = list(dict.fromkeys(c for key in keys for c in key))
+    found = first_match(passed.select(order, *columns), order, keys, known, fold)
+    own = F.col("head") == F.col(order)
+    told = F.when(own, "promoted")
+    if known is not None:
+        old = known.select(F.col(order).alias("head")).distinct().withColumn("__known", F.lit(True))
+        found = found.join(old, "head", "left")
+        told = told.when(F.col("__known"), "known")
+    out = passed.drop("reason").join(found, order).withColumn("reason", told.otherwise("merged"))
+    made = F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in identity]), 256), 1, 16)
+    out = out.withColumn("product_id", F.when(own, made)).drop("__known")
+    return out.unionByName(gated.filter(F.col("reason").isNotNull()), allowMissingColumns=True)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyreef.functions import money, names, text
 from tallyreef.operators import aggregates as agg
-from tallyreef.operators import resolve, shapes
+from tallyreef.operators import ordered_merge, resolve, shapes
 from tallyreef.plans.cases import pick, sql_pick
+from tallyreef.plans.shops import first_match_sql
 from tallyreef.sources.tables import table
 
 NOW, TODAY = "2024-01-20 12:00:00", "1998-06-01"
@@ -46,6 +47,14 @@ def candidate_intake(spark: SparkSession, sf: str) -> DataFrame:
     return counted.select("p_type", F.array_join(entries, ",").alias("reasons"))
 
 
+def intake_promotions(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts as candidates: the gates that stop them, known products that they are, candidates before them that they join, and those that become products."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), "p_retailprice")
+    known = table(spark, sf, "part").groupBy("p_name", "p_type").agg(F.min("p_partkey").alias("least"), F.count("*").alias("n")).filter("n > 12").select((F.col("least") - (1 << 40)).alias("p_partkey"), F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.lit(None).cast("string").alias("brand"), F.lit(None).cast("int").alias("size"))
+    gates = [("confidence", F.col("p_retailprice") % 10 >= 3), ("window", F.col("size") <= 40), ("kind", F.col("kind") != "PROMO")]
+    return ordered_merge.intake(p, "p_partkey", gates, [("name", "kind"), ("brand", "size")], [F.col("name"), F.col("kind")], known).select("p_partkey", "reason", "head", "product_id")
+
+
 def promoted_products(spark: SparkSession, sf: str) -> DataFrame:
     """Confirmed rows as products: an id by name and type, the first row of each, how many there were."""
     p = table(spark, sf, "part").filter("p_size > 10").select(resolve.stable_id(F.col("p_name"), F.col("p_type")).alias("product_id"), "p_partkey", "p_name", "p_type")
@@ -90,7 +99,7 @@ def action_rules(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.task_union(tasks).select("priority", "kind", "o_orderkey").orderBy("priority", "kind", "o_orderkey").limit(50)
 
 
-QUERIES = {f.__name__: f for f in (offer_policy, mail_bodies, candidate_intake, promoted_products, first_products, home_figures, action_rules)}
+QUERIES = {f.__name__: f for f in (offer_policy, mail_bodies, candidate_intake, intake_promotions, promoted_products, first_products, home_figures, action_rules)}
 
 _ACT = {
     "ends today": "o_orderstatus = 'O' AND a = 0", "ends tomorrow": "o_orderstatus = 'O' AND a = 1", "pay": "o_orderstatus = 'P' AND a BETWEEN -3 AND 3", "result due": "o_orderstatus = 'P' AND a < -30", "pick up": "o_orderstatus = 'F' AND a BETWEEN -60 AND -50",
@@ -101,6 +110,8 @@ ORACLE_SQL = {
     "offer_policy": f"WITH x AS (SELECT {sql_pick([o[1] for o in _OFFERS], 'l_orderkey')} AS w, {sql_pick([s[5] for s in _SHOPS], 'l_suppkey')} AS s, {sql_pick([k[1] for k in _KINDS], 'l_linenumber')}::DOUBLE AS t, CASE WHEN l_partkey % 6 > 0 THEN floor(p_retailprice) END AS r, floor(l_extendedprice / l_quantity) AS sale FROM lineitem JOIN part ON p_partkey = l_partkey) SELECT CASE WHEN w <> 'accepted' THEN w WHEN s <> 'accepted' THEN s WHEN sale > round_even(r * t, 0) THEN 'price' ELSE 'accepted' END AS verdict, count(*) AS n FROM x GROUP BY 1",
     "mail_bodies": "SELECT conv_id, turn, trim(trim(regexp_replace(regexp_replace(coalesce(text, ''), '[<>&]', '', 'g'), '[ \\t\\n\\r]+', ' ', 'g')) || CASE WHEN role = 'user' THEN ' &amp; ' ELSE ' & ' END || turn) AS body FROM conversations",
     "candidate_intake": "WITH k AS (SELECT p_name AS nm, count(*) AS n FROM part WHERE p_partkey % 4 = 0 GROUP BY 1), r AS (SELECT p_type, CASE WHEN NOT p_retailprice % 10 >= 3 THEN 'confidence' WHEN p_size > 40 THEN 'window' WHEN coalesce(n, 0) > 3 THEN 'ambiguous' ELSE 'eligible' END AS reason FROM part LEFT JOIN k ON nm = p_name), c AS (SELECT p_type, reason, count(*) AS n FROM r GROUP BY 1, 2) SELECT p_type, string_agg(reason || '=' || n, ',' ORDER BY reason) AS reasons FROM c GROUP BY 1",
+    "intake_promotions": f"""WITH RECURSIVE {first_match_sql("SELECT row_number() OVER (ORDER BY p_partkey) AS i, p_partkey AS id, p_name AS name, p_type AS kind, p_brand AS brand, p_size AS size FROM part WHERE p_retailprice % 10 >= 3 AND p_size <= 40 AND p_type <> 'PROMO'", {"name": "VARCHAR", "kind": "VARCHAR", "brand": "VARCHAR", "size": "INTEGER"}, "(h.name = r.name AND h.kind = r.kind) OR coalesce(h.brand = r.brand AND h.size = r.size, false)", "SELECT min(p_partkey) - 1099511627776 AS id, p_name AS name, p_type AS kind, NULL::VARCHAR AS brand, NULL::INTEGER AS size FROM part GROUP BY p_name, p_type HAVING count(*) > 12")}
+        SELECT p_partkey, CASE WHEN NOT p_retailprice % 10 >= 3 THEN 'confidence' WHEN p_size > 40 THEN 'window' WHEN p_type = 'PROMO' THEN 'kind' WHEN head = id THEN 'promoted' WHEN head < 0 THEN 'known' ELSE 'merged' END AS reason, head, CASE WHEN head = id THEN left(sha256(p_name || '|' || p_type), 16) END AS product_id FROM part LEFT JOIN f ON f.id = p_partkey""",
     "promoted_products": "SELECT left(sha256(p_name || '|' || p_type), 16) AS product_id, min(p_partkey) AS p_partkey, p_name, p_type, count(*) AS rows FROM part WHERE p_size > 10 GROUP BY p_name, p_type",
     "first_products": "SELECT p_name, p_size, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2 ORDER BY 3 LIMIT 30",
     "home_figures": f"SELECT o.*, e.*, p.*, s.* FROM (SELECT count(*) AS applications, count_if(o_orderstatus = 'P') AS waiting, count_if(o_orderstatus = 'F') AS won, count_if(o_orderdate::DATE = DATE '{TODAY}') AS today, count_if(o_orderdate::DATE BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 7) AS week, count_if(o_totalprice > 400000) AS large FROM orders) o, (SELECT count_if(trunc(epoch(TIMESTAMP '{NOW}' - ts)) BETWEEN 0 AND 86400 AND ts <= TIMESTAMP '{NOW}' + INTERVAL 1 SECOND - INTERVAL 1 MICROSECOND) AS new_events, count_if(event_type = 'error') AS errors, count(DISTINCT user_id) AS users FROM events) e, (SELECT count(*) AS products, count_if(p_type = 'PROMO') AS promos, count(DISTINCT p_brand) AS brands FROM part) p, (SELECT count_if(s_acctbal > 0) AS stores, count(DISTINCT s_nationkey) AS regions FROM supplier) s",

@@ -8,14 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folder of a process that runs Spark in itself, where no checkpoint folder is set.
+_local: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir, or in a temporary one where Spark runs in one process."""
+    """A new path in the folder of spark.checkpoint.dir, or in a temporary one where Spark runs in one process; it is removed when the application ends."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="tallyreef-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+        if not _local:
+            _local.append(tempfile.mkdtemp(prefix="tallyreef-"))
+        base = _local[0]
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
