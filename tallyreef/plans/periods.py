@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyreef.functions import periods, times
 from tallyreef.operators import notices, records
-from tallyreef.plans.cases import pick, sql_pick, sql_text
+from tallyreef.plans.cases import pick, sql_pick
 from tallyreef.sources.tables import table
 
 NOW = "2026-07-18 12:00:00"
@@ -52,40 +52,29 @@ def period_overlay(spark: SparkSession, sf: str) -> DataFrame:
     return t.select("o_orderkey", end.cast("string").alias("end"), timed.alias("timed"))
 
 
-#: Texts with first and last date, release date, labelled dates, dates of a post, and whether a result is due.
-_SPANS = (("2025年7月1日 10:00〜7月5日", "2025-07-01 10:00:00", "2025-07-05 23:59:00"), ("7月1日(水)〜7月9日 18：30", "2026-07-01 00:00:00", "2026-07-09 18:30:00"), ("2月30日〜3月1日", None, "2026-03-01 23:59:00"), ("なし", None, None), ("8月8日", "2026-08-08 00:00:00", "2026-08-08 23:59:00"))
-_RELEASES = (("発売日：2026年8月1日", "2026-08-01"), ("2026年9月10日(金) 発売予定", "2026-09-10"), ("【3月15日発売】", "2026-03-15"), ("発売日：2026年2月30日 【4月1日発売】", "2026-04-01"), ("未定", None))
-_LABELLED = (
-    ("応募受付開始：2026年7月20日 10:00 締切：2026年7月27日 18時 当選発表 2026/8/1 12:30", "2026-07-20 10:00:00", "2026-07-27 18:00:00", "2026-08-01 12:30:00"), ("応募期間：12月20日 10:00~1月10日 23:59", "2026-12-20 10:00:00", "2027-01-10 23:59:00", None),
-    ("当日 21時まで", None, "2026-07-18 21:00:00", None), ("予約受付期間 2026年8月1日(土)9時～8月5日(水)20:30", "2026-08-01 09:00:00", "2026-08-05 20:30:00", None), ("", None, None, None),
-)
-_POSTS = (("7月20日 10時から 8月1日 18:30", "2026-07-20 10:00:00", "2026-08-01 18:30:00"), ("2025年12月31日〆 1月32日 2月3日", "2025-12-31 00:00:00", "2026-02-03 00:00:00"), ("3月3日", "2026-03-03 00:00:00", None), ("x", None, None))
-_DUE = (("7/18", True), ("2026年7月19日", False), ("2025/12/31", True), ("2/30", False), ("", False), ("12月1日", False))
-_LOOSE = (("2026-07-18T12:30:00", "2026-07-18 12:30:00"), ("2026/07/08 x", "2026-07-08 00:00:00"), ("2026.7.8", "2026-07-08 00:00:00"), ("bad", None), ("2026-02-30", None), ("2026-07-18", "2026-07-18 00:00:00"))
-
-
 def text_dates(spark: SparkSession, sf: str) -> DataFrame:
     """Dates that texts of several kinds tell, one kind a column."""
-    texts = {n: pick([x[0] for x in cases], "p_partkey") for n, cases in (("span", _SPANS), ("release", _RELEASES), ("label", _LABELLED), ("post", _POSTS), ("due", _DUE), ("loose", _LOOSE))}
-    year, today = F.lit(2026), F.lit("2026-07-18").cast("date")
-    t = table(spark, sf, "part").select("p_partkey", *[c.alias(n) for n, c in texts.items()])
-    span, label, post = periods.first_and_last(F.col("span"), year), periods.labelled_dates(F.col("label"), today), periods.post_dates(F.col("post"), year)
+    long, short = "yyyy年M月d日", "M月d日"
+    texts = {
+        "span": F.concat(_day(0, long), F.lit(" 10:00〜"), _day(4, short), F.lit(" 18：30")), "release": F.concat(F.lit("商品 "), F.col("o_orderpriority"), F.lit(" 発売日："), _day(3, long)),
+        "label": F.concat(F.lit("応募受付開始："), _day(0, long), F.lit(" 10:00 締切："), _day(7, long), F.lit(" 18時 当選発表 "), _day(9, "yyyy/M/d"), F.lit(" 12:30")), "post": F.concat(_day(0, short), F.lit(" 10時から "), _day(5, short), F.lit(" 18:30")), "due": _day(0, "M/d"),
+        "loose": F.when(F.col("o_orderstatus") == "F", _day(0, "yyyy-MM-dd'T'12:30:00")).when(F.col("o_orderstatus") == "O", F.concat(_day(0, "yyyy/MM/dd"), F.lit(" x"))).otherwise(_day(0, "yyyy.M.d")),
+    }
+    today = F.lit("2026-07-18").cast("date")
+    t = table(spark, sf, "orders").select("o_orderkey", _day(0, "yyyy").cast("int").alias("year"), *[c.alias(n) for n, c in texts.items()])
+    span, label, post = periods.first_and_last(F.col("span"), F.lit(2026)), periods.labelled_dates(F.col("label"), today), periods.post_dates(F.col("post"), F.col("year"))
     return t.select(
-        "p_partkey", span["start"].cast("string").alias("span_start"), span["end"].cast("string").alias("span_end"), periods.release_date(F.col("release"), year).cast("string").alias("released"),
+        "o_orderkey", span["start"].cast("string").alias("span_start"), span["end"].cast("string").alias("span_end"), periods.release_date(F.col("release"), F.lit(2026)).cast("string").alias("released"),
         *[label[c].cast("string").alias(f"label_{c}") for c in ("start", "end", "result")], post["start"].cast("string").alias("post_start"), post["end"].cast("string").alias("post_end"),
         periods.due(F.col("due"), today).alias("due"), periods.loose_time(F.col("loose")).cast("string").alias("loose"),
     )
 
 
-#: Statuses, whether they say that a period is over, and what they say of its begin.
-_STATUSES = (("受付終了", True, None), ("終了予定", False, None), ("※ 応募受付は終了しました。", True, None), ("受付中", False, "open"), ("受付予定", False, "before"), ("", False, None), (None, False, None), ("CLOSED", True, None), ("抽選受付中", False, "open"), ("キャンセル！", True, None))
-
-
 def explicit_ends(spark: SparkSession, sf: str) -> DataFrame:
     """The first flag or status that says a period is over, and what the status says of its begin."""
-    status = pick([x[0] for x in _STATUSES], "p_partkey")
-    found = periods.explicit_end({"is_closed": F.col("p_size") % 10 == 0}, {"status": F.array(status), "status_history": F.array(F.lit("受付中"), F.when(F.col("p_size") % 7 == 0, F.lit("中止")))})
-    return table(spark, sf, "part").select("p_partkey", found.alias("ended"), periods.ended_status(status).alias("says_end"), periods.open_status(status).alias("says_open"))
+    status = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("※ 応募受付は終了しました "), "o_orderpriority")).when(F.col("o_orderstatus") == "O", "受付中").otherwise("受付予定")
+    found = periods.explicit_end({"is_closed": F.col("o_totalprice") > 400_000}, {"status": F.array(status), "status_history": F.array(F.lit("受付中"), F.when(F.col("o_totalprice") < 50_000, F.lit("中止")))})
+    return table(spark, sf, "orders").select("o_orderkey", found.alias("ended"), periods.ended_status(status).alias("says_end"), periods.open_status(status).alias("says_open"))
 
 
 _RESULTS = ("当選", "落選", "未確認", "予約完了", None)
@@ -168,7 +157,6 @@ def _told(cases, at: int, key: str = "p_partkey") -> str:
 _PR = "left(o_orderpriority, 1)"
 _D = f"(o_orderdate::DATE + {LATER})"
 _TEXT_END = f"CASE WHEN {_PR} = '1' THEN {_D} + INTERVAL 9 DAY + INTERVAL 64859 SECOND WHEN {_PR} <> '4' THEN {_D} + INTERVAL 9 DAY + INTERVAL 86399 SECOND END"
-_ENDED = "CASE " + " ".join(f"WHEN p_partkey % {len(_STATUSES)} = {i} THEN {sql_text('status=' + s)}" for i, (s, end, _) in enumerate(_STATUSES) if end) + " END"
 _N = f"TIMESTAMP '{EVENTS_NOW}'"
 _EV = f"SELECT *, {sql_pick(_VERIFIED, 'event_id')} AS v, {sql_pick(_RESULTS, 'user_id')} AS res, {sql_pick(('未応募', None, '応募済み'), 'event_id')} AS st, {sql_pick(_WORDS, 'event_id')} AS w FROM events"
 _REM = f"SELECT *, greatest(1, floor(trunc(epoch(ts - {_N})) / 60))::BIGINT AS m FROM events WHERE ts > {_N}"
@@ -178,8 +166,10 @@ ORACLE_SQL = {
         CASE WHEN {_PR} = '1' THEN ({_D} + INTERVAL 20 DAY + INTERVAL 43259 SECOND)::VARCHAR WHEN {_PR} = '2' THEN ({_D} + INTERVAL 20 DAY + INTERVAL 86399 SECOND)::VARCHAR END AS result, CASE {_PR} WHEN '2' THEN '抽選' WHEN '5' THEN '予約' ELSE '' END AS method,
         CASE WHEN {_PR} = '5' THEN '会員 ' || o_orderkey ELSE '' END AS conditions, CASE WHEN {_PR} = '5' THEN o_custkey || '号店' ELSE '' END AS store, {_PR} = '4' AS unsettled, {_PR} IN ('1', '2') AS end_timed FROM orders""",
     "period_overlay": f"""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN {_D} + INTERVAL 30 DAY + INTERVAL 18 HOUR WHEN {_PR} <> '4' THEN {_TEXT_END} WHEN o_orderstatus = 'F' THEN {_D} + INTERVAL 30 DAY + INTERVAL 86399 SECOND END::VARCHAR AS "end", o_orderstatus = 'P' OR {_PR} IN ('1', '2') AS timed FROM orders""",
-    "text_dates": f"SELECT p_partkey, {_told(_SPANS, 1)} AS span_start, {_told(_SPANS, 2)} AS span_end, {_told(_RELEASES, 1)} AS released, {_told(_LABELLED, 1)} AS label_start, {_told(_LABELLED, 2)} AS label_end, {_told(_LABELLED, 3)} AS label_result, {_told(_POSTS, 1)} AS post_start, {_told(_POSTS, 2)} AS post_end, {_told(_DUE, 1)} AS due, {_told(_LOOSE, 1)} AS loose FROM part",
-    "explicit_ends": f"SELECT p_partkey, coalesce(CASE WHEN p_size % 10 = 0 THEN 'is_closed=true' END, {_ENDED}, CASE WHEN p_size % 7 = 0 THEN 'status_history=中止' END, '') AS ended, {_told(_STATUSES, 1)} AS says_end, {_told(_STATUSES, 2)} AS says_open FROM part",
+    "text_dates": f"""WITH x AS (SELECT o_orderkey, o_orderstatus AS s, {_D} AS d FROM orders), y AS (SELECT *, year(d) || '-' AS y FROM x)
+        SELECT o_orderkey, (d + INTERVAL 10 HOUR)::VARCHAR AS span_start, (TRY_CAST(y || strftime(d + 4, '%m-%d') AS DATE) + INTERVAL 1110 MINUTE)::VARCHAR AS span_end, (d + 3)::VARCHAR AS released, (d + INTERVAL 10 HOUR)::VARCHAR AS label_start, (d + INTERVAL 7 DAY + INTERVAL 18 HOUR)::VARCHAR AS label_end, (d + INTERVAL 9 DAY + INTERVAL 750 MINUTE)::VARCHAR AS label_result,
+        (d + INTERVAL 10 HOUR)::VARCHAR AS post_start, (TRY_CAST(y || strftime(d + 5, '%m-%d') AS DATE) + INTERVAL 1110 MINUTE)::VARCHAR AS post_end, coalesce(TRY_CAST('2026-' || strftime(d, '%m-%d') AS DATE) <= DATE '2026-07-18', false) AS due, (d + CASE WHEN s = 'F' THEN INTERVAL 750 MINUTE ELSE INTERVAL 0 MINUTE END)::VARCHAR AS loose FROM y""",
+    "explicit_ends": """SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'is_closed=true' WHEN o_orderstatus = 'F' THEN 'status=※ 応募受付は終了しました ' || o_orderpriority WHEN o_totalprice < 50000 THEN 'status_history=中止' ELSE '' END AS ended, o_orderstatus = 'F' AS says_end, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'before' END AS says_open FROM orders""",
     "derived_states": f"WITH x AS (SELECT {sql_pick(_APPLICATIONS, 'o_orderkey')} AS a, coalesce({sql_pick(_RESULTS, 'o_custkey')}, '') AS r, o_orderstatus AS s, o_orderkey AS k, o_orderdate AS d FROM orders) SELECT CASE WHEN a = '当選' OR r = '当選' THEN '当選' WHEN a = '落選' OR r = '落選' THEN '落選' WHEN s = 'F' THEN '終了済み' WHEN a = '未応募' THEN CASE WHEN s = 'P' THEN '本日締切' ELSE '未応募' END WHEN a = '抽選結果待ち' THEN '結果待ち' ELSE '応募済み' END AS dashboard, CASE WHEN r IN ('当選', '落選', '予約完了') THEN r WHEN k % 3 = 0 THEN '未応募' WHEN s = 'P' THEN '抽選結果確認' ELSE '抽選受付完了' END AS application, CASE a WHEN '抽選受付完了' THEN '応募済み' WHEN '結果待ち候補' THEN '抽選結果待ち' WHEN '変' THEN 'その他' ELSE a END AS shown, CASE WHEN s = 'F' THEN 'EXPIRED' WHEN d > '1996-01-01' THEN 'UPCOMING' ELSE 'ACTIVE' END AS active, count(*) AS n FROM x GROUP BY ALL",
     "application_events": f"WITH x AS ({_EV}), f AS (SELECT event_id, CASE WHEN regexp_matches(coalesce(w, ''), '再販|再入荷|RESTOCK') THEN 'RESTOCK' WHEN contains(w, '販売開始') THEN 'SALE_START' WHEN contains(w, '予約') THEN 'RESERVATION_START' WHEN regexp_matches(coalesce(w, ''), '抽選|応募|受付開始') THEN 'APPLICATION_START' ELSE 'NEW_CONFIRMED' END AS type, CASE WHEN user_id % 3 = 0 THEN 'app' || user_id ELSE left(sha256(user_id || '|site|u'), 24) END AS app FROM x WHERE lower(coalesce(v, 'confirmed')) NOT IN ('candidate', 'rejected', '確認中') AND event_id % 13 <> 0 AND coalesce(res, '') NOT IN ('当選', '落選', '予約完了') AND coalesce(st, '未応募') = '未応募' AND ts <= {_N} AND ts >= {_N} - INTERVAL 48 HOUR AND event_id % 4 IN (0, 2)) SELECT sha256(app || '|' || type) AS dedupe_key, any_value(type) AS type, min(event_id) AS event_id FROM f GROUP BY 1",
     "reminders_once": f"WITH m AS ({_REM}) SELECT event_id, CASE WHEN m <= 60 THEN 60 WHEN m <= 1440 THEN 1440 ELSE 4320 END AS \"offset\", CASE WHEN m >= 1440 THEN '約' || (m // 1440) || '日' WHEN m >= 60 THEN '約' || (m // 60) || '時間' || (m % 60) || '分' ELSE '約' || m || '分' END AS \"left\" FROM m WHERE m <= 4320 AND event_id % 3 <> 0",

@@ -53,19 +53,19 @@ def script_products(spark: SparkSession, sf: str) -> DataFrame:
     return pages.script_objects(table(spark, sf, "part").select("p_partkey", html.alias("html")), "html", ["p_partkey"], r"add\((\{[^{}]*\})\)", "id long, name string")
 
 
-_ARTICLES = (
-    ("高価買取", "抽選 応募期間", "pokemon", "excluded"), ("大会のお知らせ", "抽選販売なし 対象商品", "pokemon", "lottery"), ("大会", "お知らせ", "pokemon", "event"), ("新弾", "抽選 当選発表 再販", "pokemon", "resale"), ("新弾", "予約受付 予約期間", "pokemon", "reservation"),
-    ("移転", "営業時間", "unknown", "general_news"), ("新弾", "発売日 税込", "unknown", "excluded"), ("再販売", "新品", "pokemon", "resale"), ("新弾", "通常販売 税込", "pokemon", "regular_sale"), ("新弾", "発売日 商品名", "pokemon", "product_info"),
-    ("新弾", "エントリー", "pokemon", "event"), ("入荷", "", "pokemon", "general_news"), ("x", "y", "pokemon", "needs_review"),
-)
-_SEGMENTS = (("応募受付期間：2026年7月1日 10:00 ～ 2026年7月9日 当選発表 2026年8月1日", "2026-07-01 10:00:00", "2026-07-09 00:00:00"), ("受付期間:～2026年7月5日(日) 23:59", None, "2026-07-05 23:59:00"), ("受付期間：2026年2月30日 2026年3月1日", "2026-03-01 00:00:00", None), ("期間 2026年7月1日", None, None))
+#: Days that bring the orders' dates into this century.
+LATER = 10_000
 
 
 def article_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Classes of articles, and periods of their labelled parts."""
-    title, body, category = (pick([a[i] for a in _ARTICLES], "p_partkey") for i in range(3))
-    span = pages.segment_period(pick([s[0] for s in _SEGMENTS], "p_size"))
-    return table(spark, sf, "part").select("p_partkey", pages.article_class(title, body, category).alias("class"), span["start"].cast("string").alias("start"), span["end"].cast("string").alias("end"))
+    day = lambda days: F.date_format(F.date_add(F.col("o_orderdate").cast("date"), LATER + days), "yyyy年M月d日")
+    span = F.concat(F.lit("受付期間："), F.when(F.col("o_orderstatus") == "P", F.lit("～")).otherwise(F.concat(day(0), F.lit(" 10:00 ～ "))), day(8), F.lit("(日) 23:59 当選発表 "), day(20))
+    title = F.when(F.col("o_orderpriority") == "5-LOW", F.concat(F.lit("高価買取 "), "o_orderkey")).otherwise(F.concat(F.lit("新弾 "), "o_orderkey"))
+    body = F.when(F.col("o_orderpriority") == "1-URGENT", "抽選 当選発表").when(F.col("o_orderpriority") == "2-HIGH", "予約受付 予約期間").when(F.col("o_orderpriority") == "3-MEDIUM", F.concat(F.lit("発売日 税込 "), F.floor("o_totalprice"))).otherwise("エントリー")
+    category = F.when(F.col("o_orderstatus") == "F", "unknown").otherwise("pokemon")
+    found = pages.segment_period(span)
+    return table(spark, sf, "orders").select("o_orderkey", pages.article_class(title, body, category).alias("class"), found["start"].cast("string").alias("start"), found["end"].cast("string").alias("end"))
 
 
 def source_inventory(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,7 +239,7 @@ def _sql() -> dict[str, str]:
         "catalog_details": "SELECT '/p/' || p_partkey AS link, CASE WHEN p_partkey % 5 > 0 THEN 'C' ELSE 'D' END || p_partkey AS code FROM part WHERE p_partkey % 7 > 0",
         "html_tables": "SELECT p_partkey, 0 AS ord, 'name|size' AS cells FROM part UNION ALL SELECT p_partkey, 1, p_name || '|' || p_size FROM part",
         "script_products": "SELECT p_partkey, p_partkey AS id, p_name AS name FROM part UNION ALL SELECT p_partkey, 0, 'x' FROM part",
-        "article_classes": f"SELECT p_partkey, {sql_pick([a[3] for a in _ARTICLES], 'p_partkey')} AS class, {sql_pick([s[1] for s in _SEGMENTS], 'p_size')} AS start, {sql_pick([s[2] for s in _SEGMENTS], 'p_size')} AS \"end\" FROM part",
+        "article_classes": f"SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN 'excluded' WHEN o_orderpriority LIKE '1%' THEN 'lottery' WHEN o_orderpriority LIKE '2%' THEN 'reservation' WHEN o_orderstatus = 'F' THEN 'excluded' WHEN o_orderpriority LIKE '3%' THEN 'product_info' ELSE 'event' END AS class, CASE WHEN o_orderstatus <> 'P' THEN (o_orderdate::DATE + {LATER} + INTERVAL 10 HOUR)::VARCHAR END AS start, (o_orderdate::DATE + {LATER} + INTERVAL 8 DAY + INTERVAL 1439 MINUTE)::VARCHAR AS \"end\" FROM orders",
         "source_inventory": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'plugin' ELSE 'manual' END AS class FROM supplier WHERE s_suppkey % 2 = 0",
         "store_ladder": "WITH d AS (SELECT s_suppkey % 30 AS d, min(s_suppkey) AS store, count(DISTINCT s_suppkey % 10) AS groups FROM supplier GROUP BY 1) SELECT c_custkey AS row, CASE WHEN c_custkey % 4 = 0 AND a.s_suppkey IS NOT NULL THEN a.s_suppkey WHEN c_custkey % 4 = 1 AND a.s_suppkey IS NOT NULL THEN a.s_suppkey WHEN groups = 1 THEN d.store END AS store, CASE WHEN c_custkey % 4 = 0 AND a.s_suppkey IS NOT NULL THEN 'alias' WHEN c_custkey % 4 = 1 AND a.s_suppkey IS NOT NULL THEN 'code' WHEN groups = 1 THEN 'domain' ELSE 'none' END AS step FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey LEFT JOIN d ON d.d = c_custkey % 40",
         "branch_splits": f"SELECT {sql_pick(('カードラボ', 'ビックカメラ', 'ヨドバシカメラ', 'ホビーステーション', 'その他の店', ''), 'c_custkey')} AS chain, {sql_pick(('秋葉原', '新宿', 'マルチメディアAkiba', '', '', ''), 'c_custkey')} AS branch, count(*) AS n FROM customer GROUP BY 1, 2",

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyreef.functions import extract
+from tallyreef.functions import extract, pages
 
 #: Posts with type, category, code, product, url, store, purchase period, and kind by the finer rules.
 _POSTS = (
@@ -36,6 +36,13 @@ _RESULTS = (("おめでとうございます 当選", "当選候補"), ("残念
 _NAMES = (("ポケモン 強化拡張パック ABCdef 新時代 x1", "ポケモン,abcdef,新時代"), ("構築デッキ", ""), ("aaa bbb ccc ddd eee fff ggg", "aaa,bbb,ccc,ddd,eee,fff"), ("", ""))
 _CODES = (("op 12", "OP-12"), ("EB‐03 x", "EB-03"), ("ua12bt", "UA12BT"), ("none", ""), ("prb-101", "PRB-101"))
 
+_CLASSES = (
+    ("高価買取", "抽選 応募期間", "pokemon", "excluded"), ("大会のお知らせ", "抽選販売なし 対象商品", "pokemon", "lottery"), ("大会", "お知らせ", "pokemon", "event"), ("新弾", "抽選 当選発表 再販", "pokemon", "resale"), ("新弾", "予約受付 予約期間", "pokemon", "reservation"),
+    ("移転", "営業時間", "unknown", "general_news"), ("新弾", "発売日 税込", "unknown", "excluded"), ("再販売", "新品", "pokemon", "resale"), ("新弾", "通常販売 税込", "pokemon", "regular_sale"), ("新弾", "発売日 商品名", "pokemon", "product_info"),
+    ("新弾", "エントリー", "pokemon", "event"), ("入荷", "", "pokemon", "general_news"), ("x", "y", "pokemon", "needs_review"),
+)
+_SEGMENTS = (("応募受付期間：2026年7月1日 10:00 ～ 2026年7月9日 当選発表 2026年8月1日", "2026-07-01 10:00:00", "2026-07-09 00:00:00"), ("受付期間:～2026年7月5日(日) 23:59", None, "2026-07-05 23:59:00"), ("受付期間：2026年2月30日 2026年3月1日", "2026-03-01 00:00:00", None), ("期間 2026年7月1日", None, None))
+
 
 def told(spark, cases, *columns):
     """The values of some columns of a text t, case by case."""
@@ -65,3 +72,10 @@ def test_results_names_and_codes(spark):
     assert told(spark, _RESULTS, extract.verdict(t, ["当選"], ["落選"], ["結果発表"])) == [c[1:] for c in _RESULTS]
     assert told(spark, _NAMES, F.array_join(extract.name_words(t), ",")) == [c[1:] for c in _NAMES]
     assert told(spark, _CODES, extract.set_code(t)) == [c[1:] for c in _CODES]
+
+
+def test_classes_and_segments(spark):
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(_CLASSES)], "i int, title string, body string, category string")
+    assert [r.x for r in df.select("i", pages.article_class(*map(F.col, ("title", "body", "category"))).alias("x")).orderBy("i").collect()] == [c[3] for c in _CLASSES]
+    span = pages.segment_period(F.col("t"))
+    assert told(spark, _SEGMENTS, span["start"].cast("string"), span["end"].cast("string")) == [c[1:] for c in _SEGMENTS]
