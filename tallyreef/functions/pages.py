@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyreef.functions import extract
 from tallyreef.functions.rules import first_match
 from tallyreef.functions.text import blank, unescaped
 
@@ -89,3 +90,18 @@ def segment_period(text: Column) -> Column:
     valid = F.array_compact(F.transform(found, at))
     open_start = F.ltrim(part).rlike("^[～〜~]")
     return F.struct(F.when(~open_start, F.try_element_at(valid, F.lit(1))).alias("start"), F.try_element_at(valid, F.when(open_start, 1).otherwise(2)).alias("end"))
+
+
+def article_record(title: Column, text: Column, category: Column, url: Column) -> Column:
+    """An article as one record: id, class, product, period as told and as start and end, conditions, stock, prices; null for classes that are left out.
+
+    Articles that trade, and those of no wanted class, give no record.
+    """
+    kind = article_class(title, text, category)
+    span = segment_period(text)
+    product = extract.labelled_value(text, ("商品名", "対象商品"))
+    record = F.struct(
+        F.concat(F.lit("article_"), F.substring(F.sha2(F.concat_ws("|", url, F.coalesce(title, F.lit(""))), 256), 1, 20)).alias("article_id"), kind.alias("class"), F.when(product != "", product).otherwise(F.trim(F.coalesce(title, F.lit("")))).alias("product"),
+        extract.labelled_value(text, ("応募期間", "抽選期間", "受付期間")).alias("period"), span["start"].alias("start"), span["end"].alias("end"), extract.condition_labels(text).alias("conditions"), extract.stock(text).alias("stock"), extract.highest_price(text).alias("highest"), extract.first_price(text).alias("first"),
+    )
+    return F.when(~kind.isin("excluded", "needs_review"), record)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyreef.functions import applications, entries, markup
+from tallyreef.functions import applications, entries, markup, pages
 from tallyreef.operators import resolve
 from tallyreef.sources.tables import table
 
@@ -62,12 +62,15 @@ def catalog_layouts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def catalog_detail_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """Detail pages by their layout: title, image, code, price and date of release."""
+    """Detail pages of two layouts: title, image, code, price and date of release."""
     k = F.col("o_orderkey")
     page = _text(
         '<html><head><meta property="og:image" content="/i/', k, '.png"></head><body><h2>menu</h2><h2 class="hdg-text">Pack <i>', F.col("o_orderpriority"), "</i></h2><table><tr><th>商品番号<td>CG-", k, "<tr><th>希望小売価格<td>", F.format_number(F.floor("o_totalprice"), 0), "円<tr><th>発売日<td>", F.date_format(_day(), "yyyy年M月d日"), "</table></body></html>",
     )
-    rows = markup.layout_rows(table(spark, sf, "orders").select("o_orderkey", page.alias("html")), "html", "konami_detail")
+    rows = markup.layout_rows(table(spark, sf, "orders").filter("o_orderstatus <> 'P'").select("o_orderkey", page.alias("html")), "html", "konami_detail")
+    news = _text('<html><head><meta property="og:image" content="/i/', k, '.png"></head><body><header><ul><li>menu</ul></header><h1>Pack <i>', F.col("o_orderpriority"), "</i></h1><p>商品番号：CG-", k, "<p>販売価格 ", F.format_number(F.floor("o_totalprice"), 0), " 円<p>発売日：", F.date_format(_day(), "yyyy年M月d日"), "</body></html>")
+    second = markup.layout_rows(table(spark, sf, "orders").filter("o_orderstatus = 'P'").select("o_orderkey", news.alias("html")), "html", "yugioh_detail")
+    rows = rows.unionByName(second.withColumn("code", F.col("price")))
     date = [F.regexp_extract("date", r"発売日\s*[:：]?\s*(20\d{2})年(\d{1,2})月(\d{1,2})日", i).try_cast("int") for i in (1, 2, 3)]
     return rows.select(
         "o_orderkey", "name", "image", F.regexp_extract("code", r"商品番号\s*[:：]?\s*([A-Za-z0-9_-]+)", 1).alias("code"), F.regexp_replace(F.regexp_extract("price", r"(?:希望小売価格|販売価格)\s*[:：]?\s*([\d,]+)\s*円", 1), ",", "").try_cast("long").alias("price"),
@@ -75,6 +78,18 @@ def catalog_detail_pages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def article_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles on orders as records: class, product, period, conditions, stock and prices, put together."""
+    o, k = table(spark, sf, "orders"), F.col("o_orderkey")
+    long, price = "yyyy年M月d日", F.format_number(F.floor("o_totalprice"), 0)
+    words = F.when(F.col("o_orderpriority") == "1-URGENT", "抽選 当選発表").when(F.col("o_orderpriority") == "2-HIGH", "予約受付 予約期間").when(F.col("o_orderpriority") == "3-MEDIUM", "大会 イベント").when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "高価買取").otherwise("x")
+    body = _text(words, " お一人様1点 ", price, "円 受付期間：", F.date_format(_day(), long), " 10:00 ～ ", F.date_format(_day(8), long), " 当選発表：後日 商品名：Pack ", k)
+    title = F.when(F.col("o_orderstatus") == "P", _text("大会 ", k)).otherwise(_text("新弾 ", k))
+    record = pages.article_record(title, body, F.lit("pokemon"), _text("https://x.example/", k))
+    found = o.select("o_orderkey", record.alias("r")).filter("r is not null")
+    return found.select("o_orderkey", "r.article_id", "r.class", "r.product", "r.period", F.col("r.start").cast("string").alias("start"), F.col("r.end").cast("string").alias("end"), F.array_join("r.conditions", ",").alias("conditions"), "r.stock", "r.highest", "r.first")
+
+
 def _by_priority(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("o_orderpriority")]
 
@@ -160,7 +175,7 @@ def text_entries(spark: SparkSession, sf: str) -> DataFrame:
     return entries.product_entries(rows, "told", "url", F.lit("news"), F.lit("1998-08-02").cast("date")).select("o_orderkey", "product_id", "name", "release_date", "confidence")
 
 
-QUERIES = {f.__name__: f for f in (text_entries, catalog_layouts, catalog_detail_pages, official_applications, article_candidates, product_links, card_products, store_rows, discovery_merge_by_identity)}
+QUERIES = {f.__name__: f for f in (text_entries, catalog_layouts, catalog_detail_pages, article_records, official_applications, article_candidates, product_links, card_products, store_rows, discovery_merge_by_identity)}
 
 
 def _cases(values: dict[str, str]) -> str:
@@ -178,6 +193,9 @@ ORACLE_SQL = {
         CASE {_K} WHEN 4 THEN 'https://dm.example/product/' WHEN 7 THEN '/detail.php?id=' ELSE '/products/' END || o_orderkey AS url, '/i/' || o_orderkey || '.png' AS image, CASE WHEN {_K} IN (0, 1, 2, 4, 5) THEN o_orderstatus ELSE '' END AS kind,
         CASE {_K} WHEN 7 THEN o_orderstatus WHEN 8 THEN 'true' ELSE '' END AS status, CASE {_K} WHEN 8 THEN 'h' || o_orderkey ELSE '' END AS code, CASE WHEN {_K} < 6 THEN {_D}::VARCHAR END AS date, CASE WHEN {_K} <> 6 THEN floor(o_totalprice)::BIGINT END AS price FROM orders""",
     "catalog_detail_pages": f"SELECT o_orderkey, 'Pack ' || o_orderpriority AS name, '/i/' || o_orderkey || '.png' AS image, 'CG-' || o_orderkey AS code, floor(o_totalprice)::BIGINT AS price, {_D}::VARCHAR AS date FROM orders",
+    "article_records": f"""WITH x AS (SELECT *, o_orderstatus = 'P' AS meet, left(o_orderpriority, 1) AS p FROM orders), y AS (SELECT *, CASE p WHEN '1' THEN 'lottery' WHEN '2' THEN 'reservation' WHEN '3' THEN 'event' WHEN '5' THEN CASE WHEN meet THEN 'event' ELSE 'needs_review' END END AS class FROM x WHERE p <> '4')
+        SELECT o_orderkey, 'article_' || left(sha256('https://x.example/' || o_orderkey || '|' || CASE WHEN meet THEN '大会 ' ELSE '新弾 ' END || o_orderkey), 20) AS article_id, CASE WHEN meet THEN 'event' ELSE class END AS class, 'Pack ' || o_orderkey AS product, strftime({_D}, '%Y年%-m月%-d日') || ' 10:00 ～ ' || strftime({_D} + 8, '%Y年%-m月%-d日') AS period,
+        ({_D} + INTERVAL 10 HOUR)::VARCHAR AS start, ({_D} + INTERVAL 8 DAY)::VARCHAR AS "end", '購入数制限' AS conditions, CASE WHEN p = '2' THEN '予約受付中' ELSE '状態不明' END AS stock, CASE WHEN floor(o_totalprice) BETWEEN 100 AND 1000000 THEN floor(o_totalprice)::BIGINT END AS highest, floor(o_totalprice)::BIGINT AS first FROM y WHERE meet OR class <> 'needs_review'""",
     "official_applications": f"""WITH x AS (SELECT *, 'https://parks2.bandainamco-am.co.jp/category/' || o_custkey || '/' || o_orderkey || '.html' AS u, {_cases(_PLACES)} AS place FROM orders WHERE o_orderstatus <> 'F' AND o_totalprice > 50000 AND o_orderpriority < '4')
         SELECT o_orderkey, u AS application_url, CASE WHEN o_orderpriority = '2-HIGH' THEN 'dragon_ball_fusion_world' ELSE 'onepiece' END AS brand, 'Booster ' || o_orderkey || ' [OP-' || o_custkey || ']' AS product, 'OP-' || o_custkey AS code, place AS branch,
         CASE WHEN o_totalprice > 200000 THEN '福岡県' WHEN place = '大阪梅田店' THEN '大阪府' WHEN place = '東京店' THEN '東京都' ELSE 'UNKNOWN' END AS prefecture, ({_D} + INTERVAL 10 HOUR)::VARCHAR AS start, ({_D} + INTERVAL 7 DAY + INTERVAL 1439 MINUTE)::VARCHAR AS "end", ({_D} + INTERVAL 9 DAY + INTERVAL 17 HOUR)::VARCHAR AS result,
