@@ -127,14 +127,13 @@ def verification_priorities(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy(found.alias("priority")).agg(F.count("*").alias("n"))
 
 
-_MODES = (("online", "", "", "ONLINE"), ("", "オンライン抽選", "", "ONLINE"), ("chain", "web", "", "STORE"), ("", "店頭受付とWEB受付", "", "HYBRID"), (None, "案内", "https://p-bandai.jp/x", "ONLINE"), ("unknown", "second", "", "UNKNOWN"), ("", "店舗にて EC", "", "HYBRID"), ("hybrid", "", "", "HYBRID"))
-
-
 def sales_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Ways of selling, as they are told or as texts and addresses show them."""
-    told, text, url = (pick([m[i] for m in _MODES], "p_partkey") for i in range(3))
-    mode = records.sales_mode([told], [text], url, F.col("p_size") == 50)
-    return table(spark, sf, "part").select("p_partkey", mode.alias("mode"))
+    name, kind = F.col("p_name"), F.col("p_type")
+    told = F.when(kind == "STANDARD", "online").when(kind == "MEDIUM", "chain").otherwise("")
+    said = F.when(kind == "ECONOMY", F.concat(name, F.lit(" オンライン抽選"))).when(kind == "MEDIUM", F.concat(name, F.lit(" web"))).when(kind == "LARGE", F.concat(F.lit("店頭受付とWEB受付 "), name)).otherwise(name)
+    url = F.when(kind == "PROMO", F.concat(F.lit("https://p-bandai.jp/"), "p_partkey")).otherwise("")
+    return table(spark, sf, "part").select("p_partkey", records.sales_mode([told], [said], url, F.col("p_size") == 50).alias("mode"))
 
 
 def application_evidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -150,10 +149,6 @@ def application_evidence(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (period_texts, period_overlay, text_dates, explicit_ends, derived_states, application_events, reminders_once, sent_history, verification_priorities, sales_modes, application_evidence)}
 
 
-def _told(cases, at: int, key: str = "p_partkey") -> str:
-    return sql_pick([x[at] for x in cases], key)
-
-
 _PR = "left(o_orderpriority, 1)"
 _D = f"(o_orderdate::DATE + {LATER})"
 _TEXT_END = f"CASE WHEN {_PR} = '1' THEN {_D} + INTERVAL 9 DAY + INTERVAL 64859 SECOND WHEN {_PR} <> '4' THEN {_D} + INTERVAL 9 DAY + INTERVAL 86399 SECOND END"
@@ -175,6 +170,6 @@ ORACLE_SQL = {
     "reminders_once": f"WITH m AS ({_REM}) SELECT event_id, CASE WHEN m <= 60 THEN 60 WHEN m <= 1440 THEN 1440 ELSE 4320 END AS \"offset\", CASE WHEN m >= 1440 THEN '約' || (m // 1440) || '日' WHEN m >= 60 THEN '約' || (m // 60) || '時間' || (m % 60) || '分' ELSE '約' || m || '分' END AS \"left\" FROM m WHERE m <= 4320 AND event_id % 3 <> 0",
     "sent_history": "SELECT 'u' || user_id || event_type AS history_key, min(ts)::VARCHAR AS sent_at FROM events GROUP BY 1 ORDER BY min(ts) DESC, 1 LIMIT 50",
     "verification_priorities": f"SELECT CASE WHEN user_id % 4 >= 2 THEN 'HIGH' WHEN event_id % 5 = 0 THEN 'LOW' WHEN event_id % 2 = 0 AND ts <= {_N} + INTERVAL 72 HOUR THEN 'HIGH' WHEN event_type = 'click' THEN 'HIGH' ELSE 'NORMAL' END AS priority, count(*) AS n FROM events GROUP BY 1",
-    "sales_modes": f"SELECT p_partkey, CASE WHEN p_size = 50 AND p_partkey % 8 IN (1, 4) THEN 'HYBRID' WHEN p_size = 50 AND p_partkey % 8 = 5 THEN 'STORE' ELSE {_told(_MODES, 3)} END AS mode FROM part",
+    "sales_modes": "SELECT p_partkey, CASE p_type WHEN 'STANDARD' THEN 'ONLINE' WHEN 'MEDIUM' THEN 'STORE' WHEN 'LARGE' THEN 'HYBRID' WHEN 'SMALL' THEN CASE WHEN p_size = 50 THEN 'STORE' ELSE 'UNKNOWN' END ELSE CASE WHEN p_size = 50 THEN 'HYBRID' ELSE 'ONLINE' END END AS mode FROM part",
     "application_evidence": f"WITH x AS (SELECT page_id AS k, {sql_pick(('抽選受付のお知らせ', '新パック', '案内'), 'page_id')} AS nm FROM pages) SELECT k % 3 = 0 AS repeated, k % 3 = 1 OR k % 11 = 0 OR k % 7 = 0 OR k % 13 = 0 AS application, k % 17 <> 0 AND (k % 5 = 0 OR nm = '新パック' OR NOT (k % 2 = 0 AND nm LIKE '抽選%')) AS product, count(*) AS n FROM x GROUP BY 1, 2, 3",
 }

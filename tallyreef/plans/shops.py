@@ -84,10 +84,11 @@ def store_ladder(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def branch_splits(spark: SparkSession, sf: str) -> DataFrame:
-    """Chain and branch of store names, counted."""
-    name = pick(("カードラボ 秋葉原店", "ビックカメラ新宿店", "ヨドバシカメラ マルチメディアAkiba", "ホビーステーション", "その他の店", ""), "c_custkey")
+    """Chain and branch that the names of customers' stores tell."""
+    k, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    name = F.when(segment == "BUILDING", F.concat(F.lit("カードラボ "), k, F.lit("店"))).when(segment == "MACHINERY", F.concat(F.lit("ビックカメラ第"), k, F.lit("店"))).when(segment == "HOUSEHOLD", F.concat(F.lit("ヨドバシ・カメラ マルチメディアAkiba "), k)).when(segment == "FURNITURE", "ホビーステーション").otherwise(F.col("c_name"))
     chain, branch = names.chain_and_branch(name)
-    return table(spark, sf, "customer").groupBy(chain.alias("chain"), branch.alias("branch")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "customer").select("c_custkey", chain.alias("chain"), branch.alias("branch"))
 
 
 def application_identities(spark: SparkSession, sf: str) -> DataFrame:
@@ -242,7 +243,7 @@ def _sql() -> dict[str, str]:
         "article_classes": f"SELECT o_orderkey, CASE WHEN o_orderpriority LIKE '5%' THEN 'excluded' WHEN o_orderpriority LIKE '1%' THEN 'lottery' WHEN o_orderpriority LIKE '2%' THEN 'reservation' WHEN o_orderstatus = 'F' THEN 'excluded' WHEN o_orderpriority LIKE '3%' THEN 'product_info' ELSE 'event' END AS class, CASE WHEN o_orderstatus <> 'P' THEN (o_orderdate::DATE + {LATER} + INTERVAL 10 HOUR)::VARCHAR END AS start, (o_orderdate::DATE + {LATER} + INTERVAL 8 DAY + INTERVAL 1439 MINUTE)::VARCHAR AS \"end\" FROM orders",
         "source_inventory": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'plugin' ELSE 'manual' END AS class FROM supplier WHERE s_suppkey % 2 = 0",
         "store_ladder": "WITH d AS (SELECT s_suppkey % 30 AS d, min(s_suppkey) AS store, count(DISTINCT s_suppkey % 10) AS groups FROM supplier GROUP BY 1) SELECT c_custkey AS row, CASE WHEN c_custkey % 4 = 0 AND a.s_suppkey IS NOT NULL THEN a.s_suppkey WHEN c_custkey % 4 = 1 AND a.s_suppkey IS NOT NULL THEN a.s_suppkey WHEN groups = 1 THEN d.store END AS store, CASE WHEN c_custkey % 4 = 0 AND a.s_suppkey IS NOT NULL THEN 'alias' WHEN c_custkey % 4 = 1 AND a.s_suppkey IS NOT NULL THEN 'code' WHEN groups = 1 THEN 'domain' ELSE 'none' END AS step FROM customer LEFT JOIN supplier a ON a.s_suppkey = c_custkey LEFT JOIN d ON d.d = c_custkey % 40",
-        "branch_splits": f"SELECT {sql_pick(('カードラボ', 'ビックカメラ', 'ヨドバシカメラ', 'ホビーステーション', 'その他の店', ''), 'c_custkey')} AS chain, {sql_pick(('秋葉原', '新宿', 'マルチメディアAkiba', '', '', ''), 'c_custkey')} AS branch, count(*) AS n FROM customer GROUP BY 1, 2",
+        "branch_splits": "SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'カードラボ' WHEN 'MACHINERY' THEN 'ビックカメラ' WHEN 'HOUSEHOLD' THEN 'ヨドバシカメラ' WHEN 'FURNITURE' THEN 'ホビーステーション' ELSE c_name END AS chain, CASE c_mktsegment WHEN 'BUILDING' THEN c_custkey::VARCHAR WHEN 'MACHINERY' THEN '第' || c_custkey WHEN 'HOUSEHOLD' THEN 'マルチメディアAkiba' ELSE '' END AS branch FROM customer",
         "application_identities": f"SELECT CASE WHEN page_id % 6 = 0 THEN 'x1' ELSE CASE WHEN page_id % 2 = 0 THEN 'pokemon' ELSE 'other' END || '|product|chain|' || {sql_pick(('a', 'b', ''), 'page_id')} || '|2026-07-01|' || {catalog.APPLICATION} END AS identity, count(*) AS n, count(*) AS over FROM pages GROUP BY 1",
         "evidence_items": f"WITH e AS (SELECT l_orderkey, l_linenumber * 10000000 + l_partkey AS ord, {sql_pick(('OFFICIAL', 'SHOP', 'GENERAL_INFORMATION', 'GENERAL_INFORMATION'), 'l_linenumber')} AS source_type, 'u' || (l_suppkey % 3) AS source_url, least(100, l_partkey % 150) AS trust FROM lineitem) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY l_orderkey, source_type, source_url ORDER BY ord) = 1",
         "sorted_boards": " UNION ALL ".join(_board(n, o) for n, o in (("end", f"{_ENDS}, {_RANK}, o_orderpriority"), ("result", f"{_RESULT}, {_RANK}, o_orderpriority"), ("release", f"{_ENDS}, o_orderpriority, o_custkey % 9"), ("shop", "o_custkey % 9, o_orderpriority"), ("state", f"{_RANK}, {_RESULT}, {_ENDS}, o_orderpriority, o_custkey % 9"))),
