@@ -124,27 +124,31 @@ def split_conflicting_ids(df: DataFrame, id_col: str, order: str) -> DataFrame:
     """Rows of one id that clash with rows before them get an id of their own: the new id in place, old_id, and whether it was split.
 
     A row clashes if its category, kind, brand or an identifier differs, where both
-    are filled, from that of any row of the id that kept it. Rows that agree in all
-    of these are judged once, so an id's fold is over its few kinds of rows. The
-    new id is that of the row's content; further rows of the same content get the
+    are filled, from that of a row of the id that kept it. Rows that kept an id agree, so
+    each of these has one value an id, that of the first such row that fills it; and a row
+    clashes if it clashes with these. They are found in rounds: of the rows that clash with
+    no value so far, the first that fills one more keeps the id. A round settles at least
+    one value of each id, so there are as many as values at most, and no id is ever listed.
+    The new id is that of the row's content; further rows of the same content get the
     hash of it and their number. df is prepared; rows without an id stay.
     """
     forms = ["m_category", "m_kind", "m_brand", *(f"m_{f}" for f in ID_FIELDS)]
     keyed = df.select("*", *[F.coalesce(F.col(c), F.lit("")).alias(f"__{c}") for c in forms])
     parts = [f"__{c}" for c in forms]
-    kinds = keyed.filter(blank(F.col(id_col)) != "").groupBy(id_col, *parts).agg(F.min(order).alias("at"))
-    listed = kinds.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("at", *parts))).alias("kinds"))
-    empty = F.array().cast("array<string>")
-    start = F.struct(*[empty.alias(c) for c in parts], F.array().cast(f"array<struct<{','.join(f'{c}:string' for c in parts)},split:boolean>>").alias("told"))
-
-    def step(state: Column, row: Column) -> Column:
-        clash = F.lit(False)
-        for c in parts:
-            clash = clash | ((row[c] != "") & F.exists(F.array_remove(state[c], row[c]), lambda x: x != ""))
-        seen = [F.when(clash, state[c]).otherwise(F.array_union(state[c], F.array(row[c]))).alias(c) for c in parts]
-        return F.struct(*seen, F.array_append(state["told"], F.struct(*[row[c].alias(c) for c in parts], clash.alias("split"))).alias("told"))
-
-    told = listed.select(id_col, F.explode(F.aggregate("kinds", start, step, lambda s: s["told"])).alias("x")).select(id_col, *[F.col(f"x.{c}") for c in parts], "x.split").filter("split")
+    kinds = written(keyed.filter(blank(F.col(id_col)) != "").groupBy(id_col, *parts).agg(F.min(order).alias("at")), "id-kinds")
+    clash, fills = F.lit(False), F.lit(False)
+    for c in parts:
+        clash = clash | ((F.col(c) != "") & (F.col(f"has{c}") != "") & (F.col(c) != F.col(f"has{c}")))
+        fills = fills | ((F.col(c) != "") & (F.col(f"has{c}") == ""))
+    state = kinds.select(id_col, *[F.lit("").alias(f"has{c}") for c in parts]).distinct()
+    for _ in parts:
+        state = written(state, "id-values")
+        first = kinds.join(state, id_col).filter(~clash & fills).groupBy(id_col).agg(F.min_by(F.struct(*parts), "at").alias("__first"))
+        first = written(first, "id-first")
+        if first.isEmpty():
+            break
+        state = state.join(first, id_col, "left").select(id_col, *[F.when(F.col(f"has{c}") == "", F.coalesce(F.col(f"__first.{c}"), F.lit(""))).otherwise(F.col(f"has{c}")).alias(f"has{c}") for c in parts])
+    told = kinds.join(state, id_col).filter(clash).select(id_col, *parts, F.lit(True).alias("split"))
     own = names.content_id(F.col("m_category"), F.col("m_strong"), F.col("m_kind"), F.col("m_brand"), {f: F.col(f"m_{f}") for f in ID_FIELDS})
     out = keyed.join(told, [id_col, *parts], "left").withColumn("split", F.coalesce("split", F.lit(False))).withColumn("__own", own).drop(*parts)
     rank = F.row_number().over(Window.partitionBy("__own").orderBy(order)) - 1

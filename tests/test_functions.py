@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyreef.functions import money, rules, text, times, urls
-from tallyreef.operators import components, joins, ordered_merge, resolve, searches, shapes, windows
+from tallyreef.operators import components, joins, master, ordered_merge, resolve, searches, shapes, windows
 from tallyreef.sources import sinks, staged, tables
 from tallyreef.sources.scratch import written
 from tallyreef.streaming import streams
@@ -460,3 +460,24 @@ def test_links_of_several_keys_are_counted_once(spark):
     agree = lambda x, y: any(all(x[c + 1] not in (None, "") and x[c + 1] == y[c + 1] for c in key) for key in keys)
     expected = [(x[0], len(met), min(met, default=None)) for x in left for met in [[y[0] for y in right if agree(x, y)]]]
     assert sorted(map(tuple, found.collect())) == expected
+
+
+def test_ids_split_as_a_fold_would(spark):
+    """Against rows taken one by one, each compared with all that kept the id."""
+    draw = random.Random(12)
+    rows = [(i, draw.choice(["p", "q", "", None]), f"n{i}", draw.choice(["", "a", "b"]), draw.choice(["", "", "x", "y"]), draw.choice([None, "1", "2"]), draw.choice([None, None, "3", "4"])) for i in range(300)]
+    kept, expected = {}, {}
+    for i, pid, _, *values in rows:
+        if not pid:
+            expected[i] = False
+            continue
+        held = kept.setdefault(pid, [])
+        expected[i] = any(a and b and a != b for other in held for a, b in zip(values, other, strict=True))
+        if not expected[i]:
+            held.append(values)
+    df = spark.createDataFrame(rows, "i int, pid string, m_strong string, m_kind string, m_brand string, m_jan string, m_product_code string").withColumn("m_category", F.lit("c"))
+    for f in master.ID_FIELDS:
+        if f"m_{f}" not in df.columns:
+            df = df.withColumn(f"m_{f}", F.lit(None).cast("string"))
+    found = master.split_conflicting_ids(df.repartition(3), "pid", "i").collect()
+    assert {r.i: r.split for r in found} == expected and len(found) == 300
