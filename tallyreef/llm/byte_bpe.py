@@ -13,7 +13,9 @@ Decoding concatenates up the same tree.
 
 Defined cases: a null text counts as empty; an empty text has no ids, the digest
 of the empty string, and zero tokens; rows are handled one by one, so repeated
-rows and null ids pass through; other columns are ignored.
+rows and null ids pass through; a very long text is encoded whole, and so is a piece of
+any length; pairs of equal rank merge from the left; an empty table gives no rows; other
+columns are ignored, but for those that are asked for.
 """
 
 from __future__ import annotations

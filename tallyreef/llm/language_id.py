@@ -13,7 +13,8 @@ every text if no row is labelled. Words in a script that no learned language use
 count for none, though their letters count in the total that the score is a share
 of, and their spans are ``und``; a text of such words alone has score 0 and the
 language with the most letters learned. Ties go to the language that sorts first;
-extra columns are ignored and repeated rows are labelled alike. Long texts are
+extra columns pass through, one that is named like the new column keeps its name, and
+repeated rows are labelled alike. An empty table gives no rows. Long texts are
 scored in runs of RUN_CHARS, and the sums along a text begin anew from the best
 state with each block, so that they keep their precision.
 

@@ -23,7 +23,9 @@ divisor that gives the right number of blocks, with aggregates alone.
 Defined cases: a null or empty text has size 0 and is not taken; an empty table
 gives no rows; sources of size 0 have target 0; rows that repeat a doc_id are
 rows of their own; equal rows may swap places in the order, not in what is taken
-overall; clashing extra columns are ignored.
+overall; sources of equal quotient go by their place in the order; a very
+long text is a row like any other, of which at most three times its words are taken;
+clashing extra columns are ignored.
 """
 
 from __future__ import annotations

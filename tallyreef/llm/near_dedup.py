@@ -19,7 +19,10 @@ Defined cases: without words or text a set is empty and linked with nothing;
 texts with fewer words than a shingle have their whole sequence as the one
 shingle; in ``near_duplicates`` a null doc_id takes no part and has a null
 component, in ``keep_one`` it comes after all others; rows that repeat a doc_id
-with another text stand for that text; extra columns are ignored.
+with another text stand for that text; of rows of one doc_id, or of none, that are near
+copies, the one with the smallest digest of all its columns stays; a very long text has its
+whole set; an empty
+table gives no rows; extra columns are ignored, and ``keep_one`` keeps them.
 """
 
 from __future__ import annotations

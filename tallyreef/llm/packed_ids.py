@@ -11,8 +11,9 @@ guards them against lost executors and repeated tasks.
 Defined cases: a null text counts as empty and still has its end id; rows that
 repeat a doc_id stand next to each other in the order in which they are read, so
 that ranges may part them; a null doc_id comes first; the string of a special
-token becomes that token, as the library has it; an empty table gives no shards
-and no rows; extra columns are ignored.
+token becomes that token, as the library has it; a very long text is encoded
+whole, and its ids span as many blocks as they need; an empty table gives no shards and
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

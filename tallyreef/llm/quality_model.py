@@ -11,8 +11,10 @@ the id), so the rules number at most TREES * 2^(DEPTH + 1).
 Defined cases: a null text counts as empty, and an empty text is scored from its
 statistics like any other; labels that are null do not count, and several labels
 of one id are averaged; without labels of both kinds every text scores the share
-of label 1 (0.5 without any); repeated rows are scored alike; extra columns of
-the documents are ignored.
+of label 1 (0.5 without any); repeated rows are scored alike; a very long
+text is read whole, in time linear in its length; an empty table gives no rows; rules of
+equal weight stand in the order in which trees name them; extra columns of the documents
+are ignored.
 """
 
 from __future__ import annotations

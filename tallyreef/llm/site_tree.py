@@ -25,7 +25,9 @@ Defined cases: a null or empty html has an empty text; a null url belongs to a
 host of its own, without a name; markup that ends early is read as far as it
 goes, and a quote within an unquoted value is a character of it; repeated pages are
 extracted alike, and those of one host and html count as one page of the tree;
-work grows with a page's length however deep it nests; extra columns are ignored.
+a very long page is read whole, and work grows with its length however deep it nests;
+an importance that equals the bar stays; an empty table gives no rows; extra columns pass
+through, and one that is named like the new column keeps its name.
 """
 
 from __future__ import annotations

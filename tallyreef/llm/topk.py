@@ -23,7 +23,8 @@ compared among their own length only; every row is a query or candidate by itsel
 so a query meets other rows of its own id, and each row of an id that repeats
 among queries has its own ranks; ties go to the smaller id; a query with no
 candidate has no rows; a score outside 64 bits stands as the nearest number that
-they hold.
+they hold; an empty table gives no rows; extra columns are not read. There are no texts; a
+very long vector makes its blocks hold fewer rows.
 """
 
 from __future__ import annotations
