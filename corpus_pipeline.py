@@ -2,6 +2,15 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next stage's docs.
+
+Defined cases, by stage. Rules: a null or empty text has too few words and goes; repeated
+rows are judged alike. Near-duplicates: of copies and near copies one row stays, that of
+the smallest doc_id; rows without doc_id come after all others; texts without words are
+linked with nothing. Secrets: a null text has none. Mixing: a text without words is not
+taken, a null source comes last; a row that is taken again comes again. BPE: a null text
+has no ids. Texts of any length are handled whole. An empty table passes through every
+stage as an empty table. All columns of docs pass through all stages but the last, also
+those that are named like a column that an operator adds.
 """
 
 from __future__ import annotations
