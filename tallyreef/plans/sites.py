@@ -121,13 +121,13 @@ def article_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Articles of orders as candidates: only what the article holds counts, whatever stands in the sidebar."""
     o = table(spark, sf, "orders")
     k, dear = F.col("o_orderkey"), F.col("o_totalprice") > 200_000
-    link = F.when(dear, _text('<a href="https://www.cardlabo.com/shop/', k, '?utm_source=t">apply</a><a href="https://www.cardlabo.com/shop/', k, '">again</a>')).otherwise('<a href="https://nyuka-now.com/archives/1">more</a>')
+    link = F.when(dear, _text('<a href="https://www.cardlabo.com/shop/', k, '?utm_source=t">apply</a><a href="https://www.cardlabo.com/shop/', k, '">again</a>')).otherwise('<a href="https://news.example.com/archives/1">more</a>')
     page = _text(
         '<html><head><meta property="article:published_time" content="', F.date_format("o_orderdate", "yyyy-MM-dd"), '"></head><body><aside>ポケモンカード 大阪府 <a href="https://livepocket.jp/x">ad</a></aside><article><h1>【抽選】Pack ', k, "の抽選販売</h1><div><p>", _by_priority(_ARTICLE_BRANDS), "</p><ul><li>北海道", F.col("o_custkey"), "</li><li>", F.when(F.col("o_orderstatus") == "O", "カードラボで店頭販売").when(F.col("o_orderstatus") == "F", "amazonの通販").otherwise("予約受付"),
         "</li></ul></div>", link, "</article><footer>ワンピースカードゲーム</footer></body></html>",
     )
-    pages = o.select("o_orderkey", _text("https://nyuka-now.com/archives/", k, "?utm_source=x").alias("url"), page.alias("html"))
-    found = applications.article_candidates(pages, "html", "url", "o_orderkey", "nyuka-now.com")
+    pages = o.select("o_orderkey", _text("https://news.example.com/archives/", k, "?utm_source=x").alias("url"), page.alias("html"))
+    found = applications.article_candidates(pages, "html", "url", "o_orderkey", "news.example.com")
     return found.withColumn("destinations", F.array_join(F.transform("destinations", lambda x: F.concat(x["url"], F.lit(" "), x["label"])), ","))
 
 
@@ -200,7 +200,7 @@ ORACLE_SQL = {
         SELECT o_orderkey, u AS application_url, CASE WHEN o_orderpriority = '2-HIGH' THEN 'dragon_ball_fusion_world' ELSE 'onepiece' END AS brand, 'Booster ' || o_orderkey || ' [OP-' || o_custkey || ']' AS product, 'OP-' || o_custkey AS code, place AS branch,
         CASE WHEN o_totalprice > 200000 THEN '福岡県' WHEN place = '大阪梅田店' THEN '大阪府' WHEN place = '東京店' THEN '東京都' ELSE 'UNKNOWN' END AS prefecture, ({_D} + INTERVAL 10 HOUR)::VARCHAR AS start, ({_D} + INTERVAL 7 DAY + INTERVAL 1439 MINUTE)::VARCHAR AS "end", ({_D} + INTERVAL 9 DAY + INTERVAL 17 HOUR)::VARCHAR AS result,
         'https://parks2.bandainamco-am.co.jp/p/' || o_orderkey AS product_url, 'bandai-' || left(sha256(u), 16) AS article_id FROM x""",
-    "article_candidates": """SELECT o_orderkey, 'https://nyuka-now.com/archives/' || o_orderkey AS source_url, '【抽選】Pack ' || o_orderkey || 'の抽選販売' AS title, o_orderdate::DATE::VARCHAR AS published,
+    "article_candidates": """SELECT o_orderkey, 'https://news.example.com/archives/' || o_orderkey AS source_url, '【抽選】Pack ' || o_orderkey || 'の抽選販売' AS title, o_orderdate::DATE::VARCHAR AS published,
         CASE o_orderpriority WHEN '2-HIGH' THEN 'onepiece' WHEN '5-LOW' THEN 'dragon_ball_fusion_world' ELSE 'pokemon' END AS category, 'Pack ' || o_orderkey AS product, CASE o_orderstatus WHEN 'O' THEN 'カードラボ' WHEN 'F' THEN 'Amazon' ELSE '' END AS chain, '北海道' AS prefecture,
         CASE o_orderstatus WHEN 'O' THEN 'STORE' WHEN 'F' THEN 'ONLINE' ELSE 'UNKNOWN' END AS mode_hint, CASE WHEN o_totalprice > 200000 THEN 'https://www.cardlabo.com/shop/' || o_orderkey || ' apply' ELSE '' END AS destinations, o_orderstatus IN ('O', 'F') AND o_totalprice <= 200000 AS unknown_store
         FROM orders WHERE o_orderpriority <> '3-MEDIUM'""",

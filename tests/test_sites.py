@@ -79,9 +79,9 @@ def test_articles_count_what_they_hold(spark):
     article = "<html><body>{2}<article><h1>{0}</h1><p>{1}</p></article><aside>ポケモンカード ワンピースカードゲーム 大阪府</aside></body></html>"
     pages = [
         (1, article.format("魂ネイションズ新製品", "フィギュアの予約受付情報です。", "")), (2, article.format("【抽選】新弾の抽選販売", "ポケモンカード カードラボ店頭販売 北海道 <a href='https://www.cardlabo.com/shop/lottery?utm_source=t'>応募</a>", "<a href='https://livepocket.jp/x'>ad</a>")),
-        (3, "<h1>ポケモンカード</h1><p>Amazonの通販 <a href='https://nyuka-now.com/archives/2'>次</a> <a href='https://cardlabo.com.evil.example/'>no</a></p>"), (4, None), (5, ""),
+        (3, "<h1>ポケモンカード</h1><p>Amazonの通販 <a href='https://news.example.com/archives/2'>次</a> <a href='https://cardlabo.com.evil.example/'>no</a></p>"), (4, None), (5, ""),
     ]
-    df = spark.createDataFrame(pages, "k int, html string").withColumn("url", F.concat(F.lit("https://nyuka-now.com/archives/"), "k"))
-    found = applications.article_candidates(df, "html", "url", "k", "nyuka-now.com").orderBy("k")
+    df = spark.createDataFrame(pages, "k int, html string").withColumn("url", F.concat(F.lit("https://news.example.com/archives/"), "k"))
+    found = applications.article_candidates(df, "html", "url", "k", "news.example.com").orderBy("k")
     assert rows(found, "k", "category", "product", "chain", "prefecture", "mode_hint", "unknown_store") == [(2, "pokemon", "新弾", "カードラボ", "北海道", "STORE", False), (3, "pokemon", "ポケモンカード", "Amazon", "", "ONLINE", True)]
     assert [[tuple(d) for d in r.destinations] for r in found.collect()] == [[("https://www.cardlabo.com/shop/lottery", "応募")], []]
