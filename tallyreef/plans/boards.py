@@ -160,11 +160,12 @@ def official_documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def new_stores(spark: SparkSession, sf: str) -> DataFrame:
-    """Suppliers that no setting knows, under their present names; new ones are off."""
-    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"))
-    settings = s.filter("key % 3 = 0").select((F.col("key") + F.when(F.col("key") % 2 == 0, 1000).otherwise(0)).alias("key"), (F.col("key") % 4 > 0).alias("enabled"))
-    renamed = s.select((F.col("key") + 1000).alias("key"), F.col("key").alias("present"))
-    return joins.new_members(s, settings, "key", renamed, "enabled")
+    """Suppliers that no setting knows, under their present names; new ones are off. Legacy names are none that a supplier has."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_suppkey").cast("string").alias("key"))
+    legacy = F.concat(F.lit("legacy-"), "key")
+    settings = s.filter("s_suppkey % 3 = 0").select(F.when(F.col("s_suppkey") % 2 == 0, legacy).otherwise(F.col("key")).alias("key"), (F.col("s_suppkey") % 4 > 0).alias("enabled"))
+    renamed = s.select(legacy.alias("key"), F.col("key").alias("present"))
+    return joins.new_members(s, settings, "key", renamed, "enabled").withColumn("key", F.col("key").cast("long"))
 
 
 def merged_sources(spark: SparkSession, sf: str) -> DataFrame:
