@@ -70,9 +70,17 @@ def text_dates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def _told_status() -> Column:
+    """What an order's status is told as: wordings of ends, of what is open, of planned ends and begins, blank or missing."""
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    over = F.when(priority == "1-URGENT", "受付終了").when(priority == "2-HIGH", "CLOSED").when(priority == "3-MEDIUM", "キャンセル！").otherwise(F.concat(F.lit("※ 応募受付は終了しました"), F.when(priority == "5-LOW", F.concat(F.lit(" "), priority)).otherwise("。")))
+    open_ = F.when(priority == "1-URGENT", "受付中").when(priority == "2-HIGH", "抽選受付中").when(priority == "3-MEDIUM", F.concat(_day(9, "M月d日"), F.lit("受付終了予定"))).when(priority == "4-NOT SPECIFIED", "")
+    return F.when(status == "F", over).when(status == "O", open_).otherwise("受付予定")
+
+
 def explicit_ends(spark: SparkSession, sf: str) -> DataFrame:
     """The first flag or status that says a period is over, and what the status says of its begin."""
-    status = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("※ 応募受付は終了しました "), "o_orderpriority")).when(F.col("o_orderstatus") == "O", "受付中").otherwise("受付予定")
+    status = _told_status()
     found = periods.explicit_end({"is_closed": F.col("o_totalprice") > 400_000}, {"status": F.array(status), "status_history": F.array(F.lit("受付中"), F.when(F.col("o_totalprice") < 50_000, F.lit("中止")))})
     return table(spark, sf, "orders").select("o_orderkey", found.alias("ended"), periods.ended_status(status).alias("says_end"), periods.open_status(status).alias("says_open"))
 
@@ -164,7 +172,8 @@ ORACLE_SQL = {
     "text_dates": f"""WITH x AS (SELECT o_orderkey, o_orderstatus AS s, {_D} AS d FROM orders), y AS (SELECT *, year(d) || '-' AS y FROM x)
         SELECT o_orderkey, (d + INTERVAL 10 HOUR)::VARCHAR AS span_start, (TRY_CAST(y || strftime(d + 4, '%m-%d') AS DATE) + INTERVAL 1110 MINUTE)::VARCHAR AS span_end, (d + 3)::VARCHAR AS released, (d + INTERVAL 10 HOUR)::VARCHAR AS label_start, (d + INTERVAL 7 DAY + INTERVAL 18 HOUR)::VARCHAR AS label_end, (d + INTERVAL 9 DAY + INTERVAL 750 MINUTE)::VARCHAR AS label_result,
         (d + INTERVAL 10 HOUR)::VARCHAR AS post_start, (TRY_CAST(y || strftime(d + 5, '%m-%d') AS DATE) + INTERVAL 1110 MINUTE)::VARCHAR AS post_end, coalesce(TRY_CAST('2026-' || strftime(d, '%m-%d') AS DATE) <= DATE '2026-07-18', false) AS due, (d + CASE WHEN s = 'F' THEN INTERVAL 750 MINUTE ELSE INTERVAL 0 MINUTE END)::VARCHAR AS loose FROM y""",
-    "explicit_ends": """SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'is_closed=true' WHEN o_orderstatus = 'F' THEN 'status=※ 応募受付は終了しました ' || o_orderpriority WHEN o_totalprice < 50000 THEN 'status_history=中止' ELSE '' END AS ended, o_orderstatus = 'F' AS says_end, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'before' END AS says_open FROM orders""",
+    "explicit_ends": f"""SELECT o_orderkey, CASE WHEN o_totalprice > 400000 THEN 'is_closed=true' WHEN o_orderstatus = 'F' THEN 'status=' || CASE {_PR} WHEN '1' THEN '受付終了' WHEN '2' THEN 'CLOSED' WHEN '3' THEN 'キャンセル！' WHEN '4' THEN '※ 応募受付は終了しました。' ELSE '※ 応募受付は終了しました ' || o_orderpriority END WHEN o_totalprice < 50000 THEN 'status_history=中止' ELSE '' END AS ended,
+        o_orderstatus = 'F' AS says_end, CASE WHEN o_orderstatus = 'O' AND {_PR} IN ('1', '2') THEN 'open' WHEN o_orderstatus = 'P' THEN 'before' END AS says_open FROM orders""",
     "derived_states": f"WITH x AS (SELECT {sql_pick(_APPLICATIONS, 'o_orderkey')} AS a, coalesce({sql_pick(_RESULTS, 'o_custkey')}, '') AS r, o_orderstatus AS s, o_orderkey AS k, o_orderdate AS d FROM orders) SELECT CASE WHEN a = '当選' OR r = '当選' THEN '当選' WHEN a = '落選' OR r = '落選' THEN '落選' WHEN s = 'F' THEN '終了済み' WHEN a = '未応募' THEN CASE WHEN s = 'P' THEN '本日締切' ELSE '未応募' END WHEN a = '抽選結果待ち' THEN '結果待ち' ELSE '応募済み' END AS dashboard, CASE WHEN r IN ('当選', '落選', '予約完了') THEN r WHEN k % 3 = 0 THEN '未応募' WHEN s = 'P' THEN '抽選結果確認' ELSE '抽選受付完了' END AS application, CASE a WHEN '抽選受付完了' THEN '応募済み' WHEN '結果待ち候補' THEN '抽選結果待ち' WHEN '変' THEN 'その他' ELSE a END AS shown, CASE WHEN s = 'F' THEN 'EXPIRED' WHEN d > '1996-01-01' THEN 'UPCOMING' ELSE 'ACTIVE' END AS active, count(*) AS n FROM x GROUP BY ALL",
     "application_events": f"WITH x AS ({_EV}), f AS (SELECT event_id, CASE WHEN regexp_matches(coalesce(w, ''), '再販|再入荷|RESTOCK') THEN 'RESTOCK' WHEN contains(w, '販売開始') THEN 'SALE_START' WHEN contains(w, '予約') THEN 'RESERVATION_START' WHEN regexp_matches(coalesce(w, ''), '抽選|応募|受付開始') THEN 'APPLICATION_START' ELSE 'NEW_CONFIRMED' END AS type, CASE WHEN user_id % 3 = 0 THEN 'app' || user_id ELSE left(sha256(user_id || '|site|u'), 24) END AS app FROM x WHERE lower(coalesce(v, 'confirmed')) NOT IN ('candidate', 'rejected', '確認中') AND event_id % 13 <> 0 AND coalesce(res, '') NOT IN ('当選', '落選', '予約完了') AND coalesce(st, '未応募') = '未応募' AND ts <= {_N} AND ts >= {_N} - INTERVAL 48 HOUR AND event_id % 4 IN (0, 2)) SELECT sha256(app || '|' || type) AS dedupe_key, any_value(type) AS type, min(event_id) AS event_id FROM f GROUP BY 1",
     "reminders_once": f"WITH m AS ({_REM}) SELECT event_id, CASE WHEN m <= 60 THEN 60 WHEN m <= 1440 THEN 1440 ELSE 4320 END AS \"offset\", CASE WHEN m >= 1440 THEN '約' || (m // 1440) || '日' WHEN m >= 60 THEN '約' || (m // 60) || '時間' || (m % 60) || '分' ELSE '約' || m || '分' END AS \"left\" FROM m WHERE m <= 4320 AND event_id % 3 <> 0",
