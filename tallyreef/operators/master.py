@@ -8,6 +8,9 @@ its own rows of one identity are one product.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import combinations
+from operator import and_, or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,9 +36,23 @@ def prepared(df: DataFrame, category: Column, name: Column, kind: Column, brand:
 _FORMS = ("m_category", "m_plain", "m_strong", "m_kind", "m_brand", *(f"m_{f}" for f in ID_FIELDS))
 
 
-def _differ(a: str, b: str) -> Column:
-    """Both are filled and differ."""
-    return (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b))
+def _any(form: str) -> Column:
+    """What a known row's form is looked up by: itself, and the key of rows that lack it, which take any."""
+    return F.explode(F.array(F.concat(F.lit("="), F.col(form)), F.lit("any")))
+
+
+def _wanted(form: str) -> Column:
+    """The keys under which an incoming row's form finds what does not clash with it, each known row once."""
+    return F.explode(F.when(F.col(form) == "", F.array(F.lit("any"))).otherwise(F.array(F.lit("="), F.concat(F.lit("="), F.col(form)))))
+
+
+def _subsets(fields: Sequence[str]) -> list[tuple[str, ...]]:
+    return [some for n in range(1, len(fields) + 1) for some in combinations(fields, n)]
+
+
+def _told(what: str, fields: Sequence[str]) -> Column:
+    """A kind of look-up and the values that must agree; null if one is not there."""
+    return F.struct(F.lit(what).alias("what"), F.concat(*[x for c in fields for x in (F.col(c), F.lit("|"))]).alias("value"))
 
 
 def matches(known: DataFrame, incoming: DataFrame, known_id: str, incoming_id: str) -> DataFrame:
@@ -44,46 +61,42 @@ def matches(known: DataFrame, incoming: DataFrame, known_id: str, incoming_id: s
     Rows of one category whose kinds and brands do not clash are compared: by
     identifier where the incoming row has one, else by name and then by strong name
     among known rows without identifiers. Only exactly one partner is a match.
-    Equal known rows are counted before they are joined, so that a frequent name
-    is one row, and clashes of identifiers are found by each group's least and
-    greatest identifier.
+
+    Nothing is paired: known rows are counted by what they may be asked for, and an
+    incoming row looks up a few counts. A known row that has the identifiers K agrees with one that
+    has I if all of K and I in common, at least one, are equal; so it is counted under K and the values
+    of each part of K. Kinds and brands are counted by value and in all. Whether any known row
+    has another identifier is told by the least and greatest of each kind and brand.
     """
     ids = [f"m_{f}" for f in ID_FIELDS]
+    patterns = _subsets(ids)
     has = F.coalesce(*[F.col(c) for c in ids]).isNotNull()
     signed = known.groupBy(*_FORMS).agg(F.count("*").alias("n"), F.min(known_id).alias("first"))
     # Both sides are compared in several ways: their forms are worked out once.
-    signed = written(signed.select(*[F.col(c).alias(f"k{c}") for c in _FORMS], "n", "first"), "match-known")
+    signed = written(signed, "match-known")
     asked = written(incoming.select(incoming_id, *_FORMS), "match-incoming")
-    fits = ~_differ("km_kind", "m_kind") & ~_differ("km_brand", "m_brand")
-    clash = F.lit(False)
-    for c in ids:
-        clash = clash | conflict(F.col(f"k{c}"), F.col(c))
-    same_category = F.col("km_category") == F.col("m_category")
-    pairs = None
-    for c in ids:
-        found = asked.filter(F.col(c).isNotNull()).join(signed, same_category & (F.col(f"k{c}") == F.col(c))).filter(fits & ~clash).select(incoming_id, *[f"k{f}" for f in _FORMS], "n", "first")
-        pairs = found if pairs is None else pairs.union(found)
-    by_id = pairs.dropDuplicates([incoming_id, *[f"k{f}" for f in _FORMS]]).groupBy(incoming_id).agg(F.sum("n").alias("n_id"), F.min("first").alias("by_id"))
-    # A known row of other identifiers: some group has one that is less or greater.
-    # A category has one row, with the bounds of its few kinds and brands.
-    groups = signed.groupBy("km_category", "km_kind", "km_brand").agg(*[f(f"k{c}").alias(f"{f.__name__}_{c}") for c in ids for f in (F.min, F.max)])
-    bounds = groups.groupBy("km_category").agg(F.collect_list(F.struct(*[c for c in groups.columns if c != "km_category"])).alias("bounds"))
-
-    def clashes(group: Column) -> Column:
-        apart = lambda a, b: (a != "") & (b != "") & (a != b)
-        other = F.lit(False)
-        for c in ids:
-            other = other | conflict(group[f"min_{c}"], F.col(c)) | conflict(group[f"max_{c}"], F.col(c))
-        return F.coalesce(~apart(group["km_kind"], F.col("m_kind")) & ~apart(group["km_brand"], F.col("m_brand")) & other, F.lit(False))
-
-    clashing = asked.filter(has).join(bounds, same_category).select(incoming_id, F.exists("bounds", clashes).alias("clashes"))
-    nameless = F.coalesce(*[F.col(f"k{c}") for c in ids]).isNull()
-    out = asked.join(by_id, incoming_id, "left").join(clashing, incoming_id, "left")
-    for form, label in (("m_plain", "name"), ("m_strong", "strong")):
-        found = asked.filter(~has & (F.col(form) != "")).join(signed.filter(nameless), same_category & (F.col(f"k{form}") == F.col(form))).filter(fits)
-        out = out.join(found.groupBy(incoming_id).agg(F.sum("n").alias(f"n_{label}"), F.min("first").alias(f"by_{label}")), incoming_id, "left")
+    name = lambda there: [F.when(there & (F.col(form) != ""), _told(form, [form])) for form in ("m_plain", "m_strong")]
+    label = lambda k, some: " ".join(k) + ":" + " ".join(some)
+    exactly = lambda k: F.concat_ws(" ", *[F.when(F.col(c).isNotNull(), c) for c in ids]) == " ".join(k)
+    offered = [F.when(exactly(k), _told(label(k, some), some)) for k in patterns for some in _subsets(k)]
+    # Of K and I, some is what they have in common.
+    common = lambda k, some: F.when(reduce(and_, [F.col(c).isNotNull() if c in some else F.col(c).isNull() for c in k]), _told(label(k, some), some))
+    sought = [common(k, some) for k in patterns for some in _subsets(k)]
+    keys = ["m_category", "what", "value", "kind_key", "brand_key"]
+    spread = lambda df, entries: df.withColumn("__told", F.explode(F.array_compact(F.array(*entries)))).select("*", "__told.*")
+    counted = spread(signed, offered + name(~has)).withColumn("kind_key", _any("m_kind")).withColumn("brand_key", _any("m_brand")).groupBy(*keys).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    looked = spread(asked, sought + name(~has)).withColumn("kind_key", _wanted("m_kind")).withColumn("brand_key", _wanted("m_brand")).select(incoming_id, *keys)
+    met = looked.join(counted, keys)
+    kinds = {"name": F.col("what") == "m_plain", "strong": F.col("what") == "m_strong", "id": ~F.col("what").isin("m_plain", "m_strong")}
+    found = met.groupBy(incoming_id).agg(*[x for n, is_ in kinds.items() for x in (F.sum(F.when(is_, F.col("n"))).alias(f"n_{n}"), F.min(F.when(is_, F.col("first"))).alias(f"by_{n}"))])
+    # A known row of other identifiers: some kind and brand that fit have one that is less or greater.
+    groups = signed.withColumn("kind_key", _any("m_kind")).withColumn("brand_key", _any("m_brand")).groupBy("m_category", "kind_key", "brand_key").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in ids for f in (F.min, F.max)])
+    other = reduce(or_, [conflict(F.col(f"{f}_{c}"), F.col(c)) for c in ids for f in ("min", "max")])
+    near = asked.filter(has).withColumn("kind_key", _wanted("m_kind")).withColumn("brand_key", _wanted("m_brand"))
+    clashing = near.join(groups, ["m_category", "kind_key", "brand_key"]).filter(other).select(incoming_id, F.lit(True).alias("clashes")).distinct()
+    out = asked.select(incoming_id, has.alias("__has")).join(found, incoming_id, "left").join(clashing, incoming_id, "left")
     method = (
-        F.when(has, F.when(F.col("n_id") == 1, "identifier").when(F.col("n_id") > 1, "ambiguous_identifier").when(F.col("clashes"), "identifier_conflict").otherwise("no_match"))
+        F.when(F.col("__has"), F.when(F.col("n_id") == 1, "identifier").when(F.col("n_id") > 1, "ambiguous_identifier").when(F.col("clashes"), "identifier_conflict").otherwise("no_match"))
         .when(F.col("n_name") == 1, "normalized_name").when(F.col("n_name") > 1, "ambiguous_normalized_name")
         .when(F.col("n_strong") == 1, "strong_name").when(F.col("n_strong") > 1, "ambiguous_strong_name").otherwise("no_match")
     )
