@@ -54,13 +54,15 @@ def merged_discoveries(df: DataFrame, identity: Sequence[Column], order: Sequenc
     Sources are made distinct before they meet, so a hot identity gathers no more than its distinct sources.
     """
     bare = [F.regexp_replace(F.lower(blank(c)), r"(?U)[\s　「」『』・_\-/]", "") for c in identity]
-    rows = df.withColumn("identity", F.sha2(F.concat_ws("|", *bare), 256))
+    # Rows are grouped by the parts themselves, which are shorter than their hash, and by plain columns, which travel once.
+    rows = df.withColumn("__key", F.concat_ws("|", *bare))
     rest = [c for c in df.columns if c not in (*order, sources)]
-    first = rows.groupBy("identity").agg(F.min_by(F.struct(*order, *rest), F.struct(*order)).alias("x"), F.count("*").alias("n")).select("identity", "x.*", "n")
-    told = rows.select("identity", F.struct(*order).alias("__at"), F.posexplode(sources).alias("__i", "__s"))
-    once = told.groupBy("identity", "__s").agg(F.min(F.struct("__at", "__i")).alias("__at"))
-    gathered = once.groupBy("identity").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda x: x["__s"]).alias(sources))
-    return first.join(gathered, "identity", "left").withColumn(sources, F.coalesce(sources, F.array().cast(df.schema[sources].dataType)))
+    first = rows.groupBy("__key").agg(F.min(F.struct(*order, *rest)).alias("x"), F.count("*").alias("n")).select("__key", "x.*", "n")
+    told = rows.select("__key", F.struct(*order).alias("__at"), F.posexplode(sources).alias("__i", "__s"))
+    once = told.groupBy("__key", "__s").agg(F.min(F.struct("__at", "__i")).alias("__at"))
+    gathered = once.groupBy("__key").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__s"))), lambda x: x["__s"]).alias(sources))
+    out = first.join(gathered, "__key", "left").withColumn(sources, F.coalesce(sources, F.array().cast(df.schema[sources].dataType)))
+    return out.select(F.sha2("__key", 256).alias("identity"), *[c for c in out.columns if c != "__key"])
 
 
 def upgraded_in_place(df: DataFrame, keys: Sequence[str], order: str, candidate: Column, evidence: str, most: int = MOST_EVIDENCE) -> DataFrame:
