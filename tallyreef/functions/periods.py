@@ -7,6 +7,8 @@ and without zone; ``now`` is always an argument.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,14 @@ def _groups(text: Column, pattern: str, first: int, n: int = 5) -> list[Column]:
     return [F.regexp_extract(text, pattern, first + i) for i in range(n)]
 
 
+def _once(text: Column, pattern: str, n: int, make: Callable[[list[Column]], Column]) -> Column:
+    """make of the first match's n groups as numbers, null where empty; the text is searched once, however often make reads them."""
+    found = F.regexp_extract(text, pattern, 0)
+    groups = F.split(F.regexp_replace(found, f"^(?:{pattern})$", "\u0001".join(f"${i}" for i in range(1, n + 1))), "\u0001")
+    # A match is bound to a variable, so that it is not worked out anew for each group.
+    return F.get(F.transform(F.array(groups), lambda g: make([F.when(F.size(g) == n, F.nullif(F.get(g, F.lit(i)), F.lit(""))).cast("int") for i in range(n)])), F.lit(0))
+
+
 def _labelled(text: Column, label: str) -> tuple[list[Column], Column]:
     """Groups of the first date after a label, else of one before it, and whether there is any."""
     after = rf"(?:{label})\s*[:：]?\s*(?:は\s*)?{DATE}"
@@ -181,8 +191,7 @@ def first_and_last(text: Column, year: Column) -> Column:
     told = F.coalesce(F.nullif(F.regexp_extract(text, r"(20\d{2})\s*年\s*\d{1,2}\s*月\s*\d{1,2}\s*日", 1), F.lit("")).cast("int"), year)
 
     def at(value: Column, end: bool) -> Column:
-        y, m, d, hour, minute = (F.nullif(F.regexp_extract(value, groups, i), F.lit("")).cast("int") for i in range(1, 6))
-        return F.try_make_timestamp_ntz(F.coalesce(y, told), m, d, F.coalesce(hour, F.lit(23 if end else 0)), F.coalesce(minute, F.lit(59 if end else 0)), F.lit(0))
+        return _once(value, groups, 5, lambda p: F.try_make_timestamp_ntz(F.coalesce(p[0], told), p[1], p[2], F.coalesce(p[3], F.lit(23 if end else 0)), F.coalesce(p[4], F.lit(59 if end else 0)), F.lit(0)))
 
     return F.struct(at(F.try_element_at(found, F.lit(1)), False).alias("start"), at(F.try_element_at(found, F.lit(-1)), True).alias("end"))
 
@@ -190,9 +199,9 @@ def first_and_last(text: Column, year: Column) -> Column:
 def release_date(text: Column, year: Column) -> Column:
     """A release date by the first pattern that gives a valid one."""
     patterns = (r"発売日\s*[：:]\s*(20\d{2})年(\d{1,2})月(\d{1,2})日", r"(20\d{2})年(\d{1,2})月(\d{1,2})日(?:\([^)]*\))?\s*発売")
-    dates = [date_of(*[F.regexp_extract(text, p, i).try_cast("int") for i in (1, 2, 3)]) for p in patterns]
+    dates = [_once(text, p, 3, lambda x: date_of(*x)) for p in patterns]
     short = r"[【〖<＜](\d{1,2})月(\d{1,2})日発売[】〗>＞]"
-    return F.coalesce(*dates, date_of(year, *[F.regexp_extract(text, short, i).try_cast("int") for i in (1, 2)]))
+    return F.coalesce(*dates, _once(text, short, 2, lambda x: date_of(year, *x)))
 
 
 def labelled_dates(text: Column, reference: Column) -> Column:
@@ -200,8 +209,7 @@ def labelled_dates(text: Column, reference: Column) -> Column:
     fragment = r"(20\d{2})\s*[年/]\s*(\d{1,2})\s*[月/]\s*(\d{1,2})\s*日?\s*(?:\([^)]*\))?\s*(\d{1,2})\s*[:時]\s*(\d{0,2})"
 
     def by_label(label: str) -> Column:
-        y, m, d, hour, minute = (F.nullif(F.regexp_extract(text, rf"(?:{label})\s*[:：]?\s*{fragment}", i), F.lit("")).cast("int") for i in range(1, 6))
-        return F.try_make_timestamp_ntz(y, m, d, hour, F.coalesce(minute, F.lit(0)), F.lit(0))
+        return _once(text, rf"(?:{label})\s*[:：]?\s*{fragment}", 5, lambda p: F.try_make_timestamp_ntz(*p[:4], F.coalesce(p[4], F.lit(0)), F.lit(0)))
 
     side = r"(?:(20\d{2})年)?\s*(\d{1,2})月(\d{1,2})日(?:\([^)]*\))?\s*(\d{1,2})[:時](\d{2})?"
     ranged = rf"(?:応募|申込|予約)(?:受付)?期間\s*[:：]?\s*{side}\s*[~～〜-]\s*{side}"
@@ -226,8 +234,7 @@ def post_dates(text: Column, year: Column) -> Column:
     groups = r"(?:(20\d{2})年)?\s*(\d{1,2})月\s*(\d{1,2})日(?:\s*(\d{1,2})[:時](\d{2})?分?)?"
 
     def at(value: Column) -> Column:
-        y, m, d, hour, minute = (F.nullif(F.regexp_extract(value, groups, i), F.lit("")).cast("int") for i in range(1, 6))
-        return F.try_make_timestamp_ntz(F.coalesce(y, year), m, d, F.coalesce(hour, F.lit(0)), F.coalesce(minute, F.lit(0)), F.lit(0))
+        return _once(value, groups, 5, lambda p: F.try_make_timestamp_ntz(F.coalesce(p[0], year), p[1], p[2], F.coalesce(p[3], F.lit(0)), F.coalesce(p[4], F.lit(0)), F.lit(0)))
 
     valid = F.array_compact(F.transform(found, at))
     return F.struct(F.try_element_at(valid, F.lit(1)).alias("start"), F.try_element_at(valid, F.lit(2)).alias("end"))
@@ -236,8 +243,7 @@ def post_dates(text: Column, year: Column) -> Column:
 def due(text: Column, today: Column) -> Column:
     """The first month and day of a text, of the year told or this one, is today or past; false without a valid one."""
     pattern = r"(?:(\d{4})[./年])?\s*(\d{1,2})[./月]\s*(\d{1,2})日?"
-    y, m, d = (F.nullif(F.regexp_extract(text, pattern, i), F.lit("")).try_cast("int") for i in (1, 2, 3))
-    return F.coalesce(today >= date_of(F.coalesce(y, F.year(today)), m, d), F.lit(False))
+    return F.coalesce(_once(text, pattern, 3, lambda p: today >= date_of(F.coalesce(p[0], F.year(today)), p[1], p[2])), F.lit(False))
 
 
 def temporal_state(ended: Column, start: Column, now: Column) -> Column:
