@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from tallyreef.functions import extract, urls
-from tallyreef.functions.markup import page_rows
+from tallyreef.functions.markup import lines_of, lists_of
 from tallyreef.functions.names import nfkc
-from tallyreef.functions.rules import first_match
+from tallyreef.functions.rules import bound, first_match
 
 # Names of two brands, and codes that count only beside a brand's name.
 ONE_PIECE = r"(?i)one\s*piece\s*(?:カードゲーム|card\s*game)|ワンピースカード(?:ゲーム)?|ワンピカード"
@@ -45,6 +47,7 @@ MODES = (("HYBRID", "(?i)Web応募.*店舗受取|オンライン応募.*店頭")
 TITLE_MARK, TITLE_END = r"^[〖【\[].*?[〗】\]]", r"(?:の)?(?:Amazon)?(?:販売予定|予約|抽選).*$"
 WANTED = ("pokemon", "onepiece", "dragon_ball_fusion_world")
 PUBLISHED = ("article:published_time", "date", "datepublished")
+TITLES = ("og:title", "twitter:title")
 
 
 #: Parts labels while they are one text.
@@ -100,25 +103,48 @@ def application_dates(text: Column, reference: Column | None = None) -> dict[str
     return {"start": F.coalesce(out["start"], F.when(whole, start)), "end": F.coalesce(out["end"], F.when(whole, end), day), "result": out["result"]}
 
 
+_LINK = pa.struct([("href", pa.string()), ("label", pa.string()), ("within", pa.bool_())])
+
+
+def _told(html: str | None) -> tuple | None:
+    """text, content, title, published and links of one page; None where there is nothing."""
+    rows = lines_of(html)
+    if not rows:
+        return None
+    lines = [r for r in rows if r[0] == "text"]
+    meta = lambda names: [text for kind, tag, text, *_ in rows if kind == "meta" and tag in names and text]
+    # The title is the first heading or mark of one; what tells the time of publishing last counts, else the first time element.
+    titles = (text for kind, tag, text, *_ in rows if (kind == "text" and tag == "h1") or (kind == "meta" and tag in TITLES and text))
+    published = (meta(PUBLISHED)[-1:] or meta(("time",)) or [""])[0]
+    links = [(href, text, within) for kind, _, text, href, _, within in rows if kind == "link"]
+    return "\n".join(r[2] for r in lines), "\n".join(r[2] for r in lines if r[5]), next(titles, ""), published, links
+
+
+_LINKS = ArrayType(StructType().add("href", "string").add("label", "string").add("within", "boolean"))
+_PAGE = StructType().add("text", "string").add("content", "string").add("title", "string").add("published", "string").add("links", _LINKS)
+
+
+@F.arrow_udf(_PAGE)
+def _read(pages: pa.Array) -> pa.Array:
+    told = [_told(page) for page in pages.to_pylist()]
+    columns = list(zip(*(t or ("", "", "", "", []) for t in told), strict=True)) or [()] * 5
+    fields = [*(pa.array(c, pa.string()) for c in columns[:4]), lists_of(columns[4], _LINK)]
+    return pa.StructArray.from_arrays(fields, names=["text", "content", "title", "published", "links"], mask=pa.array([t is None for t in told], pa.bool_()))
+
+
 def page_texts(df: DataFrame, html: str, url: str, key: str) -> DataFrame:
-    """key, address, text (all lines), content (the lines of articles), title, published and links (url, host, label, within) of each page.
+    """key, address, text (all lines), content (the lines of articles), title, published and links (href, label, within) of each page that has any.
 
-    Addresses of links are worked out row by row, before a page's rows meet.
+    A page is told as one row where it is read, so its lines need not meet again.
     """
-    rows = page_rows(df.select(key, urls.application_url(F.col(url)).alias("address"), html), html)
-    line, link = F.col("kind") == "text", F.col("kind") == "link"
-    rows = rows.withColumn("target", F.when(link, urls.application_url(joined(F.col("address"), F.col("href")))))
-    rows = rows.withColumn("host", F.when(link, urls.host(F.col("target"))))
-    at = lambda what, value: F.transform(F.array_sort(F.collect_list(F.when(what, F.struct("ord", value.alias("v"))))), lambda x: x["v"])
-    first = lambda what: F.min_by(F.when(what, F.col("text")), F.when(what, F.col("ord")))
-    shown = F.struct(F.col("target").alias("url"), "host", F.col("text").alias("label"), "within")
-    meta = lambda *names: (F.col("kind") == "meta") & F.col("tag").isin(*names) & (F.col("text") != "")
-    # The title is the first heading or mark of one; what tells the time of publishing last counts, else the first time element.
-    titled = (line & (F.col("tag") == "h1")) | meta("og:title", "twitter:title")
-    published = F.coalesce(F.max_by(F.when(meta(*PUBLISHED), F.col("text")), F.when(meta(*PUBLISHED), F.col("ord"))), first(meta("time")))
-    return rows.groupBy(key, "address").agg(
-        F.array_join(at(line, F.col("text")), "\n").alias("text"), F.array_join(at(line & F.col("within"), F.col("text")), "\n").alias("content"), F.coalesce(first(titled), F.lit("")).alias("title"), F.coalesce(published, F.lit("")).alias("published"), at(link, shown).alias("links"),
-    )
+    # Not deterministic for the planner only, as filters on what is read would read the page again.
+    pages = df.select(key, urls.application_url(F.col(url)).alias("address"), _read.asNondeterministic()(F.col(html)).alias("page"))
+    return pages.filter(F.col("page").isNotNull()).select(key, "address", "page.*")
+
+
+def target(address: Column, href: Column) -> Column:
+    """Where a link of a page leads."""
+    return bound(joined(address, href), urls.application_url)
 
 
 def official_applications(df: DataFrame, html: str, url: str, key: str) -> DataFrame:
@@ -143,7 +169,8 @@ def official_applications(df: DataFrame, html: str, url: str, key: str) -> DataF
     # The first link whose label names the same brand; all labels of a page take their common form at once.
     rows = rows.withColumn("labels", F.split(nfkc(F.array_join(F.transform("links", lambda x: x["label"]), LABEL_END)), LABEL_END))
     named_links = F.filter("links", lambda x, i: brand(F.get("labels", i)) == F.col("brand"))
-    product_url = F.coalesce(F.try_element_at(named_links, F.lit(1))["url"], F.lit(""))
+    rows = rows.withColumn("named", F.try_element_at(named_links, F.lit(1))["href"])
+    product_url = F.when(F.col("named").isNotNull(), target(F.col("application_url"), F.col("named"))).otherwise("")
     return rows.select(
         key, "application_url", "brand", "product", F.upper(F.regexp_extract("product", CODE, 1)).alias("code"), "branch", "prefecture", "start", "end", "result", product_url.alias("product_url"),
         F.concat(F.lit("bandai-"), F.substring(F.sha2("application_url", 256), 1, 16)).alias("article_id"),
@@ -161,10 +188,11 @@ def article_candidates(df: DataFrame, html: str, url: str, key: str, own_domain:
     read = pages.select(key, F.col("address").alias("source_url"), "title", "published", body.alias("body"), links.alias("links"))
     read = read.withColumn("post", extract.post(F.concat_ws("\n", "title", "body"), F.lit("other"))).filter(F.col("post.category").isin(*WANTED))
     official_host = r"(^|\.)(" + "|".join(d.replace(".", r"\.") for d in domains) + ")$"
-    read = read.withColumn("official", F.filter("links", lambda x: (x["host"] != own_domain) & x["host"].rlike(official_host)))
+    led = F.transform("links", lambda x: F.struct(target(F.col("source_url"), x["href"]).alias("url"), x["label"].alias("label")))
+    at = lambda x, holds: bound(urls.host(x["url"]), holds)
+    read = read.withColumn("official", F.filter(led, lambda x: at(x, lambda host: (host != own_domain) & host.rlike(official_host))))
     # The first link to each address stays.
-    official = F.transform("official", lambda x: F.struct(x["url"], x["label"]))
-    once = F.filter(official, lambda x, i: F.array_position(F.transform("official", lambda y: y["url"]), x["url"]) == i + 1)
+    once = F.filter("official", lambda x, i: F.array_position(F.transform("official", lambda y: y["url"]), x["url"]) == i + 1)
     title = F.trim(F.regexp_replace(F.regexp_replace("title", TITLE_MARK, ""), TITLE_END, ""))
     chain = first_of(chains, F.col("body"))
     return read.select(

@@ -101,7 +101,7 @@ _PLACES = {"1-URGENT": "大阪梅田店", "2-HIGH": "東京店", "3-MEDIUM": "
 
 def official_applications(spark: SparkSession, sf: str) -> DataFrame:
     """Application pages of orders: brand and product, dates, branch and prefecture; other hosts, brands and pages without an end are none."""
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders").repartition("o_orderkey")  # one file may be few splits, and pages cost more than the shuffle
     k, brand, place = F.col("o_orderkey"), _by_priority(_BRANDED), _by_priority(_PLACES)
     host = F.when(F.col("o_orderstatus") == "F", "shop.example.com").otherwise(applications.APPLICATION_HOST)
     at = lambda days: F.date_format(_day(days), "yyyy/MM/dd")
@@ -119,7 +119,7 @@ _ARTICLE_BRANDS = {"1-URGENT": "ポケモンカード", "2-HIGH": "ONE PIECEカ
 
 def article_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Articles of orders as candidates: only what the article holds counts, whatever stands in the sidebar."""
-    o = table(spark, sf, "orders")
+    o = table(spark, sf, "orders").repartition("o_orderkey")  # one file may be few splits, and pages cost more than the shuffle
     k, dear = F.col("o_orderkey"), F.col("o_totalprice") > 200_000
     link = F.when(dear, _text('<a href="https://www.cardlabo.com/shop/', k, '?utm_source=t">apply</a><a href="https://www.cardlabo.com/shop/', k, '">again</a>')).otherwise('<a href="https://news.example.com/archives/1">more</a>')
     page = _text(
