@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 #: Outcomes that every search knows; others are reasons of a policy.
 ACCEPTED, DUPLICATE, UNSURE = "accepted", "duplicate", "unsure"
+#: Rows that one task joins and ranks, about.
+TASK_ROWS = 250_000
 
 
-def fan_out(candidates: DataFrame, offers: DataFrame, plugins: DataFrame, key: str, category: str, term: str, order: Sequence[str], same: Sequence[str], confidence: str, least: float, verdict: Column) -> DataFrame:
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df by keys in tasks of about ``TASK_ROWS`` of its ``rows``, so that their memory does not grow with the table; as it is where the session's own partitions are no larger."""
+    tasks = rows // TASK_ROWS
+    return df.repartition(tasks, *keys) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def fan_out(candidates: DataFrame, offers: DataFrame, plugins: DataFrame, key: str, category: str, term: str, order: Sequence[str], same: Sequence[str], confidence: str, least: float, verdict: Column, rows: int = 0) -> DataFrame:
     """All hits of all plugins with ``outcome``: duplicate, unsure, what ``verdict`` says, or accepted.
 
     ``plugins`` has a row for each shop: plugin, rank, and categories, an array that is empty
@@ -19,10 +27,12 @@ def fan_out(candidates: DataFrame, offers: DataFrame, plugins: DataFrame, key: s
     category. The first hit of equal ``same`` columns stays, by the shops' ranks and then
     ``order``; hits below ``least`` are unsure; the rest go by the verdict. Offers are read
     once, and meet candidates by term before shops are looked up, so nothing multiplies.
+    ``rows`` is about how many offers there are: many are joined and ranked in more tasks.
     """
-    met = candidates.join(offers, term).join(plugins.select("plugin", F.col("rank").alias("__rank"), F.col("categories").alias("__for")), "plugin")
+    met = candidates.join(dealt(offers, rows, term), term).join(plugins.select("plugin", F.col("rank").alias("__rank"), F.col("categories").alias("__for")), "plugin")
     met = met.filter((F.size("__for") == 0) | F.array_contains("__for", F.col(category)))
-    ranked = met.withColumn("__first", F.row_number().over(Window.partitionBy(key, *same).orderBy("__rank", *order)))
+    # By candidate alone, so what is counted for each later needs no other tasks.
+    ranked = dealt(met, rows, key).withColumn("__first", F.row_number().over(Window.partitionBy(key, *same).orderBy("__rank", *order)))
     outcome = F.when(F.col("__first") > 1, DUPLICATE).when(F.coalesce(F.col(confidence), F.lit(0.0)) < least, UNSURE).otherwise(F.coalesce(verdict, F.lit(ACCEPTED)))
     return ranked.withColumn("outcome", outcome).drop("__rank", "__for", "__first")
 
@@ -33,10 +43,12 @@ def search_counters(hits: DataFrame, key: str, shop: str) -> DataFrame:
     accepted = F.col("outcome") == ACCEPTED
     # Counts by outcome and shop come first: a hot candidate sends few rows on.
     small = hits.groupBy(key, "outcome", shop).agg(F.count("*").alias("n"))
-    n = lambda what: F.coalesce(F.sum(F.when(what, F.col("n"))), F.lit(0))
-    by = small.groupBy(key).agg(
-        F.sum("n").alias("hits"), n(F.col("outcome") == DUPLICATE).alias("duplicates"), n(F.col("outcome") == UNSURE).alias("unsure"), n(sure & ~accepted).alias("excluded"), n(accepted).alias("accepted"),
-        F.count_distinct(F.when(sure, F.col(shop))).alias("found_shops"), F.count_distinct(F.when(accepted, F.col(shop))).alias("regular_shops"),
+    # Shops are told apart by rows of their own, which need no other tasks, as distinct counts would.
+    kinds = {"duplicates": F.col("outcome") == DUPLICATE, "unsure": F.col("outcome") == UNSURE, "excluded": sure & ~accepted, "accepted": accepted}
+    shops = small.groupBy(key, shop).agg(F.sum("n").alias("hits"), *[F.sum(F.when(what, F.col("n")).otherwise(0)).alias(name) for name, what in kinds.items()])
+    named = F.col(shop).isNotNull()
+    by = shops.groupBy(key).agg(
+        F.sum("hits").alias("hits"), *[F.sum(name).alias(name) for name in kinds], F.count_if(named & (F.col("excluded") + F.col("accepted") > 0)).alias("found_shops"), F.count_if(named & (F.col("accepted") > 0)).alias("regular_shops"),
     )
     reasons = small.filter(sure & ~accepted).groupBy(key, "outcome").agg(F.sum("n").alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("outcome", "n"))).alias("reasons"))
     return by.join(reasons, key, "left")

@@ -24,7 +24,7 @@ def _retail_hits(spark: SparkSession, sf: str) -> DataFrame:
     )
     parts = table(spark, sf, "part").select("p_partkey", F.col("p_partkey").alias("term"), "p_type", F.floor("p_retailprice").alias("reference"))
     verdict = money.price_verdict(F.col("wording"), F.col("verified"), F.col("reference"), F.col("sale"), F.lit(1.5), {"used": "中古"})
-    return searches.fan_out(parts, offers, plugins, "p_partkey", "p_type", "term", ["l_orderkey", "l_linenumber", "l_shipdate"], ["plugin", "url"], "confidence", LEAST, verdict)
+    return searches.fan_out(parts, offers, plugins, "p_partkey", "p_type", "term", ["l_orderkey", "l_linenumber", "l_shipdate"], ["plugin", "url"], "confidence", LEAST, verdict, line.count())
 
 
 def retail_search(spark: SparkSession, sf: str) -> DataFrame:
