@@ -112,3 +112,19 @@ def test_word_encoder_equals_whole_texts(texts):
     library = Tokenizer.from_file(WORDS)
     whole = [library.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in coder.encode(texts)] == whole
+
+
+def test_words_of_known_pieces_are_not_encoded_anew(monkeypatch):
+    """Words that differ in case and signs share their pieces; whole words of them are not given to the tokenizer, and all ids are the library's."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORDS)
+    coder = packed_ids.WordEncoder(WORDS)
+    words = [f"{stem}{end}" for stem in ("Größe", "ÉTAIT", "x<y", "don't", "1'll'S", "''S're", "O'Neill") for end in ("", ",", "$$$", "'S", "''d", "<", ">|", "42!")]
+    text = " \t".join(words)
+    with monkeypatch.context() as m:
+        m.setattr(coder, "_encode_run", None)
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    for c in map(chr, range(0x21, 0x250)):
+        text = f"a{c} {c}a '{c}S {c}{c}1"
+        assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
