@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from unicodedata import normalize
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,6 @@ from pyspark.sql.types import ArrayType, StructType
 
 from tallyreef.functions import extract, urls
 from tallyreef.functions.markup import lines_of, lists_of
-from tallyreef.functions.names import nfkc
 from tallyreef.functions.rules import bound, first_match
 
 # Names of two brands, and codes that count only beside a brand's name.
@@ -50,10 +50,6 @@ PUBLISHED = ("article:published_time", "date", "datepublished")
 TITLES = ("og:title", "twitter:title")
 
 
-#: Parts labels while they are one text.
-LABEL_END = "\u0001"
-
-
 def joined(base: Column, href: Column) -> Column:
     """An address as a page of address base means it."""
     site = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
@@ -66,8 +62,7 @@ def joined(base: Column, href: Column) -> Column:
 
 def first_of(words: tuple[str, ...], text: Column) -> Column:
     """The first of some words that the text holds, whatever the case; empty if none."""
-    folded = F.lower(text)
-    return F.coalesce(F.try_element_at(F.filter(F.array(*map(F.lit, words)), lambda w: folded.contains(F.lower(w))), F.lit(1)), F.lit(""))
+    return bound(F.lower(text), lambda folded: F.coalesce(*[F.when(folded.contains(F.lower(F.lit(w))), w) for w in words], F.lit("")))
 
 
 def brand(text: Column) -> Column:
@@ -84,8 +79,14 @@ def brand(text: Column) -> Column:
 
 
 def _moment(text: Column, pattern: str, first: int, year: Column | None = None) -> Column:
-    y, m, d, h, mi = (F.nullif(F.regexp_extract(text, pattern, first + i), F.lit("")).cast("int") for i in range(5))
-    return F.try_make_timestamp_ntz(y if year is None else F.coalesce(y, year), m, d, h, F.coalesce(mi, F.lit(0)), F.lit(0))
+    # The text is searched once; what the pattern found is then written as its parts.
+    parts = F.split(F.regexp_replace(F.regexp_extract(text, pattern, 0), pattern, ",".join(f"${first + i}" for i in range(5))), ",")
+
+    def at(found: Column) -> Column:
+        y, m, d, h, mi = (F.get(found, i).try_cast("int") for i in range(5))
+        return F.try_make_timestamp_ntz(y if year is None else F.coalesce(y, year), m, d, h, F.coalesce(mi, F.lit(0)), F.lit(0))
+
+    return bound(parts, at)
 
 
 def application_dates(text: Column, reference: Column | None = None) -> dict[str, Column]:
@@ -132,6 +133,20 @@ def _read(pages: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays(fields, names=["text", "content", "title", "published", "links"], mask=pa.array([t is None for t in told], pa.bool_()))
 
 
+_FORMED_LINK = pa.struct([("href", pa.string()), ("label", pa.string())])
+_FORMED = StructType().add("text", "string").add("formed", "string").add("links", ArrayType(StructType().add("href", "string").add("label", "string")))
+
+
+@F.arrow_udf(_FORMED)
+def _read_formed(pages: pa.Array) -> pa.Array:
+    """text, the same in NFKC form, and links with labels in that form."""
+    told = [_told(page) for page in pages.to_pylist()]
+    texts = ["" if t is None else t[0] for t in told]
+    links = [[] if t is None else [(href, normalize("NFKC", label)) for href, label, _ in t[4]] for t in told]
+    fields = [pa.array(texts, pa.string()), pa.array([normalize("NFKC", t) for t in texts], pa.string()), lists_of(links, _FORMED_LINK)]
+    return pa.StructArray.from_arrays(fields, names=["text", "formed", "links"], mask=pa.array([t is None for t in told], pa.bool_()))
+
+
 def page_texts(df: DataFrame, html: str, url: str, key: str) -> DataFrame:
     """key, address, text (all lines), content (the lines of articles), title, published and links (href, label, within) of each page that has any.
 
@@ -152,24 +167,23 @@ def official_applications(df: DataFrame, html: str, url: str, key: str) -> DataF
 
     Pages of other hosts, without one of the brands, an end, words of an application, or a product are none.
     """
-    # Pages of other hosts are not read at all.
-    pages = page_texts(df.filter(urls.host(F.col(url)) == APPLICATION_HOST), html, url, key)
-    made = pages.select(key, F.col("address").alias("application_url"), nfkc(F.col("text")).alias("t"), F.col("text").alias("raw"), "links")
+    # Pages of other hosts are not read at all; a page and its forms are read at once. Not deterministic for the planner only, as filters on what is read would read the page again.
+    pages = df.filter(urls.host(F.col(url)) == APPLICATION_HOST).select(key, F.col(url).alias("address"), _read_formed.asNondeterministic()(F.col(html)).alias("page"))
+    made = pages.filter(F.col("page").isNotNull()).select(key, "address", F.col("page.formed").alias("t"), F.col("page.text").alias("raw"), "page.links")
     dates = application_dates(F.col("t"))
-    named, quoted = (F.regexp_extract("raw", p, 1) for p in (PRODUCT, QUOTED))
-    product = F.trim(F.regexp_replace(F.when(named != "", named).otherwise(quoted), r"(?U)\s+", " "))
-    listed = sorted(BRANCHES, key=len, reverse=True)
-    known = first_of(tuple(listed), F.col("raw"))
-    branch = F.when(known != "", known).otherwise(F.trim(F.regexp_extract("raw", BRANCH, 1)))
-    overview = F.regexp_extract("raw", r"(?s)店舗概要(.{0,500})", 1)
-    told = F.regexp_extract(overview, "(" + "|".join(PREFECTURES) + ")", 1)
-    place = F.coalesce(F.create_map(*[F.lit(x) for pair in BRANCHES.items() for x in pair])[branch], F.lit("UNKNOWN"))
-    rows = made.select(key, "application_url", "t", "raw", "links", brand(F.col("t")).alias("brand"), *[c.alias(n) for n, c in dates.items()], product.alias("product"), branch.alias("branch"), F.when(told != "", told).otherwise(place).alias("prefecture"))
-    rows = rows.filter(F.col("brand").isin(*WANTED) & F.col("end").isNotNull() & F.col("raw").rlike(APPLIES) & (F.col("product") != ""))
-    # The first link whose label names the same brand; all labels of a page take their common form at once.
-    rows = rows.withColumn("labels", F.split(nfkc(F.array_join(F.transform("links", lambda x: x["label"]), LABEL_END)), LABEL_END))
-    named_links = F.filter("links", lambda x, i: brand(F.get("labels", i)) == F.col("brand"))
-    rows = rows.withColumn("named", F.try_element_at(named_links, F.lit(1))["href"])
+    # The filter below is worked out where the text is read, so what it asks for is bound and its addresses and branches come after it.
+    named = bound(F.regexp_extract("raw", PRODUCT, 1), lambda found: F.when(found != "", found).otherwise(F.regexp_extract("raw", QUOTED, 1)))
+    product = F.trim(F.regexp_replace(named, r"(?U)\s+", " "))
+    rows = made.select(key, "address", "t", "raw", "links", brand(F.col("t")).alias("brand"), *[c.alias(n) for n, c in dates.items()], product.alias("product"))
+    rows = rows.filter(F.col("raw").rlike(APPLIES) & (F.col("product") != "") & F.col("brand").isin(*WANTED) & F.col("end").isNotNull())
+    known = first_of(tuple(sorted(BRANCHES, key=len, reverse=True)), F.col("raw"))
+    branch = bound(known, lambda found: F.when(found != "", found).otherwise(F.trim(F.regexp_extract("raw", BRANCH, 1))))
+    told = F.regexp_extract(F.regexp_extract("raw", r"(?s)店舗概要(.{0,500})", 1), "(" + "|".join(PREFECTURES) + ")", 1)
+    # The first link whose label names the same brand.
+    link = F.try_element_at(F.filter("links", lambda x: brand(x["label"]) == F.col("brand")), F.lit(1))["href"]
+    rows = rows.select(key, urls.application_url(F.col("address")).alias("application_url"), "brand", "product", *dates, branch.alias("branch"), told.alias("told"), link.alias("named"))
+    place = F.coalesce(F.create_map(*[F.lit(x) for pair in BRANCHES.items() for x in pair])[F.col("branch")], F.lit("UNKNOWN"))
+    rows = rows.withColumn("prefecture", F.when(F.col("told") != "", F.col("told")).otherwise(place))
     product_url = F.when(F.col("named").isNotNull(), target(F.col("application_url"), F.col("named"))).otherwise("")
     return rows.select(
         key, "application_url", "brand", "product", F.upper(F.regexp_extract("product", CODE, 1)).alias("code"), "branch", "prefecture", "start", "end", "result", product_url.alias("product_url"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyreef.functions.rules import bound
 from tallyreef.functions.text import blank
 
 # Query parameters that only track visitors.
@@ -74,10 +75,11 @@ def canonical(url: Column, *, empty_root: bool = False, ordered: bool = False, w
     other schemes give "".
     """
     tail = path(url) if whole_path else F.regexp_replace(path(url), "/+$", "")
-    tail = tail if empty_root else F.when(tail == "", F.lit("/")).otherwise(tail)
-    kept = parameters(url, dropped, ordered)
+    tail = tail if empty_root else bound(tail, lambda found: F.when(found == "", F.lit("/")).otherwise(found))
+    kept = bound(parameters(url, dropped, ordered), lambda found: F.when(found == "", "").otherwise(F.concat(F.lit("?"), found)))
+    kept = F.when(url.contains("?"), kept).otherwise("")
     web = scheme(url).isin("https") if https_only else scheme(url).isin("http", "https")
-    return F.when(web & (host(url) != ""), F.concat(scheme(url), F.lit("://"), netloc(url), tail, F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept)))).otherwise("")
+    return F.when(web & (host(url) != ""), F.concat(scheme(url), F.lit("://"), netloc(url), tail, kept)).otherwise("")
 
 
 def application_url(url: Column) -> Column:
